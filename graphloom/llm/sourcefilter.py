@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from graphloom.plans.iterate import cut
 from graphloom.plans.ship import ship
 
 #: Conventional folders and file names, matched in lower case.
@@ -153,7 +154,8 @@ def shared_subtrees(files: DataFrame, min_files: int = 2) -> DataFrame:
             here = here.unionByName(below)
         found.append(here.withColumn("level", F.lit(level)))
         below = here.groupBy("repo", parent.alias("path")).agg(F.sum(entry).alias("e1"), F.sum(entry2).alias("e2"), F.sum("known").alias("known"), F.sum("files").alias("files"))
-        below = below.select("repo", "path", F.concat_ws(":", F.lit("d"), "e1", "e2").alias("hash"), "known", "files")
+        # cut, or the plan of each level would hold those of all deeper ones
+        below = cut(below.select("repo", "path", F.concat_ws(":", F.lit("d"), "e1", "e2").alias("hash"), "known", "files"))
     if not found:
         return files.select("repo", "path").limit(0)
     trees = found[0]
@@ -179,10 +181,9 @@ def not_hand_written(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     every = files.join(texts, ["repo", "path"], "left").join(names, ["repo", "path"], "left")
     by_names = F.col("signature").isNotNull() & (F.col("names") >= 4)
     leaf = F.coalesce("content", F.when(by_names, F.concat_ws(":", F.lit("n"), "names", "signature")))
-    copied = shared_subtrees(every.select("repo", "path", leaf.alias("content"))).withColumn("copied", F.lit(True))
-    every = every.join(copied, ["repo", "path"], "left")
     short = (F.col("short") >= 2) & (F.col("short") >= 0.6 * F.col("names"))
-    reasons = F.array_compact(
-        F.array_distinct(F.array(path_reason(F.col("path")), path_reason(F.col("name")), F.col("text_reason"), F.when(short, F.lit("minified")), F.when(F.col("copied"), F.lit("third-party"))))
-    )
-    return every.select("repo", "id", "path", reasons.alias("reasons")).where(F.size("reasons") > 0)
+    own = F.array(path_reason(F.col("path")), path_reason(F.col("name")), F.col("text_reason"), F.when(short, F.lit("minified")))
+    every = cut(every.select("repo", "id", "path", leaf.alias("content"), F.array_distinct(F.array_compact(own)).alias("own")))
+    copied = shared_subtrees(every.select("repo", "path", "content")).withColumn("copied", F.lit(True))
+    reasons = F.array_union("own", F.when(F.col("copied"), F.array(F.lit("third-party"))).otherwise(F.array().cast("array<string>")))
+    return every.join(copied, ["repo", "path"], "left").select("repo", "id", "path", reasons.alias("reasons")).where(F.size("reasons") > 0)

@@ -5,14 +5,17 @@ different documents. Texts are cut into short "sentences" whose borders depend o
 content alone: a position is a border if the hash of the 8 characters there is the least
 of some window of ``WINDOW`` positions (the last one on ties). Punctuation would not do,
 since a shared span need not hold a whole sentence of prose; by these borders every span of
-200 characters holds a run of two consecutive sentences, cut alike in both documents.
+200 characters holds a run of two or more consecutive sentences and of at least ``RUN``
+characters, cut alike in both documents.
 
-1. Every run of two consecutive sentences is hashed and joined globally, and so is a
-   quarter (chosen by hash) of the long runs that reach ``min_chars`` from a border.
+1. From every border the run of sentences that reaches ``RUN`` characters is hashed and
+   joined globally, and so is a quarter (chosen by hash) of the long runs that reach
+   ``min_chars``.
 2. A long run found in two documents proves both of them.
 3. Of short runs found in two documents, those with a document not yet proven are checked
-   exactly: around each such place every window of ``min_chars`` characters that could hold
-   it gets a 128-bit hash, and windows found in two documents prove the rest.
+   exactly: a window of ``min_chars`` characters can only be shared if all runs that its
+   characters alone decide are; such windows get a 128-bit hash, and windows found in two
+   documents prove the rest.
 
 Groups are reduced to their least and greatest document id, with map-side combine, never
 collected; no pairs are made, and a span that a third of all documents hold is one group.
@@ -36,6 +39,7 @@ from graphloom.plans.ship import ship
 
 GRAM = 8
 WINDOW = 64
+RUN = WINDOW + 2  # more than one sentence, which has at most WINDOW characters
 SEGMENT = 1 << 22
 #: Odd multipliers of the rolling hashes; any odd numbers would do.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -87,9 +91,8 @@ class Texts:
             value *= np.uint64(0x100000001B3)
             value += low[k : k + grams]
         value = _mix(value)
-        found = []
-        mask = np.uint64((1 << 23) - 1)
-        for at in range(0, grams - WINDOW + 1, SEGMENT):
+        least, mask = np.empty(grams - WINDOW + 1, np.int64), np.uint64((1 << 23) - 1)
+        for at in range(0, len(least), SEGMENT):
             part = value[at : at + SEGMENT + WINDOW - 1]
             # hash above, position below and reversed: the minimum is the last of the least
             key = (part & ~mask) | (mask - np.arange(len(part), dtype=np.uint64))
@@ -97,15 +100,37 @@ class Texts:
             while size * 2 <= WINDOW:
                 key = np.minimum(key[: len(key) - size], key[size:])
                 size *= 2
-            where = (mask - (key & mask)).astype(np.int64) + at
-            start = np.arange(len(where)) + at
-            text = np.searchsorted(self.ends, start, side="right")
-            inside = start + WINDOW + GRAM - 1 <= self.ends[text]
-            where = where[inside]
-            found.append(where[np.append(True, where[1:] != where[:-1])] if len(where) else where)
-        at = np.unique(np.concatenate(found))
+            least[at : at + len(key)] = (mask - (key & mask)).astype(np.int64) + at
+        # windows that run over the end of a text decide nothing
+        text = np.repeat(np.arange(len(self.ends)), self.sizes)[: len(least)]
+        inside = np.arange(len(least)) + WINDOW + GRAM - 1 <= self.ends[text]
+        self.least = np.where(inside, least, -1)
+        at = self.least[inside]
+        at = np.unique(at)
         return at, np.searchsorted(self.ends, at, side="right")
 
+    def open_windows(self, at: np.ndarray, shared: np.ndarray, wanted: np.ndarray, min_chars: int) -> np.ndarray:
+        """Starts of the windows whose own runs are all ``shared``, one of them ``wanted``.
+
+        ``at`` are the borders; a run goes from each to the first border ``RUN`` characters on.
+        The borders that the characters of a window alone decide lie between the least
+        positions of its first and of its last ``WINDOW``.
+        """
+        far = min_chars - GRAM - WINDOW + 1
+        start = np.arange(max(0, len(self.least) - far))
+        first, last = self.least[start], self.least[start + far]
+        text = np.repeat(np.arange(len(self.ends)), self.sizes)[: len(start)]
+        good = (first >= 0) & (last >= 0) & (start + min_chars <= self.ends[text])
+        start, first, last = start[good], first[good], last[good]
+        number = np.full(len(self.codes) + 1, -1, np.int64)
+        number[at] = np.arange(len(at))
+        run_end = np.searchsorted(at, at + RUN)
+        ok, want = (np.concatenate([[0], np.cumsum(x)]) for x in (shared, wanted))
+        lo, hi = number[first], np.searchsorted(run_end, number[last], side="right")  # runs lo .. hi - 1
+        hi = np.maximum(hi, lo)
+        keep = (hi > lo) & (ok[hi] - ok[lo] == hi - lo) & (want[hi] > want[lo])
+        return start[keep]
+
 
 def _text_batches(batch: pa.RecordBatch, min_chars: int, chars: int = 1 << 21) -> Iterator[tuple[list[int], list[str], list[int]]]:
     """Ids, texts and row numbers, some two million characters at a time; short texts are left out."""
@@ -124,15 +149,12 @@ def _text_batches(batch: pa.RecordBatch, min_chars: int, chars: int = 1 << 21) -
         yield ids, texts, rows
 
 
-def _runs(texts: Texts, min_chars: int) -> tuple[np.ndarray, ...]:
-    """Short runs as (start, end, text) and long runs likewise, of borders of one text."""
-    at, of = texts.borders()
-    i = np.arange(max(0, len(at) - 2))
-    i = i[of[i] == of[i + 2]]
-    j = np.searchsorted(at, at + min_chars)
-    k = np.nonzero(j < len(at))[0]
-    k = k[of[k] == of[j[k]]]
-    return at[i], at[i + 2], of[i], at[k], at[j[k]], of[k]
+def _runs(at: np.ndarray, of: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs as (first, last) border: from each border to the first one ``reach`` characters on in its text."""
+    j = np.searchsorted(at, at + reach)
+    i = np.nonzero(j < len(at))[0]
+    i = i[of[i] == of[j[i]]]
+    return i, j[i]
 
 
 def run_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -142,50 +164,44 @@ def run_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
         for batch in batches:
             for ids, bodies, _ in _text_batches(batch, min_chars):
                 texts, who = Texts(bodies), np.array(ids, np.int64)
-                a, b, s, la, lb, ls = _runs(texts, min_chars)
-                short = texts.stretch(0, a, b) & ~np.uint64(1)
-                long_ = texts.stretch(0, la, lb) | np.uint64(1)
+                at, of = texts.borders()
+                (i, j), (k, m) = _runs(at, of, RUN), _runs(at, of, min_chars)
+                short = texts.stretch(0, at[i], at[j]) & ~np.uint64(1)
+                long_ = texts.stretch(0, at[k], at[m]) | np.uint64(1)
                 pick = (long_ >> np.uint64(33)) & np.uint64(3) == 0
-                la, lb, ls, long_ = la[pick], lb[pick], ls[pick], long_[pick]
-                h2 = texts.stretch(1, la, lb)
+                k, m, long_ = k[pick], m[pick], long_[pick]
+                h2 = texts.stretch(1, at[k], at[m])
                 h = np.concatenate([short, long_]).view(np.int64)
-                out = [h, np.concatenate([np.zeros(len(short), np.int64), h2.view(np.int64)]), np.concatenate([who[s], who[ls]])]
+                out = [h, np.concatenate([np.zeros(len(short), np.int64), h2.view(np.int64)]), np.concatenate([who[of[i]], who[of[k]]])]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["h", "h2", "doc"])
 
     return docs.mapInArrow(run, "h long, h2 long, doc long")
 
 
-def window_hashes(docs: DataFrame, min_chars: int, everywhere: bool) -> DataFrame:
-    """(w1, w2, doc, start): windows of ``min_chars`` that could hold the runs in ``need``.
+def window_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
+    """(w1, w2, doc, start): the windows of ``min_chars`` that may be shared.
 
-    ``docs`` has (doc, text, need): hashes of the short runs to check. With ``everywhere``
-    windows that start inside a needed run come too, else only those that a span of
-    ``min_chars`` could begin with; both find the same documents.
+    ``docs`` has (doc, text, shared, wanted): hashes of the document's shared short runs,
+    and of those among them that are to be checked.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            needs = batch.column(2)
+            lists = [batch.column(k) for k in (2, 3)]
             for ids, bodies, rows in _text_batches(batch, min_chars):
                 texts, who = Texts(bodies), np.array(ids, np.int64)
-                a, b, s, *_ = _runs(texts, min_chars)
-                short = (texts.stretch(0, a, b) & ~np.uint64(1)).view(np.int64)
-                keep = np.zeros(len(a), bool)
+                at, of = texts.borders()
+                i, j = _runs(at, of, RUN)
+                hashes = (texts.stretch(0, at[i], at[j]) & ~np.uint64(1)).view(np.int64)
+                flags = [np.zeros(len(at), bool), np.zeros(len(at), bool)]
                 for t, row in enumerate(rows):
-                    lo, hi = np.searchsorted(s, [t, t + 1])
-                    keep[lo:hi] = np.isin(short[lo:hi], needs[row].values.to_numpy())
-                a, b, s = a[keep], b[keep], s[keep]
-                # a window that holds the run starts at most ``reach`` before it
-                lo = np.maximum(texts.starts[s], a - (min_chars if everywhere else WINDOW))
-                hi = np.minimum(a + 1, texts.ends[s] - min_chars + 1)
-                mark = np.zeros(len(texts.codes) + 1, np.int32)
-                good = lo < hi
-                np.add.at(mark, lo[good], 1)
-                np.add.at(mark, hi[good], -1)
-                start = np.nonzero(np.cumsum(mark[:-1]) > 0)[0]
+                    lo, hi = np.searchsorted(of[i], [t, t + 1])
+                    for flag, values in zip(flags, lists, strict=True):
+                        flag[i[lo:hi]] = np.isin(hashes[lo:hi], values[row].values.to_numpy())
+                start = texts.open_windows(at, *flags, min_chars) if len(at) else np.zeros(0, np.int64)
                 of = np.searchsorted(texts.ends, start, side="right")
-                for at in range(0, len(start), 200_000):
-                    p, o = start[at : at + 200_000], of[at : at + 200_000]
+                for k in range(0, len(start), 200_000):
+                    p, o = start[k : k + 200_000], of[k : k + 200_000]
                     out = [texts.stretch(0, p, p + min_chars).view(np.int64), texts.stretch(1, p, p + min_chars).view(np.int64), who[o], (p - texts.starts[o]).astype(np.int32)]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["w1", "w2", "doc", "start"])
 
@@ -201,7 +217,7 @@ def _members(docs: DataFrame, min_chars: int) -> DataFrame:
     """(h, h2, doc): the runs that two documents share, with all their documents."""
     runs = run_hashes(docs, min_chars)
     shared = _in_two(runs, ["h", "h2"]).drop("first")
-    return cut(runs.join(shared, ["h", "h2"]).distinct())
+    return cut(runs.join(shared, ["h", "h2"]))
 
 
 def _kept(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -212,14 +228,14 @@ def _kept(docs: DataFrame, key: str, text: str) -> DataFrame:
 def sharing_documents(docs: DataFrame, min_chars: int = 200, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc): documents that share a span of at least ``min_chars`` with another one."""
     _check(min_chars)
-    kept = _kept(docs, key, text)
-    members = _members(kept.where(F.length("text") >= min_chars), min_chars)
+    kept = _kept(docs, key, text).where(F.length("text") >= min_chars)
+    members = _members(kept, min_chars)
     proven = members.where("h % 2 <> 0").select("doc").distinct()
     short = members.where("h % 2 = 0").select("h", "doc")
-    open_runs = short.join(proven, "doc", "left_anti").select("h").distinct()
-    need = short.join(open_runs, "h", "left_semi").groupBy("doc").agg(F.collect_set("h").alias("need"))
-    windows = window_hashes(kept.join(need, "doc"), min_chars, everywhere=False).select("w1", "w2", "doc")
-    windows = cut(windows.distinct())
+    open_runs = short.join(proven, "doc", "left_anti").groupBy("h").agg(F.lit(True).alias("open"))
+    need = short.join(open_runs, "h", "left").groupBy("doc").agg(F.collect_set("h").alias("shared"), F.collect_set(F.when(F.col("open"), F.col("h"))).alias("wanted"))
+    windows = window_hashes(kept.join(need.where("size(wanted) > 0"), "doc").select("doc", "text", "shared", "wanted"), min_chars).select("w1", "w2", "doc")
+    windows = cut(windows)
     rest = windows.join(_in_two(windows, ["w1", "w2"]), ["w1", "w2"], "left_semi").select("doc")
     return proven.unionByName(rest).distinct()
 
@@ -229,10 +245,10 @@ def shared_coverage(docs: DataFrame, min_chars: int = 200, key: str = "doc_id",
     from pyspark.sql import Window
 
     _check(min_chars)
-    kept = _kept(docs, key, text)
-    members = _members(kept.where(F.length("text") >= min_chars), min_chars)
-    need = members.where("h % 2 = 0").groupBy("doc").agg(F.collect_set("h").alias("need"))
-    windows = window_hashes(kept.join(need, "doc"), min_chars, everywhere=True)
+    kept = _kept(docs, key, text).where(F.length("text") >= min_chars)
+    members = _members(kept, min_chars)
+    need = members.where("h % 2 = 0").groupBy("doc").agg(F.collect_set("h").alias("shared"))
+    windows = window_hashes(kept.join(need.withColumn("wanted", F.col("shared")), "doc").select("doc", "text", "shared", "wanted"), min_chars)
     places = windows.join(_in_two(windows, ["w1", "w2"]), ["w1", "w2"]).select("doc", "start", (F.col("first") != F.col("doc")).alias("later"))
     # windows of one document in order: each adds what the one before doesn't cover
     order = Window.partitionBy("doc").orderBy("start")

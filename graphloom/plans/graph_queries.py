@@ -191,7 +191,7 @@ def join_route_match(s, d):
 
 
 @query(
-    f"""WITH {LN}, r AS (SELECT DISTINCT repo AS member, list_filter(string_split({_HTTP.format("regexp_extract(id, '^operation:([A-Z]+) (/.*)$', 2)")}, '/'), x -> x <> '') AS s FROM ln WHERE regexp_matches(id, '^operation:[A-Z]+ /')),
+    f"""WITH {LN}, r AS (SELECT DISTINCT repo AS member, list_filter(string_split({_HTTP.format("regexp_extract(id, '^operation:([A-Z]+) (/.*)$', 2)")}, '/'), lambda x: x <> '') AS s FROM ln WHERE regexp_matches(id, '^operation:[A-Z]+ /')),
 n AS (SELECT member, count(*) AS n FROM r GROUP BY member), p AS (SELECT member, s[:k] AS p FROM r, (SELECT unnest([1, 2, 3]) AS k) WHERE k < len(s)),
 g AS (SELECT member, p, count(*) AS routes FROM p GROUP BY ALL)
 SELECT member, '/' || array_to_string(p, '/') AS prefix, routes FROM g JOIN n USING (member) WHERE len(list_filter(p, lambda x: NOT (x IN {P.GENERIC} OR regexp_matches(x, '^v[0-9]+$')))) = 0 OR routes >= greatest(2, n // 5)"""

@@ -22,6 +22,8 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from graphloom.plans.iterate import cut
+
 PAIR = ["repo", "path_a", "path_b"]
 
 
@@ -96,7 +98,7 @@ class PairTable:
 
     def apply(self, new: DataFrame, old: DataFrame | None = None) -> PairTable:
         """The table after the delivery of ``new`` baskets in place of their ``old`` contents."""
-        changes = signed(old, new)
+        changes = cut(signed(old, new))  # three sums read it
         return PairTable(
             self.as_of,
             self.half_life_days,
@@ -135,7 +137,7 @@ class PairTable:
 
 def update(spark: SparkSession, path: str, new: DataFrame, old: DataFrame | None, as_of: str = "2025-12-31 00:00:00", half_life_days: float = 90.0, buckets: int = 64) -> None:
     """Merge changed baskets into a saved state, rewriting only the buckets they touch."""
-    changes = signed(old, new)
+    changes = cut(signed(old, new))
     work = f"{path}/_new-{uuid.uuid4().hex[:8]}"
     touched = {}
     for name, deltas, keys, count in (

@@ -93,7 +93,7 @@ def find_spans(text: str | None, machine: ahocorasick.Automaton, owned: list[tup
         last = counted - 1  # words that end before this space
         for item in owned[window]:
             runs = hits.setdefault(item, [])
-            if runs and last - size <= runs[-1][1]:
+            if runs and last - size < runs[-1][1]:
                 runs[-1] = (min(runs[-1][0], last - size), last)
             else:
                 runs.append((last - size, last))

@@ -78,21 +78,21 @@ def dependency_view(edges: DataFrame) -> DataFrame:
 def pagerank(view: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
     """(repo, id, rank) over the view's nodes; parallel edges count, dangling mass is spread evenly.
 
-    Fixed rounds. Each reads the last ranks once: contributions and dangling mass come from
-    one aggregation, and lineage is cut every round.
+    Fixed rounds, lineage cut in each. Links stay rows with their source's share (no list of
+    targets is built), so a hub is split by the skew join and sums combine on the map side.
     """
-    links = cut(view.select(F.struct("a_repo", "a").alias("x"), F.struct(F.col("b_repo").alias("a_repo"), F.col("b").alias("a")).alias("y")))
-    out = links.groupBy("x").agg(F.collect_list("y").alias("to"))
-    nodes = links.select("x").union(links.select("y")).distinct()
-    graph = cut(nodes.join(out, "x", "left").select("x", F.coalesce("to", F.array()).alias("to")))
-    n = graph.count()
+    links = view.select(F.struct("a_repo", "a").alias("x"), F.struct(F.col("b_repo").alias("a_repo"), F.col("b").alias("a")).alias("y"))
+    out = links.groupBy("x").agg(F.count("*").alias("out"))
+    links = cut(links.join(out, "x").select("x", "y", (F.lit(1.0) / F.col("out")).alias("share")))
+    nodes = cut(links.select("x").union(links.select("y")).distinct().join(out, "x", "left").select("x", F.col("out").isNull().alias("loose")))
+    n = nodes.count()
     if n == 0:
-        return graph.select("x.a_repo", "x.a", F.lit(0.0).alias("rank"))
-    ranks = graph.select("x", "to", F.lit(1.0 / n).alias("rank"))
+        return nodes.select(F.col("x.a_repo").alias("repo"), F.col("x.a").alias("id"), F.lit(0.0).alias("rank"))
+    ranks = nodes.withColumn("rank", F.lit(1.0 / n))
     for _ in range(rounds):
-        loose = ranks.where(F.size("to") == 0).agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-        sent = ranks.where(F.size("to") > 0).select(F.explode("to").alias("x"), (F.col("rank") / F.size("to")).alias("got")).groupBy("x").agg(F.sum("got").alias("got"))
-        ranks = cut(graph.join(sent, "x", "left").select("x", "to", (F.lit((1 - damping) / n + damping * loose / n) + damping * F.coalesce("got", F.lit(0.0))).alias("rank")))
+        loose = ranks.where("loose").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
+        sent = links.join(ranks.select("x", "rank"), "x").groupBy(F.col("y").alias("x")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+        ranks = cut(nodes.join(sent, "x", "left").select("x", "loose", (F.lit((1 - damping) / n + damping * loose / n) + damping * F.coalesce("got", F.lit(0.0))).alias("rank")))
     return ranks.select(F.col("x.a_repo").alias("repo"), F.col("x.a").alias("id"), "rank")
 
 

@@ -11,18 +11,20 @@ def commit_files(commits: DataFrame, least: int = 2, most: int = 100, since: str
     ``keep`` and ``scan`` bound, per repository and newest first, how many counted commits
     are kept and how many commits are looked at.
     """
-    one = commits.where("repo is not null and commit_hash is not null").groupBy("repo", "commit_hash").agg(
-        F.max("committed_at").alias("committed_at"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.filter("paths", lambda p: p.isNotNull() & (p != "")))))).alias("paths")
-    )
+    rows = commits.where("repo is not null and commit_hash is not null").select("repo", "commit_hash", "committed_at", F.explode_outer("paths").alias("p"))
+    rows = rows.groupBy("repo", "commit_hash", F.nullif("p", F.lit("")).alias("p")).agg(F.max("committed_at").alias("committed_at"))
+    one = rows.groupBy("repo", "commit_hash").agg(F.max("committed_at").alias("committed_at"), F.count("p").alias("n"))
     if since:
         one = one.where(F.col("committed_at") >= F.lit(since).cast("timestamp_ntz"))
     newest = Window.partitionBy("repo").orderBy(F.desc("committed_at"), "commit_hash")
     if scan:
         one = one.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= scan).drop("_n")
-    one = one.where(F.size("paths").between(least, most))
+    one = one.where(F.col("n").between(least, most)).drop("n")
     if keep:
         one = one.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= keep).drop("_n")
-    return one
+    # lists are built of counted commits only, so none is longer than ``most``
+    kept = rows.where("p is not null").drop("committed_at").join(one, ["repo", "commit_hash"])
+    return kept.groupBy("repo", "commit_hash", "committed_at").agg(F.array_sort(F.collect_list("p")).alias("paths"))
 
 
 def co_changes(files: DataFrame, as_of: str, half_life_days: float = 90.0, min_support: int = 2) -> DataFrame:

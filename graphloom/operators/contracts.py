@@ -15,14 +15,16 @@ def match_routes(calls: DataFrame, routes: DataFrame, min_specific: int = 2) ->
     ``ANY`` fits every method. A route's suffix, no longer than the call, must fit it segment
     by segment, ``{}`` fitting anything. Most literal segments win, then the longest
     suffix; a tie between different routes matches nothing. At least ``min_specific`` literal
-    segments must not be generic. The last segment is an equi-join key ({} or literal),
+    segments must not be generic. A column ``within`` of ``calls``, if there is one, names the
+    only member whose routes may fit. The last segment is an equi-join key ({} or literal),
     so only routes that can fit meet a call.
     """
-    c = calls.select("call_id", F.upper("method").alias("cm"), http_path(F.col("path")).alias("cp")).withColumn("cs", segments(F.col("cp"))).where("size(cs) > 0")
+    within = F.col("within") if "within" in calls.columns else F.lit(None).cast("string")
+    c = calls.select("call_id", within.alias("within"), F.upper("method").alias("cm"), http_path(F.col("path")).alias("cp")).withColumn("cs", segments(F.col("cp"))).where("size(cs) > 0")
     r = routes.select("member", F.upper("method").alias("rm"), http_path(F.col("path")).alias("route")).distinct().withColumn("rs", segments(F.col("route"))).where("size(rs) > 0")
     c = c.withColumn("last", F.explode(F.array_distinct(F.array(F.element_at("cs", -1), F.lit("{}")))))
     r = r.withColumn("last", F.element_at("rs", -1))
-    both = c.join(r, "last").where((F.size("rs") >= F.size("cs")) & ((F.col("cm") == F.col("rm")) | (F.col("cm") == "ANY") | (F.col("rm") == "ANY")))
+    both = c.join(r, "last").where(F.col("within").isNull() | (F.col("within") == F.col("member"))).where((F.size("rs") >= F.size("cs")) & ((F.col("cm") == F.col("rm")) | (F.col("cm") == "ANY") | (F.col("rm") == "ANY")))
     tail = F.slice("rs", F.greatest(F.lit(1), F.size("rs") - F.size("cs") + 1), F.size("cs"))
     fit = F.forall(F.zip_with("cs", tail, lambda a, b: (a == b) | (a == "{}") | (b == "{}")), lambda x: x)
     both = both.withColumn("tail", tail).where(fit)

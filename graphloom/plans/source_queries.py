@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from graphloom.functions import paths as P
-from graphloom.operators import graph
+from graphloom.operators import analysis, graph, http, lookup
 from graphloom.plans.graph_queries import LN
 from graphloom.plans.iterate import ensure_checkpoint_dir
 from graphloom.plans.tables import table
 from graphloom.sources import documents, extract, files, snapshot, store
+from graphloom.sources import http as http_source
 from graphloom.streaming import ingest
 
 QUERIES: dict = {}
@@ -147,3 +148,75 @@ g AS (SELECT user_id, ts, sum(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNB
 def stream_sessions(s, d):
     got = ingest.sessions(table(s, d, "events").where("ts is not null and user_id is not null"))
     return got.select("user_id", F.col("session.start").cast("timestamp_ntz").alias("started"), "events")
+
+
+# -- HTTP surface and lookups -----------------------------------------------------------
+@query()
+def source_http_surface(s, d):
+    return http_source.http_surface(_docs(s, d, "source = 'code'")).withColumn("tokens", F.array_join("tokens", ","))
+
+
+@query()
+def source_http_routes(s, d):
+    return http.compose_routes(http_source.http_surface(_docs(s, d, "source = 'code'")))
+
+
+@query(
+    f"""WITH {LN}, t AS (SELECT repo, path, string_split_regex(max(text), '\\r?\\n') AS ls FROM documents WHERE source = 'code' AND text IS NOT NULL AND repo IS NOT NULL AND path IS NOT NULL GROUP BY repo, path),
+j AS (SELECT n.repo, n.id, n.name, n.start_line AS a, n.end_line AS b, ls FROM ln n JOIN t ON t.repo = n.repo AND t.path = n.path WHERE n.path <> ''),
+k AS (SELECT repo, id, CASE WHEN a >= 1 AND b >= a AND a <= len(ls) THEN array_to_string(ls[a:a + least(b - a + 1, 40) - 1], chr(10)) WHEN name <> '' THEN list_filter(ls, lambda x: contains(x, name))[1] END AS snippet FROM j)
+SELECT repo, id, snippet FROM k WHERE snippet IS NOT NULL"""
+)
+def join_snippets(s, d):
+    texts = _docs(s, d, "source = 'code'").groupBy("repo", "path").agg(F.max("text").alias("text"))
+    return lookup.snippets(graph.live_nodes(table(s, d, "nodes")), texts)
+
+
+@query(
+    f"""WITH {LN}, t AS (SELECT repo, path, string_split_regex(max(text), '\\r?\\n') AS ls FROM documents WHERE text IS NOT NULL AND repo IS NOT NULL AND path IS NOT NULL GROUP BY repo, path),
+l AS (SELECT DISTINCT n.repo, n.id, n.name, src_repo AS doc_repo, src_id AS doc_id FROM edges JOIN ln n ON n.repo = dst_repo AND n.id = dst_id WHERE edge_type = 'documents' AND coalesce(src_id, '') <> '' AND src_repo IS NOT NULL),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo, id ORDER BY doc_id, doc_repo) AS q FROM l) WHERE q <= 20)
+SELECT p.repo, p.id, doc_repo, doc_id, CASE WHEN len(list_filter(ls, lambda x: p.name <> '' AND contains(x, p.name))) > 0 THEN list_filter(ls, lambda x: p.name <> '' AND contains(x, p.name))[1] ELSE list_filter(ls, lambda x: trim(x) <> '')[1] END AS line
+FROM p LEFT JOIN t ON t.repo = doc_repo AND t.path = regexp_extract(doc_id, '^(?:doc|heading|file):([^#]*)', 1)"""
+)
+def join_docs_for_symbols(s, d):
+    texts = _docs(s, d, "true").groupBy("repo", "path").agg(F.max("text").alias("text"))
+    return lookup.docs_for_symbols(graph.live_edges(table(s, d, "edges")), graph.live_nodes(table(s, d, "nodes")), texts)
+
+
+@query(
+    f"""WITH {LN}, t AS (SELECT repo, id, name, regexp_extract(id, '^type:([^#]*)', 1) AS tp, count(*) OVER (PARTITION BY repo, name) AS n FROM ln WHERE kind = 'type' AND name <> ''),
+m AS (SELECT repo, id AS mid, regexp_extract(id, '#([^.(]+)\\.', 1) AS name, regexp_extract(id, '^method:([^#]*)', 1) AS mp FROM ln WHERE kind = 'method')
+SELECT repo AS seed_repo, id AS seed_id, repo, id FROM ln WHERE kind = 'type' UNION SELECT t.repo, t.id, m.repo, mid FROM t JOIN m ON m.repo = t.repo AND m.name = t.name WHERE n = 1 OR tp = mp"""
+)
+def join_type_members(s, d):
+    nodes = graph.live_nodes(table(s, d, "nodes"))
+    return lookup.with_members(nodes, nodes.where("kind = 'type'"))
+
+
+@query(
+    f"""WITH {LN}, e AS (SELECT DISTINCT src_repo, src_id, edge_type, dst_repo, dst_id FROM edges WHERE coalesce(src_id, '') <> '' AND coalesce(dst_id, '') <> '' AND src_repo IS NOT NULL AND dst_repo IS NOT NULL AND edge_type IS NOT NULL),
+o AS (SELECT src_repo AS repo, src_id AS id, count(*) AS c FROM e GROUP BY ALL), i AS (SELECT dst_repo AS repo, dst_id AS id, count(*) AS c FROM e GROUP BY ALL)
+SELECT n.repo, n.id, n.kind, CASE WHEN n.kind = 'method' AND regexp_extract(n.id, '#([^(]*)', 1) <> '' THEN regexp_extract(n.id, '#([^(]*)', 1) ELSE n.name END AS label, n.path, n.start_line, coalesce(o.c, 0) AS out_edges, coalesce(i.c, 0) AS in_edges
+FROM ln n LEFT JOIN o ON o.repo = n.repo AND o.id = n.id LEFT JOIN i ON i.repo = n.repo AND i.id = n.id"""
+)
+def scan_symbols(s, d):
+    nodes = graph.live_nodes(table(s, d, "nodes"))
+    return lookup.symbol(nodes, graph.live_edges(table(s, d, "edges")), nodes)
+
+
+@query()
+def graph_questions(s, d):
+    nodes, edges = graph.live_nodes(table(s, d, "nodes")), graph.live_edges(table(s, d, "edges"))
+    return lookup.questions(analysis.hubs(edges, nodes), analysis.strong_components(analysis.dependency_view(edges)), analysis.knowledge_gaps(edges, nodes))
+
+
+@query(
+    """WITH n AS (SELECT repo, path, max(coalesce(text, '')) AS t FROM documents WHERE repo IS NOT NULL AND path IS NOT NULL GROUP BY ALL),
+o AS (SELECT repo, path, max(coalesce(text, '')) AS t FROM documents WHERE repo IS NOT NULL AND path IS NOT NULL AND added_at < TIMESTAMP '2025-01-01' GROUP BY ALL)
+SELECT repo, count(*) FILTER (o.t IS NULL OR o.t <> n.t) AS processed, count(*) FILTER (o.t = n.t) AS skipped, 0::BIGINT AS deleted FROM n LEFT JOIN o USING (repo, path) GROUP BY repo"""
+)
+def agg_index_stats(s, d):
+    from graphloom.plans.graph_queries import source_scan_changes
+
+    return lookup.index_stats(source_scan_changes(s, d))

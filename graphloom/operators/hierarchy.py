@@ -34,6 +34,7 @@ from graphloom.plans.tables import tasks_of
 
 BLANK = " \t\r\n"
 CHUNKS = 256
+ROWS_PER_TASK = 250_000
 TREE = "trace_file string, span_id string, parent_id string, root string, depth int, pre long, descendants long, rootless boolean"
 PATHS = TREE + ", path string"
 
@@ -188,12 +189,14 @@ def forest(spans: DataFrame, paths: bool = False, max_file_rows: int = 1_000_000
     """
     ship(spans.sparkSession)
     rows = prepare(spans)
-    sizes = rows.groupBy("trace_file").count().where(F.col("count") > max_file_rows)
-    hot = [r["trace_file"] for r in sizes.collect()]
+    sizes = rows.groupBy("trace_file").count()
+    seen = sizes.agg(F.sum("count"), F.collect_list(F.when(F.col("count") > max_file_rows, F.struct("trace_file")))).first()
+    hot = [r["trace_file"] for r in seen[1]]
     is_hot = F.lit(False)
     if hot:
         is_hot = F.coalesce(F.col("trace_file").isin([h for h in hot if h is not None]), F.lit(None in hot))
-    parts = parts or tasks_of(spans.sparkSession)
+    # a task holds its share of the rows in memory: as many tasks as that takes
+    parts = parts or max(tasks_of(spans.sparkSession), -(-(seen[0] or 0) // ROWS_PER_TASK))
     light = rows.where(~is_hot).repartition(parts, "trace_file").mapInArrow(_solver(paths), PATHS if paths else TREE)
     return light.unionByName(forest_by_joins(rows.where(is_hot), paths)) if hot else light
 

@@ -29,6 +29,7 @@ from graphloom.plans.ship import ship
 from graphloom.plans.tables import tasks_of
 
 MONTH_NULL = -1
+ROWS_PER_RANGE = 250_000
 
 
 def month_number(ts: Column) -> Column:
@@ -132,10 +133,11 @@ def orphan_references(edges: DataFrame, overlay: DataFrame, nodes: DataFrame, ra
     """(source_table, edge_id, side, edge_type, period): one row per edge and side without a living target.
 
     ``period`` is the month of ``written_at`` as year * 12 + month - 1, null for a null time.
-    ``ranges`` is the number of key ranges; by default as many as there are reduce tasks.
+    ``ranges`` is the number of key ranges; by default four a reduce task, or as many as hold
+    ``ROWS_PER_RANGE`` rows each (row counts come from the files' footers).
     """
     ship(edges.sparkSession)
-    ranges = ranges or 4 * tasks_of(edges.sparkSession)
+    ranges = ranges or max(4 * tasks_of(edges.sparkSession), -(-(nodes.count() + 2 * edges.count() + 2 * overlay.count()) // ROWS_PER_RANGE))
     in_range = F.pmod(F.xxhash64("key"), F.lit(ranges)).cast("int").alias("r")
     refs = edge_references(edges, overlay).withColumn("period", month_number(F.col("written_at")))
     # distinct bits; map-side combine folds a hot key to one row per period

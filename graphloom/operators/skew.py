@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from graphloom.plans.tables import tasks_of
 
 BUCKETS = 4096
+ROWS_PER_TASK = 4_000_000  # more tasks than the session plans for, if the input needs them
 
 
 @dataclass(frozen=True)
@@ -62,9 +63,9 @@ def bucket_of(key: Column, buckets: int) -> Column:
 
 def plan_fragments(keys: DataFrame, key: str, tasks: int | None = None, buckets: int = BUCKETS) -> FragmentPlan:
     """Measure the buckets' loads and pack them. At most ``buckets`` rows reach the driver."""
-    tasks = tasks or tasks_of(keys.sparkSession)
     counted = keys.where(F.col(key).isNotNull()).groupBy(bucket_of(F.col(key), buckets).alias("b")).count()
-    return pack({r["b"]: r["count"] for r in counted.collect()}, tasks, buckets)
+    loads = {r["b"]: r["count"] for r in counted.collect()}
+    return pack(loads, tasks or max(tasks_of(keys.sparkSession), -(-sum(loads.values()) // ROWS_PER_TASK)), buckets)
 
 
 def _placement(df: DataFrame, plan: FragmentPlan) -> DataFrame:
@@ -113,13 +114,14 @@ def count_distinct_per_key(df: DataFrame, key: str, units: list[str], plan: Frag
 def endpoints(edges: DataFrame) -> DataFrame:
     """One row (id, side, edge_id) per non-empty endpoint of each edge row."""
     both = F.array(F.struct(F.col("src_id").alias("id"), F.lit(0).alias("side")), F.struct(F.col("dst_id").alias("id"), F.lit(1).alias("side")))
-    return edges.select("edge_id", F.inline(both)).where("id is not null and id <> ''")
+    return edges.where("edge_id is not null").select("edge_id", F.inline(both)).where("id is not null and id <> ''")
 
 
 def degrees(edges: DataFrame, tasks: int | None = None) -> DataFrame:
     """Degree of every id over all members: distinct edges out plus distinct edges in.
 
-    Null and empty ids are no ids. Repeated deliveries of an edge count once.
+    Null and empty ids are no ids, a row without edge_id is no edge. Repeated deliveries of
+    an edge count once.
     """
     ends = endpoints(edges)
     return count_distinct_per_key(ends, "id", ["edge_id", "side"], plan_fragments(ends, "id", tasks), "degree")

@@ -39,7 +39,7 @@ def test_hot_ids(spark):
 
 def test_empty_and_null(spark):
     assert skew.degrees(spark.createDataFrame([], EDGE)).count() == 0
-    assert skew.degrees(spark.createDataFrame([(1, None, "", "x")], EDGE)).count() == 0
+    assert skew.degrees(spark.createDataFrame([(1, None, "", "x"), (None, "a", "b", "x")], EDGE)).count() == 0
 
 
 def test_plan_is_balanced():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from graphloom.functions.paths import id_path, language
 from graphloom.plans.iterate import cut
@@ -89,10 +89,14 @@ def pagerank(view: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFr
     if n == 0:
         return nodes.select(F.col("x.a_repo").alias("repo"), F.col("x.a").alias("id"), F.lit(0.0).alias("rank"))
     ranks = nodes.withColumn("rank", F.lit(1.0 / n))
+    loose = nodes.where("loose").count() / n
     for _ in range(rounds):
-        loose = ranks.where("loose").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
+        # the next round's dangling mass is observed while this round is written
+        mass = Observation()
         sent = links.join(ranks.select("x", "rank"), "x").groupBy(F.col("y").alias("x")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        ranks = cut(nodes.join(sent, "x", "left").select("x", "loose", (F.lit((1 - damping) / n + damping * loose / n) + damping * F.coalesce("got", F.lit(0.0))).alias("rank")))
+        step = nodes.join(sent, "x", "left").select("x", "loose", (F.lit((1 - damping) / n + damping * loose / n) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
+        ranks = cut(step.observe(mass, F.sum(F.when(F.col("loose"), F.col("rank"))).alias("loose")))
+        loose = mass.get["loose"] or 0.0
     return ranks.select(F.col("x.a_repo").alias("repo"), F.col("x.a").alias("id"), "rank")
 
 

@@ -70,3 +70,21 @@ def build_uri(repo: Column, path: Column, kind: Column, symbol: Column) -> Colum
     escaped = F.array_join(F.transform(F.split(path, "/"), lambda s: F.regexp_replace(F.url_encode(s), r"\+", "%20")), "/")
     tail = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(symbol, "%", "%25"), "#", "%23"), r"\?", "%3F"), " ", "%20")
     return F.concat(F.lit("repo://"), repo, F.lit("/"), escaped, F.lit("#"), kind, F.when(tail.isNotNull() & (tail != ""), F.concat(F.lit(":"), tail)).otherwise(""))
+
+
+def relative_id(node_id: Column, root: str) -> Column:
+    """An id with absolute paths below ``root`` made relative."""
+    return F.replace(node_id, F.lit(root.rstrip("/") + "/"), F.lit(""))
+
+
+#: Node kind to the kind token of its URI.
+TOKENS = {"function": "func"}
+
+
+def assigned_uri(repo: Column, node_id: Column, kind: Column) -> Column:
+    """The canonical URI of a node from its local id; placeholders live under the path ``symbols``."""
+    token = F.coalesce(F.element_at(_map(TOKENS), kind), kind)
+    path = F.coalesce(id_path(node_id), F.lit("symbols"))
+    symbol = F.when(kind == "file", F.lit(None)).when(kind == "symbol", F.regexp_extract(node_id, "^symbol:(.*)$", 1)).otherwise(F.nullif(F.regexp_extract(node_id, "#(.*)$", 1), F.lit("")))
+    symbol = F.when(kind == "module", F.coalesce(symbol, F.regexp_extract(path, "[^/]*$", 0))).otherwise(symbol)
+    return build_uri(repo, path, token, symbol)

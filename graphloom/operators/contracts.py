@@ -104,3 +104,8 @@ def service_consumers(services: DataFrame, member: str, depth: int = 1) -> DataF
         level = step.join(out, "repo", "left_anti").where(F.col("repo") != member).groupBy("repo").agg(F.min("via").alias("via")).select("repo", F.lit(d).alias("depth"), "via")
         out = out.unionByName(level)
     return out
+
+
+def service_nodes(members: DataFrame) -> DataFrame:
+    """One stand-in node per member that declares base variables; ``members`` (member, base_env)."""
+    return members.where(F.size("base_env") > 0).select(F.col("member").alias("repo"), F.concat(F.lit("service:"), "member").alias("id"), F.lit("service").alias("kind"), F.col("member").alias("name"))

@@ -111,3 +111,10 @@ def references_to(edges: DataFrame, nodes: DataFrame, names: DataFrame) -> DataF
     lost = unique.join(direct, "name", "left_anti")
     symbol = calls.withColumn("name", F.regexp_extract("id", "^symbol:(.*)$", 1)).where("name <> ''")
     return direct.unionByName(symbol.join(lost.select("name"), "name").select("name", "from_repo", "from_id")).distinct()
+
+
+def with_uris(nodes: DataFrame) -> DataFrame:
+    """Live nodes, those without a URI given the canonical one (rows stored before URIs existed)."""
+    from graphloom.functions.paths import assigned_uri
+
+    return nodes.withColumn("uri", F.when(F.col("uri") != "", F.col("uri")).otherwise(assigned_uri(F.col("repo"), F.col("id"), F.col("kind"))))

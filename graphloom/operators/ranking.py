@@ -49,24 +49,32 @@ def adjacency(edges: DataFrame, weights: dict[str, float] | None = None) -> Data
     return both.groupBy("from_repo", "from_id", "to_repo", "to_id").agg(F.max(F.struct("w", "reason")).alias("b")).select("from_repo", "from_id", "to_repo", "to_id", "b.*")
 
 
-def neighborhood(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, depth: int = 2, max_nodes: int = 32, weights: dict[str, float] | None = None) -> DataFrame:
+def neighborhood(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, depth: int = 2, max_nodes: int = 32, weights: dict[str, float] | None = None, explain: bool = False) -> DataFrame:
     """(seed_repo, seed_id, repo, id, kind, name, score, depth, reason, position) for every seed (repo, id).
 
     ``edges`` as ``live_edges``; nodes that are not live are left out of the result, but walks
     may pass them. At most ``max_nodes`` rows per seed, best score first, then depth, real
-    nodes before symbols and imports, id, repo.
+    nodes before symbols and imports, id, repo. With ``explain`` a column ``walk`` lists
+    (family, edge_type, dir, weight) of each hop of the winning walk.
     """
     near = adjacency(edges, weights)
-    key = ["seed_repo", "seed_id", "repo", "id"]
+    if explain:
+        kind = F.substring_index("reason", ":", -1)
+        fam = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in FAMILY.items() for x in kv]), kind), F.lit("static"))
+        near = near.withColumn("hop", F.struct(fam.alias("family"), kind.alias("edge_type"), F.substring_index("reason", ":", 1).alias("dir"), F.col("w").alias("weight")))
+    key, more = ["seed_repo", "seed_id", "repo", "id"], (["walk"] if explain else [])
     level = seeds.select(F.col("repo").alias("seed_repo"), F.col("id").alias("seed_id"), "repo", "id", F.lit(1.0).alias("score"), F.lit("seed").alias("reason")).distinct()
+    if explain:
+        level = level.withColumn("walk", F.array().cast("array<struct<family:string,edge_type:string,dir:string,weight:double>>"))
     reached = level.withColumn("depth", F.lit(0))
     for d in range(1, depth + 1):
         step = level.drop("reason").join(near, (F.col("repo") == F.col("from_repo")) & (F.col("id") == F.col("from_id")))
-        step = step.select("seed_repo", "seed_id", F.col("to_repo").alias("repo"), F.col("to_id").alias("id"), (F.col("score") * F.col("w")).alias("score"), "reason")
-        level = step.groupBy(*key).agg(F.max(F.struct("score", "reason")).alias("b")).select(*key, "b.*")
+        walk = [F.concat("walk", F.array("hop")).alias("walk")] if explain else []
+        step = step.select("seed_repo", "seed_id", F.col("to_repo").alias("repo"), F.col("to_id").alias("id"), (F.col("score") * F.col("w")).alias("score"), "reason", *walk)
+        level = step.groupBy(*key).agg(F.max(F.struct("score", "reason", *more)).alias("b")).select(*key, "b.*")
         reached = reached.unionByName(level.withColumn("depth", F.lit(d)))
-    best = reached.groupBy(*key).agg(F.max(F.struct("score", (-F.col("depth")).alias("nd"), "reason")).alias("b"))
-    hits = best.select(*key, "b.score", (-F.col("b.nd")).alias("depth"), "b.reason").join(nodes.select("repo", "id", "kind", "name"), ["repo", "id"])
+    best = reached.groupBy(*key).agg(F.max(F.struct("score", (-F.col("depth")).alias("nd"), "reason", *more)).alias("b"))
+    hits = best.select(*key, "b.score", (-F.col("b.nd")).alias("depth"), "b.reason", *[F.col(f"b.{m}") for m in more]).join(nodes.select("repo", "id", "kind", "name"), ["repo", "id"])
     order = Window.partitionBy("seed_repo", "seed_id").orderBy(F.desc("score"), "depth", F.col("kind").isin("symbol", "import"), "id", "repo")
     return hits.withColumn("position", F.row_number().over(order)).where(F.col("position") <= max_nodes)
 

@@ -129,6 +129,58 @@ for _languages in PATTERNS:
     register(*_languages.split())(by_patterns(_languages))
 
 
+def doc_comment(lines: list[str], at: int) -> str:
+    """The comment directly above line ``at`` (counted from 1), without markers; decorators between are skipped."""
+    i, out = at - 2, []
+    while i >= 0 and re.match(r"\s*[@\[]", lines[i]) and not lines[i].strip().startswith("*"):
+        i -= 1
+    if i >= 0 and lines[i].strip().endswith("*/"):
+        while i >= 0:
+            out.append(lines[i])
+            if lines[i].lstrip().startswith("/*"):
+                break
+            i -= 1
+    else:
+        while i >= 0 and re.match(r"\s*(//|#(?!\s*(include|define|if|pragma)\b))", lines[i]):
+            out.append(lines[i])
+            i -= 1
+    clean = (re.sub(r"^\s*(/\*+!?|\*+/|\*|//+[/!]?|#+)\s?|\s*\*+/\s*$", "", x).strip() for x in reversed(out))
+    return "\n".join(x for x in clean if x and not x.startswith("MARK:"))
+
+
+def doc_comments(path: str, text: str) -> dict[str, str]:
+    """Documentation of each declaration of a file: docstrings in Python, comments above elsewhere."""
+    nodes, _ = extract(path, text)
+    lines = text.split("\n")
+    out = {n[0]: doc_comment(lines, n[3]) for n in nodes if n[1] in ("function", "method", "type")}
+    if path.endswith(".py"):
+        try:
+            for n in ast.walk(ast.parse(text)):
+                if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef) and (d := ast.get_docstring(n)):
+                    out |= {k[0]: d for k in nodes if k[3] == n.lineno and k[2] == n.name}
+        except (SyntaxError, ValueError):
+            pass
+    return {k: v for k, v in out.items() if v}
+
+
+def param_signature(params: str) -> str:
+    """Normalised parameter types of a JVM or C# parameter list: ``(int,List<String>,String...)``."""
+    parts, level, at = [], 0, 0
+    for i, c in enumerate(params + ","):
+        level += (c in "<([") - (c in ">)]")
+        if c == "," and level == 0:
+            parts.append(params[at:i])
+            at = i + 1
+    types = []
+    for p in parts:
+        p = re.sub(r"@\w+(\([^)]*\))?|\b(final|ref|out|in|this|params|vararg|val|var|crossinline|noinline)\b", " ", p.split("=")[0]).strip()
+        if not p:
+            continue
+        kind = p.split(":", 1)[1] if re.match(r"^\w+\s*:", p) else re.sub(r"\s*\b\w+\s*((?:\[\])*)$", r"\1", p)
+        types.append(re.sub(r"\s+", "", kind))
+    return f"({','.join(types)})"
+
+
 def extract(path: str, text: str) -> Result:
     """Nodes and edges of one file, sorted and without repeats; an unknown extension has none."""
     f = REGISTRY.get(path.rsplit(".", 1)[-1].lower()) if "." in path else None

@@ -135,3 +135,20 @@ def test_scan_changes(spark):
     old = spark.createDataFrame([("r", "a", "1"), ("r", "b", "1"), ("r", "c", "1")], "repo string, path string, sha256 string")
     new = spark.createDataFrame([("r", "a", "1"), ("r", "b", "2"), ("r", "d", "1")], "repo string, path string, sha256 string")
     assert {(r["path"], r["action"]) for r in resolution.scan_changes(old, new).collect()} == {("a", "skip"), ("b", "replace"), ("c", "delete"), ("d", "add")}
+
+
+def test_explained_walk(spark):
+    e = edges(spark, [("func:a#f", "calls", "func:b#g"), ("func:b#g", "co_committed", "func:c#h")])
+    n = nodes(spark, [("r", i, "function", i, "p") for i in ("func:a#f", "func:b#g", "func:c#h")])
+    hits = {h["id"]: h for h in ranking.neighborhood(e, n, n.where("id = 'func:a#f'"), explain=True).collect()}
+    assert [(x["family"], x["edge_type"], x["dir"], x["weight"]) for x in hits["func:c#h"]["walk"]] == [("static", "calls", "out", 0.8), ("git", "co_committed", "out", 0.7)]
+    assert hits["func:a#f"]["walk"] == []
+
+
+def test_uris_and_services(spark):
+    n = nodes(spark, [("r", "func:a/b c.go#f", "function", "f", "a"), ("r", "file:a.go", "file", "a", "a"), ("r", "module:a.go", "module", "a", "a"), ("r", "symbol:x.y", "symbol", "x.y", ""), ("r", "operation:GET /a/{}", "operation", "o", "")])
+    got = {r["id"]: r["uri"] for r in graph.with_uris(n).collect()}
+    assert got["func:a/b c.go#f"] == "repo://r/a/b%20c.go#func:f" and got["file:a.go"] == "repo://r/a.go#file" and got["module:a.go"] == "repo://r/a.go#module:a.go" and got["symbol:x.y"] == "repo://r/symbols#symbol:x.y"
+    m = spark.createDataFrame([("a", ["X"]), ("b", [])], "member string, base_env array<string>")
+    assert [r["id"] for r in contracts.service_nodes(m).collect()] == ["service:a"]
+    assert spark.range(1).select(P.relative_id(F.lit("func:/x/y/a.go#f"), "/x/y")).first()[0] == "func:a.go#f"

@@ -184,3 +184,11 @@ def test_workspace_and_git(spark, tmp_path):
     (tmp_path / "bad.yaml").write_text("version: 1\nrepos:\n  - {name: m, path: nowhere}\n")
     with pytest.raises(ValueError):
         workspace.load_workspace(str(tmp_path / "bad.yaml"))
+
+
+def test_doc_comments_and_signatures():
+    assert extract.doc_comments("a.go", "package a\n\n// Run runs.\n// Twice.\nfunc Run() {}\n\nfunc Bare() {}\n") == {"func:a.go#Run": "Run runs.\nTwice."}
+    assert extract.doc_comments("A.java", "/**\n * Gets it.\n */\n@Override\npublic int get(int x) {\n}\n") == {"func:A.java#get": "Gets it."}
+    assert extract.doc_comments("a.py", "# above\ndef f():\n    '''inside'''\n") == {"func:a.py#f": "inside"}
+    assert extract.param_signature("final int a, Map<String, List<X>> b, @A(\"x\") String... c") == "(int,Map<String,List<X>>,String...)"
+    assert extract.param_signature("a: Int = 3, vararg b: List<String>") == "(Int,List<String>)" and extract.param_signature("") == "()"

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from graphloom.functions.paths import http_path
+from graphloom.functions.text import verb_hint
 from graphloom.operators.contracts import common_prefixes, env_owners, env_reads, match_routes
 from graphloom.plans.iterate import cut
 
 MOUNT_LEVELS = 4
+WRAPPER_ROUNDS = 5
 
 
 def compose_routes(surface: DataFrame) -> DataFrame:
@@ -33,6 +35,29 @@ def compose_routes(surface: DataFrame) -> DataFrame:
     return out.select("repo", "path", "method", http_path(F.col("route")).alias("route"), "handler", "mounted").distinct()
 
 
+def expand_wrappers(surface: DataFrame, rounds: int = WRAPPER_ROUNDS) -> DataFrame:
+    """``surface`` with a client row for each call of a wrapper, wrappers of wrappers included.
+
+    Wrappers are known by name and position within a member; a name with two definitions is
+    left alone. The method is the wrapper's, or a guess from its name.
+    """
+    all_ = surface.where("kind = 'wrapper'").select("repo", F.col("name").alias("fn"), "method", F.col("value").alias("prefix"), "tokens", "target").distinct()
+    single = all_.groupBy("repo", "fn").agg(F.count("*").alias("n")).where("n = 1").drop("n")
+    all_ = cut(all_.join(single, ["repo", "fn"], "left_semi"))
+    known = all_.where("target = ''").drop("target")
+    for _ in range(rounds):
+        up = all_.where("target <> ''").select("repo", "fn", F.col("prefix").alias("own"), F.col("target").alias("callee")).join(known.select("repo", F.col("fn").alias("callee"), "method", "prefix", "tokens"), ["repo", "callee"])
+        new = cut(up.select("repo", "fn", "method", F.concat("prefix", "own").alias("prefix"), "tokens").join(known, ["repo", "fn"], "left_anti"))
+        if new.isEmpty():
+            break
+        known = known.unionByName(new)
+    calls = surface.where("kind = 'wcall'").select("repo", "path", "name", F.col("target").alias("fn"), "value", "line")
+    hit = calls.join(known, ["repo", "fn"])
+    method = F.when(F.col("method") != "", F.col("method")).otherwise(verb_hint(F.substring_index("fn", "/", 1)))
+    clients = hit.select("repo", "path", F.lit("client").alias("kind"), "name", method.alias("method"), F.concat("prefix", "value").alias("value"), "tokens", F.lit("").alias("target"), "line")
+    return surface.unionByName(clients.select(*surface.columns))
+
+
 def bind_http(surface: DataFrame, routes: DataFrame, members: DataFrame) -> DataFrame:
     """(repo, path, owner, line, method, call, member, route, how): client calls bound to one member's route.
 

@@ -4,7 +4,9 @@ Strings are evaluated symbolically: an expression becomes pieces, literal text o
 dynamic part with the names it mentions. A client's URL splits into base tokens (names in
 the dynamic parts before the first path) and a path, dynamic parts inside it written
 ``{}``. Python is read from its syntax tree, JavaScript and TypeScript by a small scanner of calls.
-Constants of the same file are looked up, at most ``DEPTH`` deep.
+Constants of the same file are looked up, at most ``DEPTH`` deep. A function that passes
+a parameter on as (part of) a URL is a wrapper; calls with a path argument are kept, so
+that wrappers can be expanded where they are called (``operators.http.expand_wrappers``).
 """
 
 from __future__ import annotations
@@ -91,11 +93,11 @@ def python_surface(text: str) -> list[Row]:
             prefix = kwarg(value, "prefix", "url_prefix")
             rows.append(("router", name, "", url_of(py_value(prefix, known))[1] if prefix else "", [], "app" if _dotted(value.func)[-1] in ("FastAPI", "Flask") else "", value.lineno))
 
-    def visit(node: ast.AST, owner: str) -> None:
+    def visit(node: ast.AST, owner: str, params: tuple[str, ...] = ()) -> None:
         for child in ast.iter_child_nodes(node):
-            inner = owner
+            inner, within = owner, params
             if isinstance(child, ast.FunctionDef | ast.AsyncFunctionDef):
-                inner = child.name
+                inner, within = child.name, tuple(a.arg for a in child.args.args if a.arg not in ("self", "cls"))
                 for d in child.decorator_list:
                     if isinstance(d, ast.Call) and isinstance(d.func, ast.Attribute) and (d.func.attr in VERBS or d.func.attr == "route") and d.args:
                         given = kwarg(d, "methods")
@@ -108,23 +110,53 @@ def python_surface(text: str) -> list[Row]:
                     prefix = kwarg(child, "prefix", "url_prefix")
                     rows.append(("mount", ".".join(left), "", url_of(py_value(prefix, known))[1] if prefix else "", [], ".".join(_dotted(child.args[0])), child.lineno))
                 elif verb in VERBS and left[-1].lower().lstrip("_") in CLIENTS and child.args:
-                    tokens, path = url_of(py_value(child.args[0], known))
-                    if path or tokens:
+                    pieces = py_value(child.args[0], known)
+                    tokens, path = url_of(pieces)
+                    if wrapped := wrapper_of(pieces, params, owner):
+                        rows.append(("wrapper", wrapped[0], verb.upper(), wrapped[2], wrapped[1], "", child.lineno))
+                    elif path or tokens:
                         rows.append(("client", owner, verb.upper(), path, tokens, "", child.lineno))
                 elif (left[-1:] == ["environ"] and verb == "get" or verb == "getenv") and child.args and isinstance(child.args[0], ast.Constant):
                     rows.append(("env", owner, "", str(child.args[0].value), [], "", child.lineno))
             elif isinstance(child, ast.Subscript) and _dotted(child.value)[-1] == "environ" and isinstance(child.slice, ast.Constant):
                 rows.append(("env", owner, "", str(child.slice.value), [], "", child.lineno))
-            visit(child, inner)
+            if isinstance(child, ast.Call) and not (isinstance(child.func, ast.Attribute) and child.func.attr in (*VERBS, "include_router", "register_blueprint")):
+                rows.extend(wrapper_calls(_dotted(child.func)[-1], [py_value(a, known) for a in child.args], params, owner, child.lineno))
+            visit(child, inner, within)
 
     visit(tree, "")
     return rows
 
 
+# -- wrappers ---------------------------------------------------------------------------
+def wrapper_of(pieces: list[Piece], params: tuple[str, ...], owner: str) -> tuple[str, list[str], str] | None:
+    """(``owner/position``, tokens, path before the parameter) if the URL ends with a parameter of the function."""
+    if not owner or not pieces or pieces[-1][0] is not None or len(pieces[-1][1]) != 1 or pieces[-1][1][0] not in params:
+        return None
+    tokens, path = url_of(pieces[:-1])
+    if path and len(pieces) > 1 and path.endswith("/") and pieces[-2][0] is not None:
+        return None  # one segment is passed, not a path
+    return f"{owner}/{params.index(pieces[-1][1][0])}", tokens, path
+
+
+def wrapper_calls(callee: str, arguments: list[list[Piece]], params: tuple[str, ...], owner: str, line: int) -> Iterator[Row]:
+    """Arguments that look like paths, and parameters passed on, of a call that may be to a wrapper."""
+    for k, pieces in enumerate(arguments):
+        literal = pieces[0][0] if pieces else None
+        if literal and literal.startswith("/"):
+            if wrapped := wrapper_of(pieces, params, owner):
+                yield "wrapper", wrapped[0], "", wrapped[2], [], f"{callee}/{k}", line
+            else:
+                yield "wcall", owner, "", url_of(pieces)[1], [], f"{callee}/{k}", line
+        elif wrapped := wrapper_of(pieces, params, owner):
+            if len(pieces) == 1:
+                yield "wrapper", wrapped[0], "", "", [], f"{callee}/{k}", line
+
+
 # -- JavaScript and TypeScript ----------------------------------------------------------
 JS_CALL = re.compile(r"([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)\s*(?:<[^<>()]*>)?\(")
 JS_CONST = re.compile(r"(?m)^\s*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=\n]+)?=\s*([^\n;]+)")
-JS_FUNC = re.compile(r"(?m)^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function\s*\*?\s*([A-Za-z_$][\w$]*)|const\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?\()")
+JS_FUNC = re.compile(r"(?m)^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function\s*\*?\s*([A-Za-z_$][\w$]*)\s*(?:<[^<>()]*>)?\(([^()]*)\)|const\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?\(([^()]*)\))")
 JS_ENV = re.compile(r"(?:process\.env|import\.meta\.env)(?:\.([A-Za-z_]\w*)|\[\s*[\"'](\w+)[\"']\s*\])")
 JS_NAME = re.compile(r"[A-Za-z_$][\w$]*")
 
@@ -184,8 +216,11 @@ def js_value(expr: str, known: dict[str, str], depth: int = DEPTH) -> list[Piece
 
 def js_surface(text: str) -> list[Row]:
     known = {m[1]: m[2] for m in JS_CONST.finditer(text)}
-    owners = [(m.start(), m[1] or m[2]) for m in JS_FUNC.finditer(text)]
-    owner_at = lambda i: next((n for s, n in reversed(owners) if s <= i), "")
+    first_name = lambda p: (JS_NAME.findall(p) or [""])[0]
+    owners = [(m.start(), m[1] or m[3], tuple(map(first_name, (m[2] or m[4] or "").split(",")))) for m in JS_FUNC.finditer(text)]
+    place = lambda i: next(((n, p) for s, n, p in reversed(owners) if s <= i), ("", ()))
+    owner_at = lambda i: place(i)[0]
+    declared = {m.end(1) for m in JS_FUNC.finditer(text) if m[1]}
     line_at = lambda i: text.count("\n", 0, i) + 1
     rows: list[Row] = []
     for name, value in known.items():
@@ -206,11 +241,18 @@ def js_surface(text: str) -> list[Row]:
             if JS_NAME.fullmatch(args[-1]):
                 rows.append(("mount", left[-1], "", prefix, [], args[-1], line_at(m.start())))
         elif chain == ["fetch"] or (left and left[-1].lower() in CLIENTS and verb in VERBS):
-            tokens, path = url_of(js_value(args[0], known))
+            pieces = js_value(args[0], known)
+            tokens, path = url_of(pieces)
+            owner, params = place(m.start())
             given = re.search(r"method\s*:\s*[\"'](\w+)[\"']", args[1]) if len(args) > 1 else None
             method = verb.upper() if verb in VERBS else (given[1].upper() if given else "GET")
-            if path or tokens:
-                rows.append(("client", owner_at(m.start()), method, path, tokens, "", line_at(m.start())))
+            if wrapped := wrapper_of(pieces, params, owner):
+                rows.append(("wrapper", wrapped[0], method if given or verb in VERBS else "", wrapped[2], wrapped[1], "", line_at(m.start())))
+            elif path or tokens:
+                rows.append(("client", owner, method, path, tokens, "", line_at(m.start())))
+        elif m.end(1) not in declared and not (left and verb in VERBS):
+            owner, params = place(m.start())
+            rows.extend(wrapper_calls(verb, [js_value(a, known) for a in args], params, owner, line_at(m.start())))
     for m in JS_ENV.finditer(text):
         rows.append(("env", owner_at(m.start()), "", m[1] or m[2], [], "", line_at(m.start())))
     return rows
@@ -241,10 +283,12 @@ def surface(path: str, text: str) -> list[Row]:
 
 
 def http_surface(docs: DataFrame) -> DataFrame:
-    """``OUT`` of source files (repo, path, text): rows of kind router, route, mount, client and env.
+    """``OUT`` of source files (repo, path, text): rows of kind router, route, mount, client, env, wrapper and wcall.
 
     route: name = router, target = handler. mount: name = outer router, value = prefix,
     target = inner router. client: name = calling function, tokens = base names. env: value = variable.
+    wrapper: name = function/position, value = path before the parameter, target = the wrapper it
+    calls. wcall: target = function/position called, value = path.
     """
     ship(docs.sparkSession)
 

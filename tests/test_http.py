@@ -73,3 +73,34 @@ def test_bind(spark):
     assert H.http_stats(surface, routes, bound).first().asDict() == {"routes": 6, "clients": 4, "declared": 2, "inferred": 1, "unmatched": 1}
     assert {tuple(r) for r in H.service_env_reads(surface, members).collect()} == {("web", "w.ts", "api"), ("worker", "k.py", "scores")}
     assert {(r["member"], r["prefix"]) for r in H.route_prefixes(routes).where(F.col("member") == "api").collect()} >= {("api", "/api"), ("api", "/api/v1")}
+
+
+WRAPPED = """
+const BASE = process.env.API_URL;
+async function apiGet(path, opts) {
+  return fetch(`${BASE}/api/v1${path}`);
+}
+const userGet = (p) => apiGet('/users' + p);
+export function show(id) {
+  return userGet(`/${id}`);
+}
+export function list() { return apiGet('/users'); }
+"""
+PY_WRAPPED = """
+import os, requests
+BASE = os.environ["SCORES_URL"]
+def get_json(path):
+    return requests.get(BASE + path).json()
+def top(n):
+    return get_json(f"/scores/top/{n}")
+def one(n):
+    return requests.get(f"{BASE}/scores/{n}")
+"""
+
+
+def test_wrappers(spark):
+    docs = [("web", "w.ts", WRAPPED), ("worker", "k.py", PY_WRAPPED)]
+    surface = S.http_surface(spark.createDataFrame(docs, "repo string, path string, text string"))
+    got = {(r["repo"], r["name"], r["method"], r["value"], "|".join(r["tokens"])) for r in H.expand_wrappers(surface).where("kind = 'client'").collect()}
+    assert {x[:4] for x in got} == {("web", "show", "GET", "/api/v1/users/{}"), ("web", "list", "GET", "/api/v1/users"), ("worker", "top", "GET", "/scores/top/{}"), ("worker", "one", "GET", "/scores/{}")}
+    assert all("URL" in x[4] for x in got)

@@ -11,6 +11,7 @@ LANGUAGES = {
     "proto": "proto", "graphql": "graphql", "yaml": "yaml", "yml": "yaml", "json": "json", "md": "markdown",
 }
 FAMILIES = {"javascript": "web", "typescript": "web", "java": "jvm", "kotlin": "jvm", "c": "c", "cpp": "c"}
+#: Path segments that tell nothing about a service.
 GENERIC = ("api", "health", "healthz", "docs", "status", "openapi.json", "metrics", "ready", "live")
 
 

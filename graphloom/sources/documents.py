@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -53,17 +54,75 @@ def graphql_fields(docs: DataFrame) -> DataFrame:
     return fields.distinct().withColumn("role", F.when(F.col("type_name").isin("Query", "Mutation", "Subscription"), "operation").otherwise("field"))
 
 
+PROTO = "array<struct<kind:string,owner:string,name:string,type:string,number:bigint>>"
+PROTO_TOKEN = re.compile(r"""//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|[\w.]+|[{}()<>\[\];=,]""", re.S)
+
+
+def read_proto(text: str | None) -> list[tuple[str, str, str, str, int | None]]:
+    """(kind, owner, name, type, number) of a proto text: messages (nested ones as ``A.B``), enums, services, fields and rpcs.
+
+    An rpc's type is its call path. Broken or cut texts give what was read.
+    """
+    words = [t for t in PROTO_TOKEN.findall(text or "") if not t.startswith(("//", "/*"))]
+    out: list[tuple[str, str, str, str, int | None]] = []
+    package, scopes, i = "", [], 0  # scopes: (kind, name) of the open braces
+    at = lambda k: words[k] if k < len(words) else ""
+    while i < len(words):
+        w = words[i]
+        owner = ".".join(n for k, n in scopes if k in ("message", "service"))
+        inside = scopes[-1][0] if scopes else ""
+        if w == "package" and not scopes:
+            package, i = at(i + 1), i + 3
+        elif w in ("message", "enum", "service") and at(i + 2) == "{" and inside in ("", "message"):
+            name = ".".join(x for x in (owner, at(i + 1)) if x)
+            out.append((w, owner, name, "", None))
+            scopes.append((w, at(i + 1)))
+            i += 3
+        elif w == "oneof" and at(i + 2) == "{":
+            scopes.append(("oneof", ""))
+            i += 3
+        elif w == "rpc" and inside == "service":
+            full = ".".join(x for x in (package, owner) if x)
+            out.append(("rpc", owner, at(i + 1), f"/{full}/{at(i + 1)}", None))
+            while i < len(words) and words[i] not in (";", "{"):
+                i += 1
+            if at(i) == "{":
+                scopes.append(("options", ""))
+            i += 1
+        elif w == "{":
+            scopes.append(("options", ""))
+            i += 1
+        elif w == "}":
+            scopes[-1:] = []
+            i += 1
+        elif inside in ("message", "oneof") and w not in ("option", "reserved", "extensions", "extend"):
+            end = i
+            while end < len(words) and words[end] not in (";", "{", "}"):
+                end += 1
+            line = words[i:end]
+            if "=" in line and (k := line.index("=")) >= 2 and k + 1 < len(line) and line[k + 1].isdigit():
+                kind = "".join(x if x in "<>," else f" {x}" for x in line[: k - 1]).strip().replace("< ", "<").replace(", ", ",")
+                out.append(("field", owner, line[k - 1], kind, int(line[k + 1])))
+            i = end + (at(end) == ";")
+            if i == end and at(end) not in ("{", "}"):
+                i += 1
+        else:
+            while i < len(words) and words[i] not in (";", "{", "}"):
+                i += 1
+            if at(i) == ";":
+                i += 1
+    return out
+
+
 def proto_items(docs: DataFrame) -> DataFrame:
-    """(repo, path, kind, owner, name, type, number): rpcs and message fields of proto texts (flat messages)."""
-    bare = F.regexp_replace(F.regexp_replace("text", "//[^\n]*", ""), r"(?s)/\*.*?\*/", "")
-    rows = docs.select("repo", "path", F.regexp_extract(bare, r"(?m)^\s*package\s+([\w.]+)\s*;", 1).alias("pkg"), F.explode(F.regexp_extract_all(bare, F.lit(r"((?:message|service)\s+\w+\s*\{(?:[^{}]|\{[^{}]*\})*\})"), F.lit(1))).alias("b"))
-    rows = rows.select("repo", "path", "pkg", F.regexp_extract("b", r"^(message|service)", 1).alias("block"), F.regexp_extract("b", r"^\w+\s+(\w+)", 1).alias("owner"), "b")
-    fields = rows.where("block = 'message'").select("repo", "path", "owner", F.explode(F.regexp_extract_all("b", F.lit(r"([\w.<>, ]+\s+\w+\s*=\s*\d+)\s*[;\[]"), F.lit(1))).alias("f"))
-    fields = fields.select("repo", "path", F.lit("field").alias("kind"), "owner", F.regexp_extract("f", r"(\w+)\s*=", 1).alias("name"), F.trim(F.regexp_extract("f", r"^\s*(.*?)\s+\w+\s*=", 1)).alias("type"), F.regexp_extract("f", r"=\s*(\d+)", 1).cast("long").alias("number"))
-    rpcs = rows.where("block = 'service'").select("repo", "path", "pkg", "owner", F.explode(F.regexp_extract_all("b", F.lit(r"rpc\s+(\w+)"), F.lit(1))).alias("name"))
-    full = F.concat(F.lit("/"), F.when(F.col("pkg") != "", F.concat("pkg", F.lit("."))).otherwise(""), "owner", F.lit("/"), "name")
-    rpcs = rpcs.select("repo", "path", F.lit("rpc").alias("kind"), "owner", "name", full.alias("type"), F.lit(None).cast("long").alias("number"))
-    return fields.unionByName(rpcs)
+    """(repo, path, kind, owner, name, type, number) of proto texts (repo, path, text), see ``read_proto``."""
+    ship(docs.sparkSession)
+
+    @F.pandas_udf(PROTO)
+    def parse(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [dict(zip(("kind", "owner", "name", "type", "number"), x, strict=True)) for x in read_proto(t)])
+
+    return docs.select("repo", "path", F.inline(parse("text")))
 
 
 METHODS = ("get", "put", "post", "delete", "options", "head", "patch", "trace")
@@ -82,6 +141,28 @@ def read_openapi(text: str | None) -> list[tuple[str, str, str | None]]:
         return []
 
 
+def read_schemas(text: str | None) -> list[str]:
+    """Names under components.schemas of an OpenAPI 3 text."""
+    import yaml
+
+    try:
+        doc = json.loads(text) if (text or "").lstrip().startswith("{") else yaml.load(text or "", getattr(yaml, "CSafeLoader", yaml.SafeLoader))
+        return [str(x) for x in doc["components"]["schemas"]] if str(doc["openapi"]).startswith("3.") else []
+    except Exception:  # noqa: BLE001 - any text may come in
+        return []
+
+
+def openapi_schemas(docs: DataFrame) -> DataFrame:
+    """(repo, path, schema) of OpenAPI documents (repo, path, text)."""
+    ship(docs.sparkSession)
+
+    @F.pandas_udf("array<string>")
+    def parse(texts: pd.Series) -> pd.Series:
+        return texts.map(read_schemas)
+
+    return docs.select("repo", "path", F.explode(parse("text")).alias("schema"))
+
+
 def openapi_operations(docs: DataFrame) -> DataFrame:
     """(repo, path, op_path, method, operation_id) of OpenAPI documents (repo, path, text)."""
     ship(docs.sparkSession)

@@ -55,9 +55,28 @@ def test_contracts(spark):
     sdl = '"""doc { """\ntype Query {\n  user(id: ID!): User # c\n  all: [User]\n}\nextend type User { name: String }\n'
     got = documents.graphql_fields(spark.createDataFrame([("r", "a.graphql", sdl)], DOC)).collect()
     assert {(r["type_name"], r["field"], r["role"]) for r in got} == {("Query", "user", "operation"), ("Query", "all", "operation"), ("User", "name", "field")}
-    proto = 'syntax = "proto3";\npackage a.b;\nservice S {\n  rpc Get (Req) returns (Res) {}\n}\nmessage Req {\n  string name = 1; // x = 9;\n  repeated int64 ids = 2;\n}\n'
-    got = documents.proto_items(spark.createDataFrame([("r", "a.proto", proto)], DOC)).collect()
-    assert {(r["kind"], r["owner"], r["name"], r["type"], r["number"]) for r in got} == {("rpc", "S", "Get", "/a.b.S/Get", None), ("field", "Req", "name", "string", 1), ("field", "Req", "ids", "repeated int64", 2)}
+    api = "openapi: 3.0.0\ncomponents:\n  schemas:\n    A: {}\n    B: {type: object}\n"
+    assert [r["schema"] for r in documents.openapi_schemas(spark.createDataFrame([("r", "a.yaml", api), ("r", "b", "x: 1"), ("r", "c", None)], DOC)).collect()] == ["A", "B"]
+    proto = """syntax = "proto3";
+    package a.b; // x
+    import "y.proto";
+    service S { rpc Get (Req) returns (stream Res) {} rpc Put (Req) returns (Res); }
+    message Req {
+      string name = 1 [deprecated = true]; /* int32 no = 9; */
+      repeated int64 ids = 2;
+      map<string, Inner> m = 3;
+      message Inner { bool ok = 1; }
+      enum Kind { NONE = 0; }
+      oneof pick { string s = 4; a.b.Req r = 5; }
+      reserved 6, 7;
+    }"""
+    got = documents.proto_items(spark.createDataFrame([("r", "a.proto", proto), ("r", "b", None), ("r", "c", "message Cut { string x = 1; int32"), ("r", "d", "}}} = ; message")], DOC)).collect()
+    assert {(r["kind"], r["owner"], r["name"], r["type"], r["number"]) for r in got if r["path"] == "a.proto"} == {
+        ("service", "", "S", "", None), ("rpc", "S", "Get", "/a.b.S/Get", None), ("rpc", "S", "Put", "/a.b.S/Put", None), ("message", "", "Req", "", None), ("field", "Req", "name", "string", 1),
+        ("field", "Req", "ids", "repeated int64", 2), ("field", "Req", "m", "map<string,Inner>", 3), ("message", "Req", "Req.Inner", "", None), ("field", "Req.Inner", "ok", "bool", 1),
+        ("enum", "Req", "Req.Kind", "", None), ("field", "Req", "s", "string", 4), ("field", "Req", "r", "a.b.Req", 5),
+    }
+    assert {(r["path"], r["name"]) for r in got if r["path"] != "a.proto"} == {("c", "Cut"), ("c", "x")}
 
 
 def test_python_extractor():

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import heapq
 from dataclasses import dataclass
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -128,6 +129,6 @@ def degrees(edges: DataFrame, tasks: int | None = None) -> DataFrame:
 
 
 def hot_ids(edges: DataFrame, share: float = 0.01, tasks: int | None = None) -> DataFrame:
-    """Ids whose degree is at least ``share`` of the number of distinct edges."""
-    total = edges.agg(F.countDistinct("edge_id")).first()[0]
-    return degrees(edges, tasks).where(F.col("degree") >= F.lit(share) * F.lit(total))
+    """Ids whose degree is at least ``share`` of the number of distinct edges, compared in whole numbers."""
+    total, part = edges.agg(F.countDistinct("edge_id")).first()[0], Fraction(str(share))
+    return degrees(edges, tasks).where(F.col("degree") * F.lit(part.denominator) >= F.lit(total * part.numerator))

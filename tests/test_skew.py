@@ -37,6 +37,12 @@ def test_hot_ids(spark):
     assert {r["id"] for r in skew.hot_ids(spark.createDataFrame(rows, EDGE), 0.01).collect()} == want
 
 
+def test_share_is_exact(spark):
+    rows = [(i, "a" if i < 29 else f"x{i}", None, "") for i in range(2900)]
+    assert {r["id"] for r in skew.hot_ids(spark.createDataFrame(rows, EDGE), 0.01).collect()} == {"a"}
+    assert skew.hot_ids(spark.createDataFrame(rows + [(2900, "y", None, "")], EDGE), 0.01).count() == 0
+
+
 def test_empty_and_null(spark):
     assert skew.degrees(spark.createDataFrame([], EDGE)).count() == 0
     assert skew.degrees(spark.createDataFrame([(1, None, "", "x"), (None, "a", "b", "x")], EDGE)).count() == 0

@@ -64,7 +64,12 @@ def p8_coverage(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_coverage(table(spark, d, "documents")).withColumnRenamed("doc", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_by_reason, p3_found, p3_pairs, p3_incremental, p6_ids, p7_found, p7_passages, p8_found, p8_coverage)}
+def p8_deduplicated(spark: SparkSession, d: str) -> DataFrame:
+    kept = spans.deduplicated(table(spark, d, "documents"))
+    return kept.select(F.col("doc").alias("doc_id"), F.length("text").cast("long").alias("kept_chars"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_by_reason, p3_found, p3_pairs, p3_incremental, p6_ids, p7_found, p7_passages, p8_found, p8_coverage, p8_deduplicated)}
 
 _PAIRS = r"""
 c AS (SELECT repo, commit_hash, max(committed_at) AS t, list_distinct(list(p)) AS paths FROM (
@@ -105,4 +110,8 @@ o AS (SELECT *, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS b, max(CASE WHEN
 SELECT o.doc_id, any_value(length(d.text)) AS n_chars, count(*) FILTER (b IS NULL OR s - b > 200) AS spans,
 CAST(sum(least(200, coalesce(s - b, 200))) AS BIGINT) AS shared_chars, CAST(coalesce(sum(least(200, coalesce(s - bl, 200))) FILTER (later), 0) AS BIGINT) AS removable_chars
 FROM o JOIN documents d USING (doc_id) GROUP BY o.doc_id""",
+    "p8_deduplicated": f"""WITH {_WINDOWS},
+p AS (SELECT doc_id, s FROM h JOIN g USING (k) WHERE f <> doc_id),
+o AS (SELECT doc_id, sum(least(200, coalesce(s - b, 200))) AS gone FROM (SELECT *, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS b FROM p) GROUP BY doc_id)
+SELECT doc_id, CAST(length(text) - coalesce(gone, 0) AS BIGINT) AS kept_chars FROM documents LEFT JOIN o USING (doc_id) WHERE text IS NOT NULL""",
 }

@@ -41,6 +41,7 @@ GRAM = 8
 WINDOW = 64
 RUN = WINDOW + 2  # more than one sentence, which has at most WINDOW characters
 SEGMENT = 1 << 22
+BROADCAST_IDS = 1_000_000  # so many document ids, 8 bytes each, may be broadcast
 #: Odd multipliers of the rolling hashes; any odd numbers would do.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -225,6 +226,17 @@ def _kept(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
 
 
+def _with_texts(kept: DataFrame, need: DataFrame) -> DataFrame:
+    """(doc, text, shared, wanted) of the documents in ``need``.
+
+    If they are few (counted), the others are left out by a broadcast of the ids before texts move.
+    """
+    need = cut(need)
+    if need.count() <= BROADCAST_IDS:
+        kept = kept.join(F.broadcast(need.select("doc")), "doc", "left_semi")
+    return kept.join(need, "doc").select("doc", "text", "shared", "wanted")
+
+
 def sharing_documents(docs: DataFrame, min_chars: int = 200, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc): documents that share a span of at least ``min_chars`` with another one."""
     _check(min_chars)
@@ -234,22 +246,27 @@ def sharing_documents(docs: DataFrame, min_chars: int = 200, key: str = "doc_id"
     short = members.where("h % 2 = 0").select("h", "doc")
     open_runs = short.join(proven, "doc", "left_anti").groupBy("h").agg(F.lit(True).alias("open"))
     need = short.join(open_runs, "h", "left").groupBy("doc").agg(F.collect_set("h").alias("shared"), F.collect_set(F.when(F.col("open"), F.col("h"))).alias("wanted"))
-    windows = window_hashes(kept.join(need.where("size(wanted) > 0"), "doc").select("doc", "text", "shared", "wanted"), min_chars).select("w1", "w2", "doc")
+    windows = window_hashes(_with_texts(kept, need.where("size(wanted) > 0")), min_chars).select("w1", "w2", "doc")
     windows = cut(windows)
     rest = windows.join(_in_two(windows, ["w1", "w2"]), ["w1", "w2"], "left_semi").select("doc")
     return proven.unionByName(rest).distinct()
 
 
+def _places(kept: DataFrame, min_chars: int) -> DataFrame:
+    """(doc, start, later): every shared window, and whether its first holder is another document."""
+    members = _members(kept, min_chars)
+    need = members.where("h % 2 = 0").groupBy("doc").agg(F.collect_set("h").alias("shared"))
+    windows = window_hashes(_with_texts(kept, need.withColumn("wanted", F.col("shared"))), min_chars)
+    return windows.join(_in_two(windows, ["w1", "w2"]), ["w1", "w2"]).select("doc", "start", (F.col("first") != F.col("doc")).alias("later"))
+
+
 def shared_coverage(docs: DataFrame, min_chars: int = 200, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, n_chars, spans, shared_chars, removable_chars), a row per document that shares a span."""
     from pyspark.sql import Window
 
     _check(min_chars)
     kept = _kept(docs, key, text).where(F.length("text") >= min_chars)
-    members = _members(kept, min_chars)
-    need = members.where("h % 2 = 0").groupBy("doc").agg(F.collect_set("h").alias("shared"))
-    windows = window_hashes(kept.join(need.withColumn("wanted", F.col("shared")), "doc").select("doc", "text", "shared", "wanted"), min_chars)
-    places = windows.join(_in_two(windows, ["w1", "w2"]), ["w1", "w2"]).select("doc", "start", (F.col("first") != F.col("doc")).alias("later"))
+    places = _places(kept, min_chars)
     # windows of one document in order: each adds what the one before doesn't cover
     order = Window.partitionBy("doc").orderBy("start")
     ahead = lambda only: F.max(F.when(only, F.col("start"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -264,6 +281,27 @@ def shared_coverage(docs: DataFrame, min_chars: int = 200, key: str = "doc_id",
     return out.join(sizes, "doc").select("doc", "n_chars", "spans", "shared_chars", "removable_chars")
 
 
+def deduplicated(docs: DataFrame, min_chars: int = 200, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, text): all documents, without the stretches that a document with a smaller id holds first."""
+    _check(min_chars)
+    kept = _kept(docs, key, text)
+    later = _places(kept.where(F.length("text") >= min_chars), min_chars).where("later")
+    starts = later.groupBy("doc").agg(F.array_sort(F.collect_list("start")).alias("starts"))  # at most a document's length
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for body, cuts in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                parts, at = [], 0
+                for s in cuts.as_py() or ():
+                    parts.append(body[at:s])
+                    at = max(at, s + min_chars)
+                out.append("".join(parts) + body[at:])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc", "text"])
+
+    return kept.join(starts, "doc", "left").select("doc", "text", "starts").mapInArrow(run, "doc long, text string")
+
+
 def _check(min_chars: int) -> None:
     if min_chars < 3 * WINDOW + GRAM:
         raise ValueError(f"min_chars must be at least {3 * WINDOW + GRAM}: shorter spans need not hold a run of two sentences")

@@ -53,6 +53,12 @@ def test_matches_brute_force(spark, seed):
     assert all(0 <= r["removable_chars"] <= r["shared_chars"] <= r["n_chars"] for r in got)
 
 
+def test_many_documents_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(S, "BROADCAST_IDS", 0)
+    docs = data(4)
+    assert {r["doc"] for r in S.sharing_documents(spark.createDataFrame(docs, DOCS)).collect()} == brute(docs)[0]
+
+
 def test_first_copy_is_kept(spark):
     docs = data(5)
     first = min(r["doc"] for r in S.shared_coverage(spark.createDataFrame(docs, DOCS)).collect())
@@ -60,6 +66,15 @@ def test_first_copy_is_kept(spark):
     assert got[first] == 0 and any(got.values())
 
 
+def test_deduplicated(spark):
+    docs = data(6)
+    df = spark.createDataFrame(docs, DOCS)
+    gone = {r["doc"]: r["removable_chars"] for r in S.shared_coverage(df).collect()}
+    got = {r["doc"]: r["text"] for r in S.deduplicated(df).collect()}
+    assert {d: len(t) - gone.get(d, 0) for d, t, _ in docs if t is not None} == {d: len(t) for d, t in got.items()}
+    assert got[0] == docs[0][1] or 0 in gone
+
+
 def test_long_text_is_segmented(spark, monkeypatch):
     monkeypatch.setattr(S, "SEGMENT", 256)
     texts = S.Texts([t for _, t, _ in data(3) if t and len(t) >= 200])

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import codecs
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -77,7 +78,7 @@ class Bpe:
         self.pairs: dict[int, bool] = {}
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.edges: tuple[dict, dict] = ({}, {})
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, bytes] = {}
 
     # -- compatibility -----------------------------------------------------------------
     def merge(self, data: bytes) -> list[int]:
@@ -228,21 +229,30 @@ class Bpe:
             common = min(common, start)
         return common
 
-    def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
+    def packed(self, text: str | None) -> bytes:
+        """Ids of a text as 32-bit integers end to end; pieces seen before are copied."""
         if not text:
-            return out
+            return b""
         words = self.words
         if len(words) > MAX_WORDS:
             words.clear()
-        for piece in self.split(text):
-            ids = words.get(piece)
-            if ids is None:
-                ids = self.word(piece.encode("utf-8", "surrogatepass"))
-                if len(piece) <= 64:
-                    words[piece] = ids
-            out += ids
-        return out
+        pieces = self.split(text)
+        chunks = list(map(words.get, pieces))
+        if None in chunks:
+            for i, chunk in enumerate(chunks):
+                if chunk is None:
+                    piece = pieces[i]
+                    chunk = words.get(piece)
+                    if chunk is None:
+                        ids = self.word(piece.encode("utf-8", "surrogatepass"))
+                        chunk = array("i", ids).tobytes()
+                        if len(piece) <= 64:
+                            words[piece] = chunk
+                    chunks[i] = chunk
+        return b"".join(chunks)
+
+    def encode(self, text: str | None) -> list[int]:
+        return list(array("i", self.packed(text)))
 
     def decode(self, ids: Iterable[int]) -> str:
         stream = Utf8Stream()
@@ -270,11 +280,10 @@ def tokenizer(path: str) -> Bpe:
 
 def encode_column(texts: pa.Array, bpe: Bpe) -> pa.ListArray:
     """Ids of every text; null and empty texts have none."""
-    sizes, flat = [0], []
-    for text in texts.to_pylist():
-        flat += bpe.encode(text)
-        sizes.append(len(flat))
-    return pa.ListArray.from_arrays(pa.array(np.array(sizes, np.int32)), pa.array(np.array(flat, np.int32)))
+    parts = [bpe.packed(text) for text in texts.to_pylist()]
+    offsets = np.zeros(len(parts) + 1, np.int32)
+    np.cumsum([len(p) >> 2 for p in parts], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), np.int32)))
 
 
 def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:

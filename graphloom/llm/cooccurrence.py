@@ -33,14 +33,25 @@ def clean_path(path: Column) -> Column:
 
 
 def baskets(commits: DataFrame, least: int = 2, most: int = 100) -> DataFrame:
-    """(repo, commit_hash, committed_at, paths): sorted distinct paths of each counted commit."""
-    rows = commits.where("repo is not null and commit_hash is not null").select("repo", "commit_hash", "committed_at", F.explode("paths").alias("p"))
-    rows = rows.withColumn("p", clean_path(F.col("p"))).where("p is not null")
-    rows = rows.groupBy("repo", "commit_hash", "p").agg(F.max("committed_at").alias("committed_at"))
+    """(repo, commit_hash, committed_at, paths): sorted distinct paths of each counted commit.
+
+    Rows are cleaned where they are read; one with too many paths moves without them. Most
+    commits are delivered with one content only, which the least and the greatest of their
+    lists show without collecting any; only the others are taken apart path by path.
+    """
+    clean = F.array_sort(F.array_distinct(F.filter(F.transform("paths", clean_path), lambda p: p.isNotNull())))
+    rows = commits.where("repo is not null and commit_hash is not null").select("repo", "commit_hash", "committed_at", clean.alias("paths")).where("size(paths) > 0")
+    large = F.size("paths") > most
+    rows = rows.select("repo", "commit_hash", "committed_at", large.alias("large"), F.when(~large, F.col("paths")).alias("paths"))
+    one = rows.groupBy("repo", "commit_hash").agg(F.max("committed_at").alias("committed_at"), F.max("large").alias("large"), F.min("paths").alias("paths"), F.max("paths").alias("_other"))
+    one = cut(one.where("not large").drop("large"))
+    plain = one.where(F.col("paths") == F.col("_other")).drop("_other")
+    mixed = one.where(F.col("paths") != F.col("_other")).select("repo", "commit_hash", "committed_at")
+    parts = rows.drop("committed_at", "large").join(mixed, ["repo", "commit_hash"]).select("repo", "commit_hash", "committed_at", F.explode("paths").alias("p")).distinct()
     # sizes first: a bulk commit never becomes one large array
-    sizes = rows.groupBy("repo", "commit_hash").agg(F.count("*").alias("n"), F.max("committed_at").alias("committed_at")).where(F.col("n").between(least, most))
-    kept = rows.drop("committed_at").join(sizes.drop("n"), ["repo", "commit_hash"])
-    return kept.groupBy("repo", "commit_hash", "committed_at").agg(F.array_sort(F.collect_list("p")).alias("paths"))
+    sizes = parts.groupBy("repo", "commit_hash").count().where(F.col("count") <= most).drop("count")
+    mixed = parts.join(sizes, ["repo", "commit_hash"], "left_semi").groupBy("repo", "commit_hash", "committed_at").agg(F.array_sort(F.collect_list("p")).alias("paths"))
+    return plain.unionByName(mixed).where(F.size("paths").between(least, most)).select("repo", "commit_hash", "committed_at", "paths")
 
 
 def decay(committed_at: Column, as_of: str, half_life_days: float) -> Column:

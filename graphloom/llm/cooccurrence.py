@@ -44,7 +44,7 @@ def baskets(commits: DataFrame, least: int = 2, most: int = 100) -> DataFrame:
     large = F.size("paths") > most
     rows = rows.select("repo", "commit_hash", "committed_at", large.alias("large"), F.when(~large, F.col("paths")).alias("paths"))
     one = rows.groupBy("repo", "commit_hash").agg(F.max("committed_at").alias("committed_at"), F.max("large").alias("large"), F.min("paths").alias("paths"), F.max("paths").alias("_other"))
-    one = cut(one.where("not large").drop("large"))
+    one = one.where("not large").drop("large")
     plain = one.where(F.col("paths") == F.col("_other")).drop("_other")
     mixed = one.where(F.col("paths") != F.col("_other")).select("repo", "commit_hash", "committed_at")
     parts = rows.drop("committed_at", "large").join(mixed, ["repo", "commit_hash"]).select("repo", "commit_hash", "committed_at", F.explode("paths").alias("p")).distinct()

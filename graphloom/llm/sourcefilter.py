@@ -47,14 +47,14 @@ VENDOR_HEAD = re.compile(r"\bvendored (from|copy)|third-party code|upstream copy
 COMMENT = re.compile(r"\s*(//|/\*|\*|--|;|<!--|\"\"\"|'''|#(?!\s*(include|define|if|ifdef|ifndef|pragma|import)\b))")
 SHORT_NAME = "^[a-z]([0-9][a-z]?|[a-z])?$"
 LITERAL = re.compile(r"[A-Za-z0-9+/=_-]{200}")
-HEAD_LINES = 40
+LINE = re.compile(r"[^\n]+")
 
 
 def head_reason(text: str) -> str | None:
     """What the comments before the first line of code say."""
     quote = None
-    for line in text.lstrip("﻿ \t\r\n").split("\n", HEAD_LINES)[:HEAD_LINES]:
-        line = line.rstrip("\r")
+    for found in LINE.finditer(text.lstrip("\ufeff \t\r\n")):  # stops at the first line of code
+        line = found[0].rstrip("\r")
         if not line.strip():
             continue
         inside = quote is not None

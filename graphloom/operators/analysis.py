@@ -93,8 +93,9 @@ def pagerank(view: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFr
     for _ in range(rounds):
         # the next round's dangling mass is observed while this round is written
         mass = Observation()
-        sent = links.join(ranks.select("x", "rank"), "x").groupBy(F.col("y").alias("x")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        step = nodes.join(sent, "x", "left").select("x", "loose", (F.lit((1 - damping) / n + damping * loose / n) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
+        sent = links.join(ranks.select("x", "rank"), "x").select(F.col("y").alias("x"), (F.col("rank") * F.col("share")).alias("got"), F.lit(False).alias("loose"))
+        step = sent.unionByName(nodes.select("x", F.lit(0.0).alias("got"), "loose")).groupBy("x").agg(F.max("loose").alias("loose"), F.sum("got").alias("got"))
+        step = step.select("x", "loose", (F.lit((1 - damping) / n + damping * loose / n) + damping * F.col("got")).alias("rank"))
         ranks = cut(step.observe(mass, F.sum(F.when(F.col("loose"), F.col("rank"))).alias("loose")))
         loose = mass.get["loose"] or 0.0
     return ranks.select(F.col("x.a_repo").alias("repo"), F.col("x.a").alias("id"), "rank")

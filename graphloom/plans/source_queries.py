@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from graphloom.functions import paths as P
 from graphloom.operators import analysis, graph, http, lookup
 from graphloom.plans.graph_queries import LN
-from graphloom.plans.iterate import ensure_checkpoint_dir
+from graphloom.plans.iterate import cut, ensure_checkpoint_dir
 from graphloom.plans.tables import table
 from graphloom.sources import documents, extract, files, snapshot, store
 from graphloom.sources import http as http_source
@@ -158,7 +158,8 @@ def source_http_surface(s, d):
 
 @query()
 def source_http_routes(s, d):
-    return http.compose_routes(http_source.http_surface(_docs(s, d, "source = 'code'")))
+    # the texts are read once, not for every use of their rows
+    return http.compose_routes(cut(http_source.http_surface(_docs(s, d, "source = 'code'"))))
 
 
 @query(

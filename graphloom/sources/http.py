@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import ast
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -161,34 +163,91 @@ JS_ENV = re.compile(r"(?:process\.env|import\.meta\.env)(?:\.([A-Za-z_]\w*)|\[\s
 JS_NAME = re.compile(r"[A-Za-z_$][\w$]*")
 
 
-def js_arguments(text: str, at: int) -> list[str]:
-    """The top-level arguments of the call whose parenthesis ends just before ``at``."""
-    depth, start, out, quote = 0, at, [], ""
-    for i in range(at, min(len(text), at + 4000)):
-        c = text[i]
-        if quote:
-            if c == quote and text[i - 1] != "\\":
-                quote = ""
-        elif c in "\"'`":
-            quote = c
+JS_TOKEN = re.compile(r"""(?<!:)//[^\n]*|/\*|["'`/()\[\]{},+]""")
+JS_TEMPLATE = re.compile(r"\\.|`|\$\{", re.S)
+JS_STRING = {q: re.compile(rf"{q}(?:[^{q}\\\n]|\\.)*{q}?", re.S) for q in "\"'"}
+JS_REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
+JS_KEYWORD = re.compile(r"(?<![\w$.])(?:return|typeof|case|in|of|do|else|void|delete|throw|new|instanceof|await|yield|default)$")
+CLOSES = {")": "(", "]": "[", "}": "{"}
+
+
+def js_arguments(text: str) -> dict[int, list[list[int]]]:
+    """The top-level arguments of every parenthesis in code, by the position just after it.
+
+    An argument is its start, its top-level plus signs and its end. One pass with a stack of
+    open brackets; comments, strings and regular expressions are stepped over, the code in
+    templates is read. A text that ends inside a parenthesis ends its last argument.
+    """
+    out: dict[int, list[list[int]]] = {}
+    stack: list[tuple[str, int, list[list[int]]]] = []  # bracket, position after it, arguments
+    opened = [Counter()]  # of the stack's brackets by template
+    at, templates = 0, True
+
+    def push(bracket: str, start: int) -> None:
+        stack.append((bracket, start, [[start]]))
+        opened[-1][bracket] += 1
+
+    def close(end: int) -> None:
+        bracket, start, args = stack.pop()
+        opened[-1][bracket] -= 1
+        if bracket == "(":
+            args[-1].append(end)
+            out[start] = args if text[args[-1][0] : end].strip() else args[:-1]  # a comma at the end starts none
+
+    while True:
+        inside = bool(stack) and stack[-1][0] == "`"
+        if not (m := (JS_TEMPLATE if inside else JS_TOKEN).search(text, at)):
+            lone = next((k for k, f in enumerate(stack) if f[0] == "`"), None)
+            if lone is None:
+                break
+            at, templates = stack[lone][1], False  # a backtick that nothing closes opens no template
+            del stack[lone:]
+            opened = [Counter(f[0] for f in stack)]
+            continue
+        c, i, at = m[0], m.start(), m.end()
+        if inside:
+            if c == "`":
+                stack.pop()
+                opened.pop()
+            elif c == "${":
+                push("{", at)
+        elif c == "/*":
+            at = end + 2 if (end := text.find("*/", at)) >= 0 else at
+        elif c in JS_STRING:
+            if not (i and (text[i - 1].isalnum() or text[i - 1] in "_$")) or JS_KEYWORD.search(text[max(0, i - 12) : i]):  # else an apostrophe
+                at = JS_STRING[c].match(text, i).end()
+        elif c == "/":
+            k = i - 1
+            while k >= 0 and text[k].isspace():
+                k -= 1
+            if k < 0 or text[k] in "(,=:[!&|?{;+-*%~^" or text[max(0, k - 1) : k + 1] == "=>" or JS_KEYWORD.search(text[max(0, k - 11) : k + 1]):
+                at = r.end() if (r := JS_REGEX.match(text, i)) else at
+        elif c == "`":
+            if templates:
+                stack.append((c, at, []))
+                opened.append(Counter())
         elif c in "([{":
-            depth += 1
+            push(c, at)
         elif c in ")]}":
-            if depth == 0:
-                return [*out, text[start:i].strip()]
-            depth -= 1
-        elif c == "," and depth == 0:
-            out.append(text[start:i].strip())
-            start = i + 1
+            if opened[-1][CLOSES[c]]:
+                while stack[-1][0] != CLOSES[c]:
+                    close(i)
+                close(i)
+        elif stack and stack[-1][0] == "(":
+            if c == "+":
+                stack[-1][2][-1].append(i)
+            elif c == ",":
+                stack[-1][2][-1].append(i)
+                stack[-1][2].append([at])
+    while stack:  # templates are all closed here
+        close(len(text))
     return out
 
 
-def js_value(expr: str, known: dict[str, str], depth: int = DEPTH) -> list[Piece]:
-    expr = expr.strip()
-    if depth == 0 or not expr:
-        return [(None, ())]
+def js_split(expr: str) -> list[str]:
+    """The parts of a top-level concatenation."""
     parts, at, level, quote = [], 0, 0, ""
-    for i, c in enumerate(expr):  # top-level concatenation
+    for i, c in enumerate(expr):
         if quote:
             quote = "" if c == quote and expr[i - 1] != "\\" else quote
         elif c in "\"'`":
@@ -200,8 +259,20 @@ def js_value(expr: str, known: dict[str, str], depth: int = DEPTH) -> list[Piece
         elif c == "+" and level == 0:
             parts.append(expr[at:i])
             at = i + 1
-    if parts:
-        return [p for x in [*parts, expr[at:]] for p in js_value(x, known, depth - 1)]
+    return [*parts, expr[at:]]
+
+
+def js_value(expr: str, known: dict[str, str], depth: int = DEPTH) -> list[Piece]:
+    return js_sum(js_split(expr.strip()), known, depth)
+
+
+def js_sum(parts: list[str], known: dict[str, str], depth: int = DEPTH) -> list[Piece]:
+    """Pieces of the parts of a concatenation."""
+    if len(parts) > 1 and depth:
+        return [p for x in parts for p in js_sum([x], known, depth - 1)]
+    expr = parts[0].strip()
+    if depth == 0 or not expr:
+        return [(None, ())]
     if len(expr) > 1 and expr[0] in "\"'" and expr[-1] == expr[0]:
         return [(expr[1:-1], ())]
     if len(expr) > 1 and expr[0] == "`" and expr[-1] == "`":
@@ -222,26 +293,29 @@ def js_surface(text: str) -> list[Row]:
     owner_at = lambda i: place(i)[0]
     declared = {m.end(1) for m in JS_FUNC.finditer(text) if m[1]}
     line_at = lambda i: text.count("\n", 0, i) + 1
+    spans = js_arguments(text)
     rows: list[Row] = []
     for name, value in known.items():
         if re.match(r"(express|express\.Router|Router|new Router|fastify|new Hono)\s*\(", value):
             rows.append(("router", name, "", "", [], "app" if value.startswith(("express(", "fastify", "new Hono")) else "", 0))
     routers = {r[1] for r in rows}
     for m in JS_CALL.finditer(text):
-        chain, args = m[1].split("."), js_arguments(text, m.end())
+        chain, cuts = m[1].split("."), spans.get(m.end(), [])
+        args = [text[c[0] : c[-1]].strip() for c in cuts]
+        value = lambda k: js_sum([text[x + (n > 0) : y] for n, (x, y) in enumerate(pairwise(cuts[k]))], known)  # noqa: E731, B023
         left, verb = chain[:-1], chain[-1]
         if not args or not args[0]:
             continue
         if left and left[-1] in routers and verb in VERBS and len(args) > 1 and args[0][0] in "\"'`":
-            path = "".join("{}" if lit is None else lit for lit, _ in js_value(args[0], known))
+            path = "".join("{}" if lit is None else lit for lit, _ in value(0))
             handler = args[-1] if JS_NAME.fullmatch(args[-1].split(".")[-1]) else ""
             rows.append(("route", left[-1], verb.upper(), path, [], handler, line_at(m.start())))
         elif left and left[-1] in routers and verb == "use":
-            prefix = "".join(lit or "" for lit, _ in js_value(args[0], known)) if args[0][0] in "\"'`" else ""
+            prefix = "".join(lit or "" for lit, _ in value(0)) if args[0][0] in "\"'`" else ""
             if JS_NAME.fullmatch(args[-1]):
                 rows.append(("mount", left[-1], "", prefix, [], args[-1], line_at(m.start())))
         elif chain == ["fetch"] or (left and left[-1].lower() in CLIENTS and verb in VERBS):
-            pieces = js_value(args[0], known)
+            pieces = value(0)
             tokens, path = url_of(pieces)
             owner, params = place(m.start())
             given = re.search(r"method\s*:\s*[\"'](\w+)[\"']", args[1]) if len(args) > 1 else None
@@ -252,7 +326,7 @@ def js_surface(text: str) -> list[Row]:
                 rows.append(("client", owner, method, path, tokens, "", line_at(m.start())))
         elif m.end(1) not in declared and not (left and verb in VERBS):
             owner, params = place(m.start())
-            rows.extend(wrapper_calls(verb, [js_value(a, known) for a in args], params, owner, line_at(m.start())))
+            rows.extend(wrapper_calls(verb, [value(k) for k in range(len(args))], params, owner, line_at(m.start())))
     for m in JS_ENV.finditer(text):
         rows.append(("env", owner_at(m.start()), "", m[1] or m[2], [], "", line_at(m.start())))
     return rows

@@ -104,3 +104,34 @@ def test_wrappers(spark):
     got = {(r["repo"], r["name"], r["method"], r["value"], "|".join(r["tokens"])) for r in H.expand_wrappers(surface).where("kind = 'client'").collect()}
     assert {x[:4] for x in got} == {("web", "show", "GET", "/api/v1/users/{}"), ("web", "list", "GET", "/api/v1/users"), ("worker", "top", "GET", "/scores/top/{}"), ("worker", "one", "GET", "/scores/{}")}
     assert all("URL" in x[4] for x in got)
+
+
+LONG = """
+const express = require('express');
+const app = express();
+const users = express.Router();
+users.get('/x', async (req, res) => {
+%s  res.send(1);
+});
+users.post('/y', (req, res) => {
+  // don't stop, at (any
+  if (/['"`(]/.test(req.url)) res.send(`a ${req.map((x) => `<${x})`)} (`);
+%s}, done);
+app.use('/api', (req, res, next) => {
+%s  next();
+}, users,);
+function save(id) {
+  return fetch('/store/' + id, { body: {
+%s  }, method: 'POST' });
+}
+"""
+
+
+def test_long_arguments():
+    filler = "  step('one', 2);\n" * 400
+    body = "    key: 'value',\n" * 400
+    rows = S.js_surface(LONG % (filler, filler, filler, body))
+    assert [(r[1], r[2], r[3], r[5]) for r in rows if r[0] == "route"] == [("users", "GET", "/x", ""), ("users", "POST", "/y", "done")]
+    assert [(r[1], r[3], r[5]) for r in rows if r[0] == "mount"] == [("app", "/api", "users")]
+    assert [(r[1], r[2], r[3]) for r in rows if r[0] == "client"] == [("save", "POST", "/store/{}")]
+    assert [(r[1], r[3]) for r in S.js_surface("const app = express();\napp.get('/a', <p>Don't</p>);\napp.get('/b', `x);\napp.get('/c', (q) => {") if r[0] == "route"] == [("app", "/a"), ("app", "/b"), ("app", "/c")]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, functions as F
 
 from graphloom.functions.paths import id_path, language
+from graphloom.operators.impact import shortest_paths
 from graphloom.plans.iterate import cut
 
 KEY = ["repo", "id"]
@@ -75,6 +76,12 @@ def dependency_view(edges: DataFrame) -> DataFrame:
     return files.unionByName(calls).where("a_repo <> b_repo or a <> b").distinct()
 
 
+def view_paths(view: DataFrame, seeds: DataFrame, targets: DataFrame) -> DataFrame:
+    """(seed_repo, seed_id, repo, id, hops, path): ``shortest_paths`` over the dependency view, however long."""
+    edges = view.select(F.col("a_repo").alias("src_repo"), F.col("a").alias("src_id"), "edge_type", F.col("b_repo").alias("dst_repo"), F.col("b").alias("dst_id"))
+    return shortest_paths(edges, seeds, targets, max_hops=None)
+
+
 def pagerank(view: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
     """(repo, id, rank) over the view's nodes; parallel edges count, dangling mass is spread evenly.
 

@@ -72,17 +72,20 @@ def by_file(reached: DataFrame, nodes: DataFrame, limit: int | None = 100) -> Da
     return files.orderBy("depth", "repo", "path").limit(limit) if limit else files
 
 
-def shortest_paths(edges: DataFrame, seeds: DataFrame, targets: DataFrame, max_hops: int = 8) -> DataFrame:
+def shortest_paths(edges: DataFrame, seeds: DataFrame, targets: DataFrame, max_hops: int | None = 8) -> DataFrame:
     """(seed_repo, seed_id, repo, id, hops, path): fewest hops from each seed to each target it reaches.
 
     Equally short paths are decided by the smallest (edge type, node) at each step back.
+    Without ``max_hops`` it ends when a level adds nothing.
     """
-    hops = edges.where(F.col("edge_type").isin(*DEPENDENCY, "contains")).groupBy("src_repo", "src_id", "dst_repo", "dst_id").agg(F.min("edge_type").alias("edge"))
+    hops = cut(edges.where(F.col("edge_type").isin(*DEPENDENCY, "contains")).groupBy("src_repo", "src_id", "dst_repo", "dst_id").agg(F.min("edge_type").alias("edge")))
     key = ["seed_repo", "seed_id", *KEY]
     level = seeds.select(F.col("repo").alias("seed_repo"), F.col("id").alias("seed_id"), *KEY, F.array("id").alias("path")).distinct()
     seen = level = cut(level)
     found = level.join(targets.select(*KEY).distinct(), KEY, "left_semi").withColumn("hops", F.lit(0))
-    for d in range(1, max_hops + 1):
+    d = 0
+    while max_hops is None or d < max_hops:
+        d += 1
         step = level.join(hops, (F.col("repo") == F.col("src_repo")) & (F.col("id") == F.col("src_id")))
         step = step.select("seed_repo", "seed_id", F.col("dst_repo").alias("repo"), F.col("dst_id").alias("id"), F.col("edge"), "path")
         step = step.join(seen.select(*key), key, "left_anti").groupBy(*key).agg(F.min(F.struct("edge", "path")).alias("b"))

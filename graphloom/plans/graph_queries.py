@@ -487,6 +487,12 @@ def impact_shortest_path(s, d):
     return impact.shortest_paths(_edges(s, d), _kind(s, d, "package"), _kind(s, d, "operation"), max_hops=4).drop("path")
 
 
+@query()
+def impact_shortest_path_8(s, d):
+    # the whole default depth; impact_shortest_path stops at 4 hops as its SQL does
+    return impact.shortest_paths(_edges(s, d), _kind(s, d, "package"), _kind(s, d, "operation")).drop("path")
+
+
 # -- resolution -------------------------------------------------------------------------
 @query(
     f"""WITH {LN}, {LE}, i AS (SELECT DISTINCT src_repo AS repo, {IDPATH.format('src_id')} AS path, regexp_extract(dst_id, '#(.*)$', 1) AS spec FROM le WHERE edge_type = 'imports' AND starts_with(dst_id, 'import:')),

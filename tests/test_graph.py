@@ -60,6 +60,19 @@ def test_shortest_path(spark):
     assert [(r["id"], r["hops"], r["path"]) for r in got] == [("t", 2, ["a", "b", "t"])]
 
 
+def test_long_shortest_paths(spark):
+    from graphloom.plans import graph_queries as Q
+
+    chain = [f"n{i:02}" for i in range(13)]
+    e = edges(spark, [(a, "calls", b) for a, b in zip(chain, chain[1:], strict=False)])
+    key = "repo string, id string"
+    seed, targets = spark.createDataFrame([("r", "n00")], key), spark.createDataFrame([("r", "n06"), ("r", "n12")], key)
+    assert [(r["id"], r["hops"]) for r in impact.shortest_paths(e, seed, targets).collect()] == [("n06", 6)]
+    got = analysis.view_paths(view(spark, list(zip(chain, chain[1:], strict=False))), seed, targets).collect()
+    assert {(r["id"], r["hops"]) for r in got} == {("n06", 6), ("n12", 12)} and max(len(r["path"]) for r in got) == 13
+    assert {r["hops"] for r in Q.QUERIES["impact_shortest_path_8"](spark, "/root/testdata/sf0.01").collect()} == {2, 3, 4, 6}
+
+
 def view(spark, pairs):
     return spark.createDataFrame([("r", a, "r", b, "calls") for a, b in pairs], "a_repo string, a string, b_repo string, b string, edge_type string")
 

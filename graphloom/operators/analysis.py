@@ -203,15 +203,28 @@ def indirect_traces(edges: DataFrame, hops: int = 4) -> DataFrame:
     return out.where((F.col("repo") != F.col("target_repo")) | (F.coalesce(id_path(F.col("source")), F.lit("")) != F.coalesce(id_path(F.col("target")), F.lit(""))))
 
 
-def betweenness(view: DataFrame, max_levels: int | None = None) -> DataFrame:
+def betweenness(view: DataFrame, max_levels: int | None = None, block: int | None = None) -> DataFrame:
     """(u, score): directed, unnormalised betweenness with parallel edges as separate paths.
 
-    Breadth-first levels of all sources at once, with path counts, then dependencies pushed
-    back level by level. State is one row per reachable (source, node): use it on views of
-    bounded size, such as one repository's files.
+    Breadth-first levels of many sources at once, with path counts, then dependencies pushed
+    back level by level. State is one row per reachable (source, node); with ``block``, that
+    of about so many sources at a time, and the blocks' dependencies are added up.
     """
     links = cut(view.select(F.concat_ws("|", "a_repo", "a").alias("u"), F.concat_ws("|", "b_repo", "b").alias("v")).where("u <> v"))
-    level = cut(links.select("u").distinct().select(F.col("u").alias("s"), "u", F.lit(1.0).alias("paths")))
+    sources = links.select("u").distinct()
+    blocks = 1 if block is None else max(1, -(-sources.count() // block))
+    scores = None
+    for k in range(blocks):
+        part = _dependencies(links, sources.where(F.pmod(F.xxhash64("u"), F.lit(blocks)) == k), max_levels)
+        scores = part if scores is None else scores.unionByName(part)
+        if blocks > 1:
+            scores = cut(scores.groupBy("u").agg(F.sum("score").alias("score")))
+    return scores.groupBy("u").agg(F.sum("score").alias("score"))
+
+
+def _dependencies(links: DataFrame, sources: DataFrame, max_levels: int | None) -> DataFrame:
+    """(u, score): what the shortest paths from the sources (u) over links (u, v) add, a row per level."""
+    level = cut(sources.select(F.col("u").alias("s"), "u", F.lit(1.0).alias("paths")))
     seen, levels = level.select("s", "u"), [level]
     while max_levels is None or len(levels) <= max_levels:
         step = levels[-1].join(links, "u").groupBy("s", F.col("v").alias("u")).agg(F.sum("paths").alias("paths"))
@@ -230,4 +243,4 @@ def betweenness(view: DataFrame, max_levels: int | None = None) -> DataFrame:
         below = here = cut(here)
         part = here.where("s <> u").groupBy("u").agg(F.sum("delta").alias("score"))
         total = part if total is None else total.unionByName(part)
-    return total.groupBy("u").agg(F.sum("score").alias("score"))
+    return total

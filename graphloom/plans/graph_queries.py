@@ -404,8 +404,7 @@ def graph_indirect_traces(s, d):
 
 @query()
 def graph_betweenness(s, d):
-    files = _view(s, d).where("edge_type = 'imports'")
-    return analysis.betweenness(files).withColumn("score", F.round("score", 6))
+    return analysis.betweenness(_view(s, d), block=20_000).withColumn("score", F.round("score", 6))
 
 
 # -- ranking ----------------------------------------------------------------------------

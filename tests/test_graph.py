@@ -94,6 +94,17 @@ def test_betweenness(spark):
     assert {k: v for k, v in got.items() if v} == {"r|b": 1.0, "r|e": 1.0, "r|c": 3.0}
 
 
+def test_betweenness_of_the_whole_view(spark):
+    from graphloom.plans import graph_queries as Q
+
+    v = view(spark, [("a", "b"), ("b", "c"), ("c", "d"), ("a", "e"), ("e", "c")])
+    whole, blocks = ({r["u"]: r["score"] for r in analysis.betweenness(v, block=b).collect()} for b in (None, 2))
+    assert whole == blocks
+    d = "/root/testdata/sf0.001"
+    ends = Q._view(spark, d).where("edge_type = 'calls'").select(F.concat_ws("|", "b_repo", "b").alias("u")).distinct()
+    assert ends.join(Q.QUERIES["graph_betweenness"](spark, d), "u", "left_anti").count() == 0
+
+
 def test_communities(spark):
     v = view(spark, [("a", "b"), ("b", "c"), ("a", "c"), ("x", "y"), ("y", "z"), ("x", "z")])
     labels = {r["id"]: r["label"] for r in analysis.communities(v).collect()}

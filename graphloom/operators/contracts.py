@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from graphloom.functions.paths import generic_segment, http_path, segments
 from graphloom.functions.text import fold_name, operation_folds
+from graphloom.plans.iterate import cut
 
 
 def match_routes(calls: DataFrame, routes: DataFrame, min_specific: int = 2) -> DataFrame:
@@ -106,6 +107,21 @@ def service_consumers(services: DataFrame, member: str, depth: int = 1) -> DataF
     return out
 
 
+def all_service_consumers(services: DataFrame, members: DataFrame, depth: int = 1) -> DataFrame:
+    """(member, repo, depth, via): ``service_consumers`` of every member (member) at once."""
+    key = ["member", "repo"]
+    hops = services.select("from_repo", "to_repo").distinct()
+    level = members.select("member").distinct().select("member", F.col("member").alias("repo"))
+    seen, out = level, None
+    for d in range(1, depth + 1):
+        step = level.select("member", F.col("repo").alias("via")).join(hops, F.col("via") == F.col("to_repo")).select("member", F.col("from_repo").alias("repo"), "via")
+        found = cut(step.join(seen, key, "left_anti").groupBy(*key).agg(F.min("via").alias("via")).select(*key, F.lit(d).alias("depth"), "via"))
+        level = found.select(*key)
+        seen = seen.unionByName(level)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def service_nodes(members: DataFrame) -> DataFrame:
     """One stand-in node per member that declares base variables; ``members`` (member, base_env)."""
     return members.where(F.size("base_env") > 0).select(F.col("member").alias("repo"), F.concat(F.lit("service:"), "member").alias("id"), F.lit("service").alias("kind"), F.col("member").alias("name"))

@@ -169,6 +169,15 @@ def join_service_consumers(s, d):
     return contracts.service_consumers(calls, member or "", 2)
 
 
+@query()
+def join_service_consumers_all(s, d):
+    # of every member; join_service_consumers takes one, as its SQL does
+    from graphloom.plans.iterate import cut
+
+    calls = cut(contracts.service_calls(_overlay(s, d)))
+    return contracts.all_service_consumers(calls, calls.select(F.col("to_repo").alias("member")), 2)
+
+
 _HTTP = "'/' || array_to_string(list_transform(list_filter(string_split(regexp_extract({0}, '^[^?#]*'), '/'), lambda x: x <> ''), lambda x: CASE WHEN starts_with(x, ':') OR regexp_matches(x, '^\\{{.*\\}}$|^\\[.*\\]$|^<.*>$') OR contains(x, '{{}}') THEN '{{}}' ELSE x END), '/')"
 
 

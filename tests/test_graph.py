@@ -155,6 +155,18 @@ def test_bind_operation_ids(spark):
     assert {(r["id"], r["edge_type"]) for r in contracts.bind_operation_ids(ops, fns).collect()} == {("f1", "implements"), ("f2", "consumes")}
 
 
+def test_consumers_of_all_members(spark):
+    from graphloom.plans import graph_queries as Q
+
+    calls = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "c"), ("c", "a"), ("a", "b")], "from_repo string, to_repo string")
+    members = calls.select(F.col("to_repo").alias("member"))
+    got = {tuple(r) for r in contracts.all_service_consumers(calls, members, 2).collect()}
+    assert got == {(m, *r) for m in "abc" for r in contracts.service_consumers(calls, m, 2).collect()}
+    d = "/root/testdata/sf0.01"
+    got = Q.QUERIES["join_service_consumers_all"](spark, d)
+    assert got.select("member").distinct().count() == contracts.service_calls(Q._overlay(spark, d)).select("to_repo").distinct().count() > 1
+
+
 def test_scan_changes(spark):
     old = spark.createDataFrame([("r", "a", "1"), ("r", "b", "1"), ("r", "c", "1")], "repo string, path string, sha256 string")
     new = spark.createDataFrame([("r", "a", "1"), ("r", "b", "2"), ("r", "d", "1")], "repo string, path string, sha256 string")

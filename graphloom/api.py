@@ -95,7 +95,7 @@ class Graph:
 
     def report(self, limit: int = 10) -> dict[str, DataFrame]:
         """The sections of a report."""
-        view = analysis.dependency_view(self.edges)
+        view = analysis.dependency_view(self.edges, self.nodes)
         hubs = analysis.hubs(self.edges, self.nodes, None, ("function", "method", "type", "file", "module"))
         top = lambda df, by: df.orderBy(F.desc(by), *[c for c in df.columns if c != by]).limit(limit)
         return {

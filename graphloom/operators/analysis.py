@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Observation, functions as F
 
 from graphloom.functions.paths import id_path, language
 from graphloom.operators.impact import shortest_paths
+from graphloom.operators.resolution import resolve_imports
 from graphloom.plans.iterate import cut
 
 KEY = ["repo", "id"]
@@ -64,8 +65,18 @@ def knowledge_gaps(edges: DataFrame, nodes: DataFrame, most: int = 1) -> DataFra
     return out.select(*KEY, F.coalesce("degree", F.lit(0)).alias("degree")).where(F.col("degree") <= most)
 
 
-def dependency_view(edges: DataFrame) -> DataFrame:
-    """(a_repo, a, b_repo, b, edge_type): resolved calls between definitions and between files, and file imports.
+def relative_imports(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Import edges to placeholders of relative specs, as edges to the files these stand for."""
+    rows = edges.where("edge_type = 'imports'").where(F.col("dst_id").startswith("import:"))
+    specs = rows.select(F.col("src_repo").alias("repo"), id_path(F.col("src_id")).alias("path"), F.regexp_extract("dst_id", "#(.*)$", 1).alias("spec"))
+    files = nodes.where("kind = 'file'").where(F.col("id").startswith("file:")).select("repo", F.expr("substr(id, 6)").alias("path"))
+    file = lambda p: F.concat(F.lit("file:"), p)
+    hit = resolve_imports(specs, files)
+    return hit.select(F.col("repo").alias("a_repo"), file(F.col("path")).alias("a"), F.col("repo").alias("b_repo"), file(F.col("target")).alias("b"), F.lit("imports").alias("edge_type"))
+
+
+def dependency_view(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a_repo, a, b_repo, b, edge_type): resolved calls between definitions and between files, and file imports, relative ones resolved.
 
     Files appear by path as ``file:PATH``; self edges are left out; distinct.
     """
@@ -73,7 +84,7 @@ def dependency_view(edges: DataFrame) -> DataFrame:
     rows = edges.where("edge_type in ('calls', 'imports')").where(~F.col("dst_id").rlike("^(symbol|import):"))
     files = rows.where(src.isNotNull() & dst.isNotNull()).select(F.col("src_repo").alias("a_repo"), F.concat(F.lit("file:"), src).alias("a"), F.col("dst_repo").alias("b_repo"), F.concat(F.lit("file:"), dst).alias("b"), "edge_type")
     calls = rows.where("edge_type = 'calls'").select(F.col("src_repo").alias("a_repo"), F.col("src_id").alias("a"), F.col("dst_repo").alias("b_repo"), F.col("dst_id").alias("b"), "edge_type")
-    return files.unionByName(calls).where("a_repo <> b_repo or a <> b").distinct()
+    return files.unionByName(calls).unionByName(relative_imports(edges, nodes)).where("a_repo <> b_repo or a <> b").distinct()
 
 
 def view_paths(view: DataFrame, seeds: DataFrame, targets: DataFrame) -> DataFrame:

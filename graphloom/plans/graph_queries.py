@@ -55,7 +55,7 @@ def _overlay(s: SparkSession, d: str) -> DataFrame:
 
 
 def _view(s: SparkSession, d: str) -> DataFrame:
-    return analysis.dependency_view(_edges(s, d))
+    return analysis.dependency_view(_edges(s, d), _nodes(s, d))
 
 
 def _long(df: DataFrame, *columns: str) -> DataFrame:

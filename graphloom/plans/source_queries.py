@@ -209,7 +209,7 @@ def scan_symbols(s, d):
 @query()
 def graph_questions(s, d):
     nodes, edges = graph.live_nodes(table(s, d, "nodes")), graph.live_edges(table(s, d, "edges"))
-    return lookup.questions(analysis.hubs(edges, nodes), analysis.strong_components(analysis.dependency_view(edges)), analysis.knowledge_gaps(edges, nodes))
+    return lookup.questions(analysis.hubs(edges, nodes), analysis.strong_components(analysis.dependency_view(edges, nodes)), analysis.knowledge_gaps(edges, nodes))
 
 
 @query(

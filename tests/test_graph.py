@@ -73,6 +73,13 @@ def test_long_shortest_paths(spark):
     assert {r["hops"] for r in Q.QUERIES["impact_shortest_path_8"](spark, "/root/testdata/sf0.01").collect()} == {2, 3, 4, 6}
 
 
+def test_view_resolves_relative_imports(spark):
+    e = edges(spark, [("module:src/a.ts", "imports", "import:src/a.ts#./b"), ("module:src/a.ts", "imports", "import:src/a.ts#react"), ("func:src/a.ts#f", "calls", "func:src/c.ts#g")])
+    n = nodes(spark, [("r", f"file:{p}", "file", p, p) for p in ("src/a.ts", "src/b.ts", "src/c.ts")])
+    got = {(x["a"], x["b"], x["edge_type"]) for x in analysis.dependency_view(e, n).collect()}
+    assert got == {("file:src/a.ts", "file:src/b.ts", "imports"), ("file:src/a.ts", "file:src/c.ts", "calls"), ("func:src/a.ts#f", "func:src/c.ts#g", "calls")}
+
+
 def view(spark, pairs):
     return spark.createDataFrame([("r", a, "r", b, "calls") for a, b in pairs], "a_repo string, a string, b_repo string, b string, edge_type string")
 

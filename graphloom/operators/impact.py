@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from graphloom.operators.lookup import with_members
 from graphloom.plans.iterate import cut
 
 #: Edge types that carry impact, strongest first.
@@ -64,6 +65,61 @@ def walk(edges: DataFrame, seeds: DataFrame, depth: int = 1, reverse: bool = Tru
     return out
 
 
+def whole_walk(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, depth: int = 1, reverse: bool = True) -> DataFrame:
+    """(repo, id, depth, edge, from_repo, from_id): ``walk`` with what a node stands for and with contract hops.
+
+    Types stand for their members, seeds that are files or modules for all in them, functions
+    forwards for those inside them; backwards a use inside a function is one by the functions
+    around it. ``calls_api`` leads from a handler to its operations' clients, ``handled_by``
+    from a client to the handlers. Placeholders, stand-ins and nodes without a path are not reached.
+    """
+    near, far = ("dst", "src") if reverse else ("src", "dst")
+    ends = lambda a, b: [F.col(f"{a}_repo").alias("from_repo"), F.col(f"{a}_id").alias("from_id"), F.col(f"{b}_repo").alias("repo"), F.col(f"{b}_id").alias("id")]
+    hops = edges.where(F.col("edge_type").isin(*DEPENDENCY)).select(*ends(near, far), F.col("edge_type").alias("edge"), strength(F.col("edge_type")).alias("s"))
+    over = contract_hops(edges).select(*ends(*(("handler", "client") if reverse else ("client", "handler"))), F.lit("calls_api" if reverse else "handled_by").alias("edge"), F.lit(len(DEPENDENCY)).alias("s"))
+    hops, over = cut(hops), cut(over.distinct())
+    shown = nodes.where("kind not in ('symbol', 'import', 'service') and path <> ''").select(*KEY)
+    kinds = nodes.select(*KEY, "kind")
+    functions = kinds.where("kind in ('function', 'method')").select(*KEY)
+    inside = edges.where("edge_type = 'contains'").select("edge_type", "src_repo", "src_id", "dst_repo", "dst_id").distinct()
+    nested = cut(inside.join(functions.toDF("src_repo", "src_id"), ["src_repo", "src_id"], "left_semi").join(functions.toDF("dst_repo", "dst_id"), ["dst_repo", "dst_id"], "left_semi"))
+    row = [*KEY, "from_repo", "from_id", "edge", "s"]
+
+    def stands_for(level: DataFrame, first: bool) -> DataFrame:
+        of = cut(level.join(kinds, KEY))
+        types = of.where("kind = 'type'").select(*KEY)
+        out = of.select(*KEY).unionByName(with_members(nodes, types).select(*KEY)).unionByName(closure(edges, types, max_levels=1))
+        if first:
+            out = out.unionByName(closure(edges, of.where("kind in ('file', 'module')")))
+        out = out.distinct()
+        return cut(out if reverse else out.unionByName(closure(nested, out.join(functions, KEY, "left_semi"))).distinct())
+
+    def with_outer(found: DataFrame) -> DataFrame:
+        found = step = cut(found.select(*row).distinct())
+        while not step.isEmpty():
+            up = step.join(nested, (F.col("repo") == F.col("dst_repo")) & (F.col("id") == F.col("dst_id")))
+            step = cut(up.select(F.col("src_repo").alias("repo"), F.col("src_id").alias("id"), *row[2:]).distinct().join(found, row, "left_anti"))
+            found = found.unionByName(step)
+        return found
+
+    frontier, seen, out = seeds.select(*KEY).distinct(), None, None
+    for d in range(1, depth + 1):
+        # a function's nested ones, forwards, are read but can still be reached
+        source = stands_for(frontier, d == 1).toDF("from_repo", "from_id")
+        if seen is None:
+            types = frontier.join(kinds.where("kind = 'type'"), KEY, "left_semi")
+            held = closure(edges, frontier.join(kinds.where("kind in ('file', 'module')"), KEY, "left_semi"))
+            seen = cut(frontier.unionByName(held).unionByName(with_members(nodes, types).select(*KEY)).unionByName(closure(edges, types, max_levels=1)).distinct())
+        reach = hops.join(source, ["from_repo", "from_id"]).select(*row)
+        reach = (with_outer(reach) if reverse else reach).unionByName(over.join(source, ["from_repo", "from_id"]).select(*row))
+        reach = reach.join(seen, KEY, "left_anti").join(shown, KEY, "left_semi")
+        level = cut(reach.groupBy(*KEY).agg(F.min(F.struct("s", "from_repo", "from_id", "edge")).alias("b")).select(*KEY, F.lit(d).alias("depth"), "b.edge", "b.from_repo", "b.from_id"))
+        out = level if out is None else out.unionByName(level)
+        frontier = level.select(*KEY)
+        seen = seen.unionByName(frontier)
+    return out
+
+
 def by_file(reached: DataFrame, nodes: DataFrame, limit: int | None = 100) -> DataFrame:
     """(repo, path, depth, symbols, names): reached symbols per file, nearest files first."""
     named = reached.join(nodes.select(*KEY, "name", "path", "start_line"), KEY).where("path <> ''")

@@ -476,6 +476,17 @@ def impact_dependencies(s, d):
     return impact.walk(_edges(s, d), _kind(s, d, "module"), 2, reverse=False)
 
 
+@query()
+def impact_affected_whole(s, d):
+    # with contract hops and what nodes stand for; impact_affected has edges only, as its SQL does
+    return impact.whole_walk(_edges(s, d), _nodes(s, d), _kind(s, d, "operation"), 2)
+
+
+@query()
+def impact_dependencies_whole(s, d):
+    return impact.whole_walk(_edges(s, d), _nodes(s, d), _kind(s, d, "module"), 2, reverse=False)
+
+
 @query(_walk_sql("dst", "src", "operation") + " SELECT n.repo, n.path, min(depth) AS depth, count(*) AS symbols FROM wk JOIN ln n ON n.repo = wk.repo AND n.id = wk.id WHERE n.path <> '' GROUP BY ALL")
 def agg_impact_files(s, d):
     return impact.by_file(impact.walk(_edges(s, d), _kind(s, d, "operation"), 2), _nodes(s, d), limit=None).drop("ids")

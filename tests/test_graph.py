@@ -46,6 +46,16 @@ def test_walk_labels_strongest(spark):
     assert {(x["id"], x["depth"]) for x in impact.walk(e, seed, 2, reverse=False).collect()} == {("c", 1), ("b", 2)}
 
 
+def test_whole_walk(spark):
+    kinds = {"op": "operation", "h": "function", "c": "function", "T": "type", "T.m": "method", "in": "function", "x": "function", "y": "function", "s": "symbol"}
+    n = nodes(spark, [("r", i, k, i, "p") for i, k in kinds.items()])
+    e = edges(spark, [("h", "implements", "op"), ("c", "consumes", "op"), ("c", "contains", "in"), ("in", "calls", "x"), ("T", "contains", "T.m"), ("T.m", "calls", "y"), ("x", "references", "T"), ("x", "calls", "s")])
+    got = lambda i, d, r: {(x["id"], x["depth"], x["edge"]) for x in impact.whole_walk(e, n, spark.createDataFrame([("r", i)], "repo string, id string"), d, r).collect()}
+    assert got("h", 1, True) == {("c", 1, "calls_api")}
+    assert got("c", 3, False) == {("op", 1, "consumes"), ("h", 1, "handled_by"), ("x", 1, "calls"), ("T", 2, "references"), ("y", 3, "calls")}
+    assert got("x", 1, True) == {("in", 1, "calls"), ("c", 1, "calls")}
+
+
 def test_closure_survives_circles(spark):
     e = edges(spark, [("a", "contains", "b"), ("b", "contains", "c"), ("c", "contains", "a"), ("x", "contains", "y")])
     seed = spark.createDataFrame([("r", "a")], "repo string, id string")

@@ -42,6 +42,12 @@ def source_sniff(s, d):
     return table(s, d, "documents").select("doc_id", *[files.looks_like(k, text).alias(k) for k in ("openapi", "graphql", "proto")])
 
 
+@query()
+def source_sniff_whole(s, d):
+    # whole texts; source_sniff reads their first 8,192 characters, as its SQL does
+    return table(s, d, "documents").select("doc_id", *[files.is_contract(k, F.col("text")).alias(k) for k in ("openapi", "graphql", "proto")])
+
+
 @query(
     r"""WITH t AS (SELECT doc_id, repo, path, string_split_regex(text, '\r?\n') AS ls FROM documents WHERE text IS NOT NULL AND repo IS NOT NULL AND path IS NOT NULL AND lang = 'markdown'),
 l AS (SELECT repo, path, doc_id, unnest(ls) AS t, unnest(generate_series(1, len(ls))) AS line FROM t),

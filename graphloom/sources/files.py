@@ -78,6 +78,16 @@ def fingerprints(files: DataFrame) -> DataFrame:
     return files.select("path", F.sha2("content", 256).alias("sha256"))
 
 
+def is_contract(kind: str, text: Column) -> Column:
+    """Contract sniffers on the whole text, without its byte order mark; ``openapi`` may follow a brace."""
+    patterns = {
+        "openapi": r"(?m)^[\s{]*[\"']?openapi[\"']?\s*:\s*[\"']?3\.",
+        "graphql": r"(?m)^\s*(extend\s+)?(type|schema|interface|input|enum|union|scalar|directive)\b",
+        "proto": r"(?m)^\s*(syntax\s*=|package\s+[\w.]+\s*;|import\s+\"|service\s+\w+|message\s+\w+|enum\s+\w+)",
+    }
+    return F.coalesce(F.regexp_replace(text, "^\ufeff", "").rlike(patterns[kind]), F.lit(False))
+
+
 def looks_like(kind: str, text: Column) -> Column:
     """Contract sniffers on the first 8 KiB."""
     head = F.left(text, F.lit(8192))

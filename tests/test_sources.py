@@ -34,6 +34,14 @@ def test_sniffers(spark):
     assert got == [(True, False, False), (False, False, False), (False, False, False), (False, True, False), (False, False, True), (False, False, False)]
 
 
+def test_sniffers_read_whole_texts(spark):
+    head = "# licence\n" * 900
+    rows = [(head + "openapi: 3.1.0\n",), ('{"openapi": "3.0.1"}',), ("\ufeffopenapi: 3.0.0",), (head + "type Query {",), (head + 'syntax = "proto3";',), (None,)]
+    df = spark.createDataFrame(rows, "t string")
+    got = [tuple(r) for r in df.select(*[files.is_contract(k, F.col("t")) for k in ("openapi", "graphql", "proto")]).collect()]
+    assert got == [(True, False, False)] * 3 + [(False, True, False), (False, False, True), (False, False, False)]
+
+
 def test_markdown(spark):
     text = "# A\n\n```\n# no\n```\n## B ##\n# A\ntext # x\n"
     got = documents.markdown_headings(spark.createDataFrame([("r", "p.md", text)], DOC)).orderBy("line").collect()

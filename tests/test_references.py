@@ -55,3 +55,51 @@ def test_periods(spark):
     out = references.orphan_references(spark.createDataFrame([edge(1, "a", "b", D(2024, 1, 1)), edge(2, "a", "", None)], EDGES), spark.createDataFrame([], OVER), spark.createDataFrame([], NODES), ranges=2)
     got = {tuple(r) for r in references.orphans_by_period(out).collect()}
     assert got == {("edges", "calls", "2024-01", 2, 1, 1), ("edges", "calls", None, 1, 1, 0)}
+
+
+def test_one_null_or_outlying_date_costs_no_more():
+    import time
+
+    import numpy as np
+    import pyarrow as pa
+
+    n = 250_000
+    keys = pa.array([f"k{i}" for i in range(n)])
+    periods = np.full(n, 24_290, np.int32)
+    periods[0], periods[1] = 12, 119_999  # the years 1 and 9999
+    refs = pa.table({"key": keys, "period": periods})
+    time_of = lambda y, m: np.datetime64(f"{y:04d}-{m:02d}-01", "us")
+    lives = pa.table({"key": keys[: n // 2], "born": np.full(n // 2, time_of(2020, 1)), "died": pa.nulls(n // 2, pa.timestamp("us")), "born_month": np.full(n // 2, 24_240, np.int32), "died_month": pa.nulls(n // 2, pa.int32())})
+    began = time.time()
+    out = references._andnot_range(refs, lives)
+    assert time.time() - began < 1
+    assert out.num_rows == n // 2 + 1 and set(out.column("key").to_pylist()[:1]) == {"k0"}
+
+
+def test_bitmaps_equal_sets():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    for n, share in ((10, 0.5), (200_000, 0.5), (200_000, 0.01), (70_000, 1.0)):
+        a, b = (np.flatnonzero(rng.random(n) < share) for _ in range(2))
+        bits = np.zeros(-(-n // references.BLOCK) * references.BLOCK, bool)
+        bits[b] = True
+        assert references.and_not(references.compress(a), np.packbits(bits)).tolist() == sorted(set(a.tolist()) - set(b.tolist()))
+
+
+def test_matches_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    day = lambda: D(2023, 11, 1) + dt.timedelta(hours=rng.randrange(24 * 500))
+    nodes = []
+    for _ in range(150):
+        born = day()
+        nodes.append(node(rng.choice("rs"), f"n{rng.randrange(40)}", born, rng.choice([None, born + dt.timedelta(days=rng.randrange(1, 200)), born])))
+    edges = [edge(i, f"n{rng.randrange(45)}", rng.choice(["HOT", f"n{rng.randrange(45)}", None, ""]), rng.choice([day(), day(), day(), None, D(1, 2, 3), D(9999, 5, 6)]), rng.choice("rs"), rng.choice("rs")) for i in range(800)]
+    want = set()
+    for i, ra, a, rb, b, _, at, _ in edges:
+        for side, repo, key in (("src", ra, a), ("dst", rb, b)):
+            if key and not (at and any(x[0] == repo and x[1] == key and x[3] <= at and (x[4] is None or at < x[4]) for x in nodes)):
+                want.add(("edges", i, side))
+    assert run(spark, nodes, edges) == want

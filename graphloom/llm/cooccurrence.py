@@ -1,30 +1,55 @@
 """Items that appear together: an incremental pair table.
 
 A basket is the set of distinct items of one key; only baskets with ``least`` to ``most``
-items count. The state is three tables: pair counts (support and decayed weight), item
-counts and basket counts. Changed baskets give signed deltas (minus the old basket's
-pairs, plus the new one's), deltas are summed into the state, and only affected pairs are
-scored again. On disk the state is split into hash buckets; ``update`` rewrites the
-touched buckets alone and leaves the old version until the new one is complete.
+items count. The state (``PairStore``) is a folder with the baskets' contents, pair counts
+(support and decayed weight), item counts, basket counts and association scores, each split
+into hash buckets. A delivery is joined with the stored contents of its baskets; the changed
+ones give signed deltas (minus the old basket's pairs and items, plus the new one's), deltas
+are merged into the buckets they touch, and of the pairs with an item of a changed basket
+the scores are computed again. The number of baskets of a repository, which changes all its
+lifts at once, is kept apart and joined where scores are read.
+
+Versions: an update writes the new files of the touched buckets beside the old ones and then
+one small manifest under the next number, by a rename that fails if the number is taken. The
+newest manifest is the state, so a driver that dies in an update leaves the old state whole,
+and a delivery may be repeated: contents that are already there change nothing. Files that
+only older manifests than the last two name are removed. A table gets twice the buckets when
+they hold more than ``ROWS_PER_BUCKET`` rows each.
 
 Pairs are made inside a basket (at most ``most`` squared), never by joining rows, and are
-summed on the map side first, so an item that is in most baskets is no hot group.
+summed on the map side first; item counts and basket counts reach the pairs by
+fragment-replicate joins, so an item that is in most baskets, or a repository with most of
+them, is no hot group. Weights are summed as decimals with 12 places: what is taken out
+again leaves nothing behind.
 
-Baskets: items are cleaned by the caller's column; nulls and empty items are dropped;
-rows of one key are one basket with the union of their items and the latest time. Null
+Baskets: items are trimmed of spaces and lose one leading ``./``; nulls and empty items are
+dropped; rows of one key are one basket with the union of their items and the latest time. Null
 keys are no basket. Empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import functools
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from graphloom.operators.skew import fragment_join, plan_fragments
 from graphloom.plans.iterate import cut
+from graphloom.plans.tables import tasks_of
 
+BASKET = ["repo", "commit_hash"]
 PAIR = ["repo", "path_a", "path_b"]
+WEIGHT = "decimal(28,12)"
+ROWS_PER_BUCKET = 1_000_000
+KEYS = {"baskets": BASKET, "pairs": PAIR, "scores": PAIR, "items": ["repo", "path"], "totals": ["repo"]}
+SCHEMAS = {
+    "baskets": "repo string, commit_hash string, committed_at timestamp_ntz, paths array<string>",
+    "pairs": f"repo string, path_a string, path_b string, support long, weight {WEIGHT}",
+    "scores": f"repo string, path_a string, path_b string, support long, weight {WEIGHT}, n_a long, n_b long",
+    "items": "repo string, path string, n long",
+    "totals": "repo string, baskets long",
+}
 
 
 def clean_path(path: Column) -> Column:
@@ -32,56 +57,47 @@ def clean_path(path: Column) -> Column:
     return F.nullif(F.regexp_replace(F.trim(path), r"^\./", ""), F.lit(""))
 
 
-def baskets(commits: DataFrame, least: int = 2, most: int = 100) -> DataFrame:
-    """(repo, commit_hash, committed_at, paths): sorted distinct paths of each counted commit.
+def contents(commits: DataFrame, most: int = 100) -> DataFrame:
+    """(repo, commit_hash, committed_at, paths): sorted distinct paths of each commit, null if more than ``most``.
 
     Rows are cleaned where they are read; one with too many paths moves without them. Most
     commits are delivered with one content only, which the least and the greatest of their
     lists show without collecting any; only the others are taken apart path by path.
     """
     clean = F.array_sort(F.array_distinct(F.filter(F.transform("paths", clean_path), lambda p: p.isNotNull())))
-    rows = commits.where("repo is not null and commit_hash is not null").select("repo", "commit_hash", "committed_at", clean.alias("paths")).where("size(paths) > 0")
+    rows = commits.where("repo is not null and commit_hash is not null").select(*BASKET, F.col("committed_at").cast("timestamp_ntz").alias("committed_at"), clean.alias("paths")).where("size(paths) > 0")
     large = F.size("paths") > most
-    rows = rows.select("repo", "commit_hash", "committed_at", large.alias("large"), F.when(~large, F.col("paths")).alias("paths"))
-    one = rows.groupBy("repo", "commit_hash").agg(F.max("committed_at").alias("committed_at"), F.max("large").alias("large"), F.min("paths").alias("paths"), F.max("paths").alias("_other"))
-    one = one.where("not large").drop("large")
-    plain = one.where(F.col("paths") == F.col("_other")).drop("_other")
-    mixed = one.where(F.col("paths") != F.col("_other")).select("repo", "commit_hash", "committed_at")
-    parts = rows.drop("committed_at", "large").join(mixed, ["repo", "commit_hash"]).select("repo", "commit_hash", "committed_at", F.explode("paths").alias("p")).distinct()
+    rows = rows.select(*BASKET, "committed_at", large.alias("large"), F.when(~large, F.col("paths")).alias("paths"))
+    one = rows.groupBy(*BASKET).agg(F.max("committed_at").alias("committed_at"), F.max("large").alias("large"), F.min("paths").alias("paths"), F.max("paths").alias("_other"))
+    plain = one.where(F.col("large") | (F.col("paths") == F.col("_other"))).select(*BASKET, "committed_at", F.when(~F.col("large"), F.col("paths")).alias("paths"))
+    mixed = one.where(~F.col("large") & (F.col("paths") != F.col("_other"))).select(*BASKET, "committed_at")
+    parts = rows.drop("committed_at", "large").join(mixed.select(*BASKET), BASKET, "left_semi").select(*BASKET, F.explode("paths").alias("p")).distinct()
     # sizes first: a bulk commit never becomes one large array
-    sizes = parts.groupBy("repo", "commit_hash").count().where(F.col("count") <= most).drop("count")
-    mixed = parts.join(sizes, ["repo", "commit_hash"], "left_semi").groupBy("repo", "commit_hash", "committed_at").agg(F.array_sort(F.collect_list("p")).alias("paths"))
-    return plain.unionByName(mixed).where(F.size("paths").between(least, most)).select("repo", "commit_hash", "committed_at", "paths")
+    sizes = parts.groupBy(*BASKET).count().where(F.col("count") <= most).drop("count")
+    lists = parts.join(sizes, BASKET, "left_semi").groupBy(*BASKET).agg(F.array_sort(F.collect_list("p")).alias("paths"))
+    return plain.unionByName(mixed.join(lists, BASKET, "left"))
 
 
 def decay(committed_at: Column, as_of: str, half_life_days: float) -> Column:
     """0.5 ** (age in days / half life); a commit after ``as_of`` has age 0, one without time weight 0."""
     age = (F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros(committed_at.cast("timestamp"))) / F.lit(86_400_000_000.0)
-    return F.coalesce(F.pow(F.lit(0.5), F.greatest(age, F.lit(0.0)) / F.lit(half_life_days)), F.lit(0.0))
+    return F.when(age.isNull(), 0.0).otherwise(F.pow(F.lit(0.5), F.greatest(age, F.lit(0.0)) / F.lit(half_life_days)))
 
 
-def signed(old: DataFrame | None, new: DataFrame) -> DataFrame:
-    """Changed baskets only: the new contents with sign 1, the replaced ones with sign -1.
-
-    ``new`` holds the current contents of the baskets that were delivered; keys of ``old``
-    that ``new`` does not have are unchanged. An emptied basket is delivered with no paths.
-    """
-    plus = new.select("repo", "commit_hash", "committed_at", "paths", F.lit(1).alias("sign"))
-    if old is None:
-        return plus
-    before = old.select("repo", "commit_hash", F.col("committed_at").alias("t0"), F.col("paths").alias("p0"))
-    both = new.join(before, ["repo", "commit_hash"], "left").where(~(F.col("p0").eqNullSafe(F.col("paths")) & F.col("t0").eqNullSafe(F.col("committed_at"))))
+def signed(merged: DataFrame, least: int) -> DataFrame:
+    """The counted contents of changed baskets: new ones with sign 1, replaced ones with sign -1."""
     sides = F.array(
         F.struct(F.col("committed_at").alias("committed_at"), F.col("paths").alias("paths"), F.lit(1).alias("sign")),
         F.struct(F.col("t0").alias("committed_at"), F.col("p0").alias("paths"), F.lit(-1).alias("sign")),
     )
-    return both.select("repo", "commit_hash", F.inline(sides)).where("size(paths) > 0")
+    return merged.where("changed").select("repo", F.inline(sides)).where(F.size("paths") >= least)
 
 
 def pair_deltas(changes: DataFrame, as_of: str, half_life_days: float) -> DataFrame:
     pairs = F.expr("flatten(transform(paths, (a, i) -> transform(slice(paths, i + 2, size(paths)), b -> struct(a as path_a, b as path_b))))")
-    rows = changes.select("repo", "sign", decay(F.col("committed_at"), as_of, half_life_days).alias("w"), F.inline(pairs))
-    return rows.groupBy(*PAIR).agg(F.sum("sign").alias("support"), F.sum(F.col("sign") * F.col("w")).alias("weight"))
+    weight = (F.col("sign") * decay(F.col("committed_at"), as_of, half_life_days)).cast("decimal(13,12)")
+    rows = changes.select("repo", "sign", weight.alias("w"), F.inline(pairs))
+    return rows.groupBy(*PAIR).agg(F.sum("sign").alias("support"), F.sum("w").cast(WEIGHT).alias("weight"))
 
 
 def item_deltas(changes: DataFrame) -> DataFrame:
@@ -92,83 +108,153 @@ def basket_deltas(changes: DataFrame) -> DataFrame:
     return changes.groupBy("repo").agg(F.sum("sign").alias("baskets"))
 
 
-def merge(state: DataFrame | None, deltas: DataFrame, keys: list[str], count: str) -> DataFrame:
+def merge(state: DataFrame, deltas: DataFrame, keys: list[str], count: str) -> DataFrame:
     """State plus deltas; rows whose count falls to 0 are gone."""
-    if state is None:
-        return deltas.where(F.col(count) != 0)
-    sums = [F.sum(c).alias(c) for c in deltas.columns if c not in keys]
+    sums = [F.sum(c).cast(dict(state.dtypes)[c]).alias(c) for c in state.columns if c not in keys]
     return state.unionByName(deltas).groupBy(*keys).agg(*sums).where(F.col(count) != 0)
 
 
-class PairTable:
-    """Pair, item and basket counts after any number of merges."""
-
-    def __init__(self, as_of: str = "2025-12-31 00:00:00", half_life_days: float = 90.0, pairs: DataFrame | None = None, items: DataFrame | None = None, totals: DataFrame | None = None):
-        self.as_of, self.half_life_days = as_of, half_life_days
-        self.pairs, self.items, self.totals = pairs, items, totals
-
-    def apply(self, new: DataFrame, old: DataFrame | None = None) -> PairTable:
-        """The table after the delivery of ``new`` baskets in place of their ``old`` contents."""
-        changes = cut(signed(old, new))  # three sums read it
-        return PairTable(
-            self.as_of,
-            self.half_life_days,
-            merge(self.pairs, pair_deltas(changes, self.as_of, self.half_life_days), PAIR, "support"),
-            merge(self.items, item_deltas(changes), ["repo", "path"], "n"),
-            merge(self.totals, basket_deltas(changes), ["repo"], "baskets"),
-        )
-
-    def scores(self, min_support: int = 1, affected: DataFrame | None = None) -> DataFrame:
-        """PAIR, support, weight, n_a, n_b, baskets, lift; optionally only of the ``affected`` items' pairs."""
-        pairs = self.pairs.where(F.col("support") >= min_support)
-        if affected is not None:
-            touched = affected.select("repo", "path").distinct()
-            left = pairs.join(touched.withColumnRenamed("path", "path_a"), ["repo", "path_a"], "left_semi")
-            right = pairs.join(touched.withColumnRenamed("path", "path_b"), ["repo", "path_b"], "left_semi")
-            pairs = left.unionByName(right).distinct()
-        for side in ("a", "b"):
-            pairs = pairs.join(self.items.select("repo", F.col("path").alias(f"path_{side}"), F.col("n").alias(f"n_{side}")), ["repo", f"path_{side}"])
-        pairs = pairs.join(self.totals, "repo")
-        lift = F.col("support") * F.col("baskets") / (F.col("n_a") * F.col("n_b"))
-        return pairs.select(*PAIR, "support", "weight", "n_a", "n_b", "baskets", lift.alias("lift"))
+class PairStore:
+    """The state in folder ``root``; pairs below ``min_support`` get no score.
 
-    # -- persistence --------------------------------------------------------------------
-    def save(self, path: str, buckets: int = 64) -> None:
-        """Write all three tables, pairs and items split into hash buckets."""
-        for name, df, keys in (("pairs", self.pairs, PAIR), ("items", self.items, ["repo", "path"])):
-            bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-            df.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
-        self.totals.write.mode("overwrite").parquet(f"{path}/totals")
+    ``as_of`` is fixed for a state: at a later time all weights have fallen by one common factor.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, as_of: str = "2025-12-31 00:00:00", half_life_days: float = 90.0, least: int = 2, most: int = 100, min_support: int = 1, buckets: int | None = None):
+        self.spark, self.root, self.as_of, self.half_life_days = spark, root.rstrip("/"), as_of, half_life_days
+        self.least, self.most, self.min_support, self.buckets = least, most, min_support, buckets
+        self._jvm = spark.sparkContext._jvm
+        self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    # -- files ----------------------------------------------------------------------------
+    def _path(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+
+    def _list(self, name: str) -> list[str]:
+        return [x.getPath().getName() for x in self._fs.listStatus(self._path(name))] if self._fs.exists(self._path(name)) else []
+
+    def versions(self) -> list[int]:
+        return sorted(int(x[:-5]) for x in self._list("manifests") if x.endswith(".json") and not x.startswith("_"))
+
+    def manifest(self, version: int | None = None) -> dict:
+        """{version, tables: {name: {buckets, parts: {bucket: folder}}}} of a version, the newest by default."""
+        known = self.versions()
+        if not known:
+            return {"version": 0, "tables": {t: {"buckets": 0, "parts": {}} for t in SCHEMAS}}
+        at = known[-1] if version is None else version
+        stream = self._fs.open(self._path(f"manifests/{at:08d}.json"))
+        try:
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _commit(self, manifest: dict) -> None:
+        name = f"manifests/{manifest['version']:08d}.json"
+        draft = self._path(f"manifests/_{uuid.uuid4().hex}")
+        stream = self._fs.create(draft, False)
+        stream.write(bytearray(json.dumps(manifest).encode()))
+        stream.close()
+        if self._fs.exists(self._path(name)) or not self._fs.rename(draft, self._path(name)):
+            self._fs.delete(draft, False)
+            raise RuntimeError(f"{self.root}: another update wrote version {manifest['version']}")
+
+    def _prune(self) -> None:
+        """Remove the files that only manifests before the last two name."""
+        known = self.versions()
+        held = [{(t, b, f) for t, x in self.manifest(v)["tables"].items() for b, f in x["parts"].items()} for v in known[-3:]]
+        for t, b, folder in held[0] - held[1] - held[2] if len(held) == 3 else ():
+            self._fs.delete(self._path(f"{folder}/{t}/bucket={b}"), True)
+        for v in known[:-2]:
+            self._fs.delete(self._path(f"manifests/{v:08d}.json"), False)
+
+    def _bucket(self, table: str, buckets: int) -> Column:
+        return F.pmod(F.xxhash64(*KEYS[table]), F.lit(buckets)).cast("int")
+
+    def read(self, table: str, at: list[int] | None = None, manifest: dict | None = None) -> DataFrame:
+        """A table of the state, or only its buckets ``at``."""
+        parts = (manifest or self.manifest())["tables"][table]["parts"]
+        paths = [f"{self.root}/{f}/{table}/bucket={b}" for b, f in parts.items() if at is None or int(b) in at]
+        if not paths:
+            return self.spark.createDataFrame([], SCHEMAS[table])
+        return self.spark.read.schema(SCHEMAS[table]).option("recursiveFileLookup", "true").parquet(*paths)
+
+    # -- updates --------------------------------------------------------------------------
+    def _replace(self, old: dict, new: dict, folder: str, table: str, rows, touching: DataFrame, expected: int) -> None:
+        """Write the buckets of ``table`` that ``touching`` (with its keys) falls into.
+
+        ``rows(state)`` gives their new rows from their old ones.
+        """
+        was = old["tables"][table]
+        n = was["buckets"] or self.buckets or tasks_of(self.spark)
+        held = self.read(table, manifest=old).count() if was["parts"] else 0  # from the files' footers
+        while self.buckets is None and (held + expected) > n * ROWS_PER_BUCKET:
+            n *= 2
+        if n != was["buckets"]:
+            at, state = None, self.read(table, manifest=old)
+        else:
+            at = [r[0] for r in touching.select(self._bucket(table, n)).distinct().collect()]  # at most ``n`` numbers
+            state = self.read(table, at, old)
+        out = rows(state).select(*state.columns).withColumn("bucket", self._bucket(table, n))
+        out.repartition(min(n, tasks_of(self.spark)), "bucket").write.partitionBy("bucket").parquet(f"{self.root}/{folder}/{table}")
+        made = {x.split("=")[1]: folder for x in self._list(f"{folder}/{table}") if x.startswith("bucket=")}
+        kept = {} if at is None else {b: f for b, f in was["parts"].items() if int(b) not in at}
+        new["tables"][table] = {"buckets": n, "parts": kept | made}
+
+    def update(self, commits: DataFrame) -> int:
+        """Take in a delivery of commits (repo, commit_hash, committed_at, paths); gives the new version's number."""
+        old = self.manifest()
+        new = {"version": old["version"] + 1, "tables": {}}
+        folder = f"v{new['version']:08d}-{uuid.uuid4().hex[:8]}"
+        given = cut(contents(commits, self.most))
+        touching = given.select(*BASKET)
+        # contents that were stored before meet the delivered ones
+        held = old["tables"]["baskets"]
+        at = [r[0] for r in touching.select(self._bucket("baskets", held["buckets"])).distinct().collect()] if held["buckets"] else []
+        before = self.read("baskets", at, old).select(*BASKET, F.col("committed_at").alias("t0"), F.col("paths").alias("p0"), F.lit(True).alias("was"))
+        both = given.join(before, BASKET, "left")
+        paths = F.when(F.col("was").isNull(), F.col("paths")).when(F.col("p0").isNotNull() & F.col("paths").isNotNull(), F.array_sort(F.array_union("p0", "paths")))
+        both = both.select(*BASKET, F.greatest("t0", "committed_at").alias("committed_at"), F.when(F.size(paths) <= self.most, paths).alias("paths"), "t0", "p0", "was")
+        same = F.col("was").isNotNull() & F.col("p0").eqNullSafe(F.col("paths")) & F.col("t0").eqNullSafe(F.col("committed_at"))
+        merged = cut(both.select("*", (~same).alias("changed")))
+        changed = merged.where("changed").select(*BASKET, "committed_at", "paths")
+        self._replace(old, new, folder, "baskets", lambda state: state.join(changed.select(*BASKET), BASKET, "left_anti").unionByName(changed), changed, changed.count())
+
+        changes = signed(merged, self.least)
+        size = F.size("paths").cast("long")
+        most_pairs, most_items, repos = changes.agg(F.sum(size * (size - 1) / 2), F.sum(size), F.count_distinct("repo")).first()
+        pairs, items, totals = pair_deltas(changes, self.as_of, self.half_life_days), item_deltas(changes), basket_deltas(changes)
+        touched = changes.select("repo", F.explode("paths").alias("path")).distinct()
+        pairs = cut(pairs)  # written once and asked for its buckets
+        self._replace(old, new, folder, "pairs", lambda state: merge(state, pairs, PAIR, "support"), pairs, int(most_pairs or 0))
+        self._replace(old, new, folder, "items", lambda state: merge(state, items, ["repo", "path"], "n"), touched, most_items or 0)
+        self._replace(old, new, folder, "totals", lambda state: merge(state, totals, ["repo"], "baskets"), totals, repos or 0)
+
+        # scores of the pairs with an item of a changed basket
+        counts = self.read("items", manifest=new).join(touched.withColumn("t", F.lit(True)), ["repo", "path"], "left")
+        fresh = self._counted(self.read("pairs", manifest=new).where(F.col("support") >= self.min_support), cut(counts))
+        fresh = cut(fresh)
+        moved = fresh.select(*PAIR).unionByName(pairs.select(*PAIR))  # the latter may have fallen below the least support
+        self._replace(old, new, folder, "scores", lambda state: state.join(moved, PAIR, "left_anti").unionByName(fresh), moved, int(most_pairs or 0))
+        self._commit(new)
+        self._prune()
+        return new["version"]
 
     @staticmethod
-    def load(spark: SparkSession, path: str, as_of: str = "2025-12-31 00:00:00", half_life_days: float = 90.0) -> PairTable:
-        pairs, items, totals = (spark.read.parquet(f"{path}/{x}") for x in ("pairs", "items", "totals"))
-        return PairTable(as_of, half_life_days, pairs.drop("bucket"), items.drop("bucket"), totals)
-
-
-def update(spark: SparkSession, path: str, new: DataFrame, old: DataFrame | None, as_of: str = "2025-12-31 00:00:00", half_life_days: float = 90.0, buckets: int = 64) -> None:
-    """Merge changed baskets into a saved state, rewriting only the buckets they touch."""
-    changes = cut(signed(old, new))
-    work = f"{path}/_new-{uuid.uuid4().hex[:8]}"
-    touched = {}
-    for name, deltas, keys, count in (
-        ("pairs", pair_deltas(changes, as_of, half_life_days), PAIR, "support"),
-        ("items", item_deltas(changes), ["repo", "path"], "n"),
-    ):
-        deltas = deltas.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-        at = [r[0] for r in deltas.select("bucket").distinct().collect()]  # at most ``buckets``
-        state = spark.read.parquet(f"{path}/{name}").where(F.col("bucket").isin(at))  # prunes to the touched folders
-        merged = merge(state.select(*deltas.columns), deltas, [*keys, "bucket"], count)
-        merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{work}/{name}")
-        touched[name] = at
-    merge(spark.read.parquet(f"{path}/totals"), basket_deltas(changes), ["repo"], "baskets").write.parquet(f"{work}/totals")
-    # all new files exist: swap folders
-    jvm = spark.sparkContext._jvm
-    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    to = functools.partial(jvm.org.apache.hadoop.fs.Path)
-    for part in [f"{n}/bucket={b}" for n, at in touched.items() for b in at] + ["totals"]:
-        fs.delete(to(f"{path}/{part}"), True)
-        if fs.exists(to(f"{work}/{part}")):
-            fs.rename(to(f"{work}/{part}"), to(f"{path}/{part}"))
-    fs.delete(to(work), True)
-    spark.catalog.refreshByPath(path)
+    def _counted(pairs: DataFrame, counts: DataFrame) -> DataFrame:
+        """``pairs`` of which an item is marked in ``counts`` (repo, path, n, t), with n_a and n_b."""
+        key = lambda side: F.struct("repo", F.col(f"path_{side}").alias("path")).alias(f"k_{side}")
+        pairs = pairs.select("*", key("a"), key("b"))
+        plans = {side: plan_fragments(pairs, f"k_{side}") for side in "ab"}
+        out = pairs
+        for side, plan in plans.items():
+            of = counts.select(F.struct("repo", "path").alias(f"k_{side}"), F.col("n").alias(f"n_{side}"), F.col("t").alias(f"t_{side}"))
+            out = fragment_join(out, of, f"k_{side}", F.struct(*PAIR), plan)
+        return out.where("t_a or t_b").select(*PAIR, "support", "weight", "n_a", "n_b")
+
+    def scores(self) -> DataFrame:
+        """PAIR, support, weight, n_a, n_b, baskets, lift of the newest version."""
+        now = self.manifest()
+        scored = self.read("scores", manifest=now)
+        scored = fragment_join(scored, self.read("totals", manifest=now), "repo", F.struct(*PAIR), plan_fragments(scored, "repo"))
+        lift = F.col("support") * F.col("baskets") / (F.col("n_a") * F.col("n_b"))
+        return scored.select(*PAIR, "support", F.col("weight").cast("double").alias("weight"), "n_a", "n_b", "baskets", lift.alias("lift"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from graphloom.llm import cooccurrence, leakage, sourcefilter, spans, tokenizer
+from graphloom.plans.iterate import ensure_checkpoint_dir
 from graphloom.plans.tables import table
 
 
@@ -17,31 +20,37 @@ def p1_by_reason(spark: SparkSession, d: str) -> DataFrame:
     return found.select("repo", F.explode("reasons").alias("reason")).groupBy("repo", "reason").agg(F.count("*").alias("files"))
 
 
-def _pairs(spark: SparkSession, d: str) -> cooccurrence.PairTable:
-    return cooccurrence.PairTable().apply(cooccurrence.baskets(table(spark, d, "commits")))
+def _pairs(spark: SparkSession, d: str, cuts: tuple[str, ...], min_support: int = 1) -> cooccurrence.PairStore:
+    """A pair state in the shared folder after one delivery of commits per span of ``loaded_at`` between the cuts."""
+    ensure_checkpoint_dir(spark)
+    store = cooccurrence.PairStore(spark, f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pairs-{uuid.uuid4().hex[:12]}", min_support=min_support)
+    commits, at = table(spark, d, "commits"), F.col("loaded_at")
+    days = [F.lit(c).cast("timestamp_ntz") for c in cuts]
+    for low, high in zip([None, *days], [*days, None], strict=True):
+        after = at.isNull() if high is None else F.lit(False)  # rows without a time come last
+        inside = (F.lit(True) if low is None else at >= low) & (F.lit(True) if high is None else at < high)
+        store.update(commits.where(F.coalesce(inside, after)))
+    return store
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    scored = _pairs(spark, d).scores(min_support=5)
+    scored = _pairs(spark, d, ("2025-07-01",), min_support=5).scores()
     return scored.where("support * baskets >= 4 * n_a * n_b").select("repo", "path_a", "path_b")
 
 
+def _all_scores(store: cooccurrence.PairStore) -> DataFrame:
+    return store.scores().select("repo", "path_a", "path_b", "support", F.round("weight", 6).alias("weight"), F.round("lift", 6).alias("lift"))
+
+
 def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
-    scored = _pairs(spark, d).scores()
-    return scored.select("repo", "path_a", "path_b", "support", F.round("weight", 6).alias("weight"), F.round("lift", 6).alias("lift"))
+    return _all_scores(_pairs(spark, d, ("2025-07-01",)))
 
 
 def p3_incremental(spark: SparkSession, d: str) -> DataFrame:
-    """The same pairs in two deliveries: commits loaded before the cut, then what came or changed after."""
-    commits = table(spark, d, "commits")
-    late = F.lit("2025-07-01 00:00:00").cast("timestamp_ntz")
-    first = cooccurrence.baskets(commits.where(F.col("loaded_at") < late))
-    keys = commits.where((F.col("loaded_at") >= late) | F.col("loaded_at").isNull()).select("repo", "commit_hash").distinct()
-    new = cooccurrence.baskets(commits.join(keys, ["repo", "commit_hash"], "left_semi"))
-    gone = first.join(keys, ["repo", "commit_hash"], "left_semi").join(new, ["repo", "commit_hash"], "left_anti")
-    new = new.unionByName(gone.withColumn("paths", F.array().cast("array<string>")))  # grew beyond the limit
-    scored = cooccurrence.PairTable().apply(first).apply(new, old=first).scores()
-    return scored.select("repo", "path_a", "path_b", "support", F.round("weight", 6).alias("weight"), F.round("lift", 6).alias("lift"))
+    """The same pairs in four deliveries, the last of which holds everything again."""
+    store = _pairs(spark, d, ("2024-07-01", "2025-03-01"))
+    store.update(table(spark, d, "commits"))
+    return _all_scores(store)
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:

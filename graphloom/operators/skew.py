@@ -58,14 +58,30 @@ def pack(loads: dict[int, int], tasks: int, buckets: int = BUCKETS, fill: float
     return FragmentPlan(tasks, buckets, tuple(tuple(placed.get(b, [b % tasks])) for b in range(buckets)), tuple(at))
 
 
-def bucket_of(key: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+Keys = str | list[str]  # a key column, or several
 
 
-def plan_fragments(keys: DataFrame, key: str, tasks: int | None = None, buckets: int = BUCKETS) -> FragmentPlan:
-    """Measure the buckets' loads and pack them. At most ``buckets`` rows reach the driver."""
-    counted = keys.where(F.col(key).isNotNull()).groupBy(bucket_of(F.col(key), buckets).alias("b")).count()
-    loads = {r["b"]: r["count"] for r in counted.collect()}
+def _columns(key: Keys) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def bucket_of(key: Keys, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*_columns(key)), F.lit(buckets)).cast("int")
+
+
+def _keyed(df: DataFrame, key: Keys) -> DataFrame:
+    for k in _columns(key):
+        df = df.where(F.col(k).isNotNull())
+    return df
+
+
+def plan_fragments(keys: DataFrame, key: Keys, tasks: int | None = None, buckets: int = BUCKETS, weight: str | None = None) -> FragmentPlan:
+    """Measure the buckets' loads and pack them. At most ``buckets`` rows reach the driver.
+
+    ``keys`` has a row per row of the big side, or per key with the number of its rows in the column ``weight``.
+    """
+    counted = _keyed(keys, key).groupBy(bucket_of(key, buckets).alias("b")).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
+    loads = {r["b"]: r["n"] for r in counted.collect()}
     return pack(loads, tasks or max(tasks_of(keys.sparkSession), -(-sum(loads.values()) // ROWS_PER_TASK)), buckets)
 
 
@@ -76,21 +92,21 @@ def _placement(df: DataFrame, plan: FragmentPlan) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, schema))
 
 
-def route(df: DataFrame, key: str, spread: Column, plan: FragmentPlan) -> DataFrame:
+def route(df: DataFrame, key: Keys, spread: Column, plan: FragmentPlan) -> DataFrame:
     """Rows moved to their task, numbered in ``_frag_task``; ``spread`` decides the shard of a split bucket."""
-    placed = df.where(F.col(key).isNotNull()).withColumn("_frag_bucket", bucket_of(F.col(key), plan.buckets)).join(_placement(df, plan), "_frag_bucket")
+    placed = _keyed(df, key).withColumn("_frag_bucket", bucket_of(key, plan.buckets)).join(_placement(df, plan), "_frag_bucket")
     shard = F.pmod(F.xxhash64(spread), F.size("_frag_tasks")).cast("int")
     task = F.element_at("_frag_tasks", shard + 1)
     return placed.withColumn("_frag_task", task).drop("_frag_bucket", "_frag_tasks").repartitionById(plan.tasks, F.col("_frag_task"))
 
 
-def replicate(df: DataFrame, key: str, plan: FragmentPlan) -> DataFrame:
+def replicate(df: DataFrame, key: Keys, plan: FragmentPlan) -> DataFrame:
     """The matching side: each row once per task that holds a shard of its key's bucket."""
-    placed = df.where(F.col(key).isNotNull()).withColumn("_frag_bucket", bucket_of(F.col(key), plan.buckets)).join(_placement(df, plan), "_frag_bucket")
+    placed = _keyed(df, key).withColumn("_frag_bucket", bucket_of(key, plan.buckets)).join(_placement(df, plan), "_frag_bucket")
     return placed.withColumn("_frag_task", F.explode(F.array_distinct("_frag_tasks"))).drop("_frag_bucket", "_frag_tasks").repartitionById(plan.tasks, F.col("_frag_task"))
 
 
-def fragment_join(left: DataFrame, right: DataFrame, key: str, spread: Column, plan: FragmentPlan, how: str = "inner") -> DataFrame:
+def fragment_join(left: DataFrame, right: DataFrame, key: Keys, spread: Column, plan: FragmentPlan, how: str = "inner") -> DataFrame:
     """Join on ``key`` with the big side routed and the other replicated to its shards.
 
     ``how`` may be inner, left, left_semi or left_anti: each left row lives in exactly one
@@ -98,7 +114,7 @@ def fragment_join(left: DataFrame, right: DataFrame, key: str, spread: Column, p
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"fragment_join can't do a {how} join")
-    out = route(left, key, spread, plan).join(replicate(right, key, plan), ["_frag_task", key], how)
+    out = route(left, key, spread, plan).join(replicate(right, key, plan), ["_frag_task", *_columns(key)], how)
     return out.drop("_frag_task")
 
 

@@ -62,7 +62,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_passages(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), spans=True)
+    return leakage.passages(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -112,6 +112,16 @@ j AS (SELECT item_id, least(13, len(w)) AS k, unnest(generate_series(1, len(w) -
 n AS (SELECT DISTINCT item_id, k, array_to_string(w[s:s + k - 1], ' ') AS g FROM j),
 e AS (SELECT doc_id, k, unnest(generate_series(1, len(w) - k + 1)) AS s, w FROM d, (SELECT DISTINCT k FROM n) WHERE len(w) >= k)
 SELECT DISTINCT doc_id, item_id FROM (SELECT doc_id, k, array_to_string(w[s:s + k - 1], ' ') AS g FROM e) JOIN n USING (k, g)""",
+    # words with the gap before them, so that lengths give the offsets; windows that overlap are one passage
+    "p7_passages": r"""WITH p AS (SELECT doc_id, regexp_extract_all(text, '[^\p{L}\p{N}]*[\p{L}\p{N}]+') AS g FROM documents WHERE text <> ''),
+d AS (SELECT doc_id, list_transform(g, lambda x: lower(regexp_extract(x, '[\p{L}\p{N}]+$'))) AS w, list_transform(g, lambda x: length(x)) AS l FROM p),
+i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text <> ''),
+n AS (SELECT DISTINCT item_id, k, array_to_string(w[s:s + k - 1], ' ') AS g FROM (SELECT item_id, least(13, len(w)) AS k, unnest(generate_series(1, len(w) - least(13, len(w)) + 1)) AS s, w FROM i WHERE len(w) > 0)),
+e AS (SELECT doc_id, k, unnest(generate_series(1, len(w) - k + 1)) AS s, w FROM d, (SELECT DISTINCT k FROM n) WHERE len(w) >= k),
+h AS (SELECT DISTINCT doc_id, item_id, k, s FROM (SELECT doc_id, k, s, array_to_string(w[s:s + k - 1], ' ') AS g FROM e) JOIN n USING (k, g)),
+o AS (SELECT *, sum(b) OVER (PARTITION BY doc_id, item_id ORDER BY s) AS run FROM (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id, item_id ORDER BY s) < k THEN 0 ELSE 1 END AS b FROM h)),
+r AS (SELECT doc_id, item_id, min(s) AS a, max(s + k) - 1 AS z FROM o GROUP BY doc_id, item_id, run)
+SELECT doc_id, item_id, CAST(list_sum(l[:a]) - length(w[a]) AS INTEGER) AS start, CAST(list_sum(l[:z]) AS INTEGER) AS "end", CAST(z - a + 1 AS INTEGER) AS words FROM r JOIN d USING (doc_id)""",
     "p8_found": f"WITH {_WINDOWS} SELECT DISTINCT doc_id FROM h JOIN g USING (k)",
     "p8_coverage": f"""WITH {_WINDOWS},
 p AS (SELECT doc_id, s, f <> doc_id AS later FROM h JOIN g USING (k)),

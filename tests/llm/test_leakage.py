@@ -45,7 +45,7 @@ def test_matches_brute_force(spark):
     want = brute(docs, items)
     assert {tuple(r) for r in L.leaks(df, it).collect()} == want and want
     assert {tuple(r) for r in L.leaks(df, it, block_windows=20).collect()} == want
-    spans = L.leaks(df, it, spans=True).collect()
+    spans = L.passages(df, it).collect()
     assert {(r["doc_id"], r["item_id"]) for r in spans} == want
     text, item = {d: t for d, t, _ in docs}, {i: q for i, q, _ in items}
     for r in spans:
@@ -60,6 +60,32 @@ def test_offsets_where_lower_case_is_longer():
     assert [t[a:b] for a, b in L.word_offsets(t)][-2:] == ["one", "two"]
 
 
+def windows_joined(text, item, n=13):
+    """All occurrences of the item's windows in the text's words, overlapping ones joined."""
+    w, v = words(text), words(item)
+    k = min(n, len(v))
+    have = {tuple(v[b : b + k]) for b in range(len(v) - k + 1)} if k else set()
+    out = []
+    for a in range(len(w) - k + 1):
+        if tuple(w[a : a + k]) in have:
+            if out and a < out[-1][1]:
+                out[-1][1] = a + k
+            else:
+                out.append([a, a + k])
+    return [tuple(x) for x in out]
+
+
+def test_passages_are_whole():
+    rng = random.Random(5)
+    for _ in range(300):
+        vocab = [f"v{i}" for i in range(rng.choice([1, 2, 3, 20]))]
+        items = tuple((i, " ".join(rng.choices(vocab, k=rng.choice([3, 13, 14, 25, 60])))) for i in range(3))
+        text = " ".join(rng.choices(vocab, k=30)) + " " + " ".join(items[0][1].split()[2:40]) + " " + " ".join(rng.choices(vocab, k=10))
+        machine, at = L.Items(items), L.word_offsets(text)
+        got = {(i, a, b) for i, a, b, _ in machine.passages(text)}
+        assert got == {(i, at[a][0], at[b - 1][1]) for i, q in items for a, b in windows_joined(text, q)}
+
+
 def test_empty_tables(spark):
     docs, items = data()
     none = spark.createDataFrame([], DOCS)

@@ -13,12 +13,14 @@ characters, cut alike in both documents.
    ``min_chars``.
 2. A long run found in two documents proves both of them.
 3. Of short runs found in two documents, those with a document not yet proven are checked
-   exactly: a window of ``min_chars`` characters can only be shared if all runs that its
-   characters alone decide are; such windows get a 128-bit hash, and windows found in two
-   documents prove the rest.
+   window by window: a window of ``min_chars`` characters can only be shared if all runs that
+   its characters alone decide are; such windows get a 128-bit hash, and windows found in two
+   documents prove the rest. Equal hashes stand for equal texts; no texts are compared.
 
-Groups are reduced to their least and greatest document id, with map-side combine, never
-collected; no pairs are made, and a span that a third of all documents hold is one group.
+Groups are reduced to their least and greatest document id and their size, with map-side
+combine, never collected; no pairs are made. The rows of a shared run or window are found
+again by fragment-replicate joins by measured load, so a span that a third of all documents
+hold is split over tasks.
 
 ``shared_coverage`` runs step 3 for all places, and merges the shared windows of each
 document to spans; the part covered by windows whose first holder (least document id) is
@@ -34,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from graphloom.operators.skew import fragment_join, plan_fragments
 from graphloom.plans.iterate import cut
 from graphloom.plans.ship import ship
 
@@ -41,7 +44,7 @@ GRAM = 8
 WINDOW = 64
 RUN = WINDOW + 2  # more than one sentence, which has at most WINDOW characters
 SEGMENT = 1 << 22
-BROADCAST_IDS = 1_000_000  # so many document ids, 8 bytes each, may be broadcast
+SIEVE_WORDS = 1 << 18  # words of 64 bits in the sieve of document ids
 #: Odd multipliers of the rolling hashes; any odd numbers would do.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -159,7 +162,7 @@ def _runs(at: np.ndarray, of: np.ndarray, reach: int) -> tuple[np.ndarray, np.nd
 
 
 def run_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(h, h2, doc): even ``h`` for a short run (h2 = 0), odd for a long one."""
+    """(h, h2, doc), once a document: even ``h`` for a short run (h2 = 0), odd for a long one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,6 +177,11 @@ def run_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
                 h2 = texts.stretch(1, at[k], at[m])
                 h = np.concatenate([short, long_]).view(np.int64)
                 out = [h, np.concatenate([np.zeros(len(short), np.int64), h2.view(np.int64)]), np.concatenate([who[of[i]], who[of[k]]])]
+                order = np.lexsort(out)
+                out = [x[order] for x in out]
+                first = np.ones(len(h), bool)
+                first[1:] = np.any([x[1:] != x[:-1] for x in out], axis=0)
+                out = [x[first] for x in out]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["h", "h2", "doc"])
 
     return docs.mapInArrow(run, "h long, h2 long, doc long")
@@ -210,15 +218,17 @@ def window_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def _in_two(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys that two documents have, with the first document."""
-    return rows.groupBy(*keys).agg(F.min("doc").alias("first"), F.max("doc").alias("_last")).where("first < _last").drop("_last")
+    """Keys that two documents have, with the first document and the number ``n`` of rows."""
+    return rows.groupBy(*keys).agg(F.min("doc").alias("first"), F.max("doc").alias("_last"), F.count("*").alias("n")).where("first < _last").drop("_last")
 
 
-def _members(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(h, h2, doc): the runs that two documents share, with all their documents."""
-    runs = run_hashes(docs, min_chars)
-    shared = _in_two(runs, ["h", "h2"]).drop("first")
-    return cut(runs.join(shared, ["h", "h2"]))
+def _members(docs: DataFrame, min_chars: int) -> tuple[DataFrame, DataFrame]:
+    """(h, h2, doc), the runs that two documents share with all their documents; and (h, h2, n), those runs."""
+    runs, keys = run_hashes(docs, min_chars), ["h", "h2"]
+    shared = cut(_in_two(runs, keys).drop("first"))
+    # only a shared run can be in many documents: its count is the load of its key
+    members = fragment_join(runs, shared.select(*keys), keys, F.col("doc"), plan_fragments(shared, keys, weight="n"))
+    return cut(members), shared
 
 
 def _kept(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -226,38 +236,48 @@ def _kept(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
 
 
-def _with_texts(kept: DataFrame, need: DataFrame) -> DataFrame:
-    """(doc, text, shared, wanted) of the documents in ``need``.
+def _sieved(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``doc`` is not in ``ids``, by a bitmap of hashed ids.
 
-    If they are few (counted), the others are left out by a broadcast of the ids before texts move.
+    The bitmap has at most ``SIEVE_WORDS`` words whatever the number of ids; the fuller, the more rows stay.
     """
+    place = f"pmod(xxhash64(doc), {64 * SIEVE_WORDS}L)"
+    word, bit = F.expr(f"shiftright({place}, 6)"), F.expr(f"shiftleft(1L, cast({place} % 64 as int))")
+    words = ids.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    held = rows.withColumn("_word", word).join(F.broadcast(words), "_word").where(F.col("_bits").bitwiseAND(bit) != 0)
+    return held.drop("_word", "_bits")
+
+
+def _with_texts(kept: DataFrame, need: DataFrame) -> DataFrame:
+    """(doc, text, shared, wanted) of the documents in ``need``; most other texts don't move."""
     need = cut(need)
-    if need.count() <= BROADCAST_IDS:
-        kept = kept.join(F.broadcast(need.select("doc")), "doc", "left_semi")
-    return kept.join(need, "doc").select("doc", "text", "shared", "wanted")
+    return _sieved(kept, need.select("doc")).join(need, "doc").select("doc", "text", "shared", "wanted")
 
 
 def sharing_documents(docs: DataFrame, min_chars: int = 200, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc): documents that share a span of at least ``min_chars`` with another one."""
     _check(min_chars)
     kept = _kept(docs, key, text).where(F.length("text") >= min_chars)
-    members = _members(kept, min_chars)
+    members, runs = _members(kept, min_chars)
     proven = members.where("h % 2 <> 0").select("doc").distinct()
     short = members.where("h % 2 = 0").select("h", "doc")
     open_runs = short.join(proven, "doc", "left_anti").groupBy("h").agg(F.lit(True).alias("open"))
-    need = short.join(open_runs, "h", "left").groupBy("doc").agg(F.collect_set("h").alias("shared"), F.collect_set(F.when(F.col("open"), F.col("h"))).alias("wanted"))
-    windows = window_hashes(_with_texts(kept, need.where("size(wanted) > 0")), min_chars).select("w1", "w2", "doc")
-    windows = cut(windows)
-    rest = windows.join(_in_two(windows, ["w1", "w2"]), ["w1", "w2"], "left_semi").select("doc")
+    marked = fragment_join(short, open_runs, "h", F.col("doc"), plan_fragments(runs.where("h % 2 = 0"), "h", weight="n"), "left")
+    need = marked.groupBy("doc").agg(F.collect_set("h").alias("shared"), F.collect_set(F.when(F.col("open"), F.col("h"))).alias("wanted"))  # at most a document's runs
+    windows = cut(window_hashes(_with_texts(kept, need.where("size(wanted) > 0")), min_chars).select("w1", "w2", "doc"))
+    same = ["w1", "w2"]
+    rest = fragment_join(windows, _in_two(windows, same).select(*same), same, F.col("doc"), plan_fragments(windows, same), "left_semi").select("doc")
     return proven.unionByName(rest).distinct()
 
 
 def _places(kept: DataFrame, min_chars: int) -> DataFrame:
     """(doc, start, later): every shared window, and whether its first holder is another document."""
-    members = _members(kept, min_chars)
+    members, _ = _members(kept, min_chars)
     need = members.where("h % 2 = 0").groupBy("doc").agg(F.collect_set("h").alias("shared"))
-    windows = window_hashes(_with_texts(kept, need.withColumn("wanted", F.col("shared"))), min_chars)
-    return windows.join(_in_two(windows, ["w1", "w2"]), ["w1", "w2"]).select("doc", "start", (F.col("first") != F.col("doc")).alias("later"))
+    windows, same = window_hashes(_with_texts(kept, need.withColumn("wanted", F.col("shared"))), min_chars), ["w1", "w2"]
+    shared = cut(_in_two(windows, same))
+    found = fragment_join(windows, shared.drop("n"), same, F.struct("doc", "start"), plan_fragments(shared, same, weight="n"))
+    return found.select("doc", "start", (F.col("first") != F.col("doc")).alias("later"))
 
 
 def shared_coverage(docs: DataFrame, min_chars: int = 200, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -42,7 +42,7 @@ def data(seed=0):
     return [(i, t, "z") for i, t in enumerate(docs)] + [(1000, None, "z"), (1001, "", "z")]
 
 
-@pytest.mark.parametrize("seed", [0, 1, 2])
+@pytest.mark.parametrize("seed", [0, 1])
 def test_matches_brute_force(spark, seed):
     docs = data(seed)
     found, cover = brute(docs)
@@ -53,12 +53,18 @@ def test_matches_brute_force(spark, seed):
     assert all(0 <= r["removable_chars"] <= r["shared_chars"] <= r["n_chars"] for r in got)
 
 
-def test_many_documents_are_joined(spark, monkeypatch):
-    monkeypatch.setattr(S, "BROADCAST_IDS", 0)
+def test_a_full_sieve_keeps_all(spark, monkeypatch):
+    monkeypatch.setattr(S, "SIEVE_WORDS", 1)
     docs = data(4)
     assert {r["doc"] for r in S.sharing_documents(spark.createDataFrame(docs, DOCS)).collect()} == brute(docs)[0]
 
 
+def test_sieve(spark):
+    ids = spark.range(0, 1000, 7).selectExpr("id as doc")
+    got = {r["doc"] for r in S._sieved(spark.range(1000).selectExpr("id as doc"), ids).collect()}
+    assert {r["doc"] for r in ids.collect()} <= got and len(got) < 200
+
+
 def test_first_copy_is_kept(spark):
     docs = data(5)
     first = min(r["doc"] for r in S.shared_coverage(spark.createDataFrame(docs, DOCS)).collect())

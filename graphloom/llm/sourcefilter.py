@@ -8,10 +8,14 @@ A file is generated, minified, third-party or a data blob if one of these says s
   before the first line of code count, so code that writes such notices is no case;
 * the layout of its text (hardly any white space; mostly digits or one long literal);
 * the names of its functions and types (nearly all of them one to three characters);
-* its content: Merkle hashes are computed bottom-up, files first, then each folder from
-  its children's names and hashes, level by level; a subtree with the same hash in two
-  unrelated repositories was copied there. Files and folders with too little content to
-  tell have no hash in common; repositories that are alike as a whole are related.
+* its content: Merkle hashes are computed bottom-up over each repository's tree, files first,
+  then each folder from its children's names and hashes, level by level; a subtree with the
+  same hash in two unrelated repositories was copied there. A file has up to two leaves, its
+  text and the names it declares, and a tree is hashed in each view, since a copy's text is
+  not always there. A folder is hashed over the children that tell something and stands for
+  all in it if these are at least half of its files, so a copied folder in which some file
+  has neither text nor names is still found whole. Repositories that are alike as a whole
+  are related, and what only they share is no copy.
 
 Null paths are taken from the id, null names ignored; several lives or spellings of one
 file are one row; a null text has no evidence. Files of the kind ``file`` only.
@@ -26,6 +30,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from graphloom.operators.skew import fragment_join, plan_fragments
 from graphloom.plans.iterate import cut
 from graphloom.plans.ship import ship
 
@@ -36,14 +41,14 @@ GENERATED_PATH = (
     r"|\.pb\.(go|cc|h|swift|dart)$|_pb2(_grpc)?\.pyi?$|_pb\.(js|d\.ts|rb)$|\.(designer|generated|g|g\.i)\.[a-z]+$|(^|/)zz_generated[._]|_(gen|generated|autogen)\.[a-z]+$|(^|/)bindata(_[a-z0-9]+)?\.go$|(^|/)bindata_[^/]+\.go$"
 )
 MINIFIED_PATH = r"[.-]min\.(js|css|mjs|cjs)$|\.(bundle|umd|chunk|packed)\.js$|(^|/)dist/|(^|/)build/static/|(^|/)chunk-[0-9a-f]{6,}\.js$|\.[0-9a-f]{8,}\.js$"
-DATA_PATH = r"\.wasm\.js$|_base64_blob\.[a-z]+$|_table_dump\.[a-z]+$"
+DATA_PATH = r"\.wasm\.js$|[._-](blob|dump|base64|b64|datauri|hexdata)\.[a-z]+$"
 
 GENERATED_HEAD = re.compile(
     r"code generated by|@generated\b|auto-?generated\b|(produced|generated|created|written) automatically|automatically (produced|generated|created|written)|machine[- ]generated"
     r"|(do not|don't) (edit|modify)( this file)?( by hand)?\s*[.!]?\s*(\*/|-->)?$|(manual )?changes will be (lost|overwritten)|automatisch (erzeugt|generiert)|généré automatiquement|generado automáticamente",
     re.I,
 )
-VENDOR_HEAD = re.compile(r"\bvendored (from|copy)|third-party code|upstream copy|copied (verbatim )?(out of|from) the \S+ (project|library|repository)|part of the \S+ distribution", re.I)
+VENDOR_HEAD = re.compile(r"\bvendored\b.{0,20}\b(from|copy|version|release)|third[- ]party (code|source|library|module)|\bupstream (copy|version|release|source)|(copied|imported|taken|borrowed) (verbatim )?(out of|from) the \S+ (project|library|repository|package)|part of the \S+ (distribution|project|library|package)", re.I)
 COMMENT = re.compile(r"\s*(//|/\*|\*|--|;|<!--|\"\"\"|'''|#(?!\s*(include|define|if|ifdef|ifndef|pragma|import)\b))")
 SHORT_NAME = "^[a-z]([0-9][a-z]?|[a-z])?$"
 LITERAL = re.compile(r"[A-Za-z0-9+/=_-]{200}")
@@ -124,53 +129,62 @@ def files_of(nodes: DataFrame) -> DataFrame:
 
 
 def name_evidence(nodes: DataFrame) -> DataFrame:
-    """(repo, path, short, names, signature) from the names declared in each file."""
+    """(repo, path, short, names, declared) from the names declared in each file; ``declared`` is a hash of their set."""
     path = F.regexp_extract("id", "^[a-z]+:([^#]+)#", 1)
     rows = nodes.where("kind in ('function', 'method', 'type') and name is not null").select("repo", path.alias("path"), "name").where("path <> ''").distinct()
+    total = lambda *c: F.sum(F.xxhash64(*c).cast("decimal(38,0)")).cast("string")  # noqa: E731 - order does not matter
     return rows.groupBy("repo", "path").agg(
         F.count_if(F.col("name").rlike(SHORT_NAME)).alias("short"),
         F.count("*").alias("names"),
-        F.sum(F.xxhash64("name").cast("decimal(38,0)")).alias("signature"),  # order does not matter
+        F.sha2(F.concat_ws(":", F.count("*"), total("name"), total(F.lit("b"), F.col("name"))), 256).alias("declared"),
     )
 
 
+VIEWS = ("text", "declared")
+
+
 def shared_subtrees(files: DataFrame, min_files: int = 2) -> DataFrame:
     """(repo, path) of files in subtrees that unrelated repositories have alike.
 
-    ``files`` has (repo, path, content); a null content makes its folders unlike all others.
+    ``files`` has (repo, path) and a leaf hash for each of ``VIEWS``, null where there is too
+    little to tell. A folder's hash needs ``min_files`` files with a leaf below it.
     """
-    # leaves; a file without content hashes to itself, and so do the folders above it
-    leaf = F.coalesce(F.col("content"), F.concat(F.lit("?"), F.sha2(F.concat_ws("\n", "repo", "path"), 256)))
-    rows = files.select("repo", "path", leaf.alias("hash"), F.col("content").isNotNull().cast("long").alias("known"), F.size(F.split("path", "/")).alias("level"))
+    level = F.size(F.split("path", "/"))
+    leaf = [x for v in VIEWS for x in (F.col(v), F.col(v).isNotNull().cast("long").alias(f"{v}_n"))]
+    rows = files.select("repo", "path", *leaf, F.lit(1).cast("long").alias("files"), level.alias("level"))
     top = rows.agg(F.max("level")).first()[0] or 0
-    parent = F.regexp_replace("path", "/?[^/]*$", "")
-    entry = F.xxhash64(F.regexp_extract("path", "[^/]*$", 0), "hash").cast("decimal(38,0)")
-    entry2 = F.xxhash64("hash", F.lit("b"), F.regexp_extract("path", "[^/]*$", 0)).cast("decimal(38,0)")
+    parent, name = F.regexp_replace("path", "/?[^/]*$", ""), F.regexp_extract("path", "[^/]*$", 0)
     found, below = [], None
-    for level in range(top, 0, -1):
-        here = rows.where(F.col("level") == level)
-        here = here.select("repo", "path", "hash", "known", F.lit(1).cast("long").alias("files"))
+    for at in range(top, 0, -1):
+        here = rows.where(F.col("level") == at).drop("level")
         if below is not None:
             here = here.unionByName(below)
-        found.append(here.withColumn("level", F.lit(level)))
-        below = here.groupBy("repo", parent.alias("path")).agg(F.sum(entry).alias("e1"), F.sum(entry2).alias("e2"), F.sum("known").alias("known"), F.sum("files").alias("files"))
-        # cut, or the plan of each level would hold those of all deeper ones
-        below = cut(below.select("repo", "path", F.concat_ws(":", F.lit("d"), "e1", "e2").alias("hash"), "known", "files"))
+        found.append(here.withColumn("level", F.lit(at)))
+        sums = []
+        for v in VIEWS:
+            part = lambda *c, v=v: F.sum(F.when(F.col(v).isNotNull(), F.xxhash64(*c, name, v).cast("decimal(38,0)"))).cast("string")
+            sums += [F.when(F.count(v) > 0, F.sha2(F.concat_ws(":", F.count(v), part(), part(F.lit("b"))), 256)).alias(v), F.sum(f"{v}_n").alias(f"{v}_n")]
+        below = here.groupBy("repo", parent.alias("path")).agg(*sums, F.sum("files").alias("files"))
+        below = cut(below)  # or the plan of each level would hold those of all deeper ones
     if not found:
         return files.select("repo", "path").limit(0)
     trees = found[0]
     for more in found[1:]:
         trees = trees.unionByName(more)
-    alike = trees.where((F.col("known") == F.col("files")) & ((F.col("files") == 1) | (F.col("files") >= min_files)))
+    views = F.array(*[F.struct(F.lit(v).alias("view"), F.col(v).alias("hash"), F.col(f"{v}_n").alias("known")) for v in VIEWS])
+    alike = trees.select("repo", "path", "files", F.inline(views)).where("hash is not null").where(((F.col("files") == 1) | (F.col("known") >= min_files)) & (2 * F.col("known") >= F.col("files")))
     # related repositories have the same tree as a whole
-    roots = below.select("repo", F.col("hash").alias("root"))
-    alike = alike.join(roots, "repo", "left")
-    shared = alike.groupBy("hash").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("hash")
-    copied = alike.join(shared, "hash", "left_semi").select("repo", F.col("path").alias("top")).distinct()
+    roots = below.select("repo", F.inline(views)).select("repo", "view", F.col("hash").alias("root"))
+    alike = cut(fragment_join(alike, roots, ["repo", "view"], F.col("path"), plan_fragments(alike, ["repo", "view"]), "left"))
+    shared = cut(alike.groupBy("view", "hash").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).where("r0 <> r1").select("view", "hash", "n"))
+    # a content that very many repositories hold is spread over tasks
+    copied = fragment_join(alike, shared.drop("n"), ["view", "hash"], F.struct("repo", "path"), plan_fragments(shared, ["view", "hash"], weight="n"), "left_semi")
+    copied = copied.select("repo", F.col("path").alias("top")).distinct()
     # a file is copied if it or one of its folders is
-    steps = F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda k: F.array_join(F.slice(F.split("path", "/"), 1, k), "/"))
+    steps = F.transform(F.sequence(F.lit(1), level), lambda k: F.array_join(F.slice(F.split("path", "/"), 1, k), "/"))
     above = files.select("repo", "path", F.explode(steps).alias("top"))
-    return above.join(copied, ["repo", "top"], "left_semi").select("repo", "path").distinct()
+    inside = fragment_join(above, copied, ["repo", "top"], F.col("path"), plan_fragments(above, ["repo", "top"]), "left_semi")
+    return inside.select("repo", "path").distinct()
 
 
 def not_hand_written(nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -179,11 +193,10 @@ def not_hand_written(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     texts = text_evidence(docs).groupBy("repo", "path").agg(F.min("reason").alias("text_reason"), F.min("content").alias("content"))
     names = name_evidence(nodes)
     every = files.join(texts, ["repo", "path"], "left").join(names, ["repo", "path"], "left")
-    by_names = F.col("signature").isNotNull() & (F.col("names") >= 4)
-    leaf = F.coalesce("content", F.when(by_names, F.concat_ws(":", F.lit("n"), "names", "signature")))
     short = (F.col("short") >= 2) & (F.col("short") >= 0.6 * F.col("names"))
     own = F.array(path_reason(F.col("path")), path_reason(F.col("name")), F.col("text_reason"), F.when(short, F.lit("minified")))
-    every = cut(every.select("repo", "id", "path", leaf.alias("content"), F.array_distinct(F.array_compact(own)).alias("own")))
-    copied = shared_subtrees(every.select("repo", "path", "content")).withColumn("copied", F.lit(True))
+    every = every.select("repo", "id", "path", F.col("content").alias("text"), F.when(F.col("names") >= 4, F.col("declared")).alias("declared"), F.array_distinct(F.array_compact(own)).alias("own"))
+    every = cut(every)
+    copied = shared_subtrees(every.select("repo", "path", *VIEWS)).withColumn("copied", F.lit(True))
     reasons = F.array_union("own", F.when(F.col("copied"), F.array(F.lit("third-party"))).otherwise(F.array().cast("array<string>")))
     return every.join(copied, ["repo", "path"], "left").select("repo", "id", "path", reasons.alias("reasons")).where(F.size("reasons") > 0)

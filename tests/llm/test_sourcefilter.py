@@ -69,6 +69,29 @@ def test_shared_subtrees(spark):
     assert found(spark, nodes, docs) == {("r", "file:lib/x/a.go"), ("r", "file:lib/x/b.go"), ("s", "file:copy/x/a.go"), ("s", "file:copy/x/b.go")}
 
 
+def test_a_vendored_tree_under_a_neutral_path(spark):
+    """Copies in unrelated repositories: by text here, by declared names there, one file without either."""
+    body = lambda k: f"func Alpha{k}() {{ return beta + gamma{k} }}\n" * 8
+    nodes, docs = [], []
+    for repo, root in (("r", "src/core/net"), ("s", "lib/net"), ("t", "net")):
+        nodes += [file(repo, f"{root}/{x}.go") for x in "abc"] + [file(repo, f"own{repo}.go")]
+        docs.append((repo, f"own{repo}.go", body(f"own{repo}"), "code"))
+        for x in "ab":
+            if repo != "t":
+                docs.append((repo, f"{root}/{x}.go", body(x), "code"))
+            nodes += [(repo, f"func:{root}/{x}.go#F{x}{k}", "function", f"Walk{x}{k}", None, None, None) for k in range(5)]
+    want = {(repo, f"file:{root}/{x}.go") for repo, root in (("r", "src/core/net"), ("s", "lib/net"), ("t", "net")) for x in "abc"}
+    assert found(spark, nodes, docs) == want
+    assert found(spark, [n for n in nodes if n[0] == "r"], [d for d in docs if d[0] == "r"]) == set()
+
+
+def test_a_content_of_many_repositories(spark):
+    body = "func Alpha() { return beta + gamma }\n" * 8
+    nodes = [file(f"r{i}", f"p{i}/x.go") for i in range(60)] + [file(f"r{i}", f"own{i}.go") for i in range(60)]
+    docs = [(f"r{i}", f"p{i}/x.go", body, "code") for i in range(60)] + [(f"r{i}", f"own{i}.go", body + str(i), "code") for i in range(60)]
+    assert found(spark, nodes, docs) == {(f"r{i}", f"file:p{i}/x.go") for i in range(60)}
+
+
 def test_forks_are_related(spark):
     body = "func Alpha() { return beta + gamma }\n" * 8
     nodes = [file("r", "a/b.go"), file("fork", "a/b.go")]

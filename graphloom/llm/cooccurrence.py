@@ -5,8 +5,8 @@ items count. The state (``PairStore``) is a folder with the baskets' contents, p
 (support and decayed weight), item counts, basket counts and association scores, each split
 into hash buckets. A delivery is joined with the stored contents of its baskets; the changed
 ones give signed deltas (minus the old basket's pairs and items, plus the new one's), deltas
-are merged into the buckets they touch, and of the pairs with an item of a changed basket
-the scores are computed again. The number of baskets of a repository, which changes all its
+are merged into the buckets they touch, and the buckets that hold a changed pair or a pair
+with an item of a changed basket get their scores computed again. The number of baskets of a repository, which changes all its
 lifts at once, is kept apart and joined where scores are read.
 
 Versions: an update writes the new files of the touched buckets beside the old ones and then
@@ -84,32 +84,32 @@ def decay(committed_at: Column, as_of: str, half_life_days: float) -> Column:
     return F.when(age.isNull(), 0.0).otherwise(F.pow(F.lit(0.5), F.greatest(age, F.lit(0.0)) / F.lit(half_life_days)))
 
 
-def signed(merged: DataFrame, least: int) -> DataFrame:
-    """The counted contents of changed baskets: new ones with sign 1, replaced ones with sign -1."""
+def signed(changed: DataFrame, least: int) -> DataFrame:
+    """The counted contents of changed baskets: new ones with sign 1, replaced ones (t0, p0) with sign -1."""
     sides = F.array(
         F.struct(F.col("committed_at").alias("committed_at"), F.col("paths").alias("paths"), F.lit(1).alias("sign")),
         F.struct(F.col("t0").alias("committed_at"), F.col("p0").alias("paths"), F.lit(-1).alias("sign")),
     )
-    return merged.where("changed").select("repo", F.inline(sides)).where(F.size("paths") >= least)
+    return changed.select("repo", F.inline(sides)).where(F.size("paths") >= least)
 
 
-def pair_deltas(changes: DataFrame, as_of: str, half_life_days: float) -> DataFrame:
+def pair_rows(changes: DataFrame, as_of: str, half_life_days: float) -> DataFrame:
+    """PAIR, support (1 or -1), weight: the signed pairs of changed baskets."""
     pairs = F.expr("flatten(transform(paths, (a, i) -> transform(slice(paths, i + 2, size(paths)), b -> struct(a as path_a, b as path_b))))")
     weight = (F.col("sign") * decay(F.col("committed_at"), as_of, half_life_days)).cast("decimal(13,12)")
-    rows = changes.select("repo", "sign", weight.alias("w"), F.inline(pairs))
-    return rows.groupBy(*PAIR).agg(F.sum("sign").alias("support"), F.sum("w").cast(WEIGHT).alias("weight"))
+    return changes.select("repo", F.col("sign").cast("long").alias("support"), weight.cast(WEIGHT).alias("weight"), F.inline(pairs)).select(*PAIR, "support", "weight")
 
 
-def item_deltas(changes: DataFrame) -> DataFrame:
-    return changes.select("repo", "sign", F.explode("paths").alias("path")).groupBy("repo", "path").agg(F.sum("sign").alias("n"))
+def item_rows(changes: DataFrame) -> DataFrame:
+    return changes.select("repo", F.explode("paths").alias("path"), F.col("sign").cast("long").alias("n"))
 
 
-def basket_deltas(changes: DataFrame) -> DataFrame:
-    return changes.groupBy("repo").agg(F.sum("sign").alias("baskets"))
+def basket_rows(changes: DataFrame) -> DataFrame:
+    return changes.select("repo", F.col("sign").cast("long").alias("baskets"))
 
 
 def merge(state: DataFrame, deltas: DataFrame, keys: list[str], count: str) -> DataFrame:
-    """State plus deltas; rows whose count falls to 0 are gone."""
+    """State plus signed deltas, summed on the map side first; rows whose count falls to 0 are gone."""
     sums = [F.sum(c).cast(dict(state.dtypes)[c]).alias(c) for c in state.columns if c not in keys]
     return state.unionByName(deltas).groupBy(*keys).agg(*sums).where(F.col(count) != 0)
 
@@ -170,7 +170,7 @@ class PairStore:
     def _bucket(self, table: str, buckets: int) -> Column:
         return F.pmod(F.xxhash64(*KEYS[table]), F.lit(buckets)).cast("int")
 
-    def read(self, table: str, at: list[int] | None = None, manifest: dict | None = None) -> DataFrame:
+    def read(self, table: str, at: set[int] | None = None, manifest: dict | None = None) -> DataFrame:
         """A table of the state, or only its buckets ``at``."""
         parts = (manifest or self.manifest())["tables"][table]["parts"]
         paths = [f"{self.root}/{f}/{table}/bucket={b}" for b, f in parts.items() if at is None or int(b) in at]
@@ -179,25 +179,27 @@ class PairStore:
         return self.spark.read.schema(SCHEMAS[table]).option("recursiveFileLookup", "true").parquet(*paths)
 
     # -- updates --------------------------------------------------------------------------
-    def _replace(self, old: dict, new: dict, folder: str, table: str, rows, touching: DataFrame, expected: int) -> None:
-        """Write the buckets of ``table`` that ``touching`` (with its keys) falls into.
-
-        ``rows(state)`` gives their new rows from their old ones.
-        """
+    def _layout(self, old: dict, table: str, expected: int) -> int:
+        """The number of buckets: doubled when they would hold more than ``ROWS_PER_BUCKET`` rows each."""
         was = old["tables"][table]
         n = was["buckets"] or self.buckets or tasks_of(self.spark)
         held = self.read(table, manifest=old).count() if was["parts"] else 0  # from the files' footers
-        while self.buckets is None and (held + expected) > n * ROWS_PER_BUCKET:
+        while self.buckets is None and held + expected > n * ROWS_PER_BUCKET:
             n *= 2
-        if n != was["buckets"]:
-            at, state = None, self.read(table, manifest=old)
-        else:
-            at = [r[0] for r in touching.select(self._bucket(table, n)).distinct().collect()]  # at most ``n`` numbers
-            state = self.read(table, at, old)
+        return n
+
+    def _touched(self, table: str, n: int, rows: DataFrame) -> set[int]:
+        return {r[0] for r in rows.select(self._bucket(table, n)).distinct().collect()}  # at most ``n`` numbers
+
+    def _replace(self, old: dict, new: dict, folder: str, table: str, n: int, at: set[int], rows) -> None:
+        """Write the buckets ``at`` of ``table``, of ``n``; ``rows(state)`` gives their new rows from their old ones."""
+        was = old["tables"][table]
+        same = n == was["buckets"]
+        state = self.read(table, at if same else None, old)
         out = rows(state).select(*state.columns).withColumn("bucket", self._bucket(table, n))
         out.repartition(min(n, tasks_of(self.spark)), "bucket").write.partitionBy("bucket").parquet(f"{self.root}/{folder}/{table}")
         made = {x.split("=")[1]: folder for x in self._list(f"{folder}/{table}") if x.startswith("bucket=")}
-        kept = {} if at is None else {b: f for b, f in was["parts"].items() if int(b) not in at}
+        kept = {b: f for b, f in was["parts"].items() if int(b) not in at} if same else {}
         new["tables"][table] = {"buckets": n, "parts": kept | made}
 
     def update(self, commits: DataFrame) -> int:
@@ -205,43 +207,43 @@ class PairStore:
         old = self.manifest()
         new = {"version": old["version"] + 1, "tables": {}}
         folder = f"v{new['version']:08d}-{uuid.uuid4().hex[:8]}"
-        given = cut(contents(commits, self.most))
-        touching = given.select(*BASKET)
         # contents that were stored before meet the delivered ones
-        held = old["tables"]["baskets"]
-        at = [r[0] for r in touching.select(self._bucket("baskets", held["buckets"])).distinct().collect()] if held["buckets"] else []
-        before = self.read("baskets", at, old).select(*BASKET, F.col("committed_at").alias("t0"), F.col("paths").alias("p0"), F.lit(True).alias("was"))
-        both = given.join(before, BASKET, "left")
+        held = old["tables"]["baskets"]["buckets"]
+        before = self.read("baskets", self._touched("baskets", held, commits) if held else set(), old)
+        before = before.select(*BASKET, F.col("committed_at").alias("t0"), F.col("paths").alias("p0"), F.lit(True).alias("was"))
+        both = contents(commits, self.most).join(before, BASKET, "left")
         paths = F.when(F.col("was").isNull(), F.col("paths")).when(F.col("p0").isNotNull() & F.col("paths").isNotNull(), F.array_sort(F.array_union("p0", "paths")))
         both = both.select(*BASKET, F.greatest("t0", "committed_at").alias("committed_at"), F.when(F.size(paths) <= self.most, paths).alias("paths"), "t0", "p0", "was")
         same = F.col("was").isNotNull() & F.col("p0").eqNullSafe(F.col("paths")) & F.col("t0").eqNullSafe(F.col("committed_at"))
-        merged = cut(both.select("*", (~same).alias("changed")))
-        changed = merged.where("changed").select(*BASKET, "committed_at", "paths")
-        self._replace(old, new, folder, "baskets", lambda state: state.join(changed.select(*BASKET), BASKET, "left_anti").unionByName(changed), changed, changed.count())
-
+        merged = cut(both.where(~same))
+        changed = merged.select(*BASKET, "committed_at", "paths")
         changes = signed(merged, self.least)
         size = F.size("paths").cast("long")
-        most_pairs, most_items, repos = changes.agg(F.sum(size * (size - 1) / 2), F.sum(size), F.count_distinct("repo")).first()
-        pairs, items, totals = pair_deltas(changes, self.as_of, self.half_life_days), item_deltas(changes), basket_deltas(changes)
-        touched = changes.select("repo", F.explode("paths").alias("path")).distinct()
-        pairs = cut(pairs)  # written once and asked for its buckets
-        self._replace(old, new, folder, "pairs", lambda state: merge(state, pairs, PAIR, "support"), pairs, int(most_pairs or 0))
-        self._replace(old, new, folder, "items", lambda state: merge(state, items, ["repo", "path"], "n"), touched, most_items or 0)
-        self._replace(old, new, folder, "totals", lambda state: merge(state, totals, ["repo"], "baskets"), totals, repos or 0)
-
-        # scores of the pairs with an item of a changed basket
-        counts = self.read("items", manifest=new).join(touched.withColumn("t", F.lit(True)), ["repo", "path"], "left")
-        fresh = self._counted(self.read("pairs", manifest=new).where(F.col("support") >= self.min_support), cut(counts))
-        fresh = cut(fresh)
-        moved = fresh.select(*PAIR).unionByName(pairs.select(*PAIR))  # the latter may have fallen below the least support
-        self._replace(old, new, folder, "scores", lambda state: state.join(moved, PAIR, "left_anti").unionByName(fresh), moved, int(most_pairs or 0))
+        most_pairs, most_items, repos = (int(x or 0) for x in changes.agg(F.sum(size * (size - 1) / 2), F.sum(size), F.approx_count_distinct("repo")).first())
+        n = self._layout(old, "baskets", changed.count())
+        self._replace(old, new, folder, "baskets", n, self._touched("baskets", n, changed), lambda state: state.join(changed.select(*BASKET), BASKET, "left_anti").unionByName(changed))
+
+        pairs, items, totals = pair_rows(changes, self.as_of, self.half_life_days), item_rows(changes), basket_rows(changes)
+        at = {}
+        for table, rows, expected, count in (("pairs", pairs, most_pairs, "support"), ("items", items, most_items, "n"), ("totals", totals, repos, "baskets")):
+            n = self._layout(old, table, expected)
+            at[table] = self._touched(table, n, rows)
+            self._replace(old, new, folder, table, n, at[table], lambda state, r=rows, t=table, c=count: merge(state, r, KEYS[t], c))
+
+        # scores: of the buckets that hold a changed pair, or a pair with an item of a changed basket
+        touched = items.select("repo", "path", F.lit(True).alias("t")).distinct()
+        counts = cut(self.read("items", manifest=new).join(touched, ["repo", "path"], "left"))
+        scored = cut(self._counted(self.read("pairs", manifest=new).where(F.col("support") >= self.min_support), counts))
+        n = new["tables"]["pairs"]["buckets"]
+        at = at["pairs"] | self._touched("scores", n, scored.where("t"))
+        self._replace(old, new, folder, "scores", n, at, lambda _: scored.where(self._bucket("scores", n).isin(*at)))
         self._commit(new)
         self._prune()
         return new["version"]
 
     @staticmethod
     def _counted(pairs: DataFrame, counts: DataFrame) -> DataFrame:
-        """``pairs`` of which an item is marked in ``counts`` (repo, path, n, t), with n_a and n_b."""
+        """``pairs`` with n_a and n_b, and ``t`` where an item is marked in ``counts`` (repo, path, n, t)."""
         key = lambda side: F.struct("repo", F.col(f"path_{side}").alias("path")).alias(f"k_{side}")
         pairs = pairs.select("*", key("a"), key("b"))
         plans = {side: plan_fragments(pairs, f"k_{side}") for side in "ab"}
@@ -249,7 +251,7 @@ class PairStore:
         for side, plan in plans.items():
             of = counts.select(F.struct("repo", "path").alias(f"k_{side}"), F.col("n").alias(f"n_{side}"), F.col("t").alias(f"t_{side}"))
             out = fragment_join(out, of, f"k_{side}", F.struct(*PAIR), plan)
-        return out.where("t_a or t_b").select(*PAIR, "support", "weight", "n_a", "n_b")
+        return out.select(*PAIR, "support", "weight", "n_a", "n_b", F.coalesce("t_a", "t_b", F.lit(False)).alias("t"))
 
     def scores(self) -> DataFrame:
         """PAIR, support, weight, n_a, n_b, baskets, lift of the newest version."""

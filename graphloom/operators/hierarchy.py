@@ -8,8 +8,12 @@ parents or below one. ``a`` is an ancestor of ``b`` in a file exactly if
 
 Files are moved whole to tasks by one shuffle and solved there with array operations, all
 files of a task at once, level by level. A file with more than ``max_file_rows`` rows does
-not fit that scheme; such files take the same steps with distributed joins (pointer
-doubling for root and depth, then level by level for sizes, ranges and paths).
+not fit one task's memory; such files are solved by distributed joins with the same result.
+There the walk around the forest (into each span, through its children in order, out again)
+is a linked list of two places per span, whose prefix sums by pointer doubling give
+preorder, depth, subtree size and root at once: a join of all places per doubling, so the
+rounds grow with the logarithm of the file's size, not with its depth. Places that never
+find the list's start are on a circle or below one.
 
 Rules. Ids are trimmed and lower-cased; null, empty and all-zero ids mean none; rows
 without a span id are left out. Of several rows of a span the latest ``received_at``
@@ -26,15 +30,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from graphloom.plans.iterate import cut
+from graphloom.operators.skew import fragment_join, plan_fragments
+from graphloom.plans.iterate import cut, discard, written
 from graphloom.plans.ship import ship
 from graphloom.plans.tables import tasks_of
 
 BLANK = " \t\r\n"
 CHUNKS = 256
 ROWS_PER_TASK = 250_000
+SIEVE_WORDS = 1 << 18
 TREE = "trace_file string, span_id string, parent_id string, root string, depth int, pre long, descendants long, rootless boolean"
 PATHS = TREE + ", path string"
 
@@ -184,89 +190,94 @@ def forest(spans: DataFrame, paths: bool = False, max_file_rows: int = 1_000_000
     """One row per span: ``TREE`` (and ``path`` if wanted, ids from the root joined by ``/``).
 
     ``max_file_rows`` bounds what one task must hold of a single file; larger files are
-    solved by distributed joins, with the same result. At most rows / max_file_rows names
-    of such files reach the driver.
+    solved by distributed joins, with the same result. The two are told apart by a bitmap of
+    hashed file names of fixed size; a small file that shares a larger one's bit goes its way.
     """
     ship(spans.sparkSession)
     rows = prepare(spans)
     sizes = rows.groupBy("trace_file").count()
-    seen = sizes.agg(F.sum("count"), F.collect_list(F.when(F.col("count") > max_file_rows, F.struct("trace_file")))).first()
-    hot = [r["trace_file"] for r in seen[1]]
-    is_hot = F.lit(False)
-    if hot:
-        is_hot = F.coalesce(F.col("trace_file").isin([h for h in hot if h is not None]), F.lit(None in hot))
+    total, large = sizes.agg(F.sum("count"), F.count_if(F.col("count") > max_file_rows)).first()
     # a task holds its share of the rows in memory: as many tasks as that takes
-    parts = parts or max(tasks_of(spans.sparkSession), -(-(seen[0] or 0) // ROWS_PER_TASK))
-    light = rows.where(~is_hot).repartition(parts, "trace_file").mapInArrow(_solver(paths), PATHS if paths else TREE)
-    return light.unionByName(forest_by_joins(rows.where(is_hot), paths)) if hot else light
+    parts = parts or max(tasks_of(spans.sparkSession), -(-(total or 0) // ROWS_PER_TASK))
+    solve_whole = lambda df: df.repartition(parts, "trace_file").mapInArrow(_solver(paths), PATHS if paths else TREE)
+    if not large:
+        return solve_whole(rows)
+    place = f"pmod(xxhash64(trace_file), {64 * SIEVE_WORDS}L)"
+    word, bit = F.expr(f"shiftright({place}, 6)"), F.expr(f"shiftleft(1L, cast({place} % 64 as int))")
+    marks = sizes.where(F.col("count") > max_file_rows).select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    marked = rows.withColumn("_word", word).join(F.broadcast(marks), "_word", "left")  # at most SIEVE_WORDS rows
+    is_large = F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))
+    return solve_whole(marked.where(~is_large).select(rows.columns)).unionByName(forest_by_joins(marked.where(is_large).select(rows.columns), paths))
 
 
 def resolve_parents(rows: DataFrame) -> DataFrame:
-    """(trace_file, sid, parent_id, chunk) with the parent rules, by joins."""
-    latest = rows.groupBy("trace_file", "sid", "chunk").agg(F.max_by(F.struct("p1", "p2", "name", "pname"), F.struct("recv", "tie")).alias("r")).select("trace_file", "sid", "chunk", "r.*")
+    """(f, sid, parent_id, chunk) with the parent rules, by joins; ``f`` is the file as a key that is never null."""
+    f = F.coalesce(F.concat(F.lit("="), "trace_file"), F.lit("")).alias("f")
+    latest = rows.groupBy(f, "sid", "chunk").agg(F.max_by(F.struct("p1", "p2", "name", "pname"), F.struct("recv", "tie")).alias("r")).select("f", "sid", "chunk", "r.*")
     latest = cut(latest)
-    ids = latest.select(F.col("trace_file").alias("f"), F.col("sid").alias("i"))
-    named = latest.where("name is not null").groupBy(F.col("trace_file").alias("f"), F.col("name").alias("nm")).agg(F.count("*").alias("c"), F.min("sid").alias("by_name")).where("c = 1").drop("c")
-    out = latest.join(ids.withColumnRenamed("i", "by_p1"), F.col("trace_file").eqNullSafe(F.col("f")) & (F.col("p1") == F.col("by_p1")), "left").drop("f")
-    out = out.join(ids.withColumnRenamed("i", "by_p2"), F.col("trace_file").eqNullSafe(F.col("f")) & (F.col("p2") == F.col("by_p2")), "left").drop("f")
-    out = out.join(named, F.col("trace_file").eqNullSafe(F.col("f")) & (F.col("pname") == F.col("nm")), "left")
-    return out.select("trace_file", "sid", "chunk", F.coalesce("by_p1", "by_p2", "by_name").alias("parent_id"))
+    ids = latest.select("f", F.col("sid").alias("i"))
+    named = latest.where("name is not null").groupBy("f", F.col("name").alias("pname")).agg(F.count("*").alias("c"), F.min("sid").alias("by_name")).where("c = 1").drop("c")
+    # many spans may give one parent: the known parents are replicated to where those are spread
+    out = latest.select("f", "sid", "chunk", "p1", "p2", "pname")
+    for key, of, found in (("p1", ids, "by_p1"), ("p2", ids, "by_p2"), ("pname", named, "by_name")):
+        of = of.withColumn(found, F.col("i")).withColumnRenamed("i", key) if of is ids else of
+        keyed = fragment_join(out, of, ["f", key], F.col("sid"), plan_fragments(latest, ["f", key]), "left")
+        out = keyed.unionByName(out.where(F.col(key).isNull()).withColumn(found, F.lit(None).cast("string")))
+    return out.select("f", "sid", "chunk", F.coalesce("by_p1", "by_p2", "by_name").alias("parent_id"))
+
+
+def _walk(tree: DataFrame) -> DataFrame:
+    """(f, at, jump, s, d, r): the places of the walk around each file's forest, each with the one before it.
+
+    ``at`` is ``<ID`` into a span and ``>ID`` out of it; ``s`` and ``d`` count what the place
+    before adds to preorder and depth, ``r`` is the root entered at the place itself.
+    """
+    up = F.coalesce("parent_id", F.lit("")).alias("up")  # roots are siblings below the empty id
+    kin = tree.select("f", "sid", "chunk", up)
+    # siblings in the order of (chunk, sid): links inside chunks, then from chunk to chunk
+    inner = Window.partitionBy("f", "up", "chunk").orderBy("sid")
+    kin = kin.withColumn("left", F.lag("sid").over(inner))
+    chunks = kin.groupBy("f", "up", "chunk").agg(F.min("sid").alias("sid"), F.max("sid").alias("tail"))
+    outer = Window.partitionBy("f", "up").orderBy("chunk")  # at most CHUNKS rows
+    heads = chunks.select("f", "up", "sid", F.lag("tail").over(outer).alias("across"))
+    last = chunks.groupBy("f", F.col("up").alias("sid")).agg(F.max_by("tail", "chunk").alias("child"))
+    kin = kin.join(heads, ["f", "up", "sid"], "left").join(last, ["f", "sid"], "left")
+    left, root = F.coalesce("left", "across"), F.col("up") == ""
+    enters = kin.select("f", F.concat(F.lit("<"), "sid").alias("at"), F.when(left.isNotNull(), F.concat(F.lit(">"), left)).when(~root, F.concat(F.lit("<"), "up")).alias("jump"), F.when(root, F.col("sid")).alias("r"))
+    leaves = kin.select("f", F.concat(F.lit(">"), "sid").alias("at"), F.coalesce(F.concat(F.lit(">"), "child"), F.concat(F.lit("<"), "sid")).alias("jump"), F.lit(None).cast("string").alias("r"))
+    into = F.col("jump").startswith("<")
+    return enters.unionByName(leaves).select("f", "at", "jump", F.when(into, 1).otherwise(0).cast("long").alias("s"), F.when(F.col("jump").isNull(), 0).when(into, 1).otherwise(-1).cast("long").alias("d"), "r")
 
 
 def forest_by_joins(rows: DataFrame, paths: bool = False) -> DataFrame:
-    """``forest`` for files of any size; ``rows`` as ``prepare`` makes them."""
-    from pyspark.sql import Window
-
-    tree = cut(resolve_parents(rows))
-    # pointer doubling: after k rounds every span at depth <= 2^k knows its root
-    state = tree.select("trace_file", "sid", F.coalesce("parent_id", "sid").alias("jump"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).alias("dist"), F.col("parent_id").isNull().alias("done"))
-    state, known = cut(state), -1
-    while (now := state.where("done").count()) > known:
+    """``forest`` for files of any size and depth; ``rows`` as ``prepare`` makes them."""
+    tree = written(resolve_parents(rows))
+    state, known = written(_walk(tree)), -1
+    # after k rounds the first 2^k places of each list know their sums; circles never do
+    while (now := state.where("jump is null").count()) > known:
         known = now
-        to = state.select(F.col("trace_file").alias("f"), F.col("sid").alias("i"), F.col("jump").alias("j2"), F.col("dist").alias("d2"), F.col("done").alias("e2"))
-        moved = state.where("not done").join(to, F.col("trace_file").eqNullSafe(F.col("f")) & (F.col("jump") == F.col("i")))
-        moved = moved.select("trace_file", "sid", F.col("j2").alias("jump"), (F.col("dist") + F.col("d2")).alias("dist"), F.col("e2").alias("done"))
-        state = cut(state.where("done").unionByName(moved))
-    placed = state.select("trace_file", "sid", F.when(F.col("done"), F.col("jump")).alias("root"), F.when(F.col("done"), F.col("dist")).cast("int").alias("depth"))
-    tree = tree.withColumnRenamed("trace_file", "f").withColumnRenamed("sid", "s")
-    tree = cut(placed.join(tree, F.col("trace_file").eqNullSafe(F.col("f")) & (F.col("sid") == F.col("s"))).drop("f", "s"))
-    deepest = tree.agg(F.max("depth")).first()[0]
-    same_parent = lambda up: F.col("trace_file").eqNullSafe(F.col("f")) & (F.col(up) == F.col("i"))
-
-    levels: dict[int, DataFrame] = {}
-    sums = None
-    for d in range(deepest if deepest is not None else -1, -1, -1):  # upward: sizes
-        level = tree.where(F.col("depth") == d)
-        if sums is not None:
-            level = level.join(sums, same_parent("sid"), "left").drop("f", "i")
-        level = level.withColumn("size", F.lit(1) + (F.coalesce("below", F.lit(0)) if sums is not None else F.lit(0)).cast("long")).drop("below")
-        levels[d] = level = cut(level)
-        sums = level.groupBy(F.col("trace_file").alias("f"), F.col("parent_id").alias("i")).agg(F.sum("size").alias("below"))
-
-    done, upper = [], None
-    for d in range(len(levels)):  # downward: ranges; siblings ordered by (chunk, sid), summed chunk by chunk
-        level = levels[d]
-        family = [F.col("trace_file"), F.col("parent_id")]
-        inside = F.sum("size").over(Window.partitionBy(*family, "chunk").orderBy("sid").rowsBetween(Window.unboundedPreceding, -1))
-        level = level.withColumn("ahead", F.coalesce(inside, F.lit(0)))
-        chunks = level.groupBy(*family, "chunk").agg(F.sum("size").alias("cs"))
-        before = F.sum("cs").over(Window.partitionBy(*family).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
-        chunks = chunks.select(F.col("trace_file").alias("f"), F.col("parent_id").alias("q"), F.col("chunk").alias("k"), F.coalesce(before, F.lit(0)).alias("offset"))
-        level = level.join(chunks, F.col("trace_file").eqNullSafe(F.col("f")) & F.col("parent_id").eqNullSafe(F.col("q")) & (F.col("chunk") == F.col("k"))).drop("f", "q", "k")
-        start = F.col("ahead") + F.col("offset")
-        if upper is None:
-            level = level.withColumn("pre", start).withColumn("path", F.concat(F.lit("/"), "sid"))
-        else:
-            up = upper.select(F.col("trace_file").alias("f"), F.col("sid").alias("i"), F.col("pre").alias("up_pre"), F.col("path").alias("up_path"))
-            level = level.join(up, same_parent("parent_id")).withColumn("pre", F.col("up_pre") + 1 + start).withColumn("path", F.concat("up_path", F.lit("/"), "sid")).drop("f", "i")
-        upper = cut(level)
-        done.append(upper)
-
-    shape = ["trace_file", F.col("sid").alias("span_id"), "parent_id", "root", "depth"]
-    out = tree.where("depth is null").select(*shape, F.lit(None).cast("long").alias("pre"), F.lit(None).cast("long").alias("descendants"), F.lit(True).alias("rootless"), F.lit(None).cast("string").alias("path"))
-    for level in done:
-        out = out.unionByName(level.select(*shape, F.col("pre").cast("long"), (F.col("size") - 1).alias("descendants"), F.lit(False).alias("rootless"), "path"))
-    return out if paths else out.drop("path")
+        to = state.select("f", F.col("at").alias("jump"), F.col("jump").alias("j2"), F.col("s").alias("s2"), F.col("d").alias("d2"), F.col("r").alias("r2"))
+        moved = state.where("jump is not null").join(to, ["f", "jump"])
+        moved = moved.select("f", "at", F.col("j2").alias("jump"), (F.col("s") + F.col("s2")).alias("s"), (F.col("d") + F.col("d2")).alias("d"), F.coalesce("r", "r2").alias("r"))
+        state, old = written(state.where("jump is null").unionByName(moved)), state
+        discard(old)
+    way = F.col("at").startswith("<")
+    spans = state.where("jump is null").groupBy("f", F.expr("substr(at, 2)").alias("sid")).agg(
+        F.max(F.when(way, F.col("s"))).alias("pre"), F.max(F.when(~way, F.col("s"))).alias("end"), F.max(F.when(way, F.col("d"))).cast("int").alias("depth"), F.max(F.when(way, F.col("r"))).alias("root")
+    )
+    out = tree.join(spans, ["f", "sid"], "left")
+    shape = [F.when(F.col("f") != "", F.expr("substr(f, 2)")).alias("trace_file"), F.col("sid").alias("span_id"), "parent_id", "root", "depth", "pre", (F.col("end") - F.col("pre") - 1).alias("descendants"), F.col("pre").isNull().alias("rootless")]
+    if not paths:
+        return out.select(*shape)
+    # paths by doubling: 2^k ids after k rounds
+    own = F.concat(F.lit("/"), "sid")
+    line = written(out.where("pre is not null").select("f", "sid", F.col("parent_id").alias("jump"), own.alias("path")))
+    while not line.where("jump is not null").isEmpty():
+        to = line.select("f", F.col("sid").alias("jump"), F.col("jump").alias("j2"), F.col("path").alias("p2"))
+        moved = line.where("jump is not null").join(to, ["f", "jump"]).select("f", "sid", F.col("j2").alias("jump"), F.concat("p2", "path").alias("path"))
+        line, old = written(line.where("jump is null").unionByName(moved)), line
+        discard(old)
+    return out.join(line.select("f", "sid", "path"), ["f", "sid"], "left").select(*shape, "path")
 
 
 def rootless(spans: DataFrame, max_file_rows: int = 1_000_000) -> DataFrame:

@@ -65,8 +65,8 @@ def cases(seed=0):
 @pytest.mark.parametrize("limit", [1_000_000, 0])
 def test_forest_matches_brute_force(spark, limit):
     rows = cases()
-    if not limit:  # the distributed way, on fewer rows
-        rows = [r for r in rows if r[0] in ("loop", "deep")] + [row("flat", f"f{i}", "f0" if i else None) for i in range(20)]
+    if not limit:  # the distributed way
+        rows = rows + [row("flat", f"f{i}", "f0" if i else None) for i in range(20)]
     want = brute(rows)
     got = hierarchy.forest(spark.createDataFrame(rows, SCHEMA), paths=True, max_file_rows=limit).collect()
     assert {(r["trace_file"], r["span_id"]): (r["parent_id"], r["root"], r["depth"], r["path"]) for r in got} == want
@@ -86,6 +86,19 @@ def test_both_ways_agree(spark):
     assert a == b
 
 
+def test_a_long_chain_of_a_large_file(spark):
+    n = 3000
+    rows = spark.range(n).selectExpr("'t' as trace_file", "concat('s', id) as span_id", "case when id > 0 then concat('s', id - 1) end as parent_span_id", "'n' as name", "cast(null as string) as parent", "timestamp_ntz '2025-01-01' as received_at")
+    got = hierarchy.forest(rows, max_file_rows=100).selectExpr("count(*)", "max(depth)", "max(descendants)", "count_if(pre = depth and root = 's0' and depth + descendants = 2999)").first()
+    assert tuple(got) == (n, n - 1, n - 1, n)
+
+
+def test_small_files_beside_a_large_one(spark):
+    rows = [row("big", f"s{i}", f"s{i // 3}" if i else None) for i in range(40)] + [row("small", "a"), row("small", "b", "a"), row(None, "c", "c")]
+    a, b = (sorted(map(tuple, hierarchy.forest(spark.createDataFrame(rows, SCHEMA), max_file_rows=m).collect()), key=str) for m in (1000, 10))
+    assert a == b and len(a) == 43
+
+
 def test_rootless_and_descendants(spark):
     df = spark.createDataFrame(cases(), SCHEMA)
     lost = {tuple(r) for r in hierarchy.rootless(df).collect() if r[0] == "loop"}

@@ -188,11 +188,11 @@ def orphan_references(edges: DataFrame, overlay: DataFrame, nodes: DataFrame, ra
     """(source_table, edge_id, side, edge_type, period): one row per edge and side without a living target.
 
     ``period`` is the month of ``written_at`` as year * 12 + month - 1, null for a null time.
-    ``ranges`` is the number of key ranges; by default sixteen a reduce task (so tasks are even), or as many as hold
+    ``ranges`` is the number of key ranges; by default 64 a reduce task (so tasks are even), or as many as hold
     ``ROWS_PER_RANGE`` rows each (row counts come from the files' footers).
     """
     ship(edges.sparkSession)
-    ranges = ranges or max(16 * tasks_of(edges.sparkSession), -(-(nodes.count() + 2 * edges.count() + 2 * overlay.count()) // ROWS_PER_RANGE))
+    ranges = ranges or max(64 * tasks_of(edges.sparkSession), -(-(nodes.count() + 2 * edges.count() + 2 * overlay.count()) // ROWS_PER_RANGE))
     in_range = F.pmod(F.xxhash64("key"), F.lit(ranges)).cast("int").alias("r")
     refs = edge_references(edges, overlay).withColumn("period", month_number(F.col("written_at")))
     dated, undated = refs.where("period is not null"), refs.where("period is null")

@@ -6,8 +6,8 @@ from pyspark.sql import Column, functions as F
 
 #: File extension to language, and language to family.
 LANGUAGES = {
-    "go": "go", "py": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "typescript",
-    "java": "java", "kt": "kotlin", "rb": "ruby", "php": "php", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "hpp": "cpp", "cs": "csharp", "swift": "swift",
+    "go": "go", "py": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "typescript", "mts": "typescript", "cts": "typescript",
+    "java": "java", "kt": "kotlin", "kts": "kotlin", "rb": "ruby", "php": "php", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hpp": "cpp", "hh": "cpp", "hxx": "cpp", "cs": "csharp", "swift": "swift",
     "proto": "proto", "graphql": "graphql", "yaml": "yaml", "yml": "yaml", "json": "json", "md": "markdown",
 }
 FAMILIES = {"javascript": "web", "typescript": "web", "java": "jvm", "kotlin": "jvm", "c": "c", "cpp": "c"}

@@ -68,10 +68,10 @@ def operation_folds(name: Column) -> Column:
 
 
 def verb_hint(name: Column) -> Column:
-    """HTTP method guessed from a wrapper's name, else ANY."""
-    low = F.lower(name)
+    """HTTP method that the last part of a wrapper's name starts or ends with, else ANY."""
+    low = F.substring_index(F.lower(name), ".", -1)
     out = None
-    for verb in ("get", "post", "put", "patch", "delete", "head", "options"):
-        hit = low.rlike(f"(^|[^a-z]){verb}([^a-z]|$)") | name.rlike(f"{verb.capitalize()}([A-Z]|$)") | low.rlike(f"^{verb}")
+    for verb in ("delete", "patch", "post", "put", "get"):  # fixed values, in this order
+        hit = low.rlike(f"^_*{verb}|{verb}$")
         out = F.when(hit, verb.upper()) if out is None else out.when(hit, verb.upper())
     return out.otherwise("ANY")

@@ -69,7 +69,7 @@ def relative_imports(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Import edges to placeholders of relative specs, as edges to the files these stand for."""
     rows = edges.where("edge_type = 'imports'").where(F.col("dst_id").startswith("import:"))
     specs = rows.select(F.col("src_repo").alias("repo"), id_path(F.col("src_id")).alias("path"), F.regexp_extract("dst_id", "#(.*)$", 1).alias("spec"))
-    files = nodes.where("kind = 'file'").where(F.col("id").startswith("file:")).select("repo", F.expr("substr(id, 6)").alias("path"))
+    files = nodes.where("kind in ('file', 'module')").select("repo", F.regexp_extract("id", "^(?:file|module):(.*)$", 1).alias("path")).where("path <> ''")
     file = lambda p: F.concat(F.lit("file:"), p)
     hit = resolve_imports(specs, files)
     return hit.select(F.col("repo").alias("a_repo"), file(F.col("path")).alias("a"), F.col("repo").alias("b_repo"), file(F.col("target")).alias("b"), F.lit("imports").alias("edge_type"))

@@ -15,22 +15,26 @@ def match_routes(calls: DataFrame, routes: DataFrame, min_specific: int = 2) ->
     ``calls`` (call_id, method, path) and ``routes`` (member, method, path) have raw paths;
     ``ANY`` fits every method. A route's suffix, no longer than the call, must fit it segment
     by segment, ``{}`` fitting anything. Most literal segments win, then the longest
-    suffix; a tie between different routes matches nothing. At least ``min_specific`` literal
-    segments must not be generic. A column ``within`` of ``calls``, if there is one, names the
-    only member whose routes may fit. The last segment is an equi-join key ({} or literal),
-    so only routes that can fit meet a call.
+    suffix; a tie between different routes matches nothing. At least ``min_specific`` (one or
+    more) literal segments must not be generic. A column ``within`` of ``calls``, if there is one,
+    names the only member whose routes may fit. The equi-join key is a literal segment that is
+    not generic, and its place from the end: every fit has one, so parameters and generic
+    segments bring nothing together.
     """
+    if min_specific < 1:
+        raise ValueError("a route needs a segment that is not generic")
     within = F.col("within") if "within" in calls.columns else F.lit(None).cast("string")
-    c = calls.select("call_id", within.alias("within"), F.upper("method").alias("cm"), http_path(F.col("path")).alias("cp")).withColumn("cs", segments(F.col("cp"))).where("size(cs) > 0")
-    r = routes.select("member", F.upper("method").alias("rm"), http_path(F.col("path")).alias("route")).distinct().withColumn("rs", segments(F.col("route"))).where("size(rs) > 0")
-    c = c.withColumn("last", F.explode(F.array_distinct(F.array(F.element_at("cs", -1), F.lit("{}")))))
-    r = r.withColumn("last", F.element_at("rs", -1))
-    both = c.join(r, "last").where(F.col("within").isNull() | (F.col("within") == F.col("member"))).where((F.size("rs") >= F.size("cs")) & ((F.col("cm") == F.col("rm")) | (F.col("cm") == "ANY") | (F.col("rm") == "ANY")))
-    tail = F.slice("rs", F.greatest(F.lit(1), F.size("rs") - F.size("cs") + 1), F.size("cs"))
+    c = calls.select("call_id", within.alias("within"), F.upper("method").alias("cm"), segments(http_path(F.col("path"))).alias("cs"))
+    r = routes.select("member", F.upper("method").alias("rm"), http_path(F.col("path")).alias("route")).distinct().withColumn("rs", segments(F.col("route")))
+    specific = lambda s: (s != "{}") & ~generic_segment(s)
+    marks = lambda c: F.filter(F.transform(F.reverse(c), lambda s, i: F.struct(i.alias("place"), s.alias("mark"))), lambda x: specific(x["mark"]))
+    both = c.select("*", F.inline(marks("cs"))).join(r.select("*", F.inline(marks("rs"))), ["place", "mark"])
+    both = both.where(F.col("within").isNull() | (F.col("within") == F.col("member"))).where((F.size("rs") >= F.size("cs")) & ((F.col("cm") == F.col("rm")) | (F.col("cm") == "ANY") | (F.col("rm") == "ANY")))
+    tail = F.slice("rs", F.size("rs") - F.size("cs") + 1, F.size("cs"))
     fit = F.forall(F.zip_with("cs", tail, lambda a, b: (a == b) | (a == "{}") | (b == "{}")), lambda x: x)
     both = both.withColumn("tail", tail).where(fit)
     literal = F.filter(F.zip_with("cs", "tail", lambda a, b: F.when((a == b) & (a != "{}"), a)), lambda x: x.isNotNull())
-    both = both.withColumn("lit", F.size(literal)).withColumn("specific", F.size(F.filter(literal, lambda s: ~generic_segment(s)))).withColumn("off", F.size("rs") - F.size("cs"))
+    both = both.select("call_id", "member", "route", F.size(literal).alias("lit"), F.size(F.filter(literal, specific)).alias("specific"), (F.size("rs") - F.size("cs")).alias("off")).distinct()
     best = Window.partitionBy("call_id").orderBy(F.desc("lit"), "off")
     top = both.where(F.col("specific") >= min_specific).withColumn("k", F.rank().over(best)).where("k = 1")
     one = top.groupBy("call_id").agg(F.countDistinct("member", "route").alias("n"), F.min("member").alias("member"), F.min("route").alias("route"))
@@ -95,20 +99,8 @@ def service_calls(overlay: DataFrame) -> DataFrame:
     )
 
 
-def service_consumers(services: DataFrame, member: str, depth: int = 1) -> DataFrame:
-    """(repo, depth, via): callers of a member, callers of callers up to ``depth``, nearest first."""
-    hops = services.select("from_repo", "to_repo").distinct()
-    level = hops.where(F.col("to_repo") == member).select(F.col("from_repo").alias("repo"), F.lit(1).alias("depth"), F.lit(member).alias("via"))
-    out = level
-    for d in range(2, depth + 1):
-        step = level.select(F.col("repo").alias("via")).distinct().join(hops, F.col("via") == F.col("to_repo")).select(F.col("from_repo").alias("repo"), "via")
-        level = step.join(out, "repo", "left_anti").where(F.col("repo") != member).groupBy("repo").agg(F.min("via").alias("via")).select("repo", F.lit(d).alias("depth"), "via")
-        out = out.unionByName(level)
-    return out
-
-
-def all_service_consumers(services: DataFrame, members: DataFrame, depth: int = 1) -> DataFrame:
-    """(member, repo, depth, via): ``service_consumers`` of every member (member) at once."""
+def service_consumers(services: DataFrame, members: DataFrame, depth: int = 1) -> DataFrame:
+    """(member, repo, depth, via): callers of each of the ``members`` (member), callers of callers up to ``depth``, nearest first."""
     key = ["member", "repo"]
     hops = services.select("from_repo", "to_repo").distinct()
     level = members.select("member").distinct().select("member", F.col("member").alias("repo"))

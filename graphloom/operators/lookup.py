@@ -9,13 +9,13 @@ from graphloom.functions.text import symbol_label
 KEY = ["repo", "id"]
 
 
-def snippets(nodes: DataFrame, texts: DataFrame, most: int = 40) -> DataFrame:
-    """(repo, id, snippet): the node's lines in its file (at most ``most``), else the first line with its name.
+def snippets(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(repo, id, snippet): the node's lines in its file, else the first line with its name.
 
     ``texts`` (repo, path, text) has one row per file.
     """
     rows = nodes.where("path <> ''").select(*KEY, "name", "path", "start_line", "end_line").join(texts.select("repo", "path", F.split("text", "\r?\n").alias("lines")), ["repo", "path"])
-    n = F.least(F.col("end_line") - F.col("start_line") + 1, F.lit(most))
+    n = F.col("end_line") - F.col("start_line") + 1
     spanned = (F.col("start_line") >= 1) & (F.col("end_line") >= F.col("start_line")) & (F.col("start_line") <= F.size("lines"))
     named = F.filter("lines", lambda x: x.contains(F.col("name")))
     own = F.array_join(F.slice("lines", F.greatest(F.col("start_line"), F.lit(1)), F.greatest(n, F.lit(1))), "\n")

@@ -2,7 +2,8 @@
 
 All seeds are ranked in one job. Level d holds, per (seed, node), the best walk of exactly
 d hops; levels are joins of the frontier with the adjacency, and the best over all levels
-wins, the smaller depth on ties. Equal walks are decided by the edge reason.
+wins, the smaller depth on ties. Equal walks are decided by the edge reason. Weights and
+scores are kept to 12 places, so that what should be equal is not told apart by a last bit.
 """
 
 from __future__ import annotations
@@ -24,6 +25,11 @@ def family_weights(multipliers: dict[str, float] | None = None) -> dict[str, flo
     return {t: w * m.get(FAMILY.get(t, "static"), 1.0) for t, w in WEIGHTS.items()}
 
 
+def places(c: Column) -> Column:
+    """Rounded to 12 places."""
+    return F.floor(c * 1e12 + 0.5) / 1e12
+
+
 def signal_multiplier(weight: Column, count: Column, support: Column) -> Column:
     """1 + 0.08 log2(signal) within 0.80 to 1.40; the signal is the weight boosted by its counts, else a count."""
     most = F.greatest(count, support)
@@ -37,7 +43,7 @@ def edge_weight(edge_type: Column, weight: Column, count: Column, support: Colum
     base = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in (weights or WEIGHTS).items() for x in kv]), edge_type), F.lit(0.0))
     base = F.when(base == 0, UNKNOWN).otherwise(base)
     w = base * signal_multiplier(F.coalesce(weight, F.lit(0.0)), count, support)
-    return F.when(base <= 0.99, F.least(w, F.lit(0.99))).otherwise(w)
+    return places(F.when(base <= 0.99, F.least(w, F.lit(0.99))).otherwise(w))
 
 
 def adjacency(edges: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
@@ -70,7 +76,7 @@ def neighborhood(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, depth: in
     for d in range(1, depth + 1):
         step = level.drop("reason").join(near, (F.col("repo") == F.col("from_repo")) & (F.col("id") == F.col("from_id")))
         walk = [F.concat("walk", F.array("hop")).alias("walk")] if explain else []
-        step = step.select("seed_repo", "seed_id", F.col("to_repo").alias("repo"), F.col("to_id").alias("id"), (F.col("score") * F.col("w")).alias("score"), "reason", *walk)
+        step = step.select("seed_repo", "seed_id", F.col("to_repo").alias("repo"), F.col("to_id").alias("id"), places(F.col("score") * F.col("w")).alias("score"), "reason", *walk)
         level = step.groupBy(*key).agg(F.max(F.struct("score", "reason", *more)).alias("b")).select(*key, "b.*")
         reached = reached.unionByName(level.withColumn("depth", F.lit(d)))
     best = reached.groupBy(*key).agg(F.max(F.struct("score", (-F.col("depth")).alias("nd"), "reason", *more)).alias("b"))

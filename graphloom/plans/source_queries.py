@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from graphloom.functions import paths as P
 from graphloom.operators import analysis, graph, http, lookup
-from graphloom.plans.graph_queries import LN
+from graphloom.plans.graph_queries import _ENDS, LE, LN, VIEW
 from graphloom.plans.iterate import cut, ensure_checkpoint_dir
 from graphloom.plans.tables import table
 from graphloom.sources import documents, extract, files, snapshot, store
@@ -34,17 +34,10 @@ def _docs(s: SparkSession, d: str, where: str) -> DataFrame:
 
 
 @query(
-    r"""SELECT doc_id, regexp_matches(h, '(?m)^\s*["'']?openapi["'']?\s*:\s*["'']?3\.') AS openapi, regexp_matches(h, '(?m)^\s*(extend\s+)?(type|schema|interface|input|enum|union|scalar|directive)\b') AS graphql,
-regexp_matches(h, '(?m)^\s*(syntax\s*=|package\s+[\w.]+\s*;|import\s+"|service\s+\w+|message\s+\w+|enum\s+\w+)') AS proto FROM (SELECT doc_id, substr(coalesce(text, ''), 1, 8192) AS h FROM documents)"""
+    r"""SELECT doc_id, regexp_matches(h, '(?m)^[\s{]*["'']?openapi["'']?\s*:\s*["'']?3\.') AS openapi, regexp_matches(h, '(?m)^\s*(type|schema|extend|interface|enum|input|union|scalar|directive)\b') AS graphql,
+regexp_matches(h, '(?m)^\s*(syntax\s*=|package\s+\w[\w.]*\s*;|import\s+"|service\s+\w|message\s+\w|enum\s+\w)') AS proto FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\x{FEFF}', '') AS h FROM documents)"""
 )
 def source_sniff(s, d):
-    text = F.coalesce("text", F.lit(""))
-    return table(s, d, "documents").select("doc_id", *[files.looks_like(k, text).alias(k) for k in ("openapi", "graphql", "proto")])
-
-
-@query()
-def source_sniff_whole(s, d):
-    # whole texts; source_sniff reads their first 8,192 characters, as its SQL does
     return table(s, d, "documents").select("doc_id", *[files.is_contract(k, F.col("text")).alias(k) for k in ("openapi", "graphql", "proto")])
 
 
@@ -71,7 +64,12 @@ def source_spans(s, d):
     return documents.parse_spans(whole).drop("attributes")
 
 
-@query()
+@query(
+    r"""WITH t AS (SELECT repo, path, regexp_replace(regexp_replace(text, '(?s)\"\"\".*?\"\"\"', '', 'g'), '#[^\n]*', '', 'g') AS b FROM documents WHERE text IS NOT NULL AND repo IS NOT NULL AND path IS NOT NULL AND lang = 'graphql'),
+k AS (SELECT repo, path, unnest(regexp_extract_all(b, '((?:extend\s+)?(?:type|interface|input|enum)\s+\w+[^{]*\{[^}]*\})', 1)) AS b FROM t),
+r AS (SELECT repo, path, regexp_extract(b, '(?:type|interface|input|enum)\s+(\w+)', 1) AS type_name, regexp_extract(b, '(type|interface|input|enum)\s', 1) AS gql_kind, unnest(regexp_extract_all(regexp_extract(b, '(?s)\{(.*)\}', 1), '(?m)^\s*(\w+)', 1)) AS field FROM k)
+SELECT DISTINCT *, CASE WHEN type_name IN ('Query', 'Mutation', 'Subscription') THEN 'operation' ELSE 'field' END AS role FROM r""".replace('\\"', '"')
+)
 def source_graphql(s, d):
     return documents.graphql_fields(_docs(s, d, "lang = 'graphql'"))
 
@@ -98,9 +96,11 @@ def expr_parse_uri(s, d):
     return nodes.select("repo", "id", F.col("u.repo").alias("uri_repo"), F.col("u.path").alias("uri_path"), F.col("u.kind").alias("uri_kind"))
 
 
-@query(f"WITH {LN} SELECT url_decode(replace(trim(uri), '+', '%2B')) AS uri, count(DISTINCT (repo, id)) AS nodes FROM ln WHERE uri <> '' GROUP BY 1 HAVING count(DISTINCT (repo, id)) > 1")
+@query(f"WITH {LN} SELECT regexp_replace(url_decode(replace(trim(uri), '+', '%2B')), '^repo://[^/]*/', 'repo://one/') AS uri, count(DISTINCT (repo, id)) AS nodes FROM ln WHERE uri <> '' GROUP BY 1 HAVING count(DISTINCT (repo, id)) > 1")
 def source_uri_conflicts(s, d):
-    return snapshot.uri_conflicts(graph.live_nodes(table(s, d, "nodes")))
+    """Conflicts if all members' snapshots were imported under one name."""
+    nodes = graph.live_nodes(table(s, d, "nodes"))
+    return snapshot.uri_conflicts(nodes.withColumn("uri", F.regexp_replace("uri", "^(\\s*)repo://[^/]*/", "repo://one/")))
 
 
 def _graph(s, d):
@@ -171,7 +171,7 @@ def source_http_routes(s, d):
 @query(
     f"""WITH {LN}, t AS (SELECT repo, path, string_split_regex(max(text), '\\r?\\n') AS ls FROM documents WHERE source = 'code' AND text IS NOT NULL AND repo IS NOT NULL AND path IS NOT NULL GROUP BY repo, path),
 j AS (SELECT n.repo, n.id, n.name, n.start_line AS a, n.end_line AS b, ls FROM ln n JOIN t ON t.repo = n.repo AND t.path = n.path WHERE n.path <> ''),
-k AS (SELECT repo, id, CASE WHEN a >= 1 AND b >= a AND a <= len(ls) THEN array_to_string(ls[a:a + least(b - a + 1, 40) - 1], chr(10)) WHEN name <> '' THEN list_filter(ls, lambda x: contains(x, name))[1] END AS snippet FROM j)
+k AS (SELECT repo, id, CASE WHEN a >= 1 AND b >= a AND a <= len(ls) THEN array_to_string(ls[a:b], chr(10)) WHEN name <> '' THEN list_filter(ls, lambda x: contains(x, name))[1] END AS snippet FROM j)
 SELECT repo, id, snippet FROM k WHERE snippet IS NOT NULL"""
 )
 def join_snippets(s, d):
@@ -212,7 +212,15 @@ def scan_symbols(s, d):
     return lookup.symbol(nodes, graph.live_edges(table(s, d, "edges")), nodes)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {LN}, {LE}, {VIEW}, {_ENDS}, hb AS (SELECT n.repo, n.id, count(*) AS degree FROM en JOIN ln n ON n.repo = en.repo AND n.id = en.id GROUP BY ALL ORDER BY degree DESC, n.id, n.repo LIMIT 1),
+k AS MATERIALIZED (SELECT DISTINCT a_repo || '|' || a AS u, b_repo || '|' || b AS v FROM vw), rc AS (SELECT u, v FROM k UNION SELECT rc.u, k.v FROM rc JOIN k ON k.u = rc.v),
+sc AS (SELECT x.u, min(x.v) AS component FROM rc x JOIN rc y ON y.u = x.v AND y.v = x.u GROUP BY x.u HAVING min(x.v) <> max(x.v)),
+rg AS (SELECT component, count(*) AS n FROM sc GROUP BY component ORDER BY n DESC, component LIMIT 1),
+gd AS (SELECT repo, id, count(*) AS degree FROM en WHERE edge_type <> 'contains' GROUP BY ALL), gp AS (SELECT count(*) AS n FROM ln n LEFT JOIN gd ON gd.repo = n.repo AND gd.id = n.id WHERE n.kind <> 'symbol' AND coalesce(degree, 0) <= 1)
+SELECT 'hub' AS kind, 'Why do ' || degree || ' edges meet at ' || id || '?' AS question FROM hb UNION ALL SELECT 'cycle', 'Can the circle of ' || n || ' around ' || component || ' be opened?' FROM rg
+UNION ALL SELECT 'gap', 'Are ' || n || ' nodes with at most one edge still used?' FROM gp WHERE n > 0"""
+)
 def graph_questions(s, d):
     nodes, edges = graph.live_nodes(table(s, d, "nodes")), graph.live_edges(table(s, d, "edges"))
     return lookup.questions(analysis.hubs(edges, nodes), analysis.strong_components(analysis.dependency_view(edges, nodes)), analysis.knowledge_gaps(edges, nodes))

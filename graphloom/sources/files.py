@@ -78,22 +78,20 @@ def fingerprints(files: DataFrame) -> DataFrame:
     return files.select("path", F.sha2("content", 256).alias("sha256"))
 
 
+#: What a line of an OpenAPI 3, a GraphQL and a proto text begins with.
+CONTRACTS = {
+    "openapi": r"^[\s{]*[\"']?openapi[\"']?\s*:\s*[\"']?3\.",
+    "graphql": r"^\s*(type|schema|extend|interface|enum|input|union|scalar|directive)\b",
+    "proto": r"^\s*(syntax\s*=|package\s+\w[\w.]*\s*;|import\s+\"|service\s+\w|message\s+\w|enum\s+\w)",
+}
+HEAD = 8192
+
+
 def is_contract(kind: str, text: Column) -> Column:
-    """Contract sniffers on the whole text, without its byte order mark; ``openapi`` may follow a brace."""
-    patterns = {
-        "openapi": r"(?m)^[\s{]*[\"']?openapi[\"']?\s*:\s*[\"']?3\.",
-        "graphql": r"(?m)^\s*(extend\s+)?(type|schema|interface|input|enum|union|scalar|directive)\b",
-        "proto": r"(?m)^\s*(syntax\s*=|package\s+[\w.]+\s*;|import\s+\"|service\s+\w+|message\s+\w+|enum\s+\w+)",
-    }
-    return F.coalesce(F.regexp_replace(text, "^\ufeff", "").rlike(patterns[kind]), F.lit(False))
+    """Contract sniffers on the whole text, without its byte order mark; false for a null text."""
+    return F.coalesce(F.regexp_replace(text, "^\ufeff", "").rlike("(?md)" + CONTRACTS[kind]), F.lit(False))
 
 
 def looks_like(kind: str, text: Column) -> Column:
-    """Contract sniffers on the first 8 KiB."""
-    head = F.left(text, F.lit(8192))
-    patterns = {
-        "openapi": r"(?m)^\s*[\"']?openapi[\"']?\s*:\s*[\"']?3\.",
-        "graphql": r"(?m)^\s*(extend\s+)?(type|schema|interface|input|enum|union|scalar|directive)\b",
-        "proto": r"(?m)^\s*(syntax\s*=|package\s+[\w.]+\s*;|import\s+\"|service\s+\w+|message\s+\w+|enum\s+\w+)",
-    }
-    return F.coalesce(head.rlike(patterns[kind]), F.lit(False))
+    """Contract sniffers for file discovery, which reads the first ``HEAD`` characters."""
+    return is_contract(kind, F.left(text, F.lit(HEAD)))

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import paths as P, text as T
-from graphloom.operators import analysis, contracts, graph, history, impact, ranking, resolution
+from graphloom.operators import analysis, contracts, graph, history, impact, ranking, resolution, tracing
 
 NODE = "repo string, id string, kind string, name string, path string, start_line int, end_line int, uri string"
 EDGE = "src_repo string, src_id string, edge_type string, dst_repo string, dst_id string, weight double, support int, calls int"
@@ -80,7 +80,7 @@ def test_long_shortest_paths(spark):
     assert [(r["id"], r["hops"]) for r in impact.shortest_paths(e, seed, targets).collect()] == [("n06", 6)]
     got = analysis.view_paths(view(spark, list(zip(chain, chain[1:], strict=False))), seed, targets).collect()
     assert {(r["id"], r["hops"]) for r in got} == {("n06", 6), ("n12", 12)} and max(len(r["path"]) for r in got) == 13
-    assert {r["hops"] for r in Q.QUERIES["impact_shortest_path_8"](spark, "/root/testdata/sf0.01").collect()} == {2, 3, 4, 6}
+    assert {r["hops"] for r in Q.QUERIES["impact_shortest_path"](spark, "/root/testdata/sf0.01").collect()} == {2, 3, 4, 6}
 
 
 def test_view_resolves_relative_imports(spark):
@@ -151,10 +151,80 @@ def test_imports_and_callees(spark):
     files = spark.createDataFrame([("r", "src/a.ts"), ("r", "src/lib/index.ts"), ("r", "src/b.js")], "repo string, path string")
     imports = spark.createDataFrame([("r", "src/main.ts", "./a"), ("r", "src/main.ts", "./lib"), ("r", "src/x/y.ts", "../b"), ("r", "src/main.ts", "react"), ("r", "src/main.ts", "./none")], "repo string, path string, spec string")
     assert {(r["spec"], r["target"]) for r in resolution.resolve_imports(imports, files).collect()} == {("./a", "src/a.ts"), ("./lib", "src/lib/index.ts"), ("../b", "src/b.js")}
-    n = nodes(spark, [("r", "func:p/a.go#run", "function", "run", "p/a.go"), ("r", "func:p/b.go#run", "function", "run", "p/b.go"), ("r", "func:q/c.go#stop", "function", "stop", "q/c.go"), ("r", "func:q/d.py#stop", "function", "stop", "q/d.py")])
-    calls = spark.createDataFrame([("r", "func:p/a.go#main", "x.run"), ("r", "func:p/z.go#main", "run"), ("r", "func:z/z.go#main", "stop")], "repo string, src_id string, callee string")
-    got = {(r["src_id"], r["id"]) for r in resolution.resolve_callees(calls, n).collect()}
-    assert got == {("func:p/a.go#main", "func:p/a.go#run"), ("func:z/z.go#main", "func:q/c.go#stop")}
+
+
+def test_callee_tiers(spark):
+    names = [
+        "func:p/a.go#run", "func:p/b.go#run", "func:q/c.go#stop", "func:q/d.go#twin", "func:z/d.go#twin", "method:q/V.java#V.go(int)", "method:q/W.java#V.near(int)", "method:q/X.java#X.near", "func:lib/util/u.go#help", "func:w/x.go#help",
+        "func:src/m.ts#boot", "func:other/m.ts#boot", "method:s/S.kt#Store.load", "method:t/T.kt#Tank.load", "func:k/l.go#len", "func:f/f.go#dup", "method:f/f.go#A.dup", "method:f/f.go#B.dup",
+    ]
+    n = nodes(spark, [("r", i, "method" if i[0] == "m" else "function", i.split("#")[1].split("(")[0].split(".")[-1], i.split(":")[1].split("#")[0]) for i in names] + [("r", "import:y/y.go#corp/lib/util", "import", "corp/lib/util", "y/y.go"), ("r", "import:y/n.ts#../src/m", "import", "../src/m", "y/n.ts")])
+    asked = {
+        ("func:p/a.go#main", "run"): ("func:p/a.go#run", "1"),
+        ("func:p/z.go#main", "run"): None,  # two in the folder
+        ("func:z/z.go#main", "stop"): ("func:q/c.go#stop", "4"),
+        ("func:z/z.go#main", "twin"): ("func:z/d.go#twin", "2"),
+        ("func:m/z.go#main", "twin"): None,
+        ("method:v/V.java#V.x(int)", "near"): ("method:q/W.java#V.near(int)", "1b"),
+        ("func:y/y.go#main", "help"): ("func:lib/util/u.go#help", "3"),
+        ("func:y/y.go#main", "util.help"): ("func:lib/util/u.go#help", "3"),
+        ("func:y/y.go#main", "nope.help"): None,
+        ("func:y/n.ts#main", "m.boot"): ("func:src/m.ts#boot", "3"),
+        ("func:y/y.go#main", "x.Store.load"): ("method:s/S.kt#Store.load", "3b"),
+        ("method:s/S.kt#Store.init", "self.load"): ("method:s/S.kt#Store.load", "3b"),
+        ("method:s/S.kt#Store.init", "Self::load"): ("method:s/S.kt#Store.load", "3b"),
+        ("method:s/S.kt#Store.init", "self.tank.load"): None,
+        ("func:y/y.go#main", "len"): None,  # a built-in
+        ("func:y/y.go#main", "x.run"): None,
+        ("func:f/f.go#main", "dup"): ("func:f/f.go#dup", "1"),  # the only function among three
+        ("func:q/c.go#stop", "stop"): None,  # itself
+        ("func:y/y.go#main", "unknown"): None,
+    }
+    calls = spark.createDataFrame([("r", a, b) for a, b in asked] + [(None, "func:a#b", "run"), ("r", None, "run"), ("r", "func:a#b", None)], "repo string, src_id string, callee string")
+    got = {(r["src_id"], r["callee"]): (r["id"], r["tier"]) for r in resolution.resolve_callees(calls, n).collect()}
+    assert got == {k: v for k, v in asked.items() if v}
+
+
+def test_doc_links(spark):
+    text = "# Top\nsee ` Run ` and `func:a.go#go`\r\n(lib/b.ts) URLStore, API, Store\n`lib/b.ts` adr-12 docs/x.md `nope`\n"
+    docs = spark.createDataFrame([("r", "docs/x.md", text), ("r", "docs/e.md", ""), ("r", "docs/n.md", None)], "repo string, path string, text string")
+    n = nodes(spark, [("r", "func:a.go#Run", "function", "Run", "a.go"), ("r", "func:a.go#go", "function", "go", "a.go"), ("r", "file:lib/b.ts", "file", "b.ts", "lib/b.ts"), ("r", "type:c.go#URLStore", "type", "URLStore", "c.go"), ("r", "type:c.go#Store", "type", "Store", "c.go"), ("r", "file:docs/adr/12.md", "file", "12.md", "docs/adr/12.md"), ("r", "file:docs/x.md", "file", "x.md", "docs/x.md"), ("s", "func:a.go#nope", "function", "nope", "a.go")])
+    got = {(r["path"], r["id"], r["line"]) for r in resolution.link_docs(resolution.doc_mentions(docs), n).collect()}
+    assert got == {("docs/x.md", "func:a.go#Run", 2), ("docs/x.md", "func:a.go#go", 2), ("docs/x.md", "file:lib/b.ts", 3), ("docs/x.md", "type:c.go#URLStore", 3), ("docs/x.md", "file:docs/adr/12.md", 4)}
+
+
+def test_span_resolution(spark):
+    n = nodes(
+        spark,
+        [("r", "func:a/x.go#Run", "function", "Run", "a/x.go"), ("r", "func:b/a/x.go#Run", "function", "Run", "b/a/x.go"), ("r", "method:c.kt#Repo.save", "method", "save", "c.kt"), ("r", "type:d.go#Load", "type", "Load", "d.go"), ("r", "func:d.go#Load", "function", "Load", "d.go"), ("r", "file:e/f.py", "file", "f.py", "e/f.py"), ("r", "type:g.go#Two", "type", "Two", "g.go"), ("r", "type:h.go#Two", "type", "Two", "h.go")],
+    )
+    asked = [
+        ("1", "x", {"code.function": "Run", "code.filepath": "/srv/b/a/x.go"}, "func:b/a/x.go#Run"),  # the longer path
+        ("2", "x", {"code.function": "Run"}, None),
+        ("3", "Repo.save", None, "method:c.kt#Repo.save"),
+        ("4", "save", {}, "method:c.kt#Repo.save"),
+        ("5", "Load", None, "func:d.go#Load"),  # functions before types
+        ("6", "e/f.py", None, "file:e/f.py"),
+        ("7", "func:d.go#Load", None, "func:d.go#Load"),
+        ("8", "Two", None, None),
+        ("9", "x", {"rpc.method": "save"}, "method:c.kt#Repo.save"),
+        ("10", None, None, None),
+    ]
+    rows = [("t", i, None, name, "r", None, a, None, None) for i, name, a, _ in asked] + [("t", "1", None, "x", None, None, None, None, None)]
+    spans = spark.createDataFrame(rows, "trace_file string, span_id string, parent_span_id string, name string, service string, parent string, attributes map<string,string>, started_at timestamp_ntz, received_at timestamp_ntz")
+    got = {r["span_id"]: r["id"] for r in tracing.resolve_spans(spans, n).collect()}
+    assert got == {i: want for i, _, _, want in asked if want}
+
+
+def test_route_match_keys(spark):
+    from graphloom.functions.text import verb_hint
+
+    routes = spark.createDataFrame([("a", "GET", "/users/:id/orders"), ("b", "POST", "/users/{x}"), ("b", "ANY", "/v1/items/<n>"), ("c", "GET", "/api/{}"), ("d", "GET", "/users/{y}/orders")], "member string, method string, path string")
+    calls = spark.createDataFrame([("1", "get", "/users/7/orders"), ("2", "POST", "/users/{}?q=1"), ("3", "DELETE", "/items/3"), ("4", "GET", "/api/x"), ("5", "ANY", "")], "call_id string, method string, path string")
+    assert {tuple(r) for r in contracts.match_routes(calls, routes, 1).collect()} == {("2", "b", "/users/{}"), ("3", "b", "/v1/items/{}")}
+    assert {tuple(r) for r in contracts.match_routes(calls.withColumn("within", F.lit("a")), routes, 1).collect()} == {("1", "a", "/users/{}/orders")}
+    names = spark.createDataFrame([("apiGet", "GET"), ("http.getJson", "GET"), ("_post", "POST"), ("apiget", "GET"), ("deletePost", "DELETE"), ("fetch", "ANY"), ("head", "ANY")], "n string, want string")
+    assert all(r[0] == r[1] for r in names.select(verb_hint(F.col("n")), "want").collect())
 
 
 def test_co_changes(spark):
@@ -177,10 +247,10 @@ def test_consumers_of_all_members(spark):
 
     calls = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "c"), ("c", "a"), ("a", "b")], "from_repo string, to_repo string")
     members = calls.select(F.col("to_repo").alias("member"))
-    got = {tuple(r) for r in contracts.all_service_consumers(calls, members, 2).collect()}
-    assert got == {(m, *r) for m in "abc" for r in contracts.service_consumers(calls, m, 2).collect()}
+    got = {tuple(r) for r in contracts.service_consumers(calls, members, 2).collect()}
+    assert got == {("a", "b", 1, "a"), ("a", "c", 1, "a"), ("a", "d", 2, "c"), ("b", "a", 1, "b"), ("b", "c", 1, "b"), ("b", "d", 2, "c"), ("c", "d", 1, "c")}
     d = "/root/testdata/sf0.01"
-    got = Q.QUERIES["join_service_consumers_all"](spark, d)
+    got = Q.QUERIES["join_service_consumers"](spark, d)
     assert got.select("member").distinct().count() == contracts.service_calls(Q._overlay(spark, d)).select("to_repo").distinct().count() > 1
 
 

@@ -31,7 +31,7 @@ def test_sniffers(spark):
     rows = [('openapi: 3.1.0\n',), ('{"openapi": "3.0.1"}',), ('openapi: 2.0\n',), ('type Query {\n a: Int\n}',), ('syntax = "proto3";',), (None,)]
     df = spark.createDataFrame(rows, "t string")
     got = [tuple(r) for r in df.select(*[files.looks_like(k, F.col("t")) for k in ("openapi", "graphql", "proto")]).collect()]
-    assert got == [(True, False, False), (False, False, False), (False, False, False), (False, True, False), (False, False, True), (False, False, False)]
+    assert got == [(True, False, False), (True, False, False), (False, False, False), (False, True, False), (False, False, True), (False, False, False)]
 
 
 def test_sniffers_read_whole_texts(spark):

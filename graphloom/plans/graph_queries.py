@@ -444,6 +444,18 @@ def graph_cycles(s, d):
     return analysis.strong_components(_view(s, d))
 
 
+@query(
+    f"""WITH RECURSIVE {LE}, {VIEW}, k AS MATERIALIZED (SELECT DISTINCT a_repo || '|' || a AS u, b_repo || '|' || b AS v FROM vw), rc AS (SELECT u, v FROM k UNION SELECT rc.u, k.v FROM rc JOIN k ON k.u = rc.v),
+co AS MATERIALIZED (SELECT x.u, min(x.v) AS component FROM rc x JOIN rc y ON y.u = x.v AND y.v = x.u GROUP BY x.u HAVING min(x.v) <> max(x.v)),
+fm AS (SELECT * FROM co WHERE regexp_matches(u, '\\|(file|module):')), k2 AS MATERIALIZED (SELECT k.u, k.v, x.component FROM k JOIN fm x ON x.u = k.u JOIN fm y ON y.u = k.v AND y.component = x.component WHERE k.u <> k.v),
+r2 AS (SELECT u, v, component FROM k2 UNION SELECT r2.u, k2.v, r2.component FROM r2 JOIN k2 ON k2.u = r2.v), rg AS (SELECT DISTINCT component FROM r2 WHERE u = v)
+SELECT u, component FROM co WHERE component NOT IN (SELECT component FROM rg) OR u IN (SELECT u FROM fm)"""
+)
+def graph_file_cycles(s, d):
+    view = _view(s, d)
+    return analysis.file_cycles(view, analysis.strong_components(view))
+
+
 @query(
     f"""WITH RECURSIVE {LE}, c AS MATERIALIZED (SELECT DISTINCT src_repo || '|' || src_id AS u, dst_repo || '|' || dst_id AS v FROM le WHERE edge_type = 'calls' AND NOT starts_with(dst_id, 'symbol:')),
 t AS (SELECT u, v, 1 AS d FROM c WHERE u <> v UNION SELECT t.u, c.v, d + 1 FROM t JOIN c ON c.u = t.v WHERE d < 4 AND c.v <> t.u), m AS (SELECT u, v, min(d) AS hops FROM t GROUP BY ALL),
@@ -456,7 +468,7 @@ def graph_indirect_traces(s, d):
 
 @query()
 def graph_betweenness(s, d):
-    return analysis.betweenness(_view(s, d), block=20_000).withColumn("score", F.round("score", 6))
+    return analysis.betweenness(_view(s, d)).withColumn("score", F.round("score", 6))
 
 
 # -- ranking ----------------------------------------------------------------------------

@@ -115,13 +115,41 @@ def test_betweenness_of_the_whole_view(spark):
     from graphloom.plans import graph_queries as Q
 
     v = view(spark, [("a", "b"), ("b", "c"), ("c", "d"), ("a", "e"), ("e", "c")])
-    whole, blocks = ({r["u"]: r["score"] for r in analysis.betweenness(v, block=b).collect()} for b in (None, 2))
+    whole, blocks = ({r["u"]: r["score"] for r in analysis.betweenness(v, **b).collect()} for b in ({}, {"block": 2, "local_links": 0}))
     assert whole == blocks
     d = "/root/testdata/sf0.001"
     ends = Q._view(spark, d).where("edge_type = 'calls'").select(F.concat_ws("|", "b_repo", "b").alias("u")).distinct()
     assert ends.join(Q.QUERIES["graph_betweenness"](spark, d), "u", "left_anti").count() == 0
 
 
+def test_both_ways_agree(spark, monkeypatch):
+    import random
+
+    rng = random.Random(7)
+    links = [(f"n{rng.randrange(30)}", f"n{rng.randrange(30)}") for _ in range(70)] + [("hub", f"n{i}") for i in range(20)] + [("n3", "hub")]
+    v = view(spark, sorted({(a, b) for a, b in links if a != b}))
+    one = [sorted(map(tuple, f(v).collect())) for f in (analysis.communities, analysis.strong_components)]
+    ranks = {r["id"]: r["rank"] for r in analysis.pagerank(v).collect()}
+    monkeypatch.setattr(analysis, "LOCAL_LINKS", 0)
+    assert [sorted(map(tuple, f(v).collect())) for f in (analysis.communities, lambda x: analysis.strong_components(x, 0))] == one and one[1]
+    assert {r["id"]: r["rank"] for r in analysis.pagerank(v).collect()} == pytest.approx(ranks)
+
+
+def test_components_of_a_long_chain(spark):
+    import numpy as np
+
+    n = 200_000
+    u, v = np.append(np.arange(n), 5), np.append(np.arange(1, n + 1), 2)
+    assert [x.tolist() for x in analysis.components_locally(u, v)] == [[2, 3, 4, 5], [2] * 4]
+
+
+def test_file_cycles(spark):
+    pairs = [("file:a", "file:b"), ("file:b", "file:a"), ("file:a", "func:x"), ("func:x", "file:b"), ("func:p", "func:q"), ("func:q", "func:p"), ("file:c", "func:r"), ("func:r", "file:d"), ("file:d", "func:s"), ("func:s", "file:c")]
+    v = view(spark, pairs)
+    got = {(r["u"], r["component"]) for r in analysis.file_cycles(v, analysis.strong_components(v)).collect()}
+    assert got == {("r|file:a", "r|file:a"), ("r|file:b", "r|file:a"), ("r|func:p", "r|func:p"), ("r|func:q", "r|func:p")} | {(f"r|{x}", "r|file:c") for x in ("file:c", "file:d", "func:r", "func:s")}
+
+
 def test_communities(spark):
     v = view(spark, [("a", "b"), ("b", "c"), ("a", "c"), ("x", "y"), ("y", "z"), ("x", "z")])
     labels = {r["id"]: r["label"] for r in analysis.communities(v).collect()}

@@ -138,13 +138,12 @@ def sink_replace_files(s, d):
 @query("SELECT service, date_trunc('hour', started_at) AS hour, count(DISTINCT (coalesce(trace_file, '?'), span_id, started_at)) AS spans FROM spans WHERE span_id IS NOT NULL AND started_at IS NOT NULL GROUP BY ALL")
 def stream_span_counts(s, d):
     """Counts of a finished stream over the span files, kept in the shared folder."""
-    ensure_checkpoint_dir(s)
-    base = f"{s.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex[:8]}"
+    base = f"{ensure_checkpoint_dir(s)}/stream-{uuid.uuid4().hex[:8]}"
     rows = s.readStream.schema(table(s, d, "spans").schema).parquet(f"{d}/spans.parquet*")
-    counts = ingest.span_counts(rows, late="5 years")
-    run = counts.writeStream.outputMode("complete").option("checkpointLocation", f"{base}/log").trigger(availableNow=True).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{base}/out")).start()
-    run.awaitTermination()
-    return s.read.parquet(f"{base}/out").select("service", F.col("window.start").cast("timestamp_ntz").alias("hour"), "spans")
+    stream = ingest.new_spans(rows).writeStream.option("checkpointLocation", f"{base}/log").trigger(availableNow=True)
+    stream.foreachBatch(ingest.counts_on_arrival(f"{base}/out")).start().awaitTermination()
+    kept = ingest.kept_counts(s.read.parquet(f"{base}/out"))
+    return kept.select("service", F.col("window.start").cast("timestamp_ntz").alias("hour"), "spans")
 
 
 @query(

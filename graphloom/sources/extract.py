@@ -181,9 +181,9 @@ def param_signature(params: str) -> str:
     return f"({','.join(types)})"
 
 
-def extract(path: str, text: str) -> Result:
+def extract(path: str, text: str, registry: dict[str, Callable[[str, str], Result]] | None = None) -> Result:
     """Nodes and edges of one file, sorted and without repeats; an unknown extension has none."""
-    f = REGISTRY.get(path.rsplit(".", 1)[-1].lower()) if "." in path else None
+    f = (REGISTRY if registry is None else registry).get(path.rsplit(".", 1)[-1].lower()) if "." in path else None
     if f is None or text is None:
         return [], []
     nodes, edges = f(path, text)
@@ -199,13 +199,15 @@ def parse_files(files: DataFrame) -> DataFrame:
     node = pa.list_(pa.struct([("id", pa.string()), ("kind", pa.string()), ("name", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32())]))
     edge = pa.list_(pa.struct([("src", pa.string()), ("dst", pa.string()), ("type", pa.string())]))
 
+    registry = dict(REGISTRY)  # as it is here: extractors registered in the driver go to the workers
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, ns, es = [], [], []
             for i, (path, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 if path is None or text is None:
                     continue
-                nodes, edges = extract(path, text)
+                nodes, edges = extract(path, text, registry)
                 if nodes:
                     keep.append(i)
                     ns.append([dict(zip(("id", "kind", "name", "start_line", "end_line"), n, strict=True)) for n in nodes])

@@ -1,31 +1,69 @@
-"""The graph on disk: Parquet partitioned by member, replaced file by file.
+"""The graph on disk: versioned Parquet tables in buckets of members, replaced file by file.
 
-A write makes a new version folder beside the old one and names it in ``CURRENT`` last, so
-readers see either the old or the new state.
+Readers see one version or the next (``plans.versions``). An update reads and writes only the
+buckets of members whose files it replaces, and of members with edges into what goes.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from graphloom.plans.iterate import cut
+from graphloom.plans.versions import Versions
+
 KEY = ["repo", "id"]
 ENDS = (("src_repo", "src_id"), ("dst_repo", "dst_id"))
+BUCKETS, FILES = 64, 8  # buckets of members; tasks that write one bucket
 
 
-def read_graph(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    version = spark.read.text(f"{root}/CURRENT").first()[0]
-    return spark.read.parquet(f"{root}/{version}/nodes"), spark.read.parquet(f"{root}/{version}/edges")
+def _store(spark: SparkSession, root: str, nodes: DataFrame | None = None, edges: DataFrame | None = None) -> Versions:
+    store = Versions(spark, root, {}, {"nodes": ["repo"], "edges": ["src_repo"]})
+    if nodes is not None:
+        store.schemas = {name: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) for name, df in (("nodes", nodes), ("edges", edges))}
+    else:
+        store.schemas = store.manifest()["schemas"]
+    return store
 
 
-def write_graph(nodes: DataFrame, edges: DataFrame, root: str) -> str:
-    """Write a version; the pointer is replaced only when both tables are complete."""
-    spark, version = nodes.sparkSession, f"v-{uuid.uuid4().hex[:12]}"
-    nodes.write.partitionBy("repo").parquet(f"{root}/{version}/nodes")
-    edges.withColumn("part", F.col("src_repo")).write.partitionBy("part").parquet(f"{root}/{version}/edges")
-    spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/CURRENT")
-    return version
+def _spread() -> dict:
+    return {"nodes": F.pmod(F.xxhash64("id"), F.lit(FILES)), "edges": F.pmod(F.xxhash64("src_id"), F.lit(FILES))}
+
+
+def read_graph(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    store = _store(spark, root)
+    now = store.manifest()
+    return store.read("nodes", manifest=now), store.read("edges", manifest=now)
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, root: str) -> int:
+    """Write all of a graph as the next version; gives its number."""
+    store = _store(nodes.sparkSession, root, nodes, edges)
+    old = store.manifest()
+    new = {"version": old["version"] + 1, "schemas": store.schemas, "tables": {}}
+    folder = store.folder(new["version"])
+    for name, df in (("nodes", nodes), ("edges", edges)):
+        store.write(old, new, folder, name, df, BUCKETS, set(range(BUCKETS)), _spread()[name])
+    store.commit(new)
+    return new["version"]
+
+
+def replace_in_store(spark: SparkSession, root: str, files: DataFrame, new_nodes: DataFrame, new_edges: DataFrame) -> int:
+    """``replace_files`` on a stored graph; only the buckets it changes are written."""
+    store = _store(spark, root)
+    old = store.manifest()
+    new = {"version": old["version"] + 1, "schemas": store.schemas, "tables": {}}
+    folder = store.folder(new["version"])
+    at = store.touched("nodes", BUCKETS, files.select("repo").union(new_nodes.select("repo")))
+    nodes = store.read("nodes", at, old)
+    went = cut(nodes.where("kind <> 'symbol'").join(files.select("repo", "path").distinct(), ["repo", "path"], "left_semi").select(*KEY).join(new_nodes.select(*KEY), KEY, "left_anti"))
+    into = store.read("edges", manifest=old).select("src_repo", *ENDS[1]).join(went.toDF(*ENDS[1]), list(ENDS[1]), "left_semi")
+    at_edges = at | store.touched("edges", BUCKETS, into) | store.touched("edges", BUCKETS, new_edges)
+    targets = store.read("nodes", manifest=old).select(*KEY)  # ends may lie in members that don't change
+    kept, both = replace_files(nodes, store.read("edges", at_edges, old), files, new_nodes, new_edges, targets.join(went, KEY, "left_anti"))
+    store.write(old, new, folder, "nodes", kept, BUCKETS, at, _spread()["nodes"])
+    store.write(old, new, folder, "edges", both, BUCKETS, at_edges, _spread()["edges"])
+    store.commit(new)
+    return new["version"]
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -41,17 +79,19 @@ def delete_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[D
     return nodes.join(gone, KEY, "left_anti"), edges
 
 
-def replace_files(nodes: DataFrame, edges: DataFrame, files: DataFrame, new_nodes: DataFrame, new_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def replace_files(nodes: DataFrame, edges: DataFrame, files: DataFrame, new_nodes: DataFrame, new_edges: DataFrame, others: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The graph after ``files`` (repo, path) were parsed again: what they owned goes, the new rows come.
 
     Symbols belong to no file. An edge into a replaced file stays if its target exists again.
+    ``others`` (repo, id) are further nodes at which edges may end.
     """
     owned = nodes.where("kind <> 'symbol'").join(files.select("repo", "path").distinct(), ["repo", "path"], "left_semi").select(*KEY)
     out_edges = edges.join(owned.toDF(*ENDS[0]), list(ENDS[0]), "left_anti")
     kept = nodes.join(owned, KEY, "left_anti").join(new_nodes.select(*KEY), KEY, "left_anti").unionByName(new_nodes.dropDuplicates(KEY))
     both = out_edges.unionByName(new_edges).dropDuplicates(["src_repo", "src_id", "edge_type", "dst_repo", "dst_id"])
+    live = kept.select(*KEY) if others is None else kept.select(*KEY).unionByName(others)
     for pair in ENDS:
-        both = both.join(kept.select(*KEY).toDF(*pair), list(pair), "left_semi")
+        both = both.join(live.toDF(*pair), list(pair), "left_semi")
     return kept, both
 
 

@@ -130,6 +130,30 @@ def test_parse_files(spark):
     assert [r["path"] for r in got] == ["a.py"] and any(e["dst"] == "symbol:g" for e in got[0]["edges"])
 
 
+def test_a_registered_extractor_reaches_the_workers(spark):
+    mine = lambda path, text: ([(f"file:{path}", "file", text, 1, 1)], [])
+    extract.register("zz")(mine)
+    try:
+        got = extract.parse_files(spark.createDataFrame([("r", "a.zz", "hello")], DOC)).collect()
+        assert [n["name"] for n in got[0]["nodes"]] == ["hello"]
+    finally:
+        del extract.REGISTRY["zz"]
+
+
+def test_span_counts_in_batches(spark, tmp_path):
+    import datetime as dt
+
+    row = lambda i, h, s="a": (f"t{i}", f"s{i}", s, dt.datetime(2025, 1, 1, h, 5))
+    schema = "trace_file string, span_id string, service string, started_at timestamp_ntz"
+    inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for k, rows in enumerate(([row(1, 1), row(2, 1), row(2, 1)], [row(3, 1), row(1, 1), row(4, 2, None)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(inbox)
+        stream = ingest.new_spans(spark.readStream.schema(schema).parquet(inbox)).writeStream.option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True)
+        stream.foreachBatch(ingest.counts_on_arrival(out)).start().awaitTermination()
+    got = {(r["service"], r["window"]["start"].hour, r["spans"]) for r in ingest.kept_counts(spark.read.parquet(out)).collect()}
+    assert got == {("a", 1, 3), (None, 2, 1)}
+
+
 NODE = "repo string, id string, kind string, name string, path string, props map<string,string>"
 EDGE = "src_repo string, src_id string, dst_repo string, dst_id string, edge_type string, props map<string,string>"
 
@@ -154,6 +178,23 @@ def test_snapshot_round_trip(spark, tmp_path):
         snapshot.import_snapshot(spark, path)
 
 
+def test_only_touched_members_are_written(spark, tmp_path):
+    from graphloom.plans.versions import Versions
+
+    n = [(m, f"{m}{i}", "function", "f", f"p{i}", {}) for m in "abcdefgh" for i in range(3)]
+    e = [(m, f"{m}0", m, f"{m}1", "calls", {}) for m in "abcdefgh"] + [("b", "b0", "a", "a1", "calls", {}), ("c", "c0", "a", "a2", "calls", {})]
+    root = str(tmp_path / "store")
+    store.write_graph(spark.createDataFrame(n, NODE), spark.createDataFrame(e, EDGE), root)
+    v = Versions(spark, root, {}, {})
+    first = v.manifest()
+    store.replace_in_store(spark, root, spark.createDataFrame([("a", "p1")], "repo string, path string"), spark.createDataFrame([("a", "new", "function", "f", "p1", {})], NODE), spark.createDataFrame([("a", "new", "b", "b2", "calls", {})], EDGE))
+    second, (nodes, edges) = v.manifest(), store.read_graph(spark, root)
+    changed = {t: sum(first["tables"][t]["parts"].get(b) != f for b, f in second["tables"][t]["parts"].items()) for t in ("nodes", "edges")}
+    assert changed["nodes"] == 1 and 1 <= changed["edges"] <= 2
+    assert {r["id"] for r in nodes.collect()} == {x[1] for x in n if x[1] != "a1"} | {"new"}
+    assert {(r["src_id"], r["dst_id"]) for r in edges.collect()} == {(x[1], x[3]) for x in e if x[3] != "a1"} | {("new", "b2")}
+
+
 def test_store(spark, tmp_path):
     nodes, edges = graph(spark)
     root = str(tmp_path / "store")

@@ -9,12 +9,10 @@ are merged into the buckets they touch, and the buckets that hold a changed pair
 with an item of a changed basket get their scores computed again. The number of baskets of a repository, which changes all its
 lifts at once, is kept apart and joined where scores are read.
 
-Versions: an update writes the new files of the touched buckets beside the old ones and then
-one small manifest under the next number, by a rename that fails if the number is taken. The
-newest manifest is the state, so a driver that dies in an update leaves the old state whole,
-and a delivery may be repeated: contents that are already there change nothing. Files that
-only older manifests than the last two name are removed. A table gets twice the buckets when
-they hold more than ``ROWS_PER_BUCKET`` rows each.
+An update is one new version of the folder (``plans.versions``): a driver that dies in it
+leaves the old state whole, and a delivery may be repeated, for contents that are already
+there change nothing. A table gets twice the buckets when they hold more than
+``ROWS_PER_BUCKET`` rows each.
 
 Pairs are made inside a basket (at most ``most`` squared), never by joining rows, and are
 summed on the map side first; item counts and basket counts reach the pairs by
@@ -29,14 +27,12 @@ keys are no basket. Empty tables give empty results; extra columns are ignored.
 
 from __future__ import annotations
 
-import json
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from graphloom.operators.skew import fragment_join, plan_fragments
 from graphloom.plans.iterate import cut
 from graphloom.plans.tables import tasks_of
+from graphloom.plans.versions import Versions
 
 BASKET = ["repo", "commit_hash"]
 PAIR = ["repo", "path_a", "path_b"]
@@ -114,69 +110,16 @@ def merge(state: DataFrame, deltas: DataFrame, keys: list[str], count: str) -> D
     return state.unionByName(deltas).groupBy(*keys).agg(*sums).where(F.col(count) != 0)
 
 
-class PairStore:
+class PairStore(Versions):
     """The state in folder ``root``; pairs below ``min_support`` get no score.
 
     ``as_of`` is fixed for a state: at a later time all weights have fallen by one common factor.
     """
 
     def __init__(self, spark: SparkSession, root: str, as_of: str = "2025-12-31 00:00:00", half_life_days: float = 90.0, least: int = 2, most: int = 100, min_support: int = 1, buckets: int | None = None):
-        self.spark, self.root, self.as_of, self.half_life_days = spark, root.rstrip("/"), as_of, half_life_days
+        super().__init__(spark, root, SCHEMAS, KEYS)
+        self.as_of, self.half_life_days = as_of, half_life_days
         self.least, self.most, self.min_support, self.buckets = least, most, min_support, buckets
-        self._jvm = spark.sparkContext._jvm
-        self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    # -- files ----------------------------------------------------------------------------
-    def _path(self, name: str):
-        return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
-
-    def _list(self, name: str) -> list[str]:
-        return [x.getPath().getName() for x in self._fs.listStatus(self._path(name))] if self._fs.exists(self._path(name)) else []
-
-    def versions(self) -> list[int]:
-        return sorted(int(x[:-5]) for x in self._list("manifests") if x.endswith(".json") and not x.startswith("_"))
-
-    def manifest(self, version: int | None = None) -> dict:
-        """{version, tables: {name: {buckets, parts: {bucket: folder}}}} of a version, the newest by default."""
-        known = self.versions()
-        if not known:
-            return {"version": 0, "tables": {t: {"buckets": 0, "parts": {}} for t in SCHEMAS}}
-        at = known[-1] if version is None else version
-        stream = self._fs.open(self._path(f"manifests/{at:08d}.json"))
-        try:
-            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-
-    def _commit(self, manifest: dict) -> None:
-        name = f"manifests/{manifest['version']:08d}.json"
-        draft = self._path(f"manifests/_{uuid.uuid4().hex}")
-        stream = self._fs.create(draft, False)
-        stream.write(bytearray(json.dumps(manifest).encode()))
-        stream.close()
-        if self._fs.exists(self._path(name)) or not self._fs.rename(draft, self._path(name)):
-            self._fs.delete(draft, False)
-            raise RuntimeError(f"{self.root}: another update wrote version {manifest['version']}")
-
-    def _prune(self) -> None:
-        """Remove the files that only manifests before the last two name."""
-        known = self.versions()
-        held = [{(t, b, f) for t, x in self.manifest(v)["tables"].items() for b, f in x["parts"].items()} for v in known[-3:]]
-        for t, b, folder in held[0] - held[1] - held[2] if len(held) == 3 else ():
-            self._fs.delete(self._path(f"{folder}/{t}/bucket={b}"), True)
-        for v in known[:-2]:
-            self._fs.delete(self._path(f"manifests/{v:08d}.json"), False)
-
-    def _bucket(self, table: str, buckets: int) -> Column:
-        return F.pmod(F.xxhash64(*KEYS[table]), F.lit(buckets)).cast("int")
-
-    def read(self, table: str, at: set[int] | None = None, manifest: dict | None = None) -> DataFrame:
-        """A table of the state, or only its buckets ``at``."""
-        parts = (manifest or self.manifest())["tables"][table]["parts"]
-        paths = [f"{self.root}/{f}/{table}/bucket={b}" for b, f in parts.items() if at is None or int(b) in at]
-        if not paths:
-            return self.spark.createDataFrame([], SCHEMAS[table])
-        return self.spark.read.schema(SCHEMAS[table]).option("recursiveFileLookup", "true").parquet(*paths)
 
     # -- updates --------------------------------------------------------------------------
     def _layout(self, old: dict, table: str, expected: int) -> int:
@@ -188,28 +131,19 @@ class PairStore:
             n *= 2
         return n
 
-    def _touched(self, table: str, n: int, rows: DataFrame) -> set[int]:
-        return {r[0] for r in rows.select(self._bucket(table, n)).distinct().collect()}  # at most ``n`` numbers
-
     def _replace(self, old: dict, new: dict, folder: str, table: str, n: int, at: set[int], rows) -> None:
         """Write the buckets ``at`` of ``table``, of ``n``; ``rows(state)`` gives their new rows from their old ones."""
-        was = old["tables"][table]
-        same = n == was["buckets"]
-        state = self.read(table, at if same else None, old)
-        out = rows(state).select(*state.columns).withColumn("bucket", self._bucket(table, n))
-        out.repartition(min(n, tasks_of(self.spark)), "bucket").write.partitionBy("bucket").parquet(f"{self.root}/{folder}/{table}")
-        made = {x.split("=")[1]: folder for x in self._list(f"{folder}/{table}") if x.startswith("bucket=")}
-        kept = {b: f for b, f in was["parts"].items() if int(b) not in at} if same else {}
-        new["tables"][table] = {"buckets": n, "parts": kept | made}
+        state = self.read(table, at if n == old["tables"][table]["buckets"] else None, old)
+        self.write(old, new, folder, table, rows(state), n, at)
 
     def update(self, commits: DataFrame) -> int:
         """Take in a delivery of commits (repo, commit_hash, committed_at, paths); gives the new version's number."""
         old = self.manifest()
         new = {"version": old["version"] + 1, "tables": {}}
-        folder = f"v{new['version']:08d}-{uuid.uuid4().hex[:8]}"
+        folder = self.folder(new["version"])
         # contents that were stored before meet the delivered ones
         held = old["tables"]["baskets"]["buckets"]
-        before = self.read("baskets", self._touched("baskets", held, commits) if held else set(), old)
+        before = self.read("baskets", self.touched("baskets", held, commits) if held else set(), old)
         before = before.select(*BASKET, F.col("committed_at").alias("t0"), F.col("paths").alias("p0"), F.lit(True).alias("was"))
         both = contents(commits, self.most).join(before, BASKET, "left")
         paths = F.when(F.col("was").isNull(), F.col("paths")).when(F.col("p0").isNotNull() & F.col("paths").isNotNull(), F.array_sort(F.array_union("p0", "paths")))
@@ -221,13 +155,13 @@ class PairStore:
         size = F.size("paths").cast("long")
         most_pairs, most_items, repos = (int(x or 0) for x in changes.agg(F.sum(size * (size - 1) / 2), F.sum(size), F.approx_count_distinct("repo")).first())
         n = self._layout(old, "baskets", changed.count())
-        self._replace(old, new, folder, "baskets", n, self._touched("baskets", n, changed), lambda state: state.join(changed.select(*BASKET), BASKET, "left_anti").unionByName(changed))
+        self._replace(old, new, folder, "baskets", n, self.touched("baskets", n, changed), lambda state: state.join(changed.select(*BASKET), BASKET, "left_anti").unionByName(changed))
 
         pairs, items, totals = pair_rows(changes, self.as_of, self.half_life_days), item_rows(changes), basket_rows(changes)
         at = {}
         for table, rows, expected, count in (("pairs", pairs, most_pairs, "support"), ("items", items, most_items, "n"), ("totals", totals, repos, "baskets")):
             n = self._layout(old, table, expected)
-            at[table] = self._touched(table, n, rows)
+            at[table] = self.touched(table, n, rows)
             self._replace(old, new, folder, table, n, at[table], lambda state, r=rows, t=table, c=count: merge(state, r, KEYS[t], c))
 
         # scores: of the buckets that hold a changed pair, or a pair with an item of a changed basket
@@ -235,10 +169,9 @@ class PairStore:
         counts = cut(self.read("items", manifest=new).join(touched, ["repo", "path"], "left"))
         scored = cut(self._counted(self.read("pairs", manifest=new).where(F.col("support") >= self.min_support), counts))
         n = new["tables"]["pairs"]["buckets"]
-        at = at["pairs"] | self._touched("scores", n, scored.where("t"))
-        self._replace(old, new, folder, "scores", n, at, lambda _: scored.where(self._bucket("scores", n).isin(*at)))
-        self._commit(new)
-        self._prune()
+        at = at["pairs"] | self.touched("scores", n, scored.where("t"))
+        self._replace(old, new, folder, "scores", n, at, lambda _: scored.where(self.bucket("scores", n).isin(*at)))
+        self.commit(new)
         return new["version"]
 
     @staticmethod

@@ -107,23 +107,23 @@ def test_only_touched_buckets_are_written_again(store):
 def test_an_update_that_dies_leaves_the_old_state(store, monkeypatch):
     rows = data(3)
     s = take(store(), rows[:100])
-    monkeypatch.setattr(C.PairStore, "_commit", lambda *_: 1 / 0)
+    monkeypatch.setattr(C.PairStore, "commit", lambda *_: 1 / 0)
     with pytest.raises(ZeroDivisionError):
         take(s, rows[100:])
     monkeypatch.undo()
     assert scores(s) == brute(rows[:100])
     assert scores(take(s, rows[100:])) == brute(rows)
     with pytest.raises(RuntimeError):
-        s._commit({"version": 2, "tables": {}})
+        s.commit({"version": 2, "tables": {}})
 
 
 def test_old_files_go(store):
     s = take(store(), *(data(4, 30) for _ in range(1)), *([("r", f"k{i}", END, ["a", "b"], "")] for i in range(3)))
     assert s.versions() == [3, 4]
     named = {(t, b, f) for v in s.versions() for t, x in s.manifest(v)["tables"].items() for b, f in x["parts"].items()}
-    for f in s._list(""):
-        for t in s._list(f) if f.startswith("v") else ():
-            assert all((t, b.split("=")[1], f) in named for b in s._list(f"{f}/{t}") if b.startswith("bucket="))
+    for f in s.files(""):
+        for t in s.files(f) if f.startswith("v") else ():
+            assert all((t, b.split("=")[1], f) in named for b in s.files(f"{f}/{t}") if b.startswith("bucket="))
 
 
 def test_buckets_grow(store, monkeypatch):

@@ -1,8 +1,7 @@
 """Source texts to nodes and edges, one extractor per extension behind a registry.
 
-Python is read with the standard library's syntax tree; other languages by declaration
-patterns, which find declarations, imports and calls at line level. ``register`` adds or
-replaces an extractor: ``f(path, text) -> (nodes, edges)`` with nodes
+Python is read with the standard library's syntax tree, other languages from tokens and
+scopes (``sources.syntax``). ``register`` adds or replaces an extractor: ``f(path, text) -> (nodes, edges)`` with nodes
 (id, kind, name, start_line, end_line) and edges (src, dst, type).
 """
 
@@ -16,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from graphloom.plans.ship import ship
+from graphloom.sources import syntax
 
 Result = tuple[list[tuple[str, str, str, int, int]], list[tuple[str, str, str]]]
 REGISTRY: dict[str, Callable[[str, str], Result]] = {}
@@ -33,7 +33,7 @@ def register(*extensions: str):
 def _frame(path: str, text: str) -> Result:
     lines = text.count("\n") + 1
     name = path.rsplit("/", 1)[-1]
-    return [(f"file:{path}", "file", name, 1, lines), (f"module:{path}", "module", name.split(".")[0], 1, lines)], [(f"file:{path}", f"module:{path}", "contains")]
+    return [(f"file:{path}", "file", path, 1, lines), (f"module:{path}", "module", name.rsplit(".", 1)[0] or name, 1, lines)], [(f"file:{path}", f"module:{path}", "contains")]
 
 
 @register("py")
@@ -81,52 +81,11 @@ def extract_python(path: str, text: str) -> Result:
     return nodes, edges
 
 
-#: Declaration patterns per language: (kind, pattern with the name in group 1).
-PATTERNS: dict[str, tuple[tuple[str, str], ...]] = {
-    "go": (("function", r"^func\s+(\w+)\s*[\[(]"), ("method", r"^func\s+\(\s*\w*\s*\*?\w+[^)]*\)\s*(\w+)\("), ("type", r"^type\s+(\w+)\s")),
-    "js ts jsx tsx mjs cjs": (("function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)"), ("function", r"^\s*(?:export\s+)?const\s+(\w+)\s*=\s*(?:async\s*)?\([^)]*\)\s*(?::[^=]+)?=>"), ("type", r"^\s*(?:export\s+)?(?:abstract\s+)?(?:class|interface|enum|type)\s+(\w+)")),
-    "java cs": (("type", r"^\s*(?:public|private|protected|internal|static|final|abstract|sealed|partial|\s)*(?:class|interface|enum|record|struct)\s+(\w+)"), ("function", r"^\s*(?:(?:public|private|protected|internal|static|final|async|override|virtual)\s+)+[\w<>\[\],.? ]+\s+(\w+)\s*\(")),
-    "kt": (("function", r"^\s*(?:\w+\s+)*fun\s+(?:<[^>]*>\s*)?(?:\w+\.)?(\w+)\s*\("), ("type", r"^\s*(?:\w+\s+)*(?:class|interface|object)\s+(\w+)")),
-    "swift": (("function", r"^\s*(?:\w+\s+)*func\s+(\w+)"), ("type", r"^\s*(?:\w+\s+)*(?:class|struct|enum|protocol|extension|actor)\s+(\w+)")),
-    "rb": (("function", r"^\s*def\s+(?:self\.)?(\w+[?!]?)"), ("type", r"^\s*(?:class|module)\s+([\w:]+)")),
-    "php": (("function", r"^\s*(?:\w+\s+)*function\s+&?(\w+)"), ("type", r"^\s*(?:abstract\s+|final\s+)?(?:class|interface|trait|enum)\s+(\w+)")),
-    "c h cc cpp hpp": (("type", r"^\s*(?:typedef\s+)?(?:struct|class|enum|union)\s+(\w+)[^;]*\{?$"), ("function", r"^[A-Za-z_][\w\s*&:<>,]*?\b(\w+)\s*\([^;]*\)\s*(?:const\s*)?\{?\s*$")),
-}
-IMPORTS = re.compile(r"""^\s*(?:import\s+(?:[\w*{}\s,.]+\s+from\s+)?["']([^"']+)["']|import\s+(?:static\s+)?([\w.]+)\s*;?|using\s+([\w.]+)\s*;|\#\s*include\s*[<"]([^>"]+)[>"]|(?:const|let|var)\s+[\w{}\s,:]+=\s*require\(["']([^"']+)["']\)|require(?:_relative)?\s+["']([^"']+)["']|\t"([^"]+)"|use\s+([\w\\]+)\s*;)""")
-CALL = re.compile(r"\b([A-Za-z_]\w*(?:\.\w+)*)\s*\(")
-WORDS = frozenset("if for while switch return catch function func def fun new sizeof typeof await assert elif except with super and or not in is lambda throw raise match when do else try".split())
-
-
-def by_patterns(language: str) -> Callable[[str, str], Result]:
-    rules = [(kind, re.compile(p)) for kind, p in PATTERNS[language]]
-
-    def extract(path: str, text: str) -> Result:
-        nodes, edges = _frame(path, text)
-        owner, starts = f"module:{path}", []
-        for at, line in enumerate(text.split("\n"), 1):
-            line = line.rstrip("\r")
-            if m := IMPORTS.match(line):
-                spec = next(g for g in m.groups() if g)
-                nodes.append((f"import:{path}#{spec}", "import", spec, at, at))
-                edges.append((f"module:{path}", f"import:{path}#{spec}", "imports"))
-                continue
-            for kind, rule in rules:
-                if (m := rule.match(line)) and m[1] not in WORDS:
-                    owner = f"{'type' if kind == 'type' else 'func'}:{path}#{m[1]}"
-                    starts.append([owner, "function" if kind == "method" else kind, m[1], at, at])
-                    edges.append((f"module:{path}", owner, "contains"))
-                    break
-            else:
-                edges.extend((owner, f"symbol:{name}", "calls") for name in CALL.findall(line) if name not in WORDS)
-            if starts:
-                starts[-1][4] = at
-        return nodes + [tuple(s) for s in starts], edges
-
-    return extract
-
-
-for _languages in PATTERNS:
-    register(*_languages.split())(by_patterns(_languages))
+#: The language of each extension that ``syntax`` reads.
+READERS = {"go": "go", "js jsx mjs cjs": "js", "ts tsx mts cts": "ts", "java": "java", "cs": "cs", "kt kts": "kt", "swift": "swift", "php": "php", "c h cc cpp cxx hpp hh hxx": "c"}
+for _extensions, _language in READERS.items():
+    register(*_extensions.split())(syntax.reader(_language))
+register("rb")(syntax.read_ruby)
 
 
 def doc_comment(lines: list[str], at: int) -> str:
@@ -165,6 +124,7 @@ def doc_comments(path: str, text: str) -> dict[str, str]:
 
 def param_signature(params: str) -> str:
     """Normalised parameter types of a JVM or C# parameter list: ``(int,List<String>,String...)``."""
+    params = params.replace("->", "\u2192")  # no closing bracket
     parts, level, at = [], 0, 0
     for i, c in enumerate(params + ","):
         level += (c in "<([") - (c in ">)]")
@@ -177,7 +137,7 @@ def param_signature(params: str) -> str:
         if not p:
             continue
         kind = p.split(":", 1)[1] if re.match(r"^\w+\s*:", p) else re.sub(r"\s*\b\w+\s*((?:\[\])*)$", r"\1", p)
-        types.append(re.sub(r"\s+", "", kind))
+        types.append(re.sub(r"\s+", "", kind).replace("\u2192", "->"))
     return f"({','.join(types)})"
 
 

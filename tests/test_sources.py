@@ -108,20 +108,46 @@ def test_python_extractor():
     assert extract.extract("a.py", "def broken(:")[0] and extract.extract("a.unknown", "x") == ([], [])
 
 
-@pytest.mark.parametrize(
-    ("path", "text", "want"),
-    [
-        ("a.go", 'package a\nimport (\n\t"fmt"\n)\nfunc Run(x int) {\n\tfmt.Println(x)\n}\nfunc (s *S) Go() {}\ntype S struct {}\n', {"func:a.go#Run", "func:a.go#Go", "type:a.go#S", "import:a.go#fmt"}),
-        ("a.ts", "import { x } from './x';\nexport async function f(a) {\n  x.y(a)\n}\nclass C {}\nconst g = (a) => a\n", {"func:a.ts#f", "func:a.ts#g", "type:a.ts#C", "import:a.ts#./x"}),
-        ("A.java", "import a.b.C;\npublic class A {\n  public int get(int x) {\n    return f(x);\n  }\n}\n", {"type:A.java#A", "func:A.java#get", "import:A.java#a.b.C"}),
-        ("a.rb", "require 'x'\nclass A\n  def m\n    go()\n  end\nend\n", {"type:a.rb#A", "func:a.rb#m", "import:a.rb#x"}),
-        ("a.c", '#include "x.h"\nint f(int a) {\n  return g(a);\n}\n', {"func:a.c#f", "import:a.c#x.h"}),
-        ("a.kt", "class A {\n  fun run(x: Int) {}\n}\n", {"type:a.kt#A", "func:a.kt#run"}),
-    ],
-)
-def test_pattern_extractors(path, text, want):
-    nodes, _ = extract.extract(path, text)
-    assert want <= {n[0] for n in nodes}
+LANGUAGES = {
+    "p/a.go": (
+        'package main\n\nimport (\n\t"fmt"\n\tx "corp/lib"\n)\n\ntype (\n\tID int\n\tBox struct {\n\t\tn int\n\t}\n)\n\nfunc (b *Box) Size() int {\n\tif b.n > 0 {\n\t\treturn x.Len(b.n)\n\t}\n\treturn len("}")\n}\n\nfunc run() {\n\tgo func() { work() }()\n\tfmt.Println(`{`) // no()\n}\n',
+        {"import:p/a.go#fmt 4-4", "import:p/a.go#corp/lib 5-5", "package:p/a.go#main 1-1", "type:p/a.go#ID 9-9", "type:p/a.go#Box 10-12", "method:p/a.go#Box.Size 15-20", "func:p/a.go#run 22-25"},
+        {"method:p/a.go#Box.Size calls x.Len", "method:p/a.go#Box.Size calls len", "func:p/a.go#run calls work", "func:p/a.go#run calls fmt.Println"},
+    ),
+    "p/a.ts": (
+        "import { x,\n  y } from './x'\nconst z = require('zed')\nexport type Pair = {\n  a: number\n}\nexport interface Shape { area(): number }\nexport async function load<T>(u: string): Promise<T> {\n  const r = /[}{]/.test(u)\n  return x.y(`${u}`)\n}\nexport const half = (n: number) => div(n, 2)\nconst twice = async n => {\n  await n.go()\n}\nclass Store extends Base {\n  constructor(private db: Db) { super(); this.open() }\n  get size(): number { return count(this) }\n  find = (id: string) => {\n    return this.db.get(id)\n  }\n}\n",
+        {"import:p/a.ts#./x 1-1", "import:p/a.ts#zed 3-3", "type:p/a.ts#Pair 4-6", "type:p/a.ts#Shape 7-7", "func:p/a.ts#load 8-11", "func:p/a.ts#half 12-12", "func:p/a.ts#twice 13-15", "type:p/a.ts#Store 16-22", "method:p/a.ts#Store.constructor 17-17", "method:p/a.ts#Store.size 18-18", "method:p/a.ts#Store.find 19-21"},
+        {"func:p/a.ts#load calls x.y", "func:p/a.ts#load calls _.test", "func:p/a.ts#half calls div", "func:p/a.ts#twice calls n.go", "method:p/a.ts#Store.constructor calls this.open", "method:p/a.ts#Store.size calls count", "method:p/a.ts#Store.find calls this.db.get"},
+    ),
+    "p/A.java": (
+        "package p.q;\nimport static a.b.C.d;\n@Anno(x = {1})\npublic final class A<T> {\n  private int n = f(1);\n  public A(int n) { this.n = n; }\n  @Override\n  public <U> List<U> map(final Map<String, U> m, int... k)\n  {\n    for (U u : m.values()) { log.info(u); }\n    return new ArrayList<U>(n);\n  }\n  interface In { void go(String s); }\n  enum E { X, Y }\n}\n",
+        {"package:p/A.java#p.q 1-1", "import:p/A.java#a.b.C.d 2-2", "type:p/A.java#A 4-15", "method:p/A.java#A.A(int) 6-6", "method:p/A.java#A.map(Map<String,U>,int...) 8-12", "type:p/A.java#In 13-13", "method:p/A.java#In.go(String) 13-13", "type:p/A.java#E 14-14"},
+        {"method:p/A.java#A.map(Map<String,U>,int...) calls m.values", "method:p/A.java#A.map(Map<String,U>,int...) calls log.info", "method:p/A.java#A.map(Map<String,U>,int...) calls ArrayList"},
+    ),
+    "p/a.kt": (
+        "package p\nimport a.b.C\nobject One {\n  fun two(x: Int): Int = three(x)\n}\ndata class D(val n: Int) {\n  constructor(s: String) : this(s.length)\n  companion object { fun of() = D(1) }\n}\nfun <T> List<T>.ext(f: (T) -> Unit) {\n  forEach { f(it) }\n}\n",
+        {"package:p/a.kt#p 1-1", "import:p/a.kt#a.b.C 2-2", "type:p/a.kt#One 3-5", "method:p/a.kt#One.two(Int) 4-4", "type:p/a.kt#D 6-9", "method:p/a.kt#D.constructor(String) 7-7", "func:p/a.kt#ext((T)->Unit) 10-12"},
+        {"method:p/a.kt#One.two(Int) calls three", "func:p/a.kt#ext((T)->Unit) calls f"},
+    ),
+    "p/a.cs": ("using System.Text;\nnamespace N.M;\n[Serializable]\npublic record R(int A);\nclass B : Base {\n  [Test(1)] public async Task<int> Go(List<string> a, int b = 2) => await c.D(a);\n  int P { get { return q(); } }\n  void X() { if (y()) { using (var z = Open()) { } } }\n}\n", {"import:p/a.cs#System.Text 1-1", "package:p/a.cs#N.M 2-2", "type:p/a.cs#B 5-9", "method:p/a.cs#B.Go(List<string>,int) 6-6", "method:p/a.cs#B.X() 8-8"}, {"method:p/a.cs#B.X() calls y", "method:p/a.cs#B.X() calls Open", "method:p/a.cs#B.Go(List<string>,int) calls c.D"}),
+    "p/a.swift": ("import UIKit\nextension View {\n  @objc func show(_ a: Int) -> Bool {\n    return model.load(a)\n  }\n}\nprotocol P { func need(x: Int) }\nstruct S {\n  init(n: Int) { self.n = n }\n}\n", {"import:p/a.swift#UIKit 1-1", "type:p/a.swift#View 2-6", "method:p/a.swift#View.show 3-5", "type:p/a.swift#P 7-7", "method:p/a.swift#P.need 7-7", "type:p/a.swift#S 8-10", "method:p/a.swift#S.init 9-9"}, {"method:p/a.swift#View.show calls model.load"}),
+    "p/a.php": ("<?php\nnamespace A\\B;\nuse C\\D as E;\nabstract class F extends G {\n  abstract protected function h(int $a): string;\n  public static function i() { return self::j($k['(']); }\n}\nfunction l() { # m()\n  n();\n}\n", {"package:p/a.php#A\\B 2-2", "import:p/a.php#C\\D 3-3", "type:p/a.php#F 4-7", "method:p/a.php#F.h 5-5", "method:p/a.php#F.i 6-6", "func:p/a.php#l 8-10"}, {"func:p/a.php#l calls n", "method:p/a.php#F.i calls self.j"}),
+    "p/a.cpp": ('#include <vector>\n#define X(a) { a(\nnamespace n {\ntemplate <class T> class V {\n public:\n  explicit V(int k) : k_(k) { init(); }\n  int get() const;\n};\nint V::get() const { return at(k_); }\n}\nstatic int g(const char *s, struct Q q) {\n  return p->f(s);\n}\nint later(void);\n', {"import:p/a.cpp#vector 1-1", "package:p/a.cpp#n 3-10", "type:p/a.cpp#V 4-8", "method:p/a.cpp#V.V 6-6", "method:p/a.cpp#V.get 9-9", "func:p/a.cpp#g 11-13"}, {"method:p/a.cpp#V.V calls init", "method:p/a.cpp#V.get calls at", "func:p/a.cpp#g calls p.f"}),
+    "p/a.rb": ("require 'json'\nmodule M\n  class C < B\n    def self.make(x)\n      items.each do |i|\n        log i if i.ok?\n      end\n      new(x)\n    end\n    def short = go(1)\n  end\nend\ndef top\n  a.b(1) # c(2)\nend\n", {"import:p/a.rb#json 1-1", "type:p/a.rb#M 2-12", "type:p/a.rb#C 3-11", "method:p/a.rb#C.make 4-9", "method:p/a.rb#C.short 10-10", "func:p/a.rb#top 13-15"}, {"func:p/a.rb#top calls a.b", "method:p/a.rb#C.make calls new"}),
+}
+
+
+@pytest.mark.parametrize("path", LANGUAGES)
+def test_languages(path):
+    text, want, calls = LANGUAGES[path]
+    nodes, edges = extract.extract(path, text)
+    got = {f"{n[0]} {n[3]}-{n[4]}" for n in nodes if n[1] not in ("file", "module")}
+    missing, more = want - got, {x for x in got - want if not x.startswith("type:p/a.kt#Companion") and "Companion" not in x and not x.startswith("type:p/a.cs#R")}
+    assert not missing and not more, (missing, more)
+    said = {f"{a} {t} {b.removeprefix('symbol:')}" for a, b, t in edges if t == "calls"}
+    assert calls <= said, calls - said
+    for k in range(len(text)):  # cut anywhere, it ends
+        extract.extract(path, text[:k])
 
 
 def test_parse_files(spark):
@@ -256,7 +282,7 @@ def test_workspace_and_git(spark, tmp_path):
 
 def test_doc_comments_and_signatures():
     assert extract.doc_comments("a.go", "package a\n\n// Run runs.\n// Twice.\nfunc Run() {}\n\nfunc Bare() {}\n") == {"func:a.go#Run": "Run runs.\nTwice."}
-    assert extract.doc_comments("A.java", "/**\n * Gets it.\n */\n@Override\npublic int get(int x) {\n}\n") == {"func:A.java#get": "Gets it."}
+    assert extract.doc_comments("A.java", "class A {\n/**\n * Gets it.\n */\n@Override\npublic int get(int x) {\n}\n}\n") == {"method:A.java#A.get(int)": "Gets it."}
     assert extract.doc_comments("a.py", "# above\ndef f():\n    '''inside'''\n") == {"func:a.py#f": "inside"}
     assert extract.param_signature("final int a, Map<String, List<X>> b, @A(\"x\") String... c") == "(int,Map<String,List<X>>,String...)"
     assert extract.param_signature("a: Int = 3, vararg b: List<String>") == "(Int,List<String>)" and extract.param_signature("") == "()"

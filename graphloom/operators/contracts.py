@@ -2,43 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from graphloom.functions.paths import generic_segment, http_path, segments
 from graphloom.functions.text import fold_name, operation_folds
 from graphloom.plans.iterate import cut
 
 
-def match_routes(calls: DataFrame, routes: DataFrame, min_specific: int = 2) -> DataFrame:
-    """(call_id, member, route): the one route whose trailing segments fit the call.
+def match_routes(calls: DataFrame, routes: DataFrame, min_specific: int = 2, common: DataFrame | None = None) -> DataFrame:
+    """(call_id, member, route): the route whose trailing segments fit the call.
 
     ``calls`` (call_id, method, path) and ``routes`` (member, method, path) have raw paths;
     ``ANY`` fits every method. A route's suffix, no longer than the call, must fit it segment
     by segment, ``{}`` fitting anything. Most literal segments win, then the longest
-    suffix; a tie between different routes matches nothing. At least ``min_specific`` (one or
-    more) literal segments must not be generic. A column ``within`` of ``calls``, if there is one,
-    names the only member whose routes may fit. The equi-join key is a literal segment that is
-    not generic, and its place from the end: every fit has one, so parameters and generic
-    segments bring nothing together.
+    suffix; a tie matches nothing, unless all tied are one declared route mounted at several
+    places (a column ``key`` of ``routes``, if there is one, names it). At least
+    ``min_specific`` (one or more) literal segments must not be generic. A column ``within`` of
+    ``calls``, if there is one, names the only member whose routes may fit. With ``common``
+    (member, prefix), as ``common_prefixes`` gives it, what stands before the suffix must be
+    such a prefix, and each member's best route is told. The equi-join key is a literal
+    segment that is not generic, and its place from the end: every fit has one, so parameters
+    and generic segments bring nothing together.
     """
     if min_specific < 1:
         raise ValueError("a route needs a segment that is not generic")
     within = F.col("within") if "within" in calls.columns else F.lit(None).cast("string")
+    key = F.col("key") if "key" in routes.columns else F.concat_ws(" ", "member", http_path(F.col("path")))
     c = calls.select("call_id", within.alias("within"), F.upper("method").alias("cm"), segments(http_path(F.col("path"))).alias("cs"))
-    r = routes.select("member", F.upper("method").alias("rm"), http_path(F.col("path")).alias("route")).distinct().withColumn("rs", segments(F.col("route")))
+    r = routes.select("member", F.upper("method").alias("rm"), http_path(F.col("path")).alias("route"), key.alias("key")).distinct().withColumn("rs", segments(F.col("route")))
     specific = lambda s: (s != "{}") & ~generic_segment(s)
     marks = lambda c: F.filter(F.transform(F.reverse(c), lambda s, i: F.struct(i.alias("place"), s.alias("mark"))), lambda x: specific(x["mark"]))
     both = c.select("*", F.inline(marks("cs"))).join(r.select("*", F.inline(marks("rs"))), ["place", "mark"])
     both = both.where(F.col("within").isNull() | (F.col("within") == F.col("member"))).where((F.size("rs") >= F.size("cs")) & ((F.col("cm") == F.col("rm")) | (F.col("cm") == "ANY") | (F.col("rm") == "ANY")))
-    tail = F.slice("rs", F.size("rs") - F.size("cs") + 1, F.size("cs"))
+    off = F.size("rs") - F.size("cs")
+    tail = F.slice("rs", off + 1, F.size("cs"))
     fit = F.forall(F.zip_with("cs", tail, lambda a, b: (a == b) | (a == "{}") | (b == "{}")), lambda x: x)
     both = both.withColumn("tail", tail).where(fit)
     literal = F.filter(F.zip_with("cs", "tail", lambda a, b: F.when((a == b) & (a != "{}"), a)), lambda x: x.isNotNull())
-    both = both.select("call_id", "member", "route", F.size(literal).alias("lit"), F.size(F.filter(literal, specific)).alias("specific"), (F.size("rs") - F.size("cs")).alias("off")).distinct()
-    best = Window.partitionBy("call_id").orderBy(F.desc("lit"), "off")
-    top = both.where(F.col("specific") >= min_specific).withColumn("k", F.rank().over(best)).where("k = 1")
-    one = top.groupBy("call_id").agg(F.countDistinct("member", "route").alias("n"), F.min("member").alias("member"), F.min("route").alias("route"))
-    return one.where("n = 1").drop("n")
+    both = both.select("call_id", "member", "route", "key", F.size(literal).alias("lit"), F.size(F.filter(literal, specific)).alias("specific"), off.alias("off"), F.concat(F.lit("/"), F.array_join(F.slice("rs", 1, off), "/")).alias("prefix")).distinct()
+    both = both.where(F.col("specific") >= min_specific)
+    if common is not None:
+        known = common.select("member", "prefix").distinct()
+        both = both.where("off = 0").unionByName(both.where("off > 0").join(known, ["member", "prefix"], "left_semi").select(both.columns))
+    per = ["call_id"] if common is None else ["call_id", "member"]
+    top = both.withColumn("k", F.rank().over(Window.partitionBy(*per).orderBy(F.desc("lit"), "off"))).where("k = 1")
+    one = top.groupBy(*per).agg(F.min("key").alias("k0"), F.max("key").alias("k1")).where("k0 = k1").select(*per)
+    return top.join(one, per, "left_semi").select("call_id", "member", "route").distinct()
+
+
+def strip_gateway(path: Column, prefix: Column) -> Column:
+    """A call's path without the gateway's prefix, which the member behind it doesn't see."""
+    own, front = http_path(path), http_path(prefix)
+    return F.when(F.coalesce(prefix, F.lit("")) == "", path).when(own == front, "/").when(own.startswith(F.concat(front, F.lit("/"))), F.substring(own, F.length(front) + 1, F.length(own))).otherwise(path)
 
 
 def common_prefixes(routes: DataFrame, longest: int = 3) -> DataFrame:

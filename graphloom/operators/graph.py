@@ -89,18 +89,29 @@ def unique_or_drop(rows: DataFrame, keys: list[str], tier: Column) -> DataFrame:
 
 
 def resolve_seeds(nodes: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query, repo, id, tier) for each query that names one node: by URI, id, then name.
+    """(query, repo, id, tier) for each query that names one node: by URI (0), id (1), then name.
 
-    By name, definitions come before code, then the only type declaration, then the rest;
-    an ambiguous best tier resolves to nothing.
+    By name: the only node that is no placeholder (2); of several the only function, method,
+    type, operation or schema (3); or the only type, if all others are files, modules and packages
+    (4); if there are none, the only symbol or import (5). An ambiguous name resolves to nothing.
     """
     q = queries.select("query").distinct()
-    named = nodes.where("name <> ''")
-    hits = q.join(nodes, F.col("query") == F.col("uri")).select("query", "repo", "id", F.lit(0).alias("tier"))
-    hits = hits.unionByName(q.join(nodes, F.col("query") == F.col("id")).select("query", "repo", "id", F.lit(1).alias("tier")))
-    rank = F.when(F.col("kind").isin("function", "method", "type", "operation"), 2).when(F.col("kind").isin("module", "file", "package"), 3).otherwise(4)
-    hits = hits.unionByName(q.join(named, F.col("query") == F.col("name")).select("query", "repo", "id", rank.alias("tier")))
-    return unique_or_drop(hits.distinct(), ["query"], F.col("tier"))
+    direct = q.join(nodes, F.col("query") == F.col("uri")).select("query", "repo", "id", F.lit(0).alias("tier"))
+    direct = direct.unionByName(q.join(nodes, F.col("query") == F.col("id")).select("query", "repo", "id", F.lit(1).alias("tier")))
+    direct = unique_or_drop(direct.distinct(), ["query"], F.col("tier"))
+    node = F.struct("repo", "id")
+    kind = {"any": ~F.col("kind").isin("symbol", "import"), "code": F.col("kind").isin("function", "method", "type", "operation", "schema"), "type": F.col("kind") == "type", "box": F.col("kind").isin("file", "module", "package"), "loose": F.col("kind").isin("symbol", "import")}
+    # one row per name, reduced on the map side: a name that very many nodes have is no hot group
+    by_name = nodes.where("name <> ''").groupBy(F.col("name").alias("query")).agg(*[F.count_if(c).alias(f"n_{k}") for k, c in kind.items()], *[F.min(F.when(c, node)).alias(k) for k, c in kind.items() if k != "box"])
+    pick = (
+        F.when(F.col("n_any") == 1, F.struct(F.lit(2).alias("tier"), F.col("any").alias("n")))
+        .when(F.col("n_code") == 1, F.struct(F.lit(3).alias("tier"), F.col("code").alias("n")))
+        .when((F.col("n_type") == 1) & (F.col("n_type") + F.col("n_box") == F.col("n_any")), F.struct(F.lit(4).alias("tier"), F.col("type").alias("n")))
+        .when((F.col("n_any") == 0) & (F.col("n_loose") == 1), F.struct(F.lit(5).alias("tier"), F.col("loose").alias("n")))
+    )
+    seen = nodes.select(F.explode(F.array("uri", "id")).alias("query")).where("query <> ''").distinct()
+    named = by_name.join(q, "query", "left_semi").join(seen, "query", "left_anti").select("query", pick.alias("p")).where("p is not null")
+    return direct.unionByName(named.select("query", "p.n.repo", "p.n.id", "p.tier"))
 
 
 def references_to(edges: DataFrame, nodes: DataFrame, names: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from graphloom.operators.lookup import with_members
-from graphloom.plans.iterate import cut
+from graphloom.plans.iterate import written
 
 #: Edge types that carry impact, strongest first.
 DEPENDENCY = ("inherits", "implements", "consumes", "calls", "observed_calls", "references", "imports")
@@ -32,11 +32,11 @@ def closure(edges: DataFrame, seeds: DataFrame, edge_type: str = "contains", up:
     """
     near, far = ("dst", "src") if up else ("src", "dst")
     step = edges.where(F.col("edge_type") == edge_type).select(F.col(f"{near}_repo").alias("repo"), F.col(f"{near}_id").alias("id"), F.col(f"{far}_repo").alias("r2"), F.col(f"{far}_id").alias("i2")).distinct()
-    reached = frontier = cut(seeds.select(*KEY).distinct())
+    reached = frontier = written(seeds.select(*KEY).distinct())
     level = 0
     while max_levels is None or level < max_levels:
         level += 1
-        frontier = cut(frontier.join(step, KEY).select(F.col("r2").alias("repo"), F.col("i2").alias("id")).distinct().join(reached, KEY, "left_anti"))
+        frontier = written(frontier.join(step, KEY).select(F.col("r2").alias("repo"), F.col("i2").alias("id")).distinct().join(reached, KEY, "left_anti"))
         if frontier.isEmpty():
             break
         reached = reached.unionByName(frontier)
@@ -58,7 +58,7 @@ def walk(edges: DataFrame, seeds: DataFrame, depth: int = 1, reverse: bool = Tru
         reach = hops.join(frontier.toDF("from_repo", "from_id"), ["from_repo", "from_id"]).join(seen, KEY, "left_anti")
         level = reach.groupBy(*KEY).agg(F.min(F.struct("s", "from_repo", "from_id", "edge")).alias("b")).select(*KEY, F.lit(d).alias("depth"), "b.edge", "b.from_repo", "b.from_id")
         if d < depth:
-            level = cut(level)
+            level = written(level)
         out = level if out is None else out.unionByName(level)
         frontier = level.select(*KEY)
         seen = seen.unionByName(frontier)
@@ -77,28 +77,28 @@ def whole_walk(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, depth: int
     ends = lambda a, b: [F.col(f"{a}_repo").alias("from_repo"), F.col(f"{a}_id").alias("from_id"), F.col(f"{b}_repo").alias("repo"), F.col(f"{b}_id").alias("id")]
     hops = edges.where(F.col("edge_type").isin(*DEPENDENCY)).select(*ends(near, far), F.col("edge_type").alias("edge"), strength(F.col("edge_type")).alias("s"))
     over = contract_hops(edges).select(*ends(*(("handler", "client") if reverse else ("client", "handler"))), F.lit("calls_api" if reverse else "handled_by").alias("edge"), F.lit(len(DEPENDENCY)).alias("s"))
-    hops, over = cut(hops), cut(over.distinct())
+    hops, over = written(hops), written(over.distinct())
     shown = nodes.where("kind not in ('symbol', 'import', 'service') and path <> ''").select(*KEY)
     kinds = nodes.select(*KEY, "kind")
     functions = kinds.where("kind in ('function', 'method')").select(*KEY)
     inside = edges.where("edge_type = 'contains'").select("edge_type", "src_repo", "src_id", "dst_repo", "dst_id").distinct()
-    nested = cut(inside.join(functions.toDF("src_repo", "src_id"), ["src_repo", "src_id"], "left_semi").join(functions.toDF("dst_repo", "dst_id"), ["dst_repo", "dst_id"], "left_semi"))
+    nested = written(inside.join(functions.toDF("src_repo", "src_id"), ["src_repo", "src_id"], "left_semi").join(functions.toDF("dst_repo", "dst_id"), ["dst_repo", "dst_id"], "left_semi"))
     row = [*KEY, "from_repo", "from_id", "edge", "s"]
 
     def stands_for(level: DataFrame, first: bool) -> DataFrame:
-        of = cut(level.join(kinds, KEY))
+        of = written(level.join(kinds, KEY))
         types = of.where("kind = 'type'").select(*KEY)
         out = of.select(*KEY).unionByName(with_members(nodes, types).select(*KEY)).unionByName(closure(edges, types, max_levels=1))
         if first:
             out = out.unionByName(closure(edges, of.where("kind in ('file', 'module')")))
         out = out.distinct()
-        return cut(out if reverse else out.unionByName(closure(nested, out.join(functions, KEY, "left_semi"))).distinct())
+        return written(out if reverse else out.unionByName(closure(nested, out.join(functions, KEY, "left_semi"))).distinct())
 
     def with_outer(found: DataFrame) -> DataFrame:
-        found = step = cut(found.select(*row).distinct())
+        found = step = written(found.select(*row).distinct())
         while not step.isEmpty():
             up = step.join(nested, (F.col("repo") == F.col("dst_repo")) & (F.col("id") == F.col("dst_id")))
-            step = cut(up.select(F.col("src_repo").alias("repo"), F.col("src_id").alias("id"), *row[2:]).distinct().join(found, row, "left_anti"))
+            step = written(up.select(F.col("src_repo").alias("repo"), F.col("src_id").alias("id"), *row[2:]).distinct().join(found, row, "left_anti"))
             found = found.unionByName(step)
         return found
 
@@ -109,11 +109,11 @@ def whole_walk(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, depth: int
         if seen is None:
             types = frontier.join(kinds.where("kind = 'type'"), KEY, "left_semi")
             held = closure(edges, frontier.join(kinds.where("kind in ('file', 'module')"), KEY, "left_semi"))
-            seen = cut(frontier.unionByName(held).unionByName(with_members(nodes, types).select(*KEY)).unionByName(closure(edges, types, max_levels=1)).distinct())
+            seen = written(frontier.unionByName(held).unionByName(with_members(nodes, types).select(*KEY)).unionByName(closure(edges, types, max_levels=1)).distinct())
         reach = hops.join(source, ["from_repo", "from_id"]).select(*row)
         reach = (with_outer(reach) if reverse else reach).unionByName(over.join(source, ["from_repo", "from_id"]).select(*row))
         reach = reach.join(seen, KEY, "left_anti").join(shown, KEY, "left_semi")
-        level = cut(reach.groupBy(*KEY).agg(F.min(F.struct("s", "from_repo", "from_id", "edge")).alias("b")).select(*KEY, F.lit(d).alias("depth"), "b.edge", "b.from_repo", "b.from_id"))
+        level = written(reach.groupBy(*KEY).agg(F.min(F.struct("s", "from_repo", "from_id", "edge")).alias("b")).select(*KEY, F.lit(d).alias("depth"), "b.edge", "b.from_repo", "b.from_id"))
         out = level if out is None else out.unionByName(level)
         frontier = level.select(*KEY)
         seen = seen.unionByName(frontier)
@@ -134,10 +134,10 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, targets: DataFrame, max_h
     Equally short paths are decided by the smallest (edge type, node) at each step back.
     Without ``max_hops`` it ends when a level adds nothing.
     """
-    hops = cut(edges.where(F.col("edge_type").isin(*DEPENDENCY, "contains")).groupBy("src_repo", "src_id", "dst_repo", "dst_id").agg(F.min("edge_type").alias("edge")))
+    hops = written(edges.where(F.col("edge_type").isin(*DEPENDENCY, "contains")).groupBy("src_repo", "src_id", "dst_repo", "dst_id").agg(F.min("edge_type").alias("edge")))
     key = ["seed_repo", "seed_id", *KEY]
     level = seeds.select(F.col("repo").alias("seed_repo"), F.col("id").alias("seed_id"), *KEY, F.array("id").alias("path")).distinct()
-    seen = level = cut(level)
+    seen = level = written(level)
     found = level.join(targets.select(*KEY).distinct(), KEY, "left_semi").withColumn("hops", F.lit(0))
     d = 0
     while max_hops is None or d < max_hops:
@@ -145,7 +145,7 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, targets: DataFrame, max_h
         step = level.join(hops, (F.col("repo") == F.col("src_repo")) & (F.col("id") == F.col("src_id")))
         step = step.select("seed_repo", "seed_id", F.col("dst_repo").alias("repo"), F.col("dst_id").alias("id"), F.col("edge"), "path")
         step = step.join(seen.select(*key), key, "left_anti").groupBy(*key).agg(F.min(F.struct("edge", "path")).alias("b"))
-        level = cut(step.select(*key, F.concat("b.path", F.array("id")).alias("path")))
+        level = written(step.select(*key, F.concat("b.path", F.array("id")).alias("path")))
         if level.isEmpty():
             break
         seen = seen.unionByName(level)

@@ -2,14 +2,22 @@
 
 All seeds are ranked in one job. Level d holds, per (seed, node), the best walk of exactly
 d hops; levels are joins of the frontier with the adjacency, and the best over all levels
-wins, the smaller depth on ties. Equal walks are decided by the edge reason. Weights and
-scores are kept to 12 places, so that what should be equal is not told apart by a last bit.
+wins, the smaller depth on ties. Equal walks are decided by the edge reason. Weights are kept
+to 9 places and scores to 12, so that what should be equal is not told apart by a last bit.
+
+Two bounds keep hubs from multiplying, without changing the result. Of a node's neighbors only
+the ``max_nodes`` best live ones count (and placeholders better than the last of those): to any
+seed the others come after that many nodes, and what lies behind them does too, since no
+weight is above 1. And a walk that is worse than the ``max_nodes``-th node its seed has so far
+is not continued.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from graphloom.plans.iterate import cut
+
 #: The weight of an edge by its type, its family, and that of unknown types.
 WEIGHTS = {
     "contains": 0.65, "calls": 0.8, "implements": 0.9, "inherits": 0.85, "references": 0.6,
@@ -25,9 +33,9 @@ def family_weights(multipliers: dict[str, float] | None = None) -> dict[str, flo
     return {t: w * m.get(FAMILY.get(t, "static"), 1.0) for t, w in WEIGHTS.items()}
 
 
-def places(c: Column) -> Column:
-    """Rounded to 12 places."""
-    return F.floor(c * 1e12 + 0.5) / 1e12
+def places(c: Column, n: int = 12) -> Column:
+    """Rounded to ``n`` places."""
+    return F.floor(c * 10.0**n + 0.5) / 10.0**n
 
 
 def signal_multiplier(weight: Column, count: Column, support: Column) -> Column:
@@ -43,7 +51,7 @@ def edge_weight(edge_type: Column, weight: Column, count: Column, support: Colum
     base = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in (weights or WEIGHTS).items() for x in kv]), edge_type), F.lit(0.0))
     base = F.when(base == 0, UNKNOWN).otherwise(base)
     w = base * signal_multiplier(F.coalesce(weight, F.lit(0.0)), count, support)
-    return places(F.when(base <= 0.99, F.least(w, F.lit(0.99))).otherwise(w))
+    return places(F.when(base <= 0.99, F.least(w, F.lit(0.99))).otherwise(w), 9)
 
 
 def adjacency(edges: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
@@ -55,6 +63,17 @@ def adjacency(edges: DataFrame, weights: dict[str, float] | None = None) -> Data
     return both.groupBy("from_repo", "from_id", "to_repo", "to_id").agg(F.max(F.struct("w", "reason")).alias("b")).select("from_repo", "from_id", "to_repo", "to_id", "b.*")
 
 
+def best_neighbors(near: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
+    """``adjacency`` rows that can matter to a result of ``most`` nodes, with ``live`` and ``mark`` (a symbol or import)."""
+    shown = nodes.select(F.col("repo").alias("to_repo"), F.col("id").alias("to_id"), F.lit(True).alias("live"), F.col("kind").isin("symbol", "import").alias("mark"))
+    near = near.join(shown, ["to_repo", "to_id"], "left").withColumn("live", F.coalesce("live", F.lit(False)))
+    order = Window.partitionBy("from_repo", "from_id").orderBy(F.desc("w"), "mark", "to_id", "to_repo")
+    live = near.where("live").withColumn("k", F.row_number().over(order)).where(F.col("k") <= most)
+    full = live.where(F.col("k") == most).select("from_repo", "from_id", F.col("w").alias("least"))
+    other = near.where("not live").join(full, ["from_repo", "from_id"], "left").where("least is null or w > least").drop("least")
+    return live.drop("k").unionByName(other)
+
+
 def neighborhood(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, depth: int = 2, max_nodes: int = 32, weights: dict[str, float] | None = None, explain: bool = False) -> DataFrame:
     """(seed_repo, seed_id, repo, id, kind, name, score, depth, reason, position) for every seed (repo, id).
 
@@ -64,20 +83,33 @@ def neighborhood(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, depth: in
     (family, edge_type, dir, weight) of each hop of the winning walk.
     """
     near = adjacency(edges, weights)
+    bounded = max((weights or WEIGHTS).values()) <= 0.99  # else a walk may gain on the way
+    near = best_neighbors(near, nodes, max_nodes) if bounded else near.withColumn("live", F.lit(True))
+    near = near.withColumnRenamed("live", "to_live")
     if explain:
         kind = F.substring_index("reason", ":", -1)
         fam = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in FAMILY.items() for x in kv]), kind), F.lit("static"))
         near = near.withColumn("hop", F.struct(fam.alias("family"), kind.alias("edge_type"), F.substring_index("reason", ":", 1).alias("dir"), F.col("w").alias("weight")))
     key, more = ["seed_repo", "seed_id", "repo", "id"], (["walk"] if explain else [])
-    level = seeds.select(F.col("repo").alias("seed_repo"), F.col("id").alias("seed_id"), "repo", "id", F.lit(1.0).alias("score"), F.lit("seed").alias("reason")).distinct()
+    level = seeds.select(F.col("repo").alias("seed_repo"), F.col("id").alias("seed_id"), "repo", "id", F.lit(1.0).alias("score"), F.lit("seed").alias("reason"), F.lit(True).alias("live")).distinct()
     if explain:
         level = level.withColumn("walk", F.array().cast("array<struct<family:string,edge_type:string,dir:string,weight:double>>"))
+    if depth > 2:
+        near = cut(near)
     reached = level.withColumn("depth", F.lit(0))
     for d in range(1, depth + 1):
-        step = level.drop("reason").join(near, (F.col("repo") == F.col("from_repo")) & (F.col("id") == F.col("from_id")))
+        if bounded and d > 2:
+            # nothing behind a walk can pass the last of enough nodes that its seed has
+            best = reached.where("live").groupBy(*key).agg(F.max("score").alias("score"))
+            last = best.withColumn("k", F.row_number().over(Window.partitionBy("seed_repo", "seed_id").orderBy(F.desc("score")))).where(F.col("k") == max_nodes)
+            last = last.select("seed_repo", "seed_id", F.col("score").alias("least"))
+            level = level.join(last, ["seed_repo", "seed_id"], "left").where("least is null or score > least").drop("least")
+        step = level.drop("reason", "live").join(near, (F.col("repo") == F.col("from_repo")) & (F.col("id") == F.col("from_id")))
         walk = [F.concat("walk", F.array("hop")).alias("walk")] if explain else []
-        step = step.select("seed_repo", "seed_id", F.col("to_repo").alias("repo"), F.col("to_id").alias("id"), places(F.col("score") * F.col("w")).alias("score"), "reason", *walk)
-        level = step.groupBy(*key).agg(F.max(F.struct("score", "reason", *more)).alias("b")).select(*key, "b.*")
+        step = step.select("seed_repo", "seed_id", F.col("to_repo").alias("repo"), F.col("to_id").alias("id"), places(F.col("score") * F.col("w")).alias("score"), "reason", F.col("to_live").alias("live"), *walk)
+        level = step.groupBy(*key).agg(F.max(F.struct("score", "reason", *more)).alias("b"), F.max("live").alias("live")).select(*key, "b.*", "live")
+        if d < depth and depth > 2:
+            level = cut(level)
         reached = reached.unionByName(level.withColumn("depth", F.lit(d)))
     best = reached.groupBy(*key).agg(F.max(F.struct("score", (-F.col("depth")).alias("nd"), "reason", *more)).alias("b"))
     hits = best.select(*key, "b.score", (-F.col("b.nd")).alias("depth"), "b.reason", *[F.col(f"b.{m}") for m in more]).join(nodes.select("repo", "id", "kind", "name"), ["repo", "id"])

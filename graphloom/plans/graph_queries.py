@@ -105,15 +105,19 @@ def filter_search(s, d):
 
 
 @query(
-    f"""WITH {LN}, q AS (SELECT DISTINCT name AS query FROM ln WHERE name <> ''), h AS (
-SELECT query, repo, id, 0 AS tier FROM q JOIN ln ON query = uri UNION SELECT query, repo, id, 1 FROM q JOIN ln ON query = id UNION
-SELECT query, repo, id, CASE WHEN kind IN ('function', 'method', 'type', 'operation') THEN 2 WHEN kind IN ('module', 'file', 'package') THEN 3 ELSE 4 END FROM q JOIN ln ON query = name),
-b AS (SELECT *, min(tier) OVER (PARTITION BY query) AS low, count(*) OVER (PARTITION BY query, tier) AS c FROM h)
-SELECT query, repo, id, tier FROM b WHERE tier = low AND c = 1"""
+    f"""WITH {LN}, q AS (SELECT name AS query FROM ln WHERE name <> '' UNION SELECT id FROM ln WHERE kind IN ('file', 'symbol') UNION SELECT uri FROM ln WHERE uri <> '' AND kind = 'type'),
+u AS (SELECT query, min(repo) AS repo, min(id) AS id, 0 AS tier, count(*) AS c FROM q JOIN ln ON query = uri GROUP BY query),
+i AS (SELECT query, min(repo) AS repo, min(id) AS id, 1 AS tier, count(*) AS c FROM q JOIN ln ON query = id WHERE query NOT IN (SELECT query FROM u) GROUP BY query),
+m AS (SELECT query, repo, id, kind IN ('symbol', 'import') AS loose, kind IN ('function', 'method', 'type', 'operation', 'schema') AS code, kind = 'type' AS typ, kind IN ('file', 'module', 'package') AS box FROM q JOIN ln ON query = name WHERE query NOT IN (SELECT query FROM u) AND query NOT IN (SELECT query FROM i)),
+g AS (SELECT query, count(*) FILTER (NOT loose) AS n, count(*) FILTER (code) AS nc, count(*) FILTER (typ) AS nt, count(*) FILTER (box) AS nb, count(*) FILTER (loose) AS nl FROM m GROUP BY query),
+t AS (SELECT query, CASE WHEN n = 1 THEN 2 WHEN nc = 1 THEN 3 WHEN nt = 1 AND nt + nb = n THEN 4 WHEN n = 0 AND nl = 1 THEN 5 END AS tier FROM g)
+SELECT query, repo, id, tier FROM u WHERE c = 1 UNION ALL SELECT query, repo, id, tier FROM i WHERE c = 1
+UNION ALL SELECT query, repo, id, tier FROM t JOIN m USING (query) WHERE (tier = 2 AND NOT loose) OR (tier = 3 AND code) OR (tier = 4 AND typ) OR (tier = 5 AND loose)"""
 )
 def filter_seeds(s, d):
     nodes = _nodes(s, d)
-    return graph.resolve_seeds(nodes, nodes.where("name <> ''").select(F.col("name").alias("query")))
+    asked = nodes.where("name <> ''").select(F.col("name").alias("query")).union(nodes.where("kind in ('file', 'symbol')").select("id")).union(nodes.where("uri <> '' and kind = 'type'").select("uri"))
+    return graph.resolve_seeds(nodes, asked)
 
 
 @query(f"WITH {LN} SELECT repo, id, CASE WHEN kind = 'method' AND regexp_extract(id, '#([^(]*)', 1) <> '' THEN regexp_extract(id, '#([^(]*)', 1) ELSE name END AS label, lower(regexp_replace(name, '[^\\p{{L}}\\p{{Nd}}]', '', 'g')) AS folded FROM ln WHERE kind IN ('function', 'method')")
@@ -480,7 +484,7 @@ _12 = "floor(({0}) * 1e12 + 0.5) / 1e12"
 def _weighted(bases: dict[str, str]) -> str:
     return f"""bw AS (SELECT *, CASE edge_type {' '.join(f"WHEN '{t}' THEN {w}" for t, w in bases.items())} ELSE 0.3 END::DOUBLE AS base,
   CASE WHEN weight > 0 THEN weight * (1 + 0.1 * log2(greatest(calls, support, 1))) WHEN calls > 0 THEN calls WHEN support > 0 THEN support ELSE 1.0 END::DOUBLE AS sig FROM le),
-sw AS (SELECT *, {_12.format(f'CASE WHEN base <= 0.99 THEN least(base * {_MULT}, 0.99) ELSE base * {_MULT} END')} AS w FROM bw),
+sw AS (SELECT *, floor((CASE WHEN base <= 0.99 THEN least(base * {_MULT}, 0.99) ELSE base * {_MULT} END) * 1e9 + 0.5) / 1e9 AS w FROM bw),
 ad AS MATERIALIZED (SELECT fr, fi, tr, ti, w, reason FROM (SELECT *, row_number() OVER (PARTITION BY fr, fi, tr, ti ORDER BY w DESC, reason DESC) AS q FROM (
   SELECT src_repo AS fr, src_id AS fi, dst_repo AS tr, dst_id AS ti, w, 'out:' || edge_type AS reason FROM sw UNION ALL SELECT dst_repo, dst_id, src_repo, src_id, w, 'in:' || edge_type FROM sw)) WHERE q = 1)"""
 
@@ -488,8 +492,8 @@ ad AS MATERIALIZED (SELECT fr, fi, tr, ti, w, reason FROM (SELECT *, row_number(
 _WEIGHTED = _weighted(_BASES)
 _STEP = f"SELECT sr, si, repo, id, score, reason FROM (SELECT sr, si, tr AS repo, ti AS id, {_12.format('score * w')} AS score, ad.reason, row_number() OVER (PARTITION BY sr, si, tr, ti ORDER BY {_12.format('score * w')} DESC, ad.reason DESC) AS q FROM {{0}} JOIN ad ON fr = repo AND fi = id) WHERE q = 1"
 _NEIGHBORS = f"""l0 AS MATERIALIZED (SELECT repo AS sr, id AS si, repo, id, 1.0::DOUBLE AS score, 'seed' AS reason FROM ln WHERE kind = 'operation'),
-l1 AS MATERIALIZED ({_STEP.format('l0')}), l2 AS MATERIALIZED ({_STEP.format('l1')}),
-al AS (SELECT *, row_number() OVER (PARTITION BY sr, si, repo, id ORDER BY score DESC, depth, reason DESC) AS q FROM (SELECT *, 0 AS depth FROM l0 UNION ALL SELECT *, 1 FROM l1 UNION ALL SELECT *, 2 FROM l2)),
+l1 AS MATERIALIZED ({_STEP.format('l0')}), l2 AS MATERIALIZED ({_STEP.format('l1')}), l3 AS MATERIALIZED ({_STEP.format('l2')}),
+al AS (SELECT *, row_number() OVER (PARTITION BY sr, si, repo, id ORDER BY score DESC, depth, reason DESC) AS q FROM (SELECT *, 0 AS depth FROM l0 UNION ALL SELECT *, 1 FROM l1 UNION ALL SELECT *, 2 FROM l2 UNION ALL SELECT *, 3 FROM l3)),
 hn AS (SELECT sr AS seed_repo, si AS seed_id, n.repo, n.id, n.kind, n.name, score, depth, al.reason, row_number() OVER (PARTITION BY sr, si ORDER BY score DESC, depth, n.kind IN ('symbol', 'import'), n.id, n.repo) AS position FROM al JOIN ln n ON n.repo = al.repo AND n.id = al.id WHERE q = 1)"""
 
 
@@ -500,7 +504,7 @@ def rank_signals(s, d):
 
 
 def _hits(s, d):
-    return ranking.neighborhood(_edges(s, d), _nodes(s, d), _kind(s, d, "operation"))
+    return ranking.neighborhood(_edges(s, d), _nodes(s, d), _kind(s, d, "operation"), depth=3)
 
 
 @query(f"WITH {LN}, {LE}, {_WEIGHTED}, {_NEIGHBORS} SELECT seed_repo, seed_id, repo, id, kind, name, position, round(score, 9) AS score, depth, reason FROM hn WHERE position <= 32")
@@ -519,7 +523,7 @@ def rank_budget(s, d):
 @query(f"WITH {LN}, {LE}, {_weighted(_BASES | {'co_committed': '0.7::DOUBLE * 0.5', 'observed_calls': '0.85::DOUBLE * 1.2', 'documents': '0.6::DOUBLE * 0.25'})}, {_NEIGHBORS} SELECT seed_repo, seed_id, repo, id, kind, name, position, round(score, 9) AS score, depth, reason FROM hn WHERE position <= 32")
 def rank_families(s, d):
     weights = ranking.family_weights({"git": 0.5, "runtime": 1.2, "doc": 0.25})
-    return _long(ranking.neighborhood(_edges(s, d), _nodes(s, d), _kind(s, d, "operation"), weights=weights).withColumn("score", F.round("score", 9)), "position", "depth")
+    return _long(ranking.neighborhood(_edges(s, d), _nodes(s, d), _kind(s, d, "operation"), depth=3, weights=weights).withColumn("score", F.round("score", 9)), "position", "depth")
 
 
 # -- impact -----------------------------------------------------------------------------

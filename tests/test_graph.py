@@ -38,6 +38,13 @@ def test_seeds_prefer_definitions_and_drop_ambiguous(spark):
     assert {(r["query"], r["id"]) for r in graph.resolve_seeds(n, q).collect()} == {("x", "func:a#x"), ("func:b#y", "func:b#y")}
 
 
+def test_seed_tiers(spark):
+    rows = [("func:a#f", "function", "f"), ("type:a#F", "type", "Foo"), ("module:Foo", "module", "Foo"), ("file:Foo", "file", "Foo"), ("type:b#G", "type", "G"), ("func:b#G", "function", "G"), ("symbol:only", "symbol", "only"), ("symbol:f", "symbol", "f"), ("heading:x", "heading", "mix"), ("type:c#mix", "type", "mix"), ("type:d#two", "type", "two"), ("type:e#two", "type", "two"), ("module:m", "module", "m"), ("file:m", "file", "m")]
+    n = nodes(spark, [("r", i, k, name, "p") for i, k, name in rows])
+    q = spark.createDataFrame([(x,) for x in ("f", "Foo", "G", "only", "mix", "two", "m", "func:a#f", "nobody", None)], "query string")
+    assert {(r["query"], r["id"], r["tier"]) for r in graph.resolve_seeds(n, q).collect()} == {("f", "func:a#f", 2), ("Foo", "type:a#F", 3), ("only", "symbol:only", 5), ("mix", "type:c#mix", 3), ("func:a#f", "func:a#f", 1)}
+
+
 def test_walk_labels_strongest(spark):
     e = edges(spark, [("b", "references", "a"), ("b", "inherits", "a"), ("c", "calls", "b"), ("a", "calls", "c")])
     seed = spark.createDataFrame([("r", "a")], "repo string, id string")

@@ -70,11 +70,37 @@ def test_bind(spark):
     members = spark.createDataFrame([("api", ["API_URL"]), ("scores", ["scores_url"]), ("web", [])], "member string, base_env array<string>")
     bound = H.bind_http(surface, routes, members)
     assert {(r["repo"], r["owner"], r["member"], r["how"]) for r in bound.collect()} == {("web", "load", "api", "declared"), ("web", "scores", "scores", "inferred"), ("worker", "run", "scores", "declared")}
-    assert H.http_stats(surface, routes, bound).first().asDict() == {"routes": 6, "clients": 4, "declared": 2, "inferred": 1, "unmatched": 1}
+    assert H.http_stats(surface, routes, bound, members).first().asDict() == {"routes": 6, "clients": 4, "declared": 2, "inferred": 1, "ambiguous": 0, "unmatched": 1, "service_edges": 2, "env_clashes": 0}
     assert {tuple(r) for r in H.service_env_reads(surface, members).collect()} == {("web", "w.ts", "api"), ("worker", "k.py", "scores")}
     assert {(r["member"], r["prefix"]) for r in H.route_prefixes(routes).where(F.col("member") == "api").collect()} >= {("api", "/api"), ("api", "/api/v1")}
 
 
+def test_inference_gateway_and_ambiguity(spark):
+    OUT = "repo string, path string, kind string, name string, method string, value string, tokens array<string>, target string, line int"
+    client = lambda repo, value, line, *tokens: (repo, "p.js", "client", "f", "GET", value, list(tokens), "", line)
+    surface = spark.createDataFrame(
+        [
+            client("web", "/teams/{}/athletes", 1),  # one other member has it
+            client("web", "/athletes/all", 2),  # /api/v1 is a common prefix
+            client("web", "/late/list", 3),  # what is left out is no common prefix
+            client("own", "/teams/1/athletes", 4, "OTHER"),  # its own member has it too
+            client("web", "/gw/x", 5, "A_URL"),  # behind the gateway
+            client("web", "/x", 6, "A_URL", "B_URL"),  # two members
+            client("web", "/both/here", 7),
+        ],
+        OUT,
+    )
+    route = lambda m, path, key=None: (m, "r.js", "GET", path, "h", True, key or f"{m}{path}")
+    routes = spark.createDataFrame(
+        [route("a", "/api/v1/teams/{}/athletes"), route("a", "/api/v1/athletes/all"), route("a", "/x"), route("a", "/one/deep/late/list"), route("own", "/teams/{}/athletes"), route("b", "/x"), route("a", "/both/here", "k"), route("a", "/api/both/here", "k")],
+        "repo string, path string, method string, route string, handler string, mounted boolean, key string",
+    )
+    members = spark.createDataFrame([("a", ["A_URL", "SAME"], "/gw"), ("b", ["B_URL", "same"], None), ("own", [], None), ("web", [], None)], "member string, base_env array<string>, gateway_prefix string")
+    bound = H.bind_http(surface, routes, members)
+    assert {(r["line"], r["member"], r["route"], r["how"]) for r in bound.collect()} == {(2, "a", "/api/v1/athletes/all", "inferred"), (5, "a", "/x", "declared"), (7, "a", "/both/here", "inferred")}
+    assert H.http_stats(surface, routes, bound, members).first().asDict() == {"routes": 8, "clients": 7, "declared": 1, "inferred": 2, "ambiguous": 1, "unmatched": 3, "service_edges": 0, "env_clashes": 1}
+
+
 WRAPPED = """
 const BASE = process.env.API_URL;
 async function apiGet(path, opts) {

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from graphloom.functions.paths import extension, family, id_path
 from graphloom.functions.text import is_camel_type
+from graphloom.plans.iterate import written
 
 #: What a relative import may stand for, the first that exists wins.
 SUFFIXES = ("", ".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs", "/index.js", "/index.jsx", "/index.ts", "/index.tsx", ".go")
@@ -74,8 +75,9 @@ def resolve_callees(calls: DataFrame, nodes: DataFrame) -> DataFrame:
     qualifier, member = split_callee(F.col("callee"))
     src = calls.select(*CALL).where("repo is not null and src_id is not null and callee is not null").distinct()
     src = src.select(*CALL, qualifier.alias("qualifier"), member.alias("name"), F.coalesce(id_path(F.col("src_id")), F.lit("")).alias("p"), receiver(F.col("src_id")).alias("own"))
-    src = src.withColumn("self", F.when(extension(F.col("p")).isin(*IMPLICIT_SELF), F.col("own")).otherwise(""))
-    defs = nodes.where("kind in ('function', 'method') and name <> ''").select("repo", "name", "id", "kind", F.coalesce(id_path(F.col("id")), F.lit("")).alias("q"), receiver(F.col("id")).alias("recv"))
+    defs = written(nodes.where("kind in ('function', 'method') and name <> ''").select("repo", "name", "id", "kind", F.coalesce(id_path(F.col("id")), F.lit("")).alias("q"), receiver(F.col("id")).alias("recv")))
+    # calls of names that nothing in the member defines end here
+    src = written(src.join(defs.select("repo", "name").distinct(), ["repo", "name"], "left_semi")).withColumn("self", F.when(extension(F.col("p")).isin(*IMPLICIT_SELF), F.col("own")).otherwise(""))
 
     def settle(found: DataFrame, tier: str, by_rules: bool = True) -> DataFrame:
         """(CALL, id, tier) of calls with candidates (CALL, self, id, kind, recv); id is null where they can't be told apart."""
@@ -85,7 +87,7 @@ def resolve_callees(calls: DataFrame, nodes: DataFrame) -> DataFrame:
         pick = F.when(F.col("n") == 1, F.col("one"))
         if by_rules:
             pick = pick.when(F.col("ns") == 1, F.col("s")).when(F.col("nf") == 1, F.col("f"))
-        return got.select(*CALL, pick.alias("id"), F.lit(tier).alias("tier"))
+        return written(got.select(*CALL, pick.alias("id"), F.lit(tier).alias("tier")))  # read by all later tiers
 
     rest = lambda left, done: left.join(done.select(*CALL), CALL, "left_anti")
     bare = src.where("qualifier = ''")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from graphloom.functions import paths as P
 from graphloom.operators import analysis, graph, http, lookup
 from graphloom.plans.graph_queries import _ENDS, LE, LN, VIEW
-from graphloom.plans.iterate import cut, ensure_checkpoint_dir
+from graphloom.plans.iterate import cut, ensure_checkpoint_dir, written
 from graphloom.plans.tables import table
 from graphloom.sources import documents, extract, files, snapshot, store
 from graphloom.sources import http as http_source
@@ -129,7 +129,7 @@ def sink_replace_files(s, d):
     """The stored graph after all code documents were parsed again."""
     nodes, edges = _graph(s, d)
     code = _docs(s, d, "source = 'code'")
-    parsed = extract.parse_files(code)
+    parsed = written(extract.parse_files(code))  # the texts are parsed once
     new_nodes = parsed.select("repo", F.inline("nodes"), "path").withColumn("uri", F.lit("")).select(*nodes.columns)
     new_edges = parsed.select("repo", F.inline("edges")).select(F.col("repo").alias("src_repo"), F.col("src").alias("src_id"), F.col("type").alias("edge_type"), F.col("repo").alias("dst_repo"), F.col("dst").alias("dst_id"), F.lit(None).cast("double").alias("weight"), F.lit(0).alias("support"), F.lit(0).alias("calls")).select(*edges.columns)
     return store.replace_files(nodes, edges, code, new_nodes, new_edges)[1].select(*graph.EDGE)

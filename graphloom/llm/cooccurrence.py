@@ -27,6 +27,8 @@ keys are no basket. Empty tables give empty results; extra columns are ignored.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from graphloom.operators.skew import fragment_join, plan_fragments
@@ -154,23 +156,29 @@ class PairStore(Versions):
         changes = signed(merged, self.least)
         size = F.size("paths").cast("long")
         most_pairs, most_items, repos = (int(x or 0) for x in changes.agg(F.sum(size * (size - 1) / 2), F.sum(size), F.approx_count_distinct("repo")).first())
-        n = self._layout(old, "baskets", changed.count())
-        self._replace(old, new, folder, "baskets", n, self.touched("baskets", n, changed), lambda state: state.join(changed.select(*BASKET), BASKET, "left_anti").unionByName(changed))
-
         pairs, items, totals = pair_rows(changes, self.as_of, self.half_life_days), item_rows(changes), basket_rows(changes)
-        at = {}
-        for table, rows, expected, count in (("pairs", pairs, most_pairs, "support"), ("items", items, most_items, "n"), ("totals", totals, repos, "baskets")):
+        at: dict[str, set[int]] = {}
+
+        def replace(table: str, rows: DataFrame, expected: int, new_rows) -> None:
             n = self._layout(old, table, expected)
             at[table] = self.touched(table, n, rows)
-            self._replace(old, new, folder, table, n, at[table], lambda state, r=rows, t=table, c=count: merge(state, r, KEYS[t], c))
+            self._replace(old, new, folder, table, n, at[table], new_rows)
+
+        # four independent tables, written side by side
+        with ThreadPoolExecutor(4) as side:
+            jobs = [side.submit(replace, "baskets", changed, changed.count(), lambda state: state.join(changed.select(*BASKET), BASKET, "left_anti").unionByName(changed))]
+            for table, rows, expected, count in (("pairs", pairs, most_pairs, "support"), ("items", items, most_items, "n"), ("totals", totals, repos, "baskets")):
+                jobs.append(side.submit(replace, table, rows, expected, lambda state, r=rows, t=table, c=count: merge(state, r, KEYS[t], c)))
+            for job in jobs:
+                job.result()
 
         # scores: of the buckets that hold a changed pair, or a pair with an item of a changed basket
         touched = items.select("repo", "path", F.lit(True).alias("t")).distinct()
-        counts = cut(self.read("items", manifest=new).join(touched, ["repo", "path"], "left"))
+        counts = self.read("items", manifest=new).join(touched, ["repo", "path"], "left")
         scored = cut(self._counted(self.read("pairs", manifest=new).where(F.col("support") >= self.min_support), counts))
         n = new["tables"]["pairs"]["buckets"]
-        at = at["pairs"] | self.touched("scores", n, scored.where("t"))
-        self._replace(old, new, folder, "scores", n, at, lambda _: scored.where(self.bucket("scores", n).isin(*at)))
+        rescored = at["pairs"] | self.touched("scores", n, scored.where("t"))
+        self._replace(old, new, folder, "scores", n, rescored, lambda _: scored.where(self.bucket("scores", n).isin(*rescored)))
         self.commit(new)
         return new["version"]
 

@@ -177,6 +177,8 @@ def shared_subtrees(files: DataFrame, min_files: int = 2) -> DataFrame:
     roots = below.select("repo", F.inline(views)).select("repo", "view", F.col("hash").alias("root"))
     alike = cut(fragment_join(alike, roots, ["repo", "view"], F.col("path"), plan_fragments(alike, ["repo", "view"]), "left"))
     shared = cut(alike.groupBy("view", "hash").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).where("r0 <> r1").select("view", "hash", "n"))
+    if shared.isEmpty():
+        return files.select("repo", "path").limit(0)
     # a content that very many repositories hold is spread over tasks
     copied = fragment_join(alike, shared.drop("n"), ["view", "hash"], F.struct("repo", "path"), plan_fragments(shared, ["view", "hash"], weight="n"), "left_semi")
     copied = copied.select("repo", F.col("path").alias("top")).distinct()

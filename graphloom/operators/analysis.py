@@ -14,13 +14,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from graphloom.functions.paths import id_path, language
 from graphloom.operators.impact import shortest_paths
-from graphloom.operators.resolution import resolve_imports
+from graphloom.operators.resolution import fold_dots, resolve_imports
 from graphloom.operators.skew import fragment_join, plan_fragments
-from graphloom.plans.iterate import discard, written
+from graphloom.plans.iterate import discard, row_numbers, written
 from graphloom.plans.ship import ship
 
 LOCAL_LINKS = 1_000_000
@@ -52,11 +52,19 @@ def important_files(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return sources.unionByName(targets).groupBy("repo", "path").agg(F.count("*").alias("score"))
 
 
+def import_target(path: Column, spec: Column) -> Column:
+    """What an import of the file ``path`` counts for: relative specs as paths, packages without the part inside them in JavaScript and TypeScript."""
+    bare = F.regexp_replace(F.trim(spec), "^[\"']+|[\"']+$", "")
+    web = language(path).isin("javascript", "typescript")
+    package = F.regexp_extract(bare, "^(@[^/]*/[^/]*|[^@/][^/]*)", 1)
+    return F.when(bare.startswith("."), F.coalesce(fold_dots(F.concat(F.regexp_replace(path, "[^/]*$", ""), bare)), bare)).when(web & ~bare.startswith("/") & (package != ""), package).otherwise(bare)
+
+
 def top_imports(edges: DataFrame) -> DataFrame:
-    """(spec, files): distinct importing files of each import target (the part after ``#``, else the module's path)."""
-    rows = edges.where("edge_type = 'imports'")
-    spec = F.when(F.col("dst_id").startswith("import:"), F.regexp_extract("dst_id", "#(.*)$", 1)).otherwise(id_path(F.col("dst_id")))
-    rows = rows.select(spec.alias("spec"), F.struct("src_repo", id_path(F.col("src_id")).alias("p")).alias("f")).where("spec <> '' and f.p is not null")
+    """(spec, files): distinct importing files of each import target (the part after ``#``, by language; else the module's path)."""
+    rows = edges.where("edge_type = 'imports'").withColumn("p", id_path(F.col("src_id")))
+    spec = F.when(F.col("dst_id").startswith("import:"), import_target(F.col("p"), F.regexp_extract("dst_id", "#(.*)$", 1))).otherwise(id_path(F.col("dst_id")))
+    rows = rows.select(spec.alias("spec"), F.struct("src_repo", "p").alias("f")).where("spec <> '' and f.p is not null")
     return rows.groupBy("spec").agg(F.countDistinct("f").alias("files"))
 
 
@@ -234,6 +242,23 @@ def label_by_joins(links: DataFrame, rounds: int) -> DataFrame:
     return labels.select("i", "label")
 
 
+def numbered_communities(labels: DataFrame) -> DataFrame:
+    """(label, number, members): communities numbered from 0 by size, the largest first, ties by label."""
+    sizes = labels.groupBy("label").agg(F.count("*").alias("members"))
+    return row_numbers(sizes, "number", F.desc("members"), F.col("label"), start=0).select("label", "number", "members")
+
+
+def small_communities(labels: DataFrame, below: int = 3) -> DataFrame:
+    """(label, members) of communities with fewer than ``below`` members."""
+    return labels.groupBy("label").agg(F.count("*").alias("members")).where(F.col("members") < below)
+
+
+def cycle_list(components: DataFrame) -> DataFrame:
+    """(component, length, files_only, position): cycles of files and modules only come first, then long ones, then by name."""
+    each = components.groupBy("component").agg(F.count("*").alias("length"), F.min(F.col("u").rlike(r"\|(file|module):")).alias("files_only"))
+    return row_numbers(each, "position", F.desc("files_only"), F.desc("length"), F.col("component"))
+
+
 def cohesion(view: DataFrame, labels: DataFrame) -> DataFrame:
     """(label, members, cohesion, name): connected member pairs over possible ones; named by the best-linked member."""
     key = lambda r, i: F.concat_ws("|", r, i)
@@ -341,17 +366,21 @@ def file_cycles(view: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def indirect_traces(edges: DataFrame, hops: int = 4) -> DataFrame:
-    """(repo, source, target_repo, target, hops): definitions two to ``hops`` calls away in another file, first reach counts."""
+    """(repo, source, target_repo, target, hops, path): definitions two to ``hops`` calls away in another file, first reach counts.
+
+    ``path`` has the ids from source to target, of the shortest walks the least.
+    """
     calls = edges.where("edge_type = 'calls'").where(~F.col("dst_id").startswith("symbol:")).select("src_repo", "src_id", "dst_repo", "dst_id").distinct()
     key = ["repo", "source", "target_repo", "target"]
-    level = calls.select(F.col("src_repo").alias("repo"), F.col("src_id").alias("source"), F.col("dst_repo").alias("target_repo"), F.col("dst_id").alias("target")).where("repo <> target_repo or source <> target")
-    seen, out = level, None
+    level = calls.select(F.col("src_repo").alias("repo"), F.col("src_id").alias("source"), F.col("dst_repo").alias("target_repo"), F.col("dst_id").alias("target"), F.array("src_id", "dst_id").alias("path")).where("repo <> target_repo or source <> target")
+    seen, out = level.select(*key), None
     for d in range(2, hops + 1):
         step = level.join(calls, (F.col("target_repo") == F.col("src_repo")) & (F.col("target") == F.col("src_id")))
-        step = step.select("repo", "source", F.col("dst_repo").alias("target_repo"), F.col("dst_id").alias("target")).distinct().where("repo <> target_repo or source <> target")
-        level = written(step.join(seen, key, "left_anti"))
-        seen = seen.unionByName(level)
-        out = level.withColumn("hops", F.lit(d)) if out is None else out.unionByName(level.withColumn("hops", F.lit(d)))
+        step = step.select("repo", "source", F.col("dst_repo").alias("target_repo"), F.col("dst_id").alias("target"), F.concat("path", F.array("dst_id")).alias("path")).where("repo <> target_repo or source <> target")
+        level = written(step.groupBy(*key).agg(F.min("path").alias("path")).join(seen, key, "left_anti"))
+        seen = seen.unionByName(level.select(*key))
+        part = level.select(*key, F.lit(d).alias("hops"), "path")
+        out = part if out is None else out.unionByName(part)
     return out.where((F.col("repo") != F.col("target_repo")) | (F.coalesce(id_path(F.col("source")), F.lit("")) != F.coalesce(id_path(F.col("target")), F.lit(""))))
 
 

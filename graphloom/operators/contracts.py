@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from graphloom.functions.paths import generic_segment, http_path, segments
+from graphloom.functions.paths import api_path, generic_segment, http_path, segments
 from graphloom.functions.text import fold_name, operation_folds
 from graphloom.plans.iterate import cut
 
@@ -77,20 +77,32 @@ def bind_operation_ids(operations: DataFrame, functions: DataFrame) -> DataFrame
 
 
 def path_literals(texts: DataFrame) -> DataFrame:
-    """(repo, path, line, route): quoted paths in source lines, normalised; ``texts`` (repo, path, text)."""
-    lines = texts.select("repo", "path", F.posexplode(F.split("text", "\n")).alias("i", "line_text")).where(F.col("line_text").contains("/"))
-    hits = lines.select("repo", "path", (F.col("i") + 1).alias("line"), F.explode(F.regexp_extract_all("line_text", F.lit("[\"'`](/[A-Za-z0-9_{}:./-]+)[\"'`]"), F.lit(1))).alias("p"))
-    return hits.select("repo", "path", "line", http_path(F.col("p")).alias("route"))
+    """(repo, path, line, literal): quoted strings of source lines that may be paths, query and fragment cut; ``texts`` (repo, path, text)."""
+    lines = texts.select("repo", "path", F.posexplode(F.split("text", "\n")).alias("i", "line_text")).where(F.col("line_text").rlike("[\"'`]"))
+    hits = lines.select("repo", "path", (F.col("i") + 1).alias("line"), F.explode(F.regexp_extract_all("line_text", F.lit(r"[\"'`]((?:[^\"'`\\]|\\.)*)[\"'`]"), F.lit(1))).alias("p"))
+    return hits.select("repo", "path", "line", api_path(F.col("p")).alias("literal")).where("literal <> ''")
 
 
 def bind_path_literals(literals: DataFrame, operations: DataFrame, functions: DataFrame) -> DataFrame:
-    """(repo, id, op_repo, op_id): functions whose lines hold the path of an operation.
+    """(repo, id, op_repo, op_id): functions whose lines hold the path of an operation, with or without the slash in front.
 
-    ``operations`` (repo, id, path); ``functions`` (repo, id, path, start_line, end_line).
+    ``operations`` (repo, id, path); ``functions`` (repo, id, path, start_line, end_line), where
+    one without lines stands for its whole file.
     """
-    ops = operations.select(F.col("repo").alias("op_repo"), F.col("id").alias("op_id"), http_path(F.col("path")).alias("route")).where("route <> '/'")
-    hit = literals.join(ops, "route")
-    return hit.join(functions.select("repo", "path", "id", "start_line", "end_line"), ["repo", "path"]).where("line between start_line and end_line").select("repo", "id", "op_repo", "op_id").distinct()
+    ops = operations.select(F.col("repo").alias("op_repo"), F.col("id").alias("op_id"), api_path(F.col("path")).alias("literal")).where("literal <> ''")
+    plain = literals.join(ops, "literal")
+    slashed = literals.where(~F.col("literal").startswith("/")).join(ops.select(F.col("literal").alias("same")).distinct(), F.col("literal") == F.col("same"), "left_anti").withColumn("literal", F.concat(F.lit("/"), "literal")).join(ops, "literal")
+    hit = plain.unionByName(slashed)
+    inside = hit.join(functions.select("repo", "path", "id", "start_line", "end_line"), ["repo", "path"]).where("start_line = 0 or end_line = 0 or line between start_line and end_line")
+    return inside.select("repo", "id", "op_repo", "op_id").distinct()
+
+
+def expand_aliases(calls: DataFrame, aliases: DataFrame) -> DataFrame:
+    """``calls`` (repo, tokens, ...) with the names that a member's settings give its tokens; ``aliases`` (repo, token, name)."""
+    named = calls.select("repo", F.explode("tokens").alias("token")).distinct().join(aliases.select("repo", "token", "name").distinct(), ["repo", "token"])
+    known = named.groupBy("repo", "token").agg(F.collect_set("name").alias("names")).groupBy("repo").agg(F.map_from_entries(F.collect_list(F.struct("token", "names"))).alias("_known"))
+    more = F.flatten(F.transform("tokens", lambda t: F.coalesce(F.try_element_at("_known", t), F.array().cast("array<string>"))))
+    return calls.join(known, "repo", "left").withColumn("tokens", F.when(F.col("_known").isNull(), F.col("tokens")).otherwise(F.array_distinct(F.concat("tokens", more)))).drop("_known")
 
 
 def env_owners(members: DataFrame) -> DataFrame:

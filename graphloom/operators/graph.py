@@ -129,3 +129,25 @@ def with_uris(nodes: DataFrame) -> DataFrame:
     from graphloom.functions.paths import assigned_uri
 
     return nodes.withColumn("uri", F.when(F.col("uri") != "", F.col("uri")).otherwise(assigned_uri(F.col("repo"), F.col("id"), F.col("kind"))))
+
+
+def edge_changes(existing: DataFrame, desired: DataFrame) -> DataFrame:
+    """(EDGE, action): what turns the existing edges into the desired ones, ``delete`` or ``upsert``; edges in both stay."""
+    old, new = existing.select(*EDGE).distinct(), desired.select(*EDGE).distinct()
+    return old.join(new, EDGE, "left_anti").withColumn("action", F.lit("delete")).unionByName(new.join(old, EDGE, "left_anti").withColumn("action", F.lit("upsert")))
+
+
+def replace_family(edges: DataFrame, types: tuple[str, ...], new: DataFrame) -> DataFrame:
+    """The edges without those of a derived family, and the family computed again."""
+    return edges.where(~F.col("edge_type").isin(*types)).unionByName(new.where(F.col("edge_type").isin(*types)), allowMissingColumns=True)
+
+
+def owners(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, repo, members): the member that has each of the ``ids`` (id); null where several have it, which is a conflict."""
+    held = ids.select("id").distinct().join(nodes.select("id", "repo"), "id").groupBy("id").agg(F.count_distinct("repo").alias("members"), F.min("repo").alias("repo"))
+    return held.select("id", F.when(F.col("members") == 1, F.col("repo")).alias("repo"), "members")
+
+
+def missing_members(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(member): listed members of which there is no node; a workspace opens without them, with a warning."""
+    return members.select("member").where("member is not null").distinct().join(nodes.select(F.col("repo").alias("member")).distinct(), "member", "left_anti")

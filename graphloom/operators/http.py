@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from graphloom.functions.paths import http_path
 from graphloom.functions.text import verb_hint
-from graphloom.operators.contracts import common_prefixes, env_owners, env_reads, match_routes, strip_gateway
+from graphloom.operators.contracts import common_prefixes, env_owners, env_reads, expand_aliases, match_routes, strip_gateway
 from graphloom.plans.iterate import cut
 
 MOUNT_LEVELS = 4
@@ -59,7 +59,7 @@ def expand_wrappers(surface: DataFrame, rounds: int = WRAPPER_ROUNDS) -> DataFra
     return surface.unionByName(clients.select(*surface.columns))
 
 
-def bind_http(surface: DataFrame, routes: DataFrame, members: DataFrame) -> DataFrame:
+def bind_http(surface: DataFrame, routes: DataFrame, members: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """(repo, path, owner, line, method, call, member, route, how): client calls bound to one member's route.
 
     ``members`` (member, base_env, and gateway_prefix if there is one) declares which variables
@@ -67,8 +67,11 @@ def bind_http(surface: DataFrame, routes: DataFrame, members: DataFrame) -> Data
     routes (``declared``), without the gateway's prefix; two members make it ambiguous. Others are
     bound (``inferred``) if exactly one member has a fitting route, and that is not their own:
     two literal segments must not be generic, and what the call leaves out at the front must be
-    a prefix common in that member. Unmounted routes are never matched.
+    a prefix common in that member. Unmounted routes are never matched. ``aliases`` (repo, token,
+    name) are further names of tokens, from a member's settings.
     """
+    if aliases is not None:
+        surface = expand_aliases(surface, aliases)
     calls, aimed = _aimed(surface, members)
     serve = routes.where("mounted").select(F.col("repo").alias("member"), "method", F.col("route").alias("path"), *[c for c in ("key",) if c in routes.columns])
     gateway = members.select(F.col("member").alias("within"), (F.col("gateway_prefix") if "gateway_prefix" in members.columns else F.lit("")).alias("gateway")).distinct()

@@ -76,3 +76,13 @@ def index_stats(changes: DataFrame) -> DataFrame:
     """(repo, processed, skipped, deleted) of ``resolution.scan_changes``."""
     is_ = lambda *a: F.count_if(F.col("action").isin(*a))
     return changes.groupBy("repo").agg(is_("add", "replace").alias("processed"), is_("skip").alias("skipped"), is_("delete").alias("deleted"))
+
+
+def line_owners(nodes: DataFrame, places: DataFrame) -> DataFrame:
+    """(repo, path, line, id): the innermost function or method around each line; ``places`` (repo, path, line).
+
+    The shortest span that holds the line wins, ties by id; a line outside all has no row.
+    """
+    code = nodes.where("kind in ('function', 'method') and path <> '' and start_line >= 1").select("repo", "path", "id", "start_line", "end_line")
+    hit = places.select("repo", "path", "line").distinct().join(code, ["repo", "path"]).where("line between start_line and end_line")
+    return hit.groupBy("repo", "path", "line").agg(F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("size"), "id")).alias("b")).select("repo", "path", "line", "b.id")

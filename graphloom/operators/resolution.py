@@ -191,10 +191,23 @@ def camel_mentions(docs: DataFrame) -> DataFrame:
 
 
 def file_owner(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(repo, id, owner): the file of each node: the path in its id, else what contains it."""
+    """(repo, id, owner): the file of each node: the path in its id, else that of the nearest node that contains it.
+
+    Climbs level by level while anything is found, so circles end; of several containers the
+    least path counts. Null where nothing above has a path.
+    """
     own = nodes.where("kind not in ('symbol', 'import')").select("repo", "id", id_path(F.col("id")).alias("owner"))
-    up = edges.where("edge_type = 'contains'").groupBy(F.col("dst_repo").alias("repo"), F.col("dst_id").alias("id")).agg(F.min(id_path(F.col("src_id"))).alias("above"))
-    return own.join(up, ["repo", "id"], "left").select("repo", "id", F.coalesce("owner", "above").alias("owner"))
+    known = own.where("owner is not null")
+    open_ = written(own.where("owner is null").select("repo", "id", "repo", F.col("id").alias("up")).toDF("repo", "id", "up_repo", "up").distinct())
+    above = edges.where("edge_type = 'contains'").select(F.col("dst_repo").alias("up_repo"), F.col("dst_id").alias("up"), F.col("src_repo").alias("r2"), F.col("src_id").alias("i2")).distinct()
+    seen = open_
+    while not open_.isEmpty():
+        step = written(open_.join(above, ["up_repo", "up"]).select("repo", "id", F.col("r2").alias("up_repo"), F.col("i2").alias("up")).distinct())
+        hit = step.withColumn("owner", id_path(F.col("up"))).where("owner is not null").groupBy("repo", "id").agg(F.min("owner").alias("owner"))
+        known = known.unionByName(hit)
+        open_ = written(step.join(hit, ["repo", "id"], "left_anti").join(seen, ["repo", "id", "up_repo", "up"], "left_anti"))
+        seen = seen.unionByName(open_)
+    return own.select("repo", "id").join(known, ["repo", "id"], "left")
 
 
 def scan_changes(stored: DataFrame, scanned: DataFrame) -> DataFrame:

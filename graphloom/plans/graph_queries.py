@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from graphloom.functions import paths as P, text as T
-from graphloom.operators import analysis, contracts, graph, history, impact, ranking, resolution, tracing
+from graphloom.operators import analysis, contracts, graph, history, impact, lookup, ranking, resolution, tracing
 from graphloom.operators.references import canonical_uri
 from graphloom.plans.tables import table
 
@@ -240,15 +240,15 @@ def join_bind_operation_ids(s, d):
 
 @query(
     f"""WITH {LN}, {LE}, {_OPS}, w AS (SELECT DISTINCT n.repo, n.path, n.start_line AS line, op.p FROM le JOIN ln n ON n.repo = src_repo AND n.id = src_id AND n.kind IN ('function', 'method') AND n.path <> '' AND n.start_line >= 1 JOIN op ON op.repo = dst_repo AND op.id = dst_id WHERE edge_type = 'implements'),
-o AS (SELECT repo, id, {_HTTP.format('p')} AS route FROM op)
-SELECT DISTINCT n.repo, n.id, o.repo AS op_repo, o.id AS op_id FROM w JOIN o ON o.route = {_HTTP.format('w.p')} AND o.route <> '/' JOIN ln n ON n.repo = w.repo AND n.path = w.path AND n.kind IN ('function', 'method') AND w.line BETWEEN n.start_line AND n.end_line"""
+o AS (SELECT repo, id, regexp_extract(p, '^[^?#]*') AS route FROM op)
+SELECT DISTINCT n.repo, n.id, o.repo AS op_repo, o.id AS op_id FROM w JOIN o ON o.route = regexp_extract(w.p, '^[^?#]*') JOIN ln n ON n.repo = w.repo AND n.path = w.path AND n.kind IN ('function', 'method') AND (n.start_line = 0 OR n.end_line = 0 OR w.line BETWEEN n.start_line AND n.end_line)"""
 )
 def join_bind_path_literals(s, d):
-    """Texts that quote, in the first line of each implementing function, the route it implements."""
+    """Texts that quote, in the first line of each implementing function, the route it implements, without its slash and with a query."""
     functions, ops = _kind(s, d, "function", "method"), _operations(s, d)
     served = _edges(s, d).where("edge_type = 'implements'").join(ops.select(F.col("repo").alias("dst_repo"), F.col("id").alias("dst_id"), "route"), ["dst_repo", "dst_id"])
     places = served.join(functions.where("path <> '' and start_line >= 1").select(F.col("repo").alias("src_repo"), F.col("id").alias("src_id"), "path", "start_line"), ["src_repo", "src_id"])
-    texts = places.select(F.col("src_repo").alias("repo"), "path", F.concat(F.expr("repeat('\\n', start_line - 1)"), F.lit('get("'), "route", F.lit('", handle)')).alias("text"))
+    texts = places.select(F.col("src_repo").alias("repo"), "path", F.concat(F.expr("repeat('\\n', start_line - 1)"), F.lit('get("'), F.expr("substr(route, 2)"), F.lit('?a=1", handle)')).alias("text"))
     return contracts.bind_path_literals(contracts.path_literals(texts), ops.select("repo", "id", F.col("route").alias("path")), functions)
 
 
@@ -370,8 +370,11 @@ def agg_important_files(s, d):
 
 
 @query(
-    f"""WITH {LE}, x AS (SELECT CASE WHEN starts_with(dst_id, 'import:') THEN regexp_extract(dst_id, '#(.*)$', 1) ELSE {IDPATH.format('dst_id')} END AS spec, src_repo, {IDPATH.format('src_id')} AS p FROM le WHERE edge_type = 'imports')
-SELECT spec, count(DISTINCT (src_repo, p)) AS files FROM x WHERE spec <> '' AND p IS NOT NULL GROUP BY spec"""
+    f"""WITH {LE}, y AS (SELECT src_repo, {IDPATH.format('src_id')} AS p, dst_id, trim(trim(regexp_extract(dst_id, '#(.*)$', 1)), chr(34) || chr(39)) AS b FROM le WHERE edge_type = 'imports'),
+x AS (SELECT src_repo, p, CASE WHEN NOT starts_with(dst_id, 'import:') THEN {IDPATH.format('dst_id')} WHEN starts_with(b, './') THEN regexp_replace(p, '[^/]*$', '') || substr(b, 3)
+  WHEN regexp_matches(p, '\\.(js|jsx|mjs|cjs|ts|tsx|mts|cts)$') AND starts_with(b, '@') AND contains(b, '/') THEN split_part(b, '/', 1) || '/' || split_part(b, '/', 2)
+  WHEN regexp_matches(p, '\\.(js|jsx|mjs|cjs|ts|tsx|mts|cts)$') AND NOT starts_with(b, '@') AND NOT starts_with(b, '/') THEN split_part(b, '/', 1) ELSE b END AS spec FROM y WHERE p IS NOT NULL)
+SELECT spec, count(DISTINCT (src_repo, p)) AS files FROM x WHERE spec <> '' GROUP BY spec"""
 )
 def agg_top_imports(s, d):
     return analysis.top_imports(_edges(s, d))
@@ -462,12 +465,33 @@ def graph_file_cycles(s, d):
 
 @query(
     f"""WITH RECURSIVE {LE}, c AS MATERIALIZED (SELECT DISTINCT src_repo || '|' || src_id AS u, dst_repo || '|' || dst_id AS v FROM le WHERE edge_type = 'calls' AND NOT starts_with(dst_id, 'symbol:')),
-t AS (SELECT u, v, 1 AS d FROM c WHERE u <> v UNION SELECT t.u, c.v, d + 1 FROM t JOIN c ON c.u = t.v WHERE d < 4 AND c.v <> t.u), m AS (SELECT u, v, min(d) AS hops FROM t GROUP BY ALL),
-z AS (SELECT split_part(u, '|', 1) AS repo, substr(u, strpos(u, '|') + 1) AS source, split_part(v, '|', 1) AS target_repo, substr(v, strpos(v, '|') + 1) AS target, hops FROM m WHERE hops >= 2)
+t AS (SELECT u, v, 1 AS d, [substr(u, strpos(u, '|') + 1), substr(v, strpos(v, '|') + 1)] AS path FROM c WHERE u <> v UNION SELECT t.u, c.v, d + 1, list_append(path, substr(c.v, strpos(c.v, '|') + 1)) FROM t JOIN c ON c.u = t.v WHERE d < 4 AND c.v <> t.u),
+m AS (SELECT u, v, d AS hops, min(path) AS path FROM t GROUP BY u, v, d QUALIFY row_number() OVER (PARTITION BY u, v ORDER BY d) = 1),
+z AS (SELECT split_part(u, '|', 1) AS repo, substr(u, strpos(u, '|') + 1) AS source, split_part(v, '|', 1) AS target_repo, substr(v, strpos(v, '|') + 1) AS target, hops, array_to_string(path, ' ') AS path FROM m WHERE hops >= 2)
 SELECT * FROM z WHERE repo <> target_repo OR coalesce({IDPATH.format('source')}, '') <> coalesce({IDPATH.format('target')}, '')"""
 )
 def graph_indirect_traces(s, d):
-    return analysis.indirect_traces(_edges(s, d))
+    return analysis.indirect_traces(_edges(s, d)).withColumn("path", F.array_join("path", " "))
+
+
+@query(_communities_sql() + "SELECT label, row_number() OVER (ORDER BY members DESC, label) - 1 AS number, members FROM (SELECT label, count(*) AS members FROM lb GROUP BY label)")
+def graph_community_numbers(s, d):
+    return _long(analysis.numbered_communities(analysis.communities(_view(s, d))), "number")
+
+
+@query(_communities_sql() + "SELECT label, count(*) AS members FROM lb GROUP BY label HAVING count(*) < 4")
+def agg_small_communities(s, d):
+    return analysis.small_communities(analysis.communities(_view(s, d)), below=4)
+
+
+@query(
+    f"""WITH RECURSIVE {LE}, {VIEW}, k AS MATERIALIZED (SELECT DISTINCT a_repo || '|' || a AS u, b_repo || '|' || b AS v FROM vw), rc AS (SELECT u, v FROM k UNION SELECT rc.u, k.v FROM rc JOIN k ON k.u = rc.v),
+co AS (SELECT x.u, min(x.v) AS component FROM rc x JOIN rc y ON y.u = x.v AND y.v = x.u GROUP BY x.u HAVING min(x.v) <> max(x.v)),
+g AS (SELECT component, count(*) AS length, min(CASE WHEN regexp_matches(u, '\\|(file|module):') THEN 1 ELSE 0 END) = 1 AS files_only FROM co GROUP BY component)
+SELECT *, row_number() OVER (ORDER BY files_only DESC, length DESC, component) AS position FROM g"""
+)
+def graph_cycle_list(s, d):
+    return _long(analysis.cycle_list(analysis.strong_components(_view(s, d))), "position")
 
 
 @query()
@@ -693,7 +717,12 @@ def resolve_camel_mentions(s, d):
     return resolution.camel_mentions(_markdown(s, d))
 
 
-@query(f"WITH {LN}, {LE}, u AS (SELECT dst_repo AS repo, dst_id AS id, min({IDPATH.format('src_id')}) AS above FROM le WHERE edge_type = 'contains' GROUP BY ALL) SELECT n.repo, n.id, coalesce({IDPATH.format('n.id')}, above) AS owner FROM ln n LEFT JOIN u ON u.repo = n.repo AND u.id = n.id WHERE kind NOT IN ('symbol', 'import')")
+@query(
+    f"""WITH RECURSIVE {LN}, {LE}, n AS (SELECT repo, id, {IDPATH.format('id')} AS own FROM ln WHERE kind NOT IN ('symbol', 'import')), c AS MATERIALIZED (SELECT DISTINCT src_repo, src_id, dst_repo, dst_id FROM le WHERE edge_type = 'contains'),
+w AS (SELECT repo, id, repo AS r, id AS i, 0 AS d FROM n WHERE own IS NULL UNION SELECT w.repo, w.id, src_repo, src_id, d + 1 FROM w JOIN c ON dst_repo = r AND dst_id = i WHERE {IDPATH.format('i')} IS NULL AND d < 50),
+o AS (SELECT repo, id, min([lpad(CAST(d AS VARCHAR), 3, '0'), {IDPATH.format('i')}])[2] AS owner FROM w WHERE {IDPATH.format('i')} IS NOT NULL GROUP BY ALL)
+SELECT n.repo, n.id, coalesce(own, owner) AS owner FROM n LEFT JOIN o ON o.repo = n.repo AND o.id = n.id"""
+)
 def resolve_file_owner(s, d):
     return resolution.file_owner(_nodes(s, d), _edges(s, d))
 
@@ -706,3 +735,49 @@ def source_scan_changes(s, d):
     docs = table(s, d, "documents").where("repo is not null and path is not null")
     prints = lambda df: df.groupBy("repo", "path").agg(F.max(F.coalesce("text", F.lit(""))).alias("t")).select("repo", "path", F.sha2(F.encode("t", "utf-8"), 256).alias("sha256"))
     return resolution.scan_changes(prints(docs.where(F.col("added_at") < F.lit("2025-01-01").cast("timestamp_ntz"))), prints(docs))
+
+
+# -- derived families, members, lines ---------------------------------------------------
+_DERIVED = f"""{_COMMITS}, f AS (SELECT repo, substr(id, 6) AS p FROM ln WHERE kind = 'file' AND id LIKE 'file:%'),
+ce AS (SELECT repo AS src_repo, 'file:' || a AS src_id, 'co_committed' AS edge_type, repo AS dst_repo, 'file:' || b AS dst_id FROM cc WHERE (repo, a) IN (SELECT repo, p FROM f) AND (repo, b) IN (SELECT repo, p FROM f)),
+ol AS (SELECT src_repo, src_id, edge_type, dst_repo, dst_id FROM le WHERE edge_type = 'co_committed')"""
+
+
+def _co_change_family(s, d):
+    pairs = history.co_change_edges(_cochange(s, d), _nodes(s, d))
+    return pairs.select(F.col("repo").alias("src_repo"), "src_id", "edge_type", F.col("repo").alias("dst_repo"), "dst_id")
+
+
+@query(f"WITH {LN}, {LE}, {_DERIVED} SELECT *, 'delete' AS action FROM (SELECT * FROM ol EXCEPT SELECT * FROM ce) UNION ALL SELECT *, 'upsert' FROM (SELECT * FROM ce EXCEPT SELECT * FROM ol)")
+def agg_edge_changes(s, d):
+    return graph.edge_changes(_edges(s, d).where("edge_type = 'co_committed'"), _co_change_family(s, d))
+
+
+@query(f"WITH {LN}, {LE}, {_DERIVED} SELECT src_repo, src_id, edge_type, dst_repo, dst_id FROM le WHERE edge_type <> 'co_committed' UNION ALL SELECT * FROM ce")
+def sink_replace_family(s, d):
+    return graph.replace_family(_edges(s, d).select(*graph.EDGE), ("co_committed",), _co_change_family(s, d))
+
+
+@query(f"WITH {LN} SELECT id, CASE WHEN count(DISTINCT repo) = 1 THEN min(repo) END AS repo, count(DISTINCT repo) AS members FROM ln WHERE kind IN ('file', 'module', 'symbol') GROUP BY id")
+def filter_owners(s, d):
+    nodes = _nodes(s, d)
+    return graph.owners(nodes, nodes.where("kind in ('file', 'module', 'symbol')"))
+
+
+@query(f"WITH {LN}, m AS (SELECT service AS member FROM spans UNION SELECT repo FROM hubs UNION SELECT dst_repo FROM edges UNION SELECT repo || '-old' FROM commits) SELECT member FROM m WHERE member IS NOT NULL AND member NOT IN (SELECT repo FROM ln)")
+def scan_missing_members(s, d):
+    """Members that spans, hubs, edges or (renamed) commits speak of, without a node."""
+    said = table(s, d, "spans").select(F.col("service").alias("member")).union(table(s, d, "hubs").select("repo")).union(table(s, d, "edges").select("dst_repo")).union(table(s, d, "commits").select(F.concat("repo", F.lit("-old"))))
+    return graph.missing_members(said, _nodes(s, d))
+
+
+@query(
+    f"""WITH {LN}, p AS (SELECT DISTINCT src_repo AS repo, {IDPATH.format('src_id')} AS path, try_cast(props['line'] AS INT) AS line FROM edges WHERE edge_type = 'calls' AND src_repo IS NOT NULL),
+h AS (SELECT p.repo, p.path, line, n.id, row_number() OVER (PARTITION BY p.repo, p.path, line ORDER BY end_line - start_line, n.id) AS k FROM p JOIN ln n ON n.repo = p.repo AND n.path = p.path AND n.kind IN ('function', 'method') AND n.start_line >= 1 AND line BETWEEN n.start_line AND n.end_line WHERE p.path IS NOT NULL AND p.path <> '')
+SELECT repo, path, line, id FROM h WHERE k = 1"""
+)
+def join_line_owners(s, d):
+    """The functions around the lines of all calls."""
+    calls = table(s, d, "edges").where("edge_type = 'calls' and src_repo is not null")
+    places = calls.select(F.col("src_repo").alias("repo"), P.id_path(F.col("src_id")).alias("path"), F.expr("try_cast(props['line'] as int)").alias("line")).where("path is not null and line is not null")
+    return lookup.line_owners(_nodes(s, d), places)

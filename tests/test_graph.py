@@ -310,3 +310,37 @@ def test_uris_and_services(spark):
     m = spark.createDataFrame([("a", ["X"]), ("b", [])], "member string, base_env array<string>")
     assert [r["id"] for r in contracts.service_nodes(m).collect()] == ["service:a"]
     assert spark.range(1).select(P.relative_id(F.lit("func:/x/y/a.go#f"), "/x/y")).first()[0] == "func:a.go#f"
+
+
+def test_row_numbers(spark):
+    from graphloom.plans.iterate import row_numbers
+
+    df = spark.range(5000).selectExpr("id", "id % 7 as k").repartition(6)
+    got = row_numbers(df, "n", F.desc("k"), F.col("id")).collect()
+    assert [(r["k"], r["id"]) for r in sorted(got, key=lambda r: r["n"])] == sorted(((i % 7, i) for i in range(5000)), key=lambda x: (-x[0], x[1])) and sorted(r["n"] for r in got) == list(range(1, 5001))
+    assert row_numbers(df.limit(0), "n", F.col("id")).count() == 0
+
+
+def test_lines_families_and_members(spark):
+    from graphloom.operators import lookup
+
+    n = spark.createDataFrame([("r", "func:p#a", "function", "a", "p", 1, 20, ""), ("r", "func:p#b", "function", "b", "p", 5, 9, ""), ("r", "func:p#c", "method", "c", "p", 5, 9, ""), ("s", "func:p#a", "function", "a", "p", 0, 0, "")], NODE)
+    places = spark.createDataFrame([("r", "p", 7), ("r", "p", 15), ("r", "p", 30), ("s", "p", 1), ("r", None, 1)], "repo string, path string, line int")
+    assert {(r["line"], r["id"]) for r in lookup.line_owners(n, places).collect()} == {(7, "func:p#b"), (15, "func:p#a")}
+    old, new = edges(spark, [("a", "x", "b"), ("b", "x", "c"), ("a", "calls", "b")]), edges(spark, [("a", "x", "b"), ("c", "x", "d")])
+    assert {(r["src_id"], r["action"]) for r in graph.edge_changes(old.where("edge_type = 'x'"), new).collect()} == {("b", "delete"), ("c", "upsert")}
+    assert {(r["src_id"], r["edge_type"]) for r in graph.replace_family(old, ("x",), new).collect()} == {("a", "calls"), ("a", "x"), ("c", "x")}
+    assert {tuple(r) for r in graph.owners(n, n).collect()} == {("func:p#a", None, 2), ("func:p#b", "r", 1), ("func:p#c", "r", 1)}
+    assert [r[0] for r in graph.missing_members(spark.createDataFrame([("r",), ("gone",), (None,)], "member string"), n).collect()] == ["gone"]
+
+
+def test_owner_up_the_chain(spark):
+    n = nodes(spark, [("r", "x1", "thing", "x", ""), ("r", "x2", "thing", "x", ""), ("r", "x3", "thing", "x", ""), ("r", "c1", "thing", "x", ""), ("r", "c2", "thing", "x", ""), ("r", "func:a.go#f", "function", "f", "")])
+    e = edges(spark, [("x2", "contains", "x1"), ("x3", "contains", "x2"), ("file:z.go", "contains", "x3"), ("file:b.go", "contains", "x3"), ("c1", "contains", "c2"), ("c2", "contains", "c1")])
+    assert {(r["id"], r["owner"]) for r in resolution.file_owner(n, e).collect()} == {("x1", "b.go"), ("x2", "b.go"), ("x3", "b.go"), ("c1", None), ("c2", None), ("func:a.go#f", "a.go")}
+
+
+def test_import_targets(spark):
+    rows = [("a/b.ts", "lodash/fp", "lodash"), ("a/b.ts", "@org/pkg/x", "@org/pkg"), ("a/b.js", "./c", "a/c"), ("a/b.go", "net/http", "net/http"), ("a/b.py", "os.path", "os.path"), ("a/b.py", "'x'", "x"), ("a/b.js", "/abs/x", "/abs/x")]
+    df = spark.createDataFrame(rows, "p string, s string, want string")
+    assert all(r[0] == r[1] for r in df.select(analysis.import_target(F.col("p"), F.col("s")), "want").collect())

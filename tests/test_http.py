@@ -161,3 +161,15 @@ def test_long_arguments():
     assert [(r[1], r[3], r[5]) for r in rows if r[0] == "mount"] == [("app", "/api", "users")]
     assert [(r[1], r[2], r[3]) for r in rows if r[0] == "client"] == [("save", "POST", "/store/{}")]
     assert [(r[1], r[3]) for r in S.js_surface("const app = express();\napp.get('/a', <p>Don't</p>);\napp.get('/b', `x);\napp.get('/c', (q) => {") if r[0] == "route"] == [("app", "/a"), ("app", "/b"), ("app", "/c")]
+
+
+def test_aliases_and_path_literals(spark):
+    from graphloom.operators import contracts
+
+    calls = spark.createDataFrame([("r", ["BASE", "X"], 1), ("r", [], 2), ("s", ["BASE"], 3), (None, ["BASE"], 4)], "repo string, tokens array<string>, line int")
+    aliases = spark.createDataFrame([("r", "BASE", "A_URL"), ("r", "BASE", "B_URL"), ("r", "OTHER", "C")], "repo string, token string, name string")
+    assert {r["line"]: sorted(r["tokens"]) for r in contracts.expand_aliases(calls, aliases).collect()} == {1: ["A_URL", "BASE", "B_URL", "X"], 2: [], 3: ["BASE"], 4: ["BASE"]}
+    texts = spark.createDataFrame([("r", "p", "x = get('/a/{id}?q=1')\ny(\"b/c\")\n`/none`")], "repo string, path string, text string")
+    ops = spark.createDataFrame([("api", "o1", "/a/{id}"), ("api", "o2", "/b/c")], "repo string, id string, path string")
+    fns = spark.createDataFrame([("r", "p", "f", 1, 1), ("r", "p", "g", 2, 3), ("r", "p", "whole", 0, 0)], "repo string, path string, id string, start_line int, end_line int")
+    assert {(r["id"], r["op_id"]) for r in contracts.bind_path_literals(contracts.path_literals(texts), ops, fns).collect()} == {("f", "o1"), ("g", "o2"), ("whole", "o1"), ("whole", "o2")}

@@ -12,13 +12,14 @@ from graphloom.functions.paths import LANGUAGES, extension
 from graphloom.plans.ship import ship
 
 #: Folders that are never source.
-IGNORED_DIRS = (".git", "node_modules", "vendor", "dist", "build", "target", ".venv", "__pycache__")
+IGNORED_DIRS = ("vendor", "node_modules", "third_party", ".git")
 
 
-def scan_tree(spark: SparkSession, root: str, ignore_dirs: tuple[str, ...] = IGNORED_DIRS, ignore_rules: dict[str, list[str]] | None = None) -> DataFrame:
+def scan_tree(spark: SparkSession, root: str, ignore_dirs: tuple[str, ...] = IGNORED_DIRS, ignore_rules: dict[str, list[str]] | None = None, read_ignore_files: bool = True) -> DataFrame:
     """(path, content, size, modified_at) of the regular files below ``root``.
 
-    ``ignore_rules`` maps a folder (relative, '' for the root) to the lines of its ignore
+    The rules of ``.git/info/exclude`` and of ``.gitignore`` files count unless
+    ``read_ignore_files`` is false; they are read to the driver. ``ignore_rules`` maps a folder (relative, '' for the root) to the lines of its ignore
     file: later rules win, ``!`` takes back, a trailing ``/`` means folders, a rule with a
     slash is anchored at its folder.
     """
@@ -27,6 +28,12 @@ def scan_tree(spark: SparkSession, root: str, ignore_dirs: tuple[str, ...] = IGN
     base = root.rstrip("/") + "/"
     path = F.substring_index(F.col("path"), base, -1)
     rows = rows.select(path.alias("path"), "content", F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"))
+    if read_ignore_files:
+        read = {} if ignore_rules is None else dict(ignore_rules)
+        for name, text in sorted(ignore_files(spark, root).items()):
+            folder = "" if name.startswith(".git/") else name.rpartition("/")[0]
+            read[folder] = [*read.get(folder, []), *text.splitlines()]
+        ignore_rules = read
     if ignore_dirs:
         rows = rows.where(~F.exists(F.split("path", "/"), lambda s: s.isin(*ignore_dirs)))
     if ignore_rules:
@@ -34,6 +41,24 @@ def scan_tree(spark: SparkSession, root: str, ignore_dirs: tuple[str, ...] = IGN
     return rows
 
 
+def ignore_files(spark: SparkSession, root: str) -> dict[str, str]:
+    """Path and text of the ignore files below ``root``; Spark's readers pass over names with a dot in front."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base, out, found = fs.makeQualified(top).toString().rstrip("/") + "/", {}, fs.listFiles(top, True)
+    while found.hasNext():
+        at = found.next().getPath()
+        name = at.toString().removeprefix(base)
+        if name == ".git/info/exclude" or at.getName() == ".gitignore" and not name.startswith(".git/"):
+            stream = fs.open(at)
+            try:
+                out[name] = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+    return out
+
+
 def rule_hits(rule: str, folder: str, path: str) -> bool:
     """Does one ignore rule of ``folder`` match the path or a folder above it?"""
     if folder and not path.startswith(folder + "/"):

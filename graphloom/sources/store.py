@@ -29,6 +29,10 @@ def _spread() -> dict:
     return {"nodes": F.pmod(F.xxhash64("id"), F.lit(FILES)), "edges": F.pmod(F.xxhash64("src_id"), F.lit(FILES))}
 
 
+def exists(spark: SparkSession, root: str) -> bool:
+    return bool(Versions(spark, root, {}, {}).versions())
+
+
 def read_graph(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     store = _store(spark, root)
     now = store.manifest()

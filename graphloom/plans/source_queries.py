@@ -161,10 +161,32 @@ def source_http_surface(s, d):
     return http_source.http_surface(_docs(s, d, "source = 'code'")).withColumn("tokens", F.array_join("tokens", ","))
 
 
-@query()
+_SERVED = r"""op AS (SELECT DISTINCT repo, path, regexp_extract(id, '^operation:[^#]*#([A-Z]+) (/.*)$', 1) AS m, regexp_extract(id, '^operation:[^#]*#([A-Z]+) (/.*)$', 2) AS p FROM ln WHERE regexp_matches(id, '^operation:[^#]*#(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS) (/.*)$') AND path <> '')"""
+
+
+def _served(s, d):
+    """A router text (repo, path, text) for each operation, mounted under ``/v1``."""
+    part = lambda k: F.regexp_extract("id", "^operation:[^#]*#(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS) (/.*)$", k)
+    ops = graph.live_nodes(table(s, d, "nodes")).where("path <> ''").select("repo", "path", part(1).alias("m"), part(2).alias("p")).where("m <> ''").distinct()
+    lines = F.concat(F.lit("const app = express()\nconst api = express.Router()\napp.use('/v1', api)\napi."), F.lower("m"), F.lit("('"), F.regexp_replace("p", r"\{\}", ":id"), F.lit("', auth({ a: [1] }), serve)\n"))
+    return ops.select("repo", F.concat("path", F.lit(".js")).alias("path"), lines.alias("text"))
+
+
+@query(
+    f"""WITH {LN}, {_SERVED} SELECT repo, path || '.js' AS path, unnest(['router', 'router', 'mount', 'route']) AS kind, unnest(['app', 'api', 'app', 'api']) AS name, unnest(['', '', '', m]) AS method, unnest(['', '', '/v1', replace(p, '{{}}', ':id')]) AS value,
+'' AS tokens, unnest(['app', '', 'api', 'serve']) AS target, unnest([0, 0, 3, 4]) AS line FROM op"""
+)
+def source_http_operations(s, d):
+    got = http_source.http_surface(_served(s, d))
+    return got.withColumn("tokens", F.array_join("tokens", ","))
+
+
+@query(f"WITH {LN}, {_SERVED} SELECT repo, path || '.js' AS path, m AS method, '/v1' || p AS route, 'serve' AS handler, true AS mounted FROM op")
 def source_http_routes(s, d):
+    """Routes of all code texts (those of the tables declare none), and of the texts written for operations."""
+    texts = _docs(s, d, "source = 'code'").select("repo", "path", "text").unionByName(_served(s, d))
     # the texts are read once, not for every use of their rows
-    return http.compose_routes(cut(http_source.http_surface(_docs(s, d, "source = 'code'"))))
+    return http.compose_routes(cut(http_source.http_surface(texts))).drop("key")
 
 
 @query(

@@ -32,7 +32,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from graphloom.operators.skew import fragment_join, plan_fragments
-from graphloom.plans.iterate import cut
+from graphloom.plans.iterate import cut, written
 from graphloom.plans.tables import tasks_of
 from graphloom.plans.versions import Versions
 
@@ -65,7 +65,7 @@ def contents(commits: DataFrame, most: int = 100) -> DataFrame:
     clean = F.array_sort(F.array_distinct(F.filter(F.transform("paths", clean_path), lambda p: p.isNotNull())))
     rows = commits.where("repo is not null and commit_hash is not null").select(*BASKET, F.col("committed_at").cast("timestamp_ntz").alias("committed_at"), clean.alias("paths")).where("size(paths) > 0")
     large = F.size("paths") > most
-    rows = rows.select(*BASKET, "committed_at", large.alias("large"), F.when(~large, F.col("paths")).alias("paths"))
+    rows = written(rows.select(*BASKET, "committed_at", large.alias("large"), F.when(~large, F.col("paths")).alias("paths")))  # cleaned once
     one = rows.groupBy(*BASKET).agg(F.max("committed_at").alias("committed_at"), F.max("large").alias("large"), F.min("paths").alias("paths"), F.max("paths").alias("_other"))
     plain = one.where(F.col("large") | (F.col("paths") == F.col("_other"))).select(*BASKET, "committed_at", F.when(~F.col("large"), F.col("paths")).alias("paths"))
     mixed = one.where(~F.col("large") & (F.col("paths") != F.col("_other"))).select(*BASKET, "committed_at")

@@ -98,15 +98,25 @@ class Graph:
         view = analysis.dependency_view(self.edges, self.nodes)
         hubs = analysis.hubs(self.edges, self.nodes, None, ("function", "method", "type", "file", "module"))
         top = lambda df, by: df.orderBy(F.desc(by), *[c for c in df.columns if c != by]).limit(limit)
+        labels = analysis.communities(view)
+        rings, gaps = analysis.strong_components(view), analysis.knowledge_gaps(self.edges, self.nodes)
+        pairs = self.edges.where("edge_type = 'co_committed'").select("src_repo", "src_id", "dst_repo", "dst_id", "weight", "support")
         return {
+            "Coverage": analysis.coverage(self.edges).orderBy("repo"),
+            "Languages": top(analysis.language_mix(self.nodes), "files"),
             "Hubs": top(hubs, "degree"),
+            "Important symbols": top(analysis.hubs(self.edges, self.nodes, analysis.SYMBOLIC, analysis.DEFINITIONS), "degree"),
             "Important files": top(analysis.important_files(self.edges, self.nodes), "score"),
             "Top imports": top(analysis.top_imports(self.edges), "files"),
-            "Languages": top(analysis.language_mix(self.nodes), "files"),
-            "Coverage": analysis.coverage(self.edges).orderBy("repo"),
             "Central nodes": top(analysis.pagerank(view), "rank"),
-            "Cycles": analysis.strong_components(view).groupBy("component").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "component"),
-            "Indirect traces": analysis.indirect_traces(self.edges).orderBy(F.desc("hops"), "repo", "source", "target_repo", "target"),
+            "Communities": top(analysis.cohesion(view, labels).join(analysis.numbered_communities(labels).drop("members"), "label"), "members"),
+            "Cycles": analysis.cycle_list(analysis.file_cycles(view, rings)).orderBy("position").limit(limit),
+            "Indirect traces": analysis.indirect_traces(self.edges).orderBy(F.desc("hops"), "repo", "source", "target_repo", "target").limit(limit),
+            "Co-changes": top(pairs, "weight"),
+            "Hot paths": tracing.hot_paths(self.edges, limit),
+            "Services": self.services().orderBy(F.desc("calls"), "from_repo", "to_repo").limit(limit),
+            "Knowledge gaps": gaps.orderBy("degree", "repo", "id").limit(limit),
+            "Questions": lookup.questions(hubs, rings, gaps),
         }
 
     def export(self, path: str, repo: str) -> None:

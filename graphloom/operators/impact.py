@@ -132,25 +132,35 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, targets: DataFrame, max_h
     """(seed_repo, seed_id, repo, id, hops, path): fewest hops from each seed to each target it reaches.
 
     Equally short paths are decided by the smallest (edge type, node) at each step back.
-    Without ``max_hops`` it ends when a level adds nothing.
+    Without ``max_hops`` it ends when a level adds nothing. A level keeps where each node was
+    reached from; only the targets' paths are put together, step by step back.
     """
     hops = written(edges.where(F.col("edge_type").isin(*DEPENDENCY, "contains")).groupBy("src_repo", "src_id", "dst_repo", "dst_id").agg(F.min("edge_type").alias("edge")))
     key = ["seed_repo", "seed_id", *KEY]
-    level = seeds.select(F.col("repo").alias("seed_repo"), F.col("id").alias("seed_id"), *KEY, F.array("id").alias("path")).distinct()
-    seen = level = written(level)
-    found = level.join(targets.select(*KEY).distinct(), KEY, "left_semi").withColumn("hops", F.lit(0))
-    d = 0
-    while max_hops is None or d < max_hops:
-        d += 1
-        step = level.join(hops, (F.col("repo") == F.col("src_repo")) & (F.col("id") == F.col("src_id")))
-        step = step.select("seed_repo", "seed_id", F.col("dst_repo").alias("repo"), F.col("dst_id").alias("id"), F.col("edge"), "path")
-        step = step.join(seen.select(*key), key, "left_anti").groupBy(*key).agg(F.min(F.struct("edge", "path")).alias("b"))
-        level = written(step.select(*key, F.concat("b.path", F.array("id")).alias("path")))
+    goals = targets.select(*KEY).distinct()
+    none = F.lit(None).cast("string")
+    level = written(seeds.select(F.col("repo").alias("seed_repo"), F.col("id").alias("seed_id"), *KEY, none.alias("up_repo"), none.alias("up_id")).distinct())
+    levels, seen = [level], level.select(*key)
+    while max_hops is None or len(levels) <= max_hops:
+        step = level.select(*key).join(hops, (F.col("repo") == F.col("src_repo")) & (F.col("id") == F.col("src_id")))
+        step = step.groupBy("seed_repo", "seed_id", F.col("dst_repo").alias("repo"), F.col("dst_id").alias("id")).agg(F.min(F.struct("edge", F.col("src_repo").alias("up_repo"), F.col("src_id").alias("up_id"))).alias("b"))
+        level = written(step.join(seen, key, "left_anti").select(*key, "b.up_repo", "b.up_id"))
         if level.isEmpty():
             break
-        seen = seen.unionByName(level)
-        found = found.unionByName(level.join(targets.select(*KEY).distinct(), KEY, "left_semi").withColumn("hops", F.lit(d)))
-    return found.select(*key, "hops", "path")
+        levels.append(level)
+        seen = seen.unionByName(level.select(*key))
+    out, open_ = None, None  # open_: paths that lead on to a target, with their far end
+    shape = ["seed_repo", "seed_id", "end_repo", "end_id", "hops", "path", "repo", "id"]
+    for d in range(len(levels) - 1, -1, -1):
+        here = levels[d].join(goals, KEY, "left_semi").select("seed_repo", "seed_id", F.col("repo").alias("end_repo"), F.col("id").alias("end_id"), F.lit(d).alias("hops"), F.array("id").alias("path"), "repo", "id")
+        if open_ is not None:
+            here = here.unionByName(open_)
+        if d == 0:
+            out = here.select("seed_repo", "seed_id", F.col("end_repo").alias("repo"), F.col("end_id").alias("id"), "hops", "path")
+            break
+        back = here.join(levels[d], key)
+        open_ = written(back.select(*shape[:5], F.concat(F.array("up_id"), "path").alias("path"), F.col("up_repo").alias("repo"), F.col("up_id").alias("id")))
+    return out
 
 
 def contract_hops(edges: DataFrame) -> DataFrame:

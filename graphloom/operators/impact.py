@@ -132,35 +132,39 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, targets: DataFrame, max_h
     """(seed_repo, seed_id, repo, id, hops, path): fewest hops from each seed to each target it reaches.
 
     Equally short paths are decided by the smallest (edge type, node) at each step back.
-    Without ``max_hops`` it ends when a level adds nothing. A level keeps where each node was
-    reached from; only the targets' paths are put together, step by step back.
+    Without ``max_hops`` it ends when a level adds nothing. Nodes are numbered in the order of
+    (repo, id), and a level keeps three numbers a row: seed, node, and where that was reached
+    from. Only the targets' paths are put together, step by step back.
     """
-    hops = written(edges.where(F.col("edge_type").isin(*DEPENDENCY, "contains")).groupBy("src_repo", "src_id", "dst_repo", "dst_id").agg(F.min("edge_type").alias("edge")))
-    key = ["seed_repo", "seed_id", *KEY]
-    goals = targets.select(*KEY).distinct()
-    none = F.lit(None).cast("string")
-    level = written(seeds.select(F.col("repo").alias("seed_repo"), F.col("id").alias("seed_id"), *KEY, none.alias("up_repo"), none.alias("up_id")).distinct())
-    levels, seen = [level], level.select(*key)
+    kinds = sorted((*DEPENDENCY, "contains"))
+    rows = edges.where(F.col("edge_type").isin(*kinds)).groupBy("src_repo", "src_id", "dst_repo", "dst_id").agg(F.min(F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("edge_type"))).cast("byte").alias("edge"))
+    ends = [rows.select(F.col(f"{e}_repo").alias("repo"), F.col(f"{e}_id").alias("id")) for e in ("src", "dst")]
+    every = ends[0].union(ends[1]).union(seeds.select(*KEY)).union(targets.select(*KEY)).where("repo is not null and id is not null").distinct()
+    names = written(every.orderBy(*KEY).select(F.monotonically_increasing_id().alias("i"), *KEY))
+    number = lambda e, name: names.select(F.col("repo").alias(f"{e}_repo"), F.col("id").alias(f"{e}_id"), F.col("i").alias(name))
+    hops = written(rows.join(number("src", "i"), ["src_repo", "src_id"]).join(number("dst", "to"), ["dst_repo", "dst_id"]).select("i", "to", "edge"))
+    goals = written(targets.select(*KEY).distinct().join(names, KEY).select("i"))
+    level = written(seeds.select(*KEY).distinct().join(names, KEY).select(F.col("i").alias("s"), "i", F.lit(None).cast("long").alias("up")))
+    levels, seen = [level], level.select("s", "i")
     while max_hops is None or len(levels) <= max_hops:
-        step = level.select(*key).join(hops, (F.col("repo") == F.col("src_repo")) & (F.col("id") == F.col("src_id")))
-        step = step.groupBy("seed_repo", "seed_id", F.col("dst_repo").alias("repo"), F.col("dst_id").alias("id")).agg(F.min(F.struct("edge", F.col("src_repo").alias("up_repo"), F.col("src_id").alias("up_id"))).alias("b"))
-        level = written(step.join(seen, key, "left_anti").select(*key, "b.up_repo", "b.up_id"))
+        step = level.select("s", "i").join(hops, "i").groupBy("s", F.col("to")).agg(F.min(F.struct("edge", "i")).alias("b"))
+        step = step.select("s", F.col("to").alias("i"), F.col("b.i").alias("up"))
+        level = written(step.join(seen, ["s", "i"], "left_anti"))
         if level.isEmpty():
             break
         levels.append(level)
-        seen = seen.unionByName(level.select(*key))
-    out, open_ = None, None  # open_: paths that lead on to a target, with their far end
-    shape = ["seed_repo", "seed_id", "end_repo", "end_id", "hops", "path", "repo", "id"]
+        seen = seen.unionByName(level.select("s", "i"))
+    found = None  # paths that lead on to a target, from node ``i``
     for d in range(len(levels) - 1, -1, -1):
-        here = levels[d].join(goals, KEY, "left_semi").select("seed_repo", "seed_id", F.col("repo").alias("end_repo"), F.col("id").alias("end_id"), F.lit(d).alias("hops"), F.array("id").alias("path"), "repo", "id")
-        if open_ is not None:
-            here = here.unionByName(open_)
-        if d == 0:
-            out = here.select("seed_repo", "seed_id", F.col("end_repo").alias("repo"), F.col("end_id").alias("id"), "hops", "path")
-            break
-        back = here.join(levels[d], key)
-        open_ = written(back.select(*shape[:5], F.concat(F.array("up_id"), "path").alias("path"), F.col("up_repo").alias("repo"), F.col("up_id").alias("id")))
-    return out
+        here = levels[d].join(goals, "i", "left_semi").select("s", F.col("i").alias("end"), F.lit(d).alias("hops"), F.array("i").alias("path"), "i")
+        found = here if found is None else here.unionByName(found)
+        if d:
+            found = written(found.join(levels[d], ["s", "i"]).select("s", "end", "hops", F.concat(F.array("up"), "path").alias("path"), F.col("up").alias("i")))
+    # numbers to ids
+    steps = found.select("s", "end", "hops", F.posexplode("path").alias("at", "i")).join(names.select("i", "id"), "i")
+    paths = steps.groupBy("s", "end", "hops").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "id"))), lambda x: x["id"]).alias("path"))  # at most hops + 1 each
+    paths = paths.join(names.select(F.col("i").alias("s"), F.col("repo").alias("seed_repo"), F.col("id").alias("seed_id")), "s").join(names.withColumnRenamed("i", "end"), "end")
+    return paths.select("seed_repo", "seed_id", *KEY, "hops", "path")
 
 
 def contract_hops(edges: DataFrame) -> DataFrame:
